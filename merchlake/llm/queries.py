@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.llm import op1_language_id as language
+from merchlake.llm import op9_secrets as secrets
 from merchlake.llm import op10_toxicity as toxicity
 from merchlake.llm.common import crc_mod
 from merchlake.llm.op5_mixing import mix
@@ -24,6 +25,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = secrets.find(docs, secrets.learn(secrets.samples(docs)))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    digest = F.sha2(secrets.written(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), digest.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -73,5 +82,5 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language_id": op1_language_id, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
