@@ -10,6 +10,7 @@ from merchlake.llm import op1_language_id as language
 from merchlake.llm import op9_secrets as secrets
 from merchlake.llm import op10_toxicity as toxicity
 from merchlake.llm.common import crc_mod
+from merchlake.llm.op2_substrings import remove_repeats
 from merchlake.llm.op4_packing import pack
 from merchlake.llm.op5_mixing import mix
 from merchlake.llm.op8_simhash import near_duplicates
@@ -35,6 +36,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), digest.alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_docs(spark, sf_dir)).drop("kept")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -88,5 +93,5 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
