@@ -13,6 +13,7 @@ from merchlake.llm.common import crc_mod
 from merchlake.llm.op2_substrings import remove_repeats
 from merchlake.llm.op4_packing import pack
 from merchlake.llm.op5_mixing import mix
+from merchlake.llm.op6_neighbours import nearest
 from merchlake.llm.op8_simhash import near_duplicates
 
 
@@ -59,6 +60,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
@@ -93,5 +98,5 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
