@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of data frames that are no longer referred to, without waiting for memory to run short."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for t in tables:
@@ -45,10 +51,9 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts, unless the session already asks for smaller ones."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep Arrow batches small enough for long texts from here on (or let them be larger, for rows of numbers)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def fresh(df: DataFrame, name: str) -> str:

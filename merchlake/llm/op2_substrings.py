@@ -200,6 +200,7 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW, gram
     bundles = scratch.keep(rows.mapInArrow(lambda it: _bundled(it, window, gram), _ROWS), "bundles")
     settled, todo = _pass(bundles, scratch)
     scratch.drop(bundles)
+    scratch.free()
     lists = todo.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "mark")).alias("todo"))
     zipped = rows.select("rid", _zip("text").alias("z")).join(lists, "rid")
     strings = scratch.keep(zipped.mapInArrow(lambda it: _strings(it, window), _STRINGS), "strings")
@@ -208,6 +209,8 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW, gram
     ranges = todo.select("rid", (F.col("at") - lo).alias("home"), lo.alias("lo"), (lo + F.col("n") - 1).alias("hi"))
     single = _on_strings(strings.drop("lo", "hi").join(ranges, ["rid", "home"]), window, 1)
     by_position, _ = _pass(scratch.keep(single, "positions"), scratch, final=True)
+    del lists, zipped, ranges, single
+    scratch.free()
     return settled.unionAll(by_block).unionAll(by_position)
 
 

@@ -11,6 +11,7 @@ from merchlake.llm import op9_secrets as secrets
 from merchlake.llm import op10_toxicity as toxicity
 from merchlake.llm.common import crc_mod
 from merchlake.llm.op2_substrings import remove_repeats
+from merchlake.llm.op3_paragraphs import repeated_passages
 from merchlake.llm.op4_packing import pack
 from merchlake.llm.op5_mixing import mix
 from merchlake.llm.op6_neighbours import nearest
@@ -41,6 +42,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir)).drop("kept")
 
 
+def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_docs(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", "toxic")
     # one label a document: a document that is labelled both ways teaches nothing
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
-    model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.learn(docs, labels)
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -98,5 +103,5 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
