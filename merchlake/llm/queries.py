@@ -15,6 +15,7 @@ from merchlake.llm.op3_paragraphs import repeated_passages
 from merchlake.llm.op4_packing import pack
 from merchlake.llm.op5_mixing import mix
 from merchlake.llm.op6_neighbours import nearest
+from merchlake.llm.op7_search import search
 from merchlake.llm.op8_simhash import near_duplicates
 
 
@@ -69,6 +70,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_docs(spark, sf_dir), F.col("doc_id") % 100 == 0, 10)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
@@ -103,5 +108,5 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op7_search": op7_search, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
