@@ -20,7 +20,7 @@ LEVEL = 6
 #: Bytes of text that the dictionary of a language is made of, at most.
 DICTIONARY_BYTES = 64 * 1024
 #: Rejected if the best encoding saves less than this share of the second best.
-MARGIN = 0.01
+MARGIN = 0.005
 _LETTER = re.compile(r"[^\W\d_]")
 
 

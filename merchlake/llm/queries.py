@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,5 +109,5 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op7_search": op7_search, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op7_search": op7_search, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity, "pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
