@@ -63,7 +63,7 @@ def _variants(fp: Column) -> Column:
         rest = fp.bitwiseAND(low).bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, first + count), first)) if first + count < 64 else fp.bitwiseAND(low)
         tagged = rest.bitwiseOR(F.lit(n << 61))
         turns = [0, *(1 << b for b in range(64 - count))]
-        out.append(F.transform(F.array(*[F.lit(t).cast("long") for t in turns]), lambda t, base=tagged: base.bitwiseXOR(t)))
+        out.append(F.array(*[tagged.bitwiseXOR(F.lit(t)) for t in turns]))
     return F.concat(*out)
 
 
@@ -116,9 +116,12 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield scan(kept_k, kept_f)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identity: Column | None = None) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id for each row of `docs`.
 
+    If `identity`, a column over `docs`, is given, it comes back too, with `root`, which tells components apart even where
+    a doc_id is repeated.
+
     Fingerprints at most RADIUS bits apart are linked; a component is what links reach, and its id the smallest doc_id
     in it. Equal fingerprints are merged first, so groups of exact copies cost one fingerprint however large they are.
     Rows without a word (null, empty, white space) have fingerprint 0, which is linked like any other. Null ids take
@@ -127,8 +130,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    scratch = scratch or Scratch(spark, "simhash")
-    rows = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "rows")
+    scratch = Scratch(spark, "simhash")
+    extra = [] if identity is None else [identity.alias("identity")]
+    rows = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), *extra), "rows")
+    small_batches(spark, 20_000)
     distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     keys = distinct.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
     met = keys.repartition("key").sortWithinPartitions("key")
@@ -137,5 +142,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = scratch.keep(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rows.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = rows.join(named.select("fp", "root").join(least, "root"), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["identity", "root"] if extra else []))

@@ -92,3 +92,20 @@ def test_edge_cases(spark):
 def test_very_long_text(words):
     t = " ".join(f"w{i % 977}" for i in range(words))
     assert fingerprint_of(t) == brute_fingerprint(t)
+
+
+def test_variants_meet_within_the_radius_and_differ_otherwise(spark):
+    from merchlake.llm.op8_simhash import _variants
+
+    rng = np.random.default_rng(8)
+    fps = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 40)]
+    rows = []
+    for i, x in enumerate(fps):
+        y = x
+        for b in rng.choice(64, i % 4, replace=False):
+            y ^= 1 << int(b)
+            y = y - 2**64 if y >= 2**63 else y
+        rows.append((i % 4, x, y, fps[i - 1]))
+    df = spark.createDataFrame(rows, "d int, x long, y long, other long")
+    got = df.select(F.arrays_overlap(_variants(F.col("x")), _variants(F.col("y"))), F.arrays_overlap(_variants(F.col("x")), _variants(F.col("other"))), F.size(_variants(F.col("x")))).collect()
+    assert all(near and not far and n == 131 for near, far, n in got)
