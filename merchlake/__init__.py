@@ -1,0 +1 @@
+"""Product-catalog analytics, price comparison and hybrid retrieval as Spark jobs."""
