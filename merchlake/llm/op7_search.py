@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from merchlake.llm.common import Scratch, small_batches
 
 K1, B = 1.5, 0.75
-#: Documents in a shard, about; its index is all that a task holds.
-SHARD_ROWS = 24_576
+#: Documents and words in a shard, about; its index is all that a task holds.
+SHARD_ROWS = 16_384
+SHARD_WORDS = 8_000_000
 #: Documents in a block; for each term and block the index keeps the largest weight.
 BLOCK_ROWS = 64
 _WORD = re.compile(r"\w+")
@@ -195,7 +196,7 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id
     weighted = terms.join(counted.where("term is not null"), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
     # hashes are compared as unsigned numbers in the index: any order will do that is always the same
     queries = scratch.keep(weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "queries")
-    shards = max(1, -(-n // SHARD_ROWS))
+    shards = max(1, -(-n // SHARD_ROWS), -(-tokens // SHARD_WORDS))
 
     @F.pandas_udf("binary")
     def zipped(texts):
