@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from merchlake.llm.common import small_batches
 
 BITS = 20
-#: Labelled documents that the model is fitted on, at most; chosen by a hash of the id.
+#: Labelled documents that the model is fitted on, about; chosen by a hash of the id.
 SAMPLE_ROWS = 12_000
-#: Characters of all sampled texts together, at most (the rest of the sample is left out beyond that).
-SAMPLE_CHARS = 40_000_000
+#: Characters of all sampled texts together, at most.
+SAMPLE_CHARS = 60_000_000
 EPOCHS = 4
 _WORD = re.compile(r"\w+")
 
@@ -79,26 +79,28 @@ class Ftrl:
         self.bias += g - (np.sqrt(self.bias[1] + g * g) - np.sqrt(self.bias[1])) / self.alpha * b, g * g
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, bias) of the features that the fit leaves above 0; few enough to be sent with tasks.
 
-    Fitted on a sample of at most `sample_rows` labelled rows and `sample_chars` characters, chosen by a hash of the id,
-    with both classes equally many where there are enough of them; the rarer class of the sample weighs more, by the
-    power 0.7 of its rarity. Rows whose label is not 0 or 1, or whose text is null, teach nothing. If a class is
-    missing, every document gets the label of the other one; without any labels every score is 0.5.
+    Fitted on a sample of about `sample_rows` labelled rows, chosen by a hash of the id, with both classes equally many
+    where there are enough of them; the rarer class of the sample weighs more, by the power 0.7 of its rarity. Only
+    the ids and labels of the sample, which that bounds, are broadcast to find its texts; what goes beyond
+    `sample_chars` characters in all is left out. Rows whose label is not 0 or 1, whose id is null, or whose text is
+    null, teach nothing. If a class is missing, every document gets the label of the other one; without any labels
+    every score is 0.5.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1 << 53)).alias("h"))
-    counts = {r["y"]: (r["n"], r["chars"]) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
-    none = np.zeros(0, np.int64), np.zeros(0)
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return *none, {0: -10.0, 1: 10.0}.get(next(iter(counts), 0), 0.0)
-    rate = {y: min(1.0, sample_rows / 2 / n, sample_chars / 2 / max(1, chars)) for y, (n, chars) in counts.items()}
-    top = float(1 << 53)
-    picked = rows.where((F.col("h") / F.lit(top)) < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+        return np.zeros(0, np.int64), np.zeros(0), {0: -10.0, 1: 10.0}.get(next(iter(counts), -1), 0.0)
+    rate = {y: min(1.0, sample_rows / 2 / n) for y, n in counts.items()}
+    top = 1 << 53
+    picked = known.withColumn("h", F.pmod(F.xxhash64("id", F.lit(10)), F.lit(top))).where(F.col("h") / float(top) < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("h", "y", "text")
     feats, examples, chars = Features(), [], 0
-    for r in picked.toLocalIterator():
-        if chars <= 1.2 * sample_chars and len(examples) <= 1.2 * sample_rows:
-            chars += len(r["text"])
+    for r in texts.toLocalIterator():
+        chars += len(r["text"])
+        if chars <= sample_chars:
             examples.append((r["h"], r["y"], feats.of(r["text"])))
     examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
     n = [max(1, sum(y == k for _, y, _ in examples)) for k in (0, 1)]

@@ -169,12 +169,13 @@ def _pass(rows: DataFrame, scratch: Scratch, final: bool = False) -> tuple[DataF
     very common digit's rows can be split among tasks.
     """
     by = rows.groupBy("digit").agg(F.count("*").alias("c"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
-    by = by.where("c > 1").select("digit", (F.col("w0") != F.col("w1")).alias("mixed"))
+    by = scratch.keep(by.where("c > 1").select("digit", (F.col("w0") != F.col("w1")).alias("mixed")), "digits")
     hit = scratch.keep(rows.join(by, "digit"), "hit")
     settled = hit.where("not mixed").select("rid", "at", "n")
     mixed = hit.where("mixed")
     wholes = mixed.groupBy("digit", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "at", "n", "mark")).alias("one"))
     wholes = scratch.keep(wholes, "wholes")
+    scratch.free()
     again = mixed.join(wholes.where("c > 1").select("digit", "whole"), ["digit", "whole"]).select("rid", "at", "n")
     settled = scratch.keep(settled.unionAll(again), "settled")
     open_rows = None if final else scratch.keep(wholes.select("one.*"), "open")

@@ -125,15 +125,18 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str =
     units = scratch.keep(rows.mapInArrow(_units, _UNITS.format(kind)), "units")
 
     banded = units.where("body is not null").select("k", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 != k1").select("band")
-    met = scratch.keep(banded.join(shared, "band").distinct(), "met")
+    # bands of several paragraphs are written first: the shuffle that found them goes before the next one comes, and
+    # the join below stands right on two shuffles, so a very common band can be split among tasks
+    shared = scratch.keep(banded.groupBy("band").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 != k1").select("band"), "shared")
+    scratch.free()
+    met = scratch.keep(banded.join(shared, "band"), "met")
     del banded, shared
     scratch.free()
     wanted = met.select("k").distinct()
     bodies = units.where("body is not null").select("k", "body").join(wanted, "k").groupBy("k").agg(F.min("body").alias("body"))
     bodies = scratch.keep(bodies, "bodies")
     small_batches(spark, 5000)
-    edges = met.join(bodies, "k").select("band", "k", "body").repartition("band").sortWithinPartitions("band", "k").mapInArrow(_links, "a long, b long")
+    edges = met.distinct().join(bodies, "k").select("band", "k", "body").repartition("band").sortWithinPartitions("band", "k").mapInArrow(_links, "a long, b long")
     roots = connected_components(spark, edges, scratch)
 
     place = F.struct("doc_id", "rid", "pos")
@@ -142,7 +145,7 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str =
     named = scratch.keep(named.where("n > 1 or root is not null").select("k", "component", "n", "least", "first"), "named")
     scratch.free()
     groups = named.groupBy("component").agg(F.sum("n").alias("n"), F.min("least").alias("component_doc_id"), F.min("first").alias("first")).where("n > 1")
-    flags = named.select("k", "component").join(groups.drop("n"), "component")
+    flags = scratch.keep(named.select("k", "component").join(groups.drop("n"), "component"), "flags")
     hits = scratch.keep(units.drop("bands", "body").join(flags, "k").withColumn("removed", place != F.col("first")).drop("k", "first"), "hits")
     scratch.drop(units)
     in_doc = Window.partitionBy("rid").orderBy("pos")

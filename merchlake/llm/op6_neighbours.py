@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchlake.llm.common import small_batches
+
 #: Vectors in one shard, and queries in one block; a task joins one shard with one block.
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 4_096
@@ -87,6 +89,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     asks once (with its least vector). Other columns play no part; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    small_batches(spark, 4096)
     usable = _usable(vectors, id_col, vector_col)
     queries = usable.where(is_query).groupBy("dim", F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     sizes = {r["dim"]: (r["n"], r["q"]) for r in usable.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect()}
