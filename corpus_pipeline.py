@@ -45,12 +45,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts, and counts n_chars again; no document goes."""
-    names = [c for c in docs.columns if c not in ("doc_id", "base", "spans")]
-    found = secrets.find(docs, secrets.learn(secrets.samples(docs)), carry=tuple(names))
-    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    # all columns go along as one, so none is mistaken for a result of the scan
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    found = secrets.find(rows, secrets.learn(secrets.samples(docs)), carry=("row",))
+    clean = found.withColumn("clean", secrets.redact(F.col("row.text"), F.col("spans")))
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("clean")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return clean.select(*[column.alias(c) for c, column in out.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +20,6 @@ LEVEL = 6
 DICTIONARY_BYTES = 64 * 1024
 #: Rejected if the best encoding saves less than this share of the second best.
 MARGIN = 0.005
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -61,7 +59,7 @@ def _scorer(dictionaries: dict[str, bytes], margin: float):
     plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def score(text: str | None) -> tuple[str, float, bool]:
-        if text is None or not encoders or not _LETTER.search(text):
+        if text is None or not encoders or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         text = text.lower()
         blocks = [text[i : i + BLOCK].encode("utf-8", "replace") for i in range(0, len(text), BLOCK)]

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merchlake.llm.common import fresh
+
 # The kinds of base spans in their order, with patterns and the least length that counts.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -122,18 +124,19 @@ def find(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
 
     base: what the fixed patterns find. spans: those and, as kind 3, candidates that overlap none of them and that the
     Markov models of `table` find random; both sorted by start, then kind. Positions are code points, ends exclusive.
-    `carry` names columns of `docs` to keep beside; others play no part. Null texts count as empty and have no spans.
+    `carry` names columns of `docs` to keep beside, none of them called like one of the result; others play no part. Null texts count as empty and have no spans.
     Null and repeated ids are kept as they are; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry if c != id_col], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    t = F.col("__text")
-    rows = rows.withColumn("__base", F.array_sort(F.concat(_spans(t, ASSIGN, 0, ASSIGN_LEAST), _spans(t, ACCESS, 1), _spans(t, HEX, 2))))
+    kept = [c for c in carry if c != id_col]
+    text, base, extra = (fresh(docs, n) for n in ("whole", "base", "random"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *kept, F.coalesce(F.col(text_col), F.lit("")).alias(text))
+    t = F.col(text)
+    rows = rows.withColumn(base, F.array_sort(F.concat(_spans(t, ASSIGN, 0, ASSIGN_LEAST), _spans(t, ACCESS, 1), _spans(t, HEX, 2))))
     value = lambda s: F.substring(t, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
     is_random = lambda s: _let(ratio(value(s), table), lambda r: (r >= TOTAL) & (r >= PER_PAIR * (s["end"] - s["start"] - 1)))
-    free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn("__random", F.filter(_spans(t, CANDIDATE, 3), lambda s: free(s) & is_random(s)))
-    kept = ["doc_id", *[c for c in carry if c != id_col]]
-    return rows.select(*kept, F.col("__base").alias("base"), F.array_sort(F.concat("__base", "__random")).alias("spans"))
+    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    rows = rows.withColumn(extra, F.filter(_spans(t, CANDIDATE, 3), lambda s: free(s) & is_random(s)))
+    return rows.select("doc_id", *kept, F.col(base).alias("base"), F.array_sort(F.concat(base, extra)).alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -120,3 +120,14 @@ def test_edge_cases(spark):
     assert kept == [(1, "one two three four five"), (2, ""), (3, "token=abcdefghij and more")]
     assert sorted(r["text"] or "" for r in p.redact_secrets(spark, docs, "").collect())[-1] == "one two three four five"
     assert zlib.crc32(b"x") and p.pack_sequences(spark, docs.limit(0), "").count() == 0
+
+
+def test_columns_of_any_name_come_through(spark):
+    names = ["base", "spans", "row", "clean", "found", "identity", "times", "whole", "random"]
+    docs = spark.createDataFrame([(1, "token=abcdefghij and more", "en", "a", 25, *names)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    (got,) = p.redact_secrets(spark, docs, "").collect()
+    assert got["text"] == "[SECRET] and more" and got["n_chars"] == len(got["text"])
+    assert [got[n] for n in names] == names
+    for _, stage in p.STAGES[:-1]:
+        (got,) = stage(spark, docs, "").select(*names).distinct().collect()
+        assert list(got) == names
