@@ -16,6 +16,8 @@ EXCERPT = 1024
 BLOCK = 8192
 #: zstandard level; the fast levels below 5 look for matches that are too long for words.
 LEVEL = 6
+#: Texts of at most so many characters are encoded at a slower level, as faster ones miss matches at the start of a text.
+SHORT, SHORT_LEVEL = 1024, 12
 #: Bytes of text that the dictionary of a language is made of, at most.
 DICTIONARY_BYTES = 64 * 1024
 #: Rejected if the best encoding saves less than this share of the second best.
@@ -51,19 +53,24 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
 def _scorer(dictionaries: dict[str, bytes], margin: float):
     """text -> (language, score, whether rejected)."""
-    encoders = []
-    for lang in sorted(dictionaries):
-        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        encoders.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
-    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+
+    def encoders(level: int) -> tuple[list, zstandard.ZstdCompressor]:
+        out = []
+        for lang in sorted(dictionaries):
+            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            out.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)))
+        return out, zstandard.ZstdCompressor(level=level, write_content_size=False)
+
+    usual, slow = encoders(LEVEL), encoders(SHORT_LEVEL)
 
     def score(text: str | None) -> tuple[str, float, bool]:
-        if text is None or not encoders or not any(map(str.isalpha, text)):
+        if text is None or not dictionaries or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         text = text.lower()
+        by_lang, plain = slow if len(text) <= SHORT else usual
         blocks = [text[i : i + BLOCK].encode("utf-8", "replace") for i in range(0, len(text), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in encoders)
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in by_lang)
         second = sizes[1][0] if len(sizes) > 1 else max(sizes[0][0], sum(len(plain.compress(b)) for b in blocks))
         saved = 1 - sizes[0][0] / second
         return sizes[0][1], saved, saved < margin
