@@ -20,25 +20,30 @@ SHARD_ROWS = 16_384
 SHARD_WORDS = 8_000_000
 #: Documents in a block; for each term and block the index keeps the largest weight.
 BLOCK_ROWS = 64
+#: Postings of a query's rarest terms that are added up before documents are first ruled out.
+RARE_POSTINGS = 4_096
 _WORD = re.compile(r"\w+")
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Terms:
     """The terms of texts as 64-bit hashes of lower-case words."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known, out = self.known, []
-        if len(known) > 400_000:
-            known.clear()
-        for w in _WORD.findall(text.lower()):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.unique(np.array(out, dtype=np.uint64), return_counts=True)
+        if len(self.known) > 400_000:
+            self.known.clear()
+        words = _WORD.findall(text.lower())
+        return np.unique(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), return_counts=True)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,59 +83,85 @@ class Index:
         tf = np.concatenate([counts[i] for i in order]).astype(np.float64) if ids else np.zeros(0)
         d = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
         w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / max(mean_length, 1e-9)))
-        by = np.argsort(t, kind="stable")  # by term, then document
-        t, self.doc, self.weight = t[by], d[by], w[by]
+        # by document: where its terms start, their numbers, their weights
+        self.terms, number = np.unique(t, return_inverse=True)
+        self.doc_start, self.doc_term, self.doc_weight = np.concatenate([[0], np.cumsum(sizes)]), number.astype(np.int32), w
+        # by term, then document
+        by = np.argsort(number, kind="stable")
+        number, self.doc, self.weight = number[by], d[by].astype(np.intp), w[by]
         block = self.doc // BLOCK_ROWS
-        edge = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (block[1:] != block[:-1])])) if len(t) else np.zeros(0, np.int64)
-        self.cell_start = np.append(edge, len(t))
+        edge = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (block[1:] != block[:-1])])) if len(t) else np.zeros(0, np.int64)
         self.cell_block = block[edge]
         self.cell_max = np.maximum.reduceat(self.weight, edge) if len(t) else np.zeros(0)
-        first = np.flatnonzero(np.concatenate([[True], t[edge][1:] != t[edge][:-1]])) if len(t) else np.zeros(0, np.int64)
-        self.terms, self.term_cell = t[edge][first], np.append(first, len(edge))
+        every = np.arange(len(self.terms) + 1)
+        self.term_start, self.term_cell = np.searchsorted(number, every), np.searchsorted(number[edge], every)
         self.blocks = -(-len(ids) // BLOCK_ROWS)
+        # very common terms also as full rows, a number for each document
+        common = np.flatnonzero(8 * np.diff(self.term_start) > len(ids))
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.blocks * BLOCK_ROWS))
+        for r, c in enumerate(common.tolist()):
+            self.rows[r, self.doc[self.term_start[c] : self.term_start[c + 1]]] = self.weight[self.term_start[c] : self.term_start[c + 1]]
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, object]]:
-        """The best k (score, id), exactly: blocks by falling bound until none can hold a better document.
+        """The best k (score, id), exactly.
 
-        A block's bound is the sum over the query's terms of the largest weight there. The k-th best score so far is
-        the threshold. Weights of a document are always added in the order of the terms, whatever is skipped.
+        Postings are added up term by term, rare terms first. Now and then the k-th best sum so far is the threshold: a
+        document whose sum and whose block's bound (the largest weights there of the terms not yet added) stay below it is
+        out. Once those that are left cost less to score than the postings that are left, they are scored by their own
+        terms. So common terms are seldom gone through. Weights of a document are always added in the order of its terms,
+        whatever is skipped.
         """
         at = np.searchsorted(self.terms, terms)
         here = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
         at, idf = at[here], idf[here]
         if not len(at):
             return []
-        a, n = self.term_cell[at], self.term_cell[at + 1] - self.term_cell[at]
-        cells = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        cell_idf, blocks = np.repeat(idf, n), self.cell_block[cells]
-        bound = np.bincount(blocks, self.cell_max[cells] * cell_idf, self.blocks) * (1 + 1e-9)
-        by_block = np.argsort(blocks, kind="stable")
-        cells, cell_idf = cells[by_block], cell_idf[by_block]
-        starts = np.concatenate([[0], np.cumsum(np.bincount(blocks, minlength=self.blocks))])
-        best: list[tuple[float, object]] = []
-        threshold, todo, step = 0.0, np.argsort(-bound, kind="stable"), 1
-        todo = todo[bound[todo] > 0]
-        while len(todo) and (len(best) < k or bound[todo[0]] >= threshold):
-            chosen, todo = todo[:step], todo[step:]
-            chosen = chosen[bound[chosen] >= threshold] if len(best) >= k else chosen
-            step = min(2 * step, 64)
-            which = np.concatenate([np.arange(starts[b], starts[b + 1]) for b in chosen])
-            c, ci = cells[which], cell_idf[which]
-            size = self.cell_start[c + 1] - self.cell_start[c]
-            post = np.repeat(self.cell_start[c] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            slot = np.zeros(self.blocks, np.int64)
-            slot[chosen] = np.arange(len(chosen))
-            docs = self.doc[post]
-            scores = np.bincount(slot[docs // BLOCK_ROWS] * BLOCK_ROWS + docs % BLOCK_ROWS, self.weight[post] * np.repeat(ci, size), len(chosen) * BLOCK_ROWS)
-            good = np.flatnonzero((scores > 0) & (scores >= threshold))
-            if len(good) > 4 * k:
-                good = good[scores[good] >= np.partition(scores[good], -k)[-k]]
-            best += [(float(scores[g]), self.ids[chosen[g // BLOCK_ROWS] * BLOCK_ROWS + g % BLOCK_ROWS]) for g in good.tolist()]
-            best.sort(key=lambda s: (-s[0], s[1] is not None, s[1]))
-            best = best[:k]
-            if len(best) == k:
-                threshold = best[-1][0]
-        return best
+        by_idf = np.argsort(-idf, kind="stable")
+        at_by, idf_by = at[by_idf], idf[by_idf]
+        start, end = self.term_start[at_by], self.term_start[at_by + 1]
+        left = np.concatenate([np.cumsum((end - start)[::-1])[::-1], [0]])  # postings from each term on
+        blocks = self.blocks * BLOCK_ROWS
+        sums = np.zeros(blocks)
+        rare = int(np.searchsorted(-left, -(left[0] - RARE_POSTINGS), "right")) - 1 if left[0] > RARE_POSTINGS else len(at_by)
+        many = _ranges(start[:rare], end[:rare])
+        sums += np.bincount(self.doc[many], self.weight[many] * np.repeat(idf_by[:rare], (end - start)[:rare]), blocks)
+        next_look = left[rare]
+        for i in range(rare, len(at_by) + 1):
+            if left[i] <= next_look:
+                next_look = 0.4 * left[i]
+                enough = np.partition(sums, -k)[-k] if len(sums) >= k else 0.0
+                cells = _ranges(self.term_cell[at_by[i:]], self.term_cell[at_by[i:] + 1])
+                cell_idf = np.repeat(idf_by[i:], self.term_cell[at_by[i:] + 1] - self.term_cell[at_by[i:]])
+                bound = np.bincount(self.cell_block[cells], self.cell_max[cells] * cell_idf, self.blocks)
+                could = (sums.reshape(-1, BLOCK_ROWS) + bound[:, None]).ravel()
+                found = np.flatnonzero((could > 0) & (could >= enough * (1 - 1e-9)))
+                found = found[found < len(self.ids)]
+                cost = int((self.doc_start[found + 1] - self.doc_start[found]).sum())
+                if i == len(at_by) or cost <= left[i]:
+                    break
+            if (row := self.row_of[at_by[i]]) >= 0:
+                sums += self.rows[row] * idf_by[i]
+            else:
+                np.add.at(sums, self.doc[start[i] : end[i]], self.weight[start[i] : end[i]] * idf_by[i])
+        weights = np.zeros(len(self.terms))
+        weights[at] = idf
+        own = _ranges(self.doc_start[found], self.doc_start[found + 1])
+        slot = np.repeat(np.arange(len(found)), self.doc_start[found + 1] - self.doc_start[found])
+        scores = np.bincount(slot, self.doc_weight[own] * weights[self.doc_term[own]], len(found))
+        good = np.flatnonzero(scores > 0)
+        if len(good) > k:
+            good = good[scores[good] >= np.partition(scores[good], -k)[-k]]
+        best = [(float(scores[g]), self.ids[found[g]]) for g in good.tolist()]
+        best.sort(key=lambda s: (-s[0], s[1] is not None, s[1]))
+        return best[:k]
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each start up to its end."""
+    n = end - start
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, mean_length: float) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,20 +55,23 @@ def test_whole_table(spark, monkeypatch, shard, block):
     compare(op.search(docs, F.col("doc_id") % 100 == 0), brute(rows, lambda d: d % 100 == 0, 10))
 
 
-def test_pruning_skips_blocks_and_loses_nothing(monkeypatch):
-    import numpy as np
-
+def test_pruning_loses_nothing(monkeypatch):
     monkeypatch.setattr(op, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(op, "RARE_POSTINGS", 20)
     rng = np.random.default_rng(4)
-    terms = [np.unique(np.array([i % 50 * 1000 + j for j in rng.integers(0, 30, 20)], dtype=np.uint64)) for i in range(2000)]
-    counts = [np.ones(len(t), np.int32) for t in terms]
-    index = op.Index(list(range(2000)), terms, counts, 15.0)
-    seen = []
-    real = np.bincount
-    monkeypatch.setattr(np, "bincount", lambda *a, **k: seen.append(len(a[0])) or real(*a, **k))
-    got = index.top(terms[7], np.ones(len(terms[7])), 5)
-    want = sorted(((sum(index.weight[(index.doc == d)][np.isin(np.repeat(index.terms, np.diff(index.cell_start[index.term_cell]))[index.doc == d], terms[7])]), index.ids[d]) for d in range(2000)), key=lambda s: (-s[0], s[1]))[:5]
-    assert [(round(s, 9), d) for s, d in got] == [(round(float(s), 9), d) for s, d in want]
+    drawn = [np.concatenate([rng.zipf(1.3, 40) % 3000, i % 50 * 1000 + rng.integers(0, 30, 6)]).astype(np.uint64) for i in range(2003)]
+    terms, counts = zip(*(np.unique(d, return_counts=True) for d in drawn), strict=True)
+    index = op.Index(list(range(2003)), list(terms), list(counts), 46.0)
+    posted = np.repeat(index.terms, np.diff(index.term_start))
+    df = dict(zip(index.terms.tolist(), np.diff(index.term_start).tolist(), strict=True))
+    for q in range(0, 2003, 97):
+        idf = np.array([math.log(1 + (2003 - df[t] + 0.5) / (df[t] + 0.5)) for t in terms[q].tolist()])
+        at = dict(zip(terms[q].tolist(), idf.tolist(), strict=True))
+        scores = np.bincount(index.doc, index.weight * np.array([at.get(t, 0.0) for t in posted.tolist()]), 2003)
+        want = sorted((-s, index.ids[d]) for d, s in enumerate(scores.tolist()) if s > 0)[:5]
+        got = index.top(terms[q], idf, 5)
+        assert all(math.isclose(a[0], -b[0], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+        assert {d for s, d in got if s > got[-1][0] * (1 + 1e-9)} == {d for s, d in want if -s > got[-1][0] * (1 + 1e-9)}
 
 
 def test_edge_cases(spark):
