@@ -110,8 +110,8 @@ class Index:
         Postings are added up term by term, rare terms first. Now and then the k-th best sum so far is the threshold: a
         document whose sum and whose block's bound (the largest weights there of the terms not yet added) stay below it is
         out. Once those that are left cost less to score than the postings that are left, they are scored by their own
-        terms. So common terms are seldom gone through. Weights of a document are always added in the order of its terms,
-        whatever is skipped.
+        terms. Long queries go through most of their postings before that, as bounds of many common terms are loose. Weights
+        of a document are always added in the order of its terms, whatever is skipped.
         """
         at = np.searchsorted(self.terms, terms)
         here = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
