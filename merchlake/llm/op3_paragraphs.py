@@ -17,7 +17,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands of one MinHash value each; two paragraphs at the least similarity share none with probability 0.2 ** BANDS.
 BANDS = 4
-#: A run of repeated paragraphs is reported from this many words on.
+#: The words of a run of repeated paragraphs from which `repeated_passages` keeps it.
 RUN_WORDS = 25
 #: A paragraph: a stretch of a line up to a full stop, question mark or exclamation mark with white space after it.
 _PARAGRAPH = re.compile(r"\S(?:[^\n.!?]|[.!?](?!\s|$))*[.!?]*")
@@ -105,15 +105,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Repeated paragraphs of `docs`: doc_id, paragraph, start, end, words, component, component_doc_id, removed.
+    """Long repeated passages of `docs`: the rows of `repeated_paragraphs` in runs of `run_words` words or more.
+
+    A filter for callers that want long passages only; documents without such a run have no row.
+    """
+    found = repeated_paragraphs(docs, id_col, text_col)
+    return found.where(F.col("run_words") >= run_words).drop("run_words")
+
+
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Repeated paragraphs of `docs`: doc_id, paragraph, start, end, words, component, component_doc_id, removed, run_words.
 
     Paragraphs are sentences, so passages are found inside longer lines too. Equal sets of shingles are merged first;
     of the others, those that share a band are verified by exact Jaccard similarity and linked; components follow
-    links. A paragraph is repeated if its component has two or more occurrences, and is reported if it stands in a run
-    of repeated paragraphs of the same document with `run_words` words or more (paragraphs shorter than a shingle are
-    passed over). One row per reported paragraph: its number among those with a shingle, its place in code points,
-    `component` (an identifier), the least doc_id in the component, and whether it is removed (all but the first by
-    doc_id and number are). Documents without such a run have no row.
+    links. A paragraph is repeated if its component has two or more occurrences; each such one has a row: its number
+    among those with a shingle (shorter ones are passed over), its place in code points, `component` (an identifier),
+    the least doc_id in the component, whether it is removed (all but the first by doc_id and number are), and the
+    words of the unbroken run of repeated paragraphs of the same document that it stands in.
     Null texts have none. Null ids come first, and are a component's id only if all its ids are null. Repeated rows
     are occurrences of their own. Other columns play no part; an empty table gives an empty result.
     """
@@ -150,5 +158,5 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str =
     scratch.drop(units)
     in_doc = Window.partitionBy("rid").orderBy("pos")
     run = hits.withColumn("run", F.col("pos") - F.dense_rank().over(in_doc)).withColumn("copies", F.count("*").over(Window.partitionBy("rid", "pos")))
-    long = run.withColumn("in_run", F.sum(F.col("words") / F.col("copies")).over(Window.partitionBy("rid", "run"))).where(F.col("in_run") >= run_words - 1e-6)
-    return long.select("doc_id", F.col("pos").alias("paragraph"), "start", "end", "words", "component", "component_doc_id", "removed")
+    in_run = F.round(F.sum(F.col("words") / F.col("copies")).over(Window.partitionBy("rid", "run"))).cast("long")
+    return run.select("doc_id", F.col("pos").alias("paragraph"), "start", "end", "words", "component", "component_doc_id", "removed", in_run.alias("run_words"))

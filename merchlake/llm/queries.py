@@ -12,7 +12,7 @@ from merchlake.llm import op9_secrets as secrets
 from merchlake.llm import op10_toxicity as toxicity
 from merchlake.llm.common import crc_mod
 from merchlake.llm.op2_substrings import remove_repeats
-from merchlake.llm.op3_paragraphs import repeated_passages
+from merchlake.llm.op3_paragraphs import repeated_paragraphs
 from merchlake.llm.op4_packing import pack
 from merchlake.llm.op5_mixing import mix
 from merchlake.llm.op6_neighbours import nearest
@@ -45,7 +45,7 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(_docs(spark, sf_dir))
+    return repeated_paragraphs(_docs(spark, sf_dir))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,16 @@ def test_edge_cases(spark):
     assert result(repeated_passages(docs)) == brute(rows)
     assert repeated_passages(docs.limit(0)).collect() == []
     assert repeated_passages(spark.createDataFrame([(None, t), (None, t)], "doc_id long, text string")).count() == 2
+
+
+def test_short_runs_have_rows(spark):
+    """Repeated paragraphs outside long runs are reported too, with the length of their run."""
+    from merchlake.llm.op3_paragraphs import repeated_paragraphs
+
+    own = lambda n: f"Words of number {n} only, namely a{n} b{n} c{n}."
+    rows = [(n, f"{own(n)} A short line that is the same. {own(n + 10)} Again one that both of them hold. And a second right behind it.") for n in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeated_paragraphs(docs).collect()
+    assert result(spark.createDataFrame(got)) == brute(rows, 1)
+    assert sorted((r["doc_id"], r["paragraph"], r["run_words"], r["removed"]) for r in got) == [(n, p, w, n == 2) for n in (1, 2) for p, w in ((1, 7), (3, 13), (4, 13))]
+    assert repeated_passages(docs).count() == 0
