@@ -21,42 +21,96 @@ BANDS = 4
 RUN_WORDS = 25
 #: A paragraph: a stretch of a line up to a full stop, question mark or exclamation mark with white space after it.
 _PARAGRAPH = re.compile(r"\S(?:[^\n.!?]|[.!?](?!\s|$))*[.!?]*")
+#: Kinds of units. They are kept apart by a salt, so no unit is linked with a part of itself.
+UNITS = ("sentence", "piece", "short")
+_APART = np.array([0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D], np.uint64)
+#: Sentences of more words are cut into pieces too: of two broken ones that a passage of 50 words lies in, one is that long.
+LONG = 24
+#: A piece begins where a shingle's hash is the least of those up to REACH words before and behind it.
+REACH = 6
+#: The words of a piece, at most: where no hash is the least (the same words over and over), it is cut by number.
+PIECE = 64
+#: Letters of scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Chinese), which count as words in pieces.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_IS_DENSE = re.compile(f"[{_DENSE}]")
+_TOKEN = re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
+_WORD = re.compile(r"\S+")
 _SALTS = np.random.default_rng(33).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
-_UNITS = "rid long, doc_id {0}, pos int, words int, start long, end long, k long, bands array<long>, body string"
+_BAND = np.arange(BANDS, dtype=np.uint64)
+_UNITS = "rid long, doc_id {0}, unit int, pos int, words int, start long, end long, k long, bands array<long>, body string"
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    n = max(1, len(words) - SHINGLE + 1)
+    return np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(n)], dtype=np.uint64)
 
 
 def shingles(words: list[str]) -> np.ndarray:
     """The different hashes of a paragraph's shingles, sorted; fewer words than a shingle are one shingle."""
-    n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(n)], dtype=np.uint64))
+    return np.unique(_hashes(words))
+
+
+def _pieces(h: np.ndarray, words: int) -> list[tuple[int, int]]:
+    """Pieces (from, to) of a stretch of words with shingle hashes `h`, cut alike wherever the words around a cut are the same."""
+    cuts = [0]
+    if len(h) > 2 * REACH:
+        around = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
+        middle = around[:, REACH : REACH + 1]
+        cuts += (np.flatnonzero((middle < around[:, :REACH]).all(1) & (middle <= around[:, REACH + 1 :]).all(1)) + REACH).tolist()
+    out = []
+    for at, to in zip(cuts, [*cuts[1:], words], strict=True):
+        while to - at > PIECE:
+            out.append((at, at + PIECE // 2))
+            at += PIECE // 2
+        out.append((at, to))
+    return out
+
+
+def _split(text: str) -> Iterator[tuple[int, int, int, list[str], np.ndarray | None]]:
+    """(unit, start, end, words, shingle hashes) of the units of a text."""
+    for m in _PARAGRAPH.finditer(text):
+        part = m[0]
+        w = part.lower().split()
+        short = len(w) < SHINGLE
+        h = None if short else _hashes(w)
+        yield 2 if short else 0, m.start(), m.end(), w, h
+        dense = not part.isascii() and _IS_DENSE.search(part)
+        if not dense and len(w) <= LONG:
+            continue
+        spans = [t.span() for t in (_TOKEN if dense else _WORD).finditer(part)]
+        if len(spans) <= LONG:
+            continue
+        if dense:
+            w = [part[a:b].lower() for a, b in spans]
+            h = _hashes(w)
+        for a, b in _pieces(h, len(w)):
+            yield 1, m.start() + spans[a][0], m.start() + spans[b - 1][1], w[a:b], h[a : max(a + 1, b - SHINGLE + 1)]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paragraphs of rows (rid, doc_id, text) that have a full shingle.
+    """Units of rows (rid, doc_id, text), numbered within their kind.
 
     k identifies the set of shingles. Sets of fewer than 4 shingles are as similar as SIMILARITY only if equal, so they
     have no bands and no body.
     """
     for batch in batches:
-        rid, of, pos, words, start, end, keys, bands, body = ([] for _ in range(9))
+        of, kind, pos, words, start, end, keys, bands, body = ([] for _ in range(9))
         for i, text in enumerate(batch.column(2).to_pylist()):
-            number = 0
-            for m in _PARAGRAPH.finditer(text or ""):
-                w = m[0].lower().split()
-                if len(w) < SHINGLE:
-                    continue
-                s = shingles(w)
-                long = len(s) >= 4
-                values = (i, number, len(w), m.start(), m.end(), xxhash.xxh3_64_intdigest(s.tobytes()), [int((s * a).min()) ^ j for j, a in enumerate(_SALTS)] if long else None, " ".join(w) if long else None)
-                for column, value in zip((of, pos, words, start, end, keys, bands, body), values, strict=True):
+            number = [0] * len(UNITS)
+            for unit, at, to, w, h in _split(text or ""):
+                s = None if h is None else np.unique(h)
+                long = s is not None and len(s) >= 4
+                k = xxhash.xxh3_64_intdigest(" ".join(w) if s is None else s.tobytes()) ^ int(_APART[unit])
+                values = (i, unit, number[unit], len(w), at, to, k, ((s[:, None] * _SALTS).min(0) ^ _BAND ^ _APART[unit]).tolist() if long else None, " ".join(w) if long else None)
+                for column, value in zip((of, kind, pos, words, start, end, keys, bands, body), values, strict=True):
                     column.append(value)
-                number += 1
+                number[unit] += 1
         signed = pa.array(np.array(keys, np.uint64).view(np.int64))
         flat = np.array([b for bs in bands if bs for b in bs], np.uint64).view(np.int64)
         ends = np.cumsum([0, *(len(bs) if bs else 0 for bs in bands)])
         listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
         take = pa.array(of, pa.int64())
-        yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), signed, listed, pa.array(body, pa.string())], names=["rid", "doc_id", "pos", "words", "start", "end", "k", "bands", "body"])
+        yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind, pa.int32()), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), signed, listed, pa.array(body, pa.string())], names=["rid", "doc_id", "unit", "pos", "words", "start", "end", "k", "bands", "body"])
 
 
 def _similar(members: dict[int, str]) -> Iterator[tuple[int, int]]:
@@ -105,23 +159,27 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Long repeated passages of `docs`: the rows of `repeated_paragraphs` in runs of `run_words` words or more.
+    """Long repeated passages of `docs`: the sentences of `repeated_paragraphs` in runs of `run_words` words or more.
 
     A filter for callers that want long passages only; documents without such a run have no row.
     """
     found = repeated_paragraphs(docs, id_col, text_col)
-    return found.where(F.col("run_words") >= run_words).drop("run_words")
+    return found.where((F.col("unit") == "sentence") & (F.col("run_words") >= run_words)).drop("unit", "run_words")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Repeated paragraphs of `docs`: doc_id, paragraph, start, end, words, component, component_doc_id, removed, run_words.
-
-    Paragraphs are sentences, so passages are found inside longer lines too. Equal sets of shingles are merged first;
-    of the others, those that share a band are verified by exact Jaccard similarity and linked; components follow
-    links. A paragraph is repeated if its component has two or more occurrences; each such one has a row: its number
-    among those with a shingle (shorter ones are passed over), its place in code points, `component` (an identifier),
-    the least doc_id in the component, whether it is removed (all but the first by doc_id and number are), and the
-    words of the unbroken run of repeated paragraphs of the same document that it stands in.
+    """Repeated paragraphs of `docs`: doc_id, unit, paragraph, start, end, words, component, component_doc_id, removed, run_words.
+
+    There are three kinds of units. Each `sentence` with a full shingle is one, so passages are found inside longer
+    lines too. Those above LONG words are also cut into a `piece` after the other, at places that only the words around
+    settle, so passages are found that begin or end inside a sentence, or have no stops; letters of scripts without
+    spaces count as words there. Sentences shorter than a shingle are `short`.
+    Equal sets of shingles are merged first; of the others, those of one kind that share a band are verified by exact
+    Jaccard similarity and linked (short ones are equal or not); components follow links. A unit is repeated if its
+    component has two or more occurrences; each such one has a row: its number in the document among its kind, its place
+    in code points, `component` (an identifier), the least doc_id in the component, whether it is removed (all but the
+    first by doc_id and number are), and the words of the unbroken run of repeated units of its kind and document that
+    it stands in.
     Null texts have none. Null ids come first, and are a component's id only if all its ids are null. Repeated rows
     are occurrences of their own. Other columns play no part; an empty table gives an empty result.
     """
@@ -138,14 +196,23 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = scratch.keep(banded.groupBy("band").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 != k1").select("band"), "shared")
     scratch.free()
     met = scratch.keep(banded.join(shared, "band"), "met")
+    scratch.drop(shared)
     del banded, shared
     scratch.free()
     wanted = met.select("k").distinct()
-    bodies = units.where("body is not null").select("k", "body").join(wanted, "k").groupBy("k").agg(F.min("body").alias("body"))
-    bodies = scratch.keep(bodies, "bodies")
+    # half of the paragraphs after the other: all bodies go through this shuffle, which is the largest
+    halves = []
+    for n in range(2):
+        half = lambda df, n=n: df.where(F.pmod("k", F.lit(2)) == n)
+        half_bodies = half(units).where("body is not null").select("k", "body").join(half(wanted), "k").groupBy("k").agg(F.min("body").alias("body"))
+        halves.append(scratch.keep(half_bodies, "bodies"))
+        del half_bodies
+        scratch.free()
+    bodies = halves[0].union(halves[1])
     small_batches(spark, 5000)
     edges = met.distinct().join(bodies, "k").select("band", "k", "body").repartition("band").sortWithinPartitions("band", "k").mapInArrow(_links, "a long, b long")
     roots = connected_components(spark, edges, scratch)
+    scratch.drop(met, *halves)
 
     place = F.struct("doc_id", "rid", "pos")
     same = units.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(place).alias("first"))
@@ -156,7 +223,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     flags = scratch.keep(named.select("k", "component").join(groups.drop("n"), "component"), "flags")
     hits = scratch.keep(units.drop("bands", "body").join(flags, "k").withColumn("removed", place != F.col("first")).drop("k", "first"), "hits")
     scratch.drop(units)
-    in_doc = Window.partitionBy("rid").orderBy("pos")
-    run = hits.withColumn("run", F.col("pos") - F.dense_rank().over(in_doc)).withColumn("copies", F.count("*").over(Window.partitionBy("rid", "pos")))
-    in_run = F.round(F.sum(F.col("words") / F.col("copies")).over(Window.partitionBy("rid", "run"))).cast("long")
-    return run.select("doc_id", F.col("pos").alias("paragraph"), "start", "end", "words", "component", "component_doc_id", "removed", in_run.alias("run_words"))
+    in_doc = Window.partitionBy("rid", "unit").orderBy("pos")
+    run = hits.withColumn("run", F.col("pos") - F.dense_rank().over(in_doc)).withColumn("copies", F.count("*").over(Window.partitionBy("rid", "unit", "pos")))
+    in_run = F.round(F.sum(F.col("words") / F.col("copies")).over(Window.partitionBy("rid", "unit", "run"))).cast("long")
+    return run.select("doc_id", F.get(F.array(*[F.lit(u) for u in UNITS]), F.col("unit")).alias("unit"), F.col("pos").alias("paragraph"), "start", "end", "words", "component", "component_doc_id", "removed", in_run.alias("run_words"))

@@ -92,3 +92,23 @@ def test_short_runs_have_rows(spark):
     assert result(spark.createDataFrame(got)) == brute(rows, 1)
     assert sorted((r["doc_id"], r["paragraph"], r["run_words"], r["removed"]) for r in got) == [(n, p, w, n == 2) for n in (1, 2) for p, w in ((1, 7), (3, 13), (4, 13))]
     assert repeated_passages(docs).count() == 0
+
+
+def test_pieces_and_short_units(spark):
+    """Passages inside long sentences and in scripts without spaces are found; units under a shingle join by equality."""
+    from merchlake.llm.op3_paragraphs import repeated_paragraphs
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    inside = [" ".join(f"{c}{i}" for i in range(90)) + f" {passage} " + " ".join(f"{c}{i}" for i in range(90, 180)) + "." for c in "ab"]
+    chinese = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    dense = [chr(0x8000 + n) * 3 + "".join(chr(0x9000 + 100 * n + i) for i in range(40)) + chinese + chr(0x8100 + n) for n in (0, 1)]
+    rows = [(1, inside[0]), (2, inside[1]), (3, dense[0]), (4, dense[1]), (5, "Only here."), (6, "All rights reserved.\nSome more words that are in here only."), (7, "All rights reserved."), (8, "same " * 500), (9, "none " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, got = dict(rows), repeated_paragraphs(docs).collect()
+    at = lambda n: [texts[n][r["start"] : r["end"]] for r in got if r["doc_id"] == n]
+    for n, m, whole in ((1, 2, passage), (3, 4, chinese)):
+        assert len(at(n)) == len(at(m)) and all(len(set(part) & set(whole)) >= 0.8 * len(set(part)) for part in at(n) + at(m))
+        assert min(sum(map(len, at(n))), sum(map(len, at(m)))) >= len(whole) / 3
+    assert at(6) == at(7) == ["All rights reserved."] and at(5) == at(9) == []
+    assert {(r["doc_id"], r["unit"], r["removed"]) for r in got if r["doc_id"] < 8} == {(n, u, n in (2, 4, 7)) for n, u in ((1, "piece"), (2, "piece"), (3, "piece"), (4, "piece"), (6, "short"), (7, "short"))}
+    assert repeated_paragraphs(docs.where("doc_id < 8")).where("unit = 'sentence'").count() == 0
