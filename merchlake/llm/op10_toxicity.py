@@ -79,13 +79,33 @@ class Ftrl:
         self.bias += g - (np.sqrt(self.bias[1] + g * g) - np.sqrt(self.bias[1])) / self.alpha * b, g * g
 
 
+def _fitting(sizes: list[tuple[int, int, int]], most: int) -> list[tuple[int, int]]:
+    """(label, hash) of the sampled ids, given as (label, hash, characters), whose texts fit into `most` characters.
+
+    Each class has half of `most`, and what the other one leaves. Ids are taken by rising hash; one whose texts do not
+    fit is skipped and takes no room. If none of a class fits, its shortest is taken all the same.
+    """
+    of = {y: sorted((h, chars) for label, h, chars in sizes if label == y) for y in (0, 1)}
+    need = {y: sum(chars for _, chars in ids) for y, ids in of.items()}
+    out = []
+    for y, ids in of.items():
+        room, start = most - min(most // 2, need[1 - y]), len(out)
+        for h, chars in ids:
+            if chars <= room:
+                room -= chars
+                out.append((y, h))
+        if ids and len(out) == start:
+            out.append((y, min(ids, key=lambda i: (i[1], i[0]))[0]))
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, bias) of the features that the fit leaves above 0; few enough to be sent with tasks.
 
     Fitted on a sample of about `sample_rows` labelled rows, chosen by a hash of the id, with both classes equally many
     where there are enough of them; the rarer class of the sample weighs more, by the power 0.7 of its rarity. Only
-    the ids and labels of the sample, which that bounds, are broadcast to find its texts; what goes beyond
-    `sample_chars` characters in all is left out. Rows whose label is not 0 or 1, whose id is null, or whose text is
+    the ids and labels of the sample, which that bounds, are broadcast to find its texts. Where these have more than
+    `sample_chars` characters, `_fitting` chooses among them. Rows whose label is not 0 or 1, whose id is null, or whose text is
     null, teach nothing. If a class is missing, every document gets the label of the other one; without any labels
     every score is 0.5.
     """
@@ -97,11 +117,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     top = 1 << 53
     picked = known.withColumn("h", F.pmod(F.xxhash64("id", F.lit(10)), F.lit(top))).where(F.col("h") / float(top) < F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("h", "y", "text")
-    feats, examples, chars = Features(), [], 0
-    for r in texts.toLocalIterator():
-        chars += len(r["text"])
-        if chars <= sample_chars:
-            examples.append((r["h"], r["y"], feats.of(r["text"])))
+    sizes = [tuple(r) for r in texts.groupBy("y", "h").agg(F.sum(F.length("text").cast("long")).alias("chars")).collect()]
+    if sum(chars for _, _, chars in sizes) > sample_chars:
+        taken = docs.sparkSession.createDataFrame(_fitting(sizes, sample_chars), "y int, h long")
+        texts = texts.join(F.broadcast(taken), ["y", "h"])
+    feats, examples = Features(), []
+    for r in texts.select("h", "y", "text").toLocalIterator():
+        examples.append((r["h"], r["y"], feats.of(r["text"])))
     examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
     n = [max(1, sum(y == k for _, y, _ in examples)) for k in (0, 1)]
     model = Ftrl()

@@ -36,3 +36,22 @@ def test_missing_classes(spark):
         model = op.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         got = {round(r["score"], 3) for r in op.score(docs, model).collect()}
         assert got == ({0.5} if score is None else {float(score)})
+
+
+def test_bound_of_characters_is_kept_by_hash_whatever_the_order(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 40)) + (" nasty" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(900)]
+    rows.insert(0, (900, "far too long " * 20_000, 0))
+    models = []
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, text string, toxic int").coalesce(1)
+        models.append(op.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"), sample_chars=80_000))
+    assert all(np.array_equal(a, b) for a, b in zip(*models, strict=True))
+    asked = spark.createDataFrame([(1, "so nasty"), (2, "w1 w2 w3")], "doc_id long, text string")
+    assert [r["predicted"] for r in op.score(asked, models[0]).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_bound_of_characters_by_class():
+    sizes = [(0, 5, 40), (0, 1, 500), (0, 7, 30), (0, 9, 20), (1, 3, 10), (1, 2, 15)]
+    assert sorted(op._fitting(sizes, 100)) == [(0, 5), (0, 7), (1, 2), (1, 3)]
+    assert sorted(op._fitting([(0, 1, 500), (0, 2, 300), (1, 3, 10)], 100)) == [(0, 2), (1, 3)]
