@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; texts may be long, so it is far below Spark's default of 10,000.
-BATCH_ROWS = 512
+#: Bytes of rows in one Arrow batch, about; texts may be long.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -51,9 +51,9 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for long texts from here on (or let them be larger, for rows of numbers)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; the same bound for every operator, so it does not matter which one set it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,4 +1,4 @@
-"""Exact top-k BM25 search: an inverted index per shard with block-max pruning, merged by global statistics."""
+"""Exact top-k BM25 search: an inverted index per shard with block-max WAND pruning, merged by global statistics."""
 
 from __future__ import annotations
 
@@ -16,12 +16,12 @@ from merchlake.llm.common import Scratch, small_batches
 
 K1, B = 1.5, 0.75
 #: Documents and words in a shard, about; its index is all that a task holds.
-SHARD_ROWS = 16_384
-SHARD_WORDS = 8_000_000
+SHARD_ROWS = 8_192
+SHARD_WORDS = 3_000_000
 #: Documents in a block; for each term and block the index keeps the largest weight.
 BLOCK_ROWS = 64
-#: Postings of a query's rarest terms that are added up before documents are first ruled out.
-RARE_POSTINGS = 4_096
+#: Terms, the most common ones of a shard, by which its documents are put in order.
+ORDER_TERMS = 256
 _WORD = re.compile(r"\w+")
 
 
@@ -71,91 +71,87 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Index:
-    """The inverted index of one shard. Documents are numbered; a block is BLOCK_ROWS neighbours."""
-
-    def __init__(self, ids: list, terms: list[np.ndarray], counts: list[np.ndarray], mean_length: float):
-        # like documents stand together (by the least hashes of their terms), which keeps block maxima close
-        order = sorted(range(len(ids)), key=lambda i: (tuple((terms[i][:2] % np.uint64(64)).tolist()), terms[i][:1].tolist(), i))
-        self.ids = [ids[i] for i in order]
-        sizes = np.array([len(terms[i]) for i in order], dtype=np.int64)
-        length = np.array([int(counts[i].sum()) for i in order], dtype=np.float64)
-        t = np.concatenate([terms[i] for i in order]) if ids else np.zeros(0, np.uint64)
-        tf = np.concatenate([counts[i] for i in order]).astype(np.float64) if ids else np.zeros(0)
-        d = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
-        w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / max(mean_length, 1e-9)))
-        # by document: where its terms start, their numbers, their weights
-        self.terms, number = np.unique(t, return_inverse=True)
-        self.doc_start, self.doc_term, self.doc_weight = np.concatenate([[0], np.cumsum(sizes)]), number.astype(np.int32), w
-        # by term, then document
-        by = np.argsort(number, kind="stable")
-        number, self.doc, self.weight = number[by], d[by].astype(np.intp), w[by]
+    """The inverted index of one shard: lists of postings by document, cut into cells at the borders of blocks.
+
+    A block is BLOCK_ROWS neighbouring documents, the same ones in every list; a cell is a term's postings in a block and
+    has their largest weight. Documents are given in the order of their ids, which settles ties.
+    """
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], mean_length: float):
+        sizes = np.array([len(t) for t in terms], np.int64)
+        length = np.array([c.sum() for c in counts], np.int64)
+        self.terms, number = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]), return_inverse=True)
+        number, of = number.astype(np.int32), np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
+        self.ids = _order(number, of, length, len(self.terms))
+        place = np.empty(len(terms), np.int32)
+        place[self.ids] = np.arange(len(terms), dtype=np.int32)
+        doc = place[of]
+        by = np.lexsort((doc, number))
+        number, self.doc, of = number[by], doc[by], of[by]
+        tf = np.concatenate([*counts, np.zeros(0, np.int32)])[by].astype(np.float64)
+        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[of] / max(mean_length, 1e-9)))
+        del tf, of, by, doc
         block = self.doc // BLOCK_ROWS
-        edge = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (block[1:] != block[:-1])])) if len(t) else np.zeros(0, np.int64)
-        self.cell_block = block[edge]
-        self.cell_max = np.maximum.reduceat(self.weight, edge) if len(t) else np.zeros(0)
-        every = np.arange(len(self.terms) + 1)
-        self.term_start, self.term_cell = np.searchsorted(number, every), np.searchsorted(number[edge], every)
-        self.blocks = -(-len(ids) // BLOCK_ROWS)
-        # very common terms also as full rows, a number for each document
-        common = np.flatnonzero(8 * np.diff(self.term_start) > len(ids))
-        self.row_of = np.full(len(self.terms), -1)
-        self.row_of[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), self.blocks * BLOCK_ROWS))
-        for r, c in enumerate(common.tolist()):
-            self.rows[r, self.doc[self.term_start[c] : self.term_start[c + 1]]] = self.weight[self.term_start[c] : self.term_start[c + 1]]
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, object]]:
-        """The best k (score, id), exactly.
-
-        Postings are added up term by term, rare terms first. Now and then the k-th best sum so far is the threshold: a
-        document whose sum and whose block's bound (the largest weights there of the terms not yet added) stay below it is
-        out. Once those that are left cost less to score than the postings that are left, they are scored by their own
-        terms. Long queries go through most of their postings before that, as bounds of many common terms are loose. Weights
-        of a document are always added in the order of its terms, whatever is skipped.
+        edge = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if len(number) else [])
+        self.cell_block, self.cell_start = block[edge], np.append(edge, len(number))
+        self.cell_max = np.maximum.reduceat(self.weight, edge) if len(edge) else np.zeros(0)
+        self.term_cell = np.searchsorted(number[edge], np.arange(len(self.terms) + 1))
+        self.blocks = -(-len(terms) // BLOCK_ROWS)
+
+    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The best k (score, number of document), exactly, by block-max WAND; ties go to the lesser number.
+
+        Every term has a cursor in its list of cells. As blocks have the same borders in all lists, the pivot is the next
+        block where the maxima of the terms that have a cell there add up to the threshold, the k-th best score so far.
+        All cursors jump to it; blocks between are never looked into. Pivots are taken a few at a time, and the two blocks
+        with the highest bounds come first, so that the threshold is high from the start. Weights of a document are added in
+        the order of its terms, so scores do not depend on what is skipped.
         """
         at = np.searchsorted(self.terms, terms)
-        here = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
+        here = self.terms[np.minimum(at, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, idf = at[here], idf[here]
-        if not len(at):
-            return []
-        by_idf = np.argsort(-idf, kind="stable")
-        at_by, idf_by = at[by_idf], idf[by_idf]
-        start, end = self.term_start[at_by], self.term_start[at_by + 1]
-        left = np.concatenate([np.cumsum((end - start)[::-1])[::-1], [0]])  # postings from each term on
-        blocks = self.blocks * BLOCK_ROWS
-        sums = np.zeros(blocks)
-        rare = int(np.searchsorted(-left, -(left[0] - RARE_POSTINGS), "right")) - 1 if left[0] > RARE_POSTINGS else len(at_by)
-        many = _ranges(start[:rare], end[:rare])
-        sums += np.bincount(self.doc[many], self.weight[many] * np.repeat(idf_by[:rare], (end - start)[:rare]), blocks)
-        next_look = left[rare]
-        for i in range(rare, len(at_by) + 1):
-            if left[i] <= next_look:
-                next_look = 0.4 * left[i]
-                enough = np.partition(sums, -k)[-k] if len(sums) >= k else 0.0
-                cells = _ranges(self.term_cell[at_by[i:]], self.term_cell[at_by[i:] + 1])
-                cell_idf = np.repeat(idf_by[i:], self.term_cell[at_by[i:] + 1] - self.term_cell[at_by[i:]])
-                bound = np.bincount(self.cell_block[cells], self.cell_max[cells] * cell_idf, self.blocks)
-                could = (sums.reshape(-1, BLOCK_ROWS) + bound[:, None]).ravel()
-                found = np.flatnonzero((could > 0) & (could >= enough * (1 - 1e-9)))
-                found = found[found < len(self.ids)]
-                cost = int((self.doc_start[found + 1] - self.doc_start[found]).sum())
-                if i == len(at_by) or cost <= left[i]:
-                    break
-            if (row := self.row_of[at_by[i]]) >= 0:
-                sums += self.rows[row] * idf_by[i]
-            else:
-                np.add.at(sums, self.doc[start[i] : end[i]], self.weight[start[i] : end[i]] * idf_by[i])
-        weights = np.zeros(len(self.terms))
-        weights[at] = idf
-        own = _ranges(self.doc_start[found], self.doc_start[found + 1])
-        slot = np.repeat(np.arange(len(found)), self.doc_start[found + 1] - self.doc_start[found])
-        scores = np.bincount(slot, self.doc_weight[own] * weights[self.doc_term[own]], len(found))
-        good = np.flatnonzero(scores > 0)
-        if len(good) > k:
-            good = good[scores[good] >= np.partition(scores[good], -k)[-k]]
-        best = [(float(scores[g]), self.ids[found[g]]) for g in good.tolist()]
-        best.sort(key=lambda s: (-s[0], s[1] is not None, s[1]))
-        return best[:k]
+        cells = _ranges(self.term_cell[at], self.term_cell[at + 1])
+        by_block = np.argsort(self.cell_block[cells], kind="stable")
+        weight = np.repeat(idf, self.term_cell[at + 1] - self.term_cell[at])[by_block]
+        cells = cells[by_block]
+        block = self.cell_block[cells]
+        bound = np.bincount(block, self.cell_max[cells] * weight, self.blocks)
+        cursor = np.searchsorted(block, np.arange(self.blocks + 1))
+        found, best, threshold = np.zeros(0, np.int64), np.zeros(0), 0.0
+        pivots, after, step = np.argsort(-bound, kind="stable")[:2], 0, 4
+        while len(pivots):
+            own = _ranges(cursor[pivots], cursor[pivots + 1])
+            start, end = self.cell_start[cells[own]], self.cell_start[cells[own] + 1]
+            postings = _ranges(start, end)
+            scores = np.bincount(self.doc[postings], self.weight[postings] * np.repeat(weight[own], end - start), len(self.ids))
+            good = np.flatnonzero((scores > 0) & (scores >= threshold))
+            found, best = np.concatenate([found, self.ids[good]]), np.concatenate([best, scores[good]])
+            kept = np.lexsort((found, -best))[:k]
+            found, best = found[kept], best[kept]
+            threshold = best[-1] if len(best) == k else 0.0
+            bound[pivots] = 0
+            pivots = after + np.flatnonzero((bound[after:] > 0) & (bound[after:] >= threshold * (1 - 1e-9)))[:step]
+            after, step = pivots[-1] + 1 if len(pivots) else after, min(2 * step, 32)
+        return list(zip(best.tolist(), found.tolist(), strict=True))
+
+
+def _order(number: np.ndarray, of: np.ndarray, length: np.ndarray, terms: int) -> np.ndarray:
+    """Documents in an order that puts like ones into the same blocks, which keeps the bounds of blocks close.
+
+    They are grouped by the signs of the first three principal components over the most common terms, which tell
+    languages apart, and then sorted by length.
+    """
+    common = np.argsort(-np.bincount(number, minlength=terms), kind="stable")[:ORDER_TERMS]
+    column = np.full(terms, -1, np.int32)
+    column[common] = np.arange(len(common), dtype=np.int32)
+    hit = column[number]
+    has = np.zeros((len(length), len(common)), np.float32)
+    has[of[hit >= 0], hit[hit >= 0]] = 1
+    has /= np.maximum(np.linalg.norm(has, axis=1, keepdims=True), 1e-9)
+    has -= has.mean(0) if len(has) else 0
+    axes = np.linalg.eigh(has.T @ has)[1][:, -3:]
+    side = (has @ axes > 0) @ (1 << np.arange(axes.shape[1]))
+    return np.lexsort((length, side))
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -165,27 +161,39 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, mean_length: float) -> Iterator[pa.RecordBatch]:
-    """(query_id, doc_id, score) from rows (shard, is_query, id, body, terms, idf) sorted by shard, documents first."""
+    """(query_id, doc_id, score) from rows (shard, is_query, id, body, terms, idf) sorted by shard, documents first, by id and body.
+
+    Rows that agree in id and body are one document of the index, which comes up as often as it is there.
+    """
     unzip = zstandard.ZstdDecompressor()
-    shard, words, held, index = None, Terms(), ([], [], []), None
+    shard, words, index = None, Terms(), None
+    ids, copies, held, last = [], [], ([], []), None
     for batch in batches:
         queries, docs, scores = [], [], []
         lists = [batch.column(i) for i in (4, 5)]
         for i, (s, is_query, key, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
             if s != shard:
-                shard, held, index = s, ([], [], []), None
+                shard, index = s, None
+                ids, copies, held, last = [], [], ([], []), None
             if not is_query:
-                t, n = words.counts(unzip.decompress(body).decode())
-                for column, value in zip(held, (key, t, n.astype(np.int32)), strict=True):
-                    column.append(value)
+                if last == (key, body):
+                    copies[-1] += 1
+                else:
+                    last = (key, body)
+                    ids.append(key)
+                    copies.append(1)
+                    t, n = words.counts(unzip.decompress(body).decode())
+                    held[0].append(t)
+                    held[1].append(n.astype(np.int32))
                 continue
             if index is None:
-                index, held = Index(*held, mean_length), ([], [], [])
+                index, held = Index(*held, mean_length), ([], [])
             t, idf = (c[i].values.to_numpy(zero_copy_only=False) for c in lists)
             for score, doc in index.top(t.view(np.uint64), idf, k):
-                queries.append(key)
-                docs.append(doc)
-                scores.append(score)
+                for _ in range(min(k, copies[doc])):
+                    queries.append(key)
+                    docs.append(ids[doc])
+                    scores.append(score)
         kind = batch.column(2).type
         yield pa.record_batch({"query_id": pa.array(queries, kind), "doc_id": pa.array(docs, kind), "score": pa.array(scores, pa.float64())})
 
@@ -208,9 +216,9 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id
     least text, and is a candidate as often as it is there. Other columns play no part; an empty table gives an empty
     result.
 
-    Documents are dealt to shards of a bounded size by a hash; every shard is searched for every query, queries being
+    Documents are dealt to shards of a bounded size, one a task; every shard is searched for every query, queries being
     streamed past its index, and the best k of each shard are merged. Statistics are global, so the result does not
-    depend on the shards.
+    depend on the shards. Rows that agree in id and text are spread over shards by the partition they come from.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -227,6 +235,7 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id
     weighted = terms.join(counted.where("term is not null"), "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", idf.alias("idf")))).alias("t"))
     # hashes are compared as unsigned numbers in the index: any order will do that is always the same
     queries = scratch.keep(weighted.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "queries")
+    scratch.drop(counted)
     shards = max(1, -(-n // SHARD_ROWS), -(-tokens // SHARD_WORDS))
 
     @F.pandas_udf("binary")
@@ -234,9 +243,9 @@ def search(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id
         c = zstandard.ZstdCompressor(level=1)
         return texts.map(lambda t: c.compress((t or "").encode()))
 
-    parts = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), F.col("doc_id").alias("id"), zipped("text").alias("body"), F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("idf"))
+    parts = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), F.col("doc_id").alias("id"), zipped("text").alias("body"), F.lit(None).cast("array<long>").alias("terms"), F.lit(None).cast("array<double>").alias("idf"))
     asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("body"), "terms", "idf")
-    dealt = parts.unionAll(asks).repartition(shards, "shard").sortWithinPartitions("shard", "is_query", "id")
+    dealt = parts.unionAll(asks).repartitionById(shards, "shard").sortWithinPartitions("shard", "is_query", "id", "body")
     mean = tokens / max(1, n)
     best = dealt.mapInArrow(lambda it: _search(it, k, mean), f"query_id {kind}, doc_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))

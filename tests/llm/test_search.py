@@ -57,23 +57,42 @@ def test_whole_table(spark, monkeypatch, shard, block):
 
 def test_pruning_loses_nothing(monkeypatch):
     monkeypatch.setattr(op, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(op, "RARE_POSTINGS", 20)
     rng = np.random.default_rng(4)
     drawn = [np.concatenate([rng.zipf(1.3, 40) % 3000, i % 50 * 1000 + rng.integers(0, 30, 6)]).astype(np.uint64) for i in range(2003)]
     terms, counts = zip(*(np.unique(d, return_counts=True) for d in drawn), strict=True)
-    index = op.Index(list(range(2003)), list(terms), list(counts), 46.0)
-    posted = np.repeat(index.terms, np.diff(index.term_start))
-    df = dict(zip(index.terms.tolist(), np.diff(index.term_start).tolist(), strict=True))
+    index = op.Index(list(terms), list(counts), 46.0)
+    df = Counter(t for ts in terms for t in ts.tolist())
+    idf_of = {t: math.log(1 + (2003 - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     for q in range(0, 2003, 97):
-        idf = np.array([math.log(1 + (2003 - df[t] + 0.5) / (df[t] + 0.5)) for t in terms[q].tolist()])
-        at = dict(zip(terms[q].tolist(), idf.tolist(), strict=True))
-        scores = np.bincount(index.doc, index.weight * np.array([at.get(t, 0.0) for t in posted.tolist()]), 2003)
-        want = sorted((-s, index.ids[d]) for d, s in enumerate(scores.tolist()) if s > 0)[:5]
-        got = index.top(terms[q], idf, 5)
+        asked = set(terms[q].tolist())
+        scored = [(-sum(idf_of[t] * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * c.sum() / 46.0)) for t, n in zip(ts.tolist(), c.tolist(), strict=True) if t in asked), d) for d, (ts, c) in enumerate(zip(terms, counts, strict=True))]
+        want = sorted(s for s in scored if s[0] < 0)[:5]
+        got = index.top(terms[q], np.array([idf_of[t] for t in terms[q].tolist()]), 5)
         assert all(math.isclose(a[0], -b[0], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
         assert {d for s, d in got if s > got[-1][0] * (1 + 1e-9)} == {d for s, d in want if -s > got[-1][0] * (1 + 1e-9)}
 
 
+def test_blocks_are_skipped(monkeypatch):
+    """Documents of another kind are in blocks of their own, and a query for rare terms looks into few blocks."""
+    monkeypatch.setattr(op, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(5)
+    terms = [np.unique(rng.integers(0, 60, 30) + 1000 * (i % 4)).astype(np.uint64) for i in range(1600)]
+    index = op.Index(terms, [np.ones(len(t), np.int32) for t in terms], 25.0)
+    looked = []
+    monkeypatch.setattr(op, "_ranges", lambda a, b, f=op._ranges: looked.append(len(a)) or f(a, b))
+    best = index.top(terms[5], np.ones(len(terms[5])), 3)
+    assert best[0][1] == 5
+    assert {d % 4 for _, d in best} == {1}
+    assert sum(looked[1::2]) <= 60 < index.blocks  # pivots looked into: a quarter of the 200 blocks, and the first step
+
+
+def test_groups_of_equal_rows_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(op, "SHARD_ROWS", 500)
+    rows = [(7, "the same words")] * 1500 + [(i, "the same words again") for i in range(100, 600)] + [(600, "same " * 300_000 + "end"), (700, "end words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    compare(op.search(docs, F.col("doc_id") % 100 == 0, 4), brute(rows, lambda d: d % 100 == 0, 4))
+
+
 def test_edge_cases(spark):
     rows = [(0, "red red blue"), (1, "blue"), (1, "blue"), (None, "red"), (100, ""), (200, None), (300, "Red! blue?"), (300, "zzz"), (4, "other words")]
     docs = spark.createDataFrame([(d, t, 0.0) for d, t in rows], "doc_id long, text string, score double")
