@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,125 +15,224 @@ from merchlake.llm.common import Scratch, small_batches
 
 K1, B = 1.5, 0.75
 #: Documents and words in a shard, about; its index is all that a task holds.
-SHARD_ROWS = 8_192
-SHARD_WORDS = 3_000_000
-#: Documents in a block; for each term and block the index keeps the largest weight.
-BLOCK_ROWS = 64
+SHARD_ROWS = 16_384
+SHARD_WORDS = 6_000_000
+#: Blocks of a shard; for each term and block the index keeps the largest weight.
+BLOCKS = 16
+#: Blocks that are scored together at most, before the threshold is looked at again.
+STEP = 8
+#: Lists of so many postings are added slice by slice, shorter ones all at once by their places.
+LONG = 512
 #: Terms, the most common ones of a shard, by which its documents are put in order.
 ORDER_TERMS = 256
-_WORD = re.compile(r"\w+")
+#: Characters that are hashed at once, about.
+PIECE = 1 << 20
+_MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, made when first asked for."""
+@functools.lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """For every code point whether it belongs to words: letters, digits and _, as for \\w of regular expressions."""
+    return np.fromiter((ch.isalnum() or ch == "_" for ch in map(chr, range(0x110000))), bool, 0x110000)
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2 ** 64."""
+    up, down = np.full(n, _MULTIPLIER, np.uint64), np.full(n, pow(_MULTIPLIER, -1, 2**64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
-class Terms:
-    """The terms of texts as 64-bit hashes of lower-case words."""
 
-    def __init__(self):
-        self.known = _Hashes()
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > 400_000:
-            self.known.clear()
-        words = _WORD.findall(text.lower())
-        return np.unique(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)), return_counts=True)
+
+def _hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin, and their 64-bit hashes, by sums over the whole text at once."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = _word_characters()[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edges[::2], edges[1::2]
+    up, down = _powers(max(2 * PIECE, 1 << len(points).bit_length()))
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_mix((points.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER)) * up[: len(points)], out=sums[1:])
+    return begin, _mix((sums[end] - sums[begin]) * down[begin])
+
+
+def term_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its terms, as 64-bit hashes of lower-case words, sorted, and how often each is there.
+
+    Many short texts are hashed at once, and long ones in pieces that end between words.
+    """
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        low = (text or "").lower()
+        if size and size + len(low) > PIECE:
+            yield from _counted(held)
+            held, size = [], 0
+        if len(low) > PIECE:
+            yield _long(low)
+        else:
+            held.append(low)
+            size += len(low) + 1
+    if held:
+        yield from _counted(held)
+
+
+def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    begin, h = _hashed("\n".join(texts))
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    cuts = np.searchsorted(begin, starts)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield _distinct(h[a:b])
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.sort(h)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h)))
+
+
+def _long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    found, at = [], 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and (text[end].isalnum() or text[end] == "_"):
+            end += 1
+        found.append(_hashed(text[at:end])[1])
+        at = end
+    return _distinct(np.concatenate(found))
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, documents, tokens) of rows (text), summed within the task; a null term stands for all documents."""
-    terms, docs, tokens, found, size = Terms(), 0, 0, [], 0
+    docs, tokens, found, size = 0, 0, [], 0
 
     def summed() -> pa.RecordBatch:
-        t, n = np.unique(np.concatenate(found), return_counts=True)
+        t, n = _distinct(np.concatenate(found))
         return pa.record_batch({"term": pa.array(t.view(np.int64)), "docs": pa.array(n), "tokens": pa.array(np.zeros(len(t), np.int64))})
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for t, n in term_counts(batch.column(0).to_pylist()):
             docs += 1
-            if text:
-                t, n = terms.counts(text)
-                tokens += int(n.sum())
-                found.append(t)
-                size += len(t)
+            tokens += int(n.sum())
+            found.append(t)
+            size += len(t)
         if size > 4_000_000:
             yield summed()
             found, size = [], 0
-    if found:
+    if size:
         yield summed()
     yield pa.record_batch({"term": pa.array([None], pa.int64()), "docs": pa.array([docs], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
 
 class Index:
-    """The inverted index of one shard: lists of postings by document, cut into cells at the borders of blocks.
+    """The inverted index of one shard: a list of postings for each term, by document, cut at the borders of blocks.
 
-    A block is BLOCK_ROWS neighbouring documents, the same ones in every list; a cell is a term's postings in a block and
-    has their largest weight. Documents are given in the order of their ids, which settles ties.
+    A block is so many neighbouring documents, the same ones in every list; for each term and block the index has the
+    largest weight, and where the block's postings begin. Documents are given in the order of their ids, which settles ties.
     """
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], mean_length: float):
+        """Takes `terms` and `counts` (of each document) out of their lists, so that they are not there twice."""
         sizes = np.array([len(t) for t in terms], np.int64)
         length = np.array([c.sum() for c in counts], np.int64)
-        self.terms, number = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]), return_inverse=True)
-        number, of = number.astype(np.int32), np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
+        flat = np.concatenate([*terms, np.zeros(0, np.uint64)])
+        terms.clear()
+        by = np.argsort(flat, kind="stable")
+        flat = flat[by]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+        self.terms, number = flat[new], np.empty(len(flat), np.int32)
+        number[by] = np.cumsum(new, dtype=np.int32) - 1
+        del flat, by, new
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.ids = _order(number, of, length, len(self.terms))
-        place = np.empty(len(terms), np.int32)
-        place[self.ids] = np.arange(len(terms), dtype=np.int32)
-        doc = place[of]
-        by = np.lexsort((doc, number))
-        number, self.doc, of = number[by], doc[by], of[by]
+        place = np.empty(len(sizes), np.int32)
+        place[self.ids] = np.arange(len(sizes), dtype=np.int32)
+        self.doc = place[of]
+        by = np.lexsort((self.doc, number))
+        self.doc, cell, of = self.doc[by], number[by].astype(np.int64) * BLOCKS, of[by]
         tf = np.concatenate([*counts, np.zeros(0, np.int32)])[by].astype(np.float64)
+        counts.clear()
         self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[of] / max(mean_length, 1e-9)))
-        del tf, of, by, doc
-        block = self.doc // BLOCK_ROWS
-        edge = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (block[1:] != block[:-1])]) if len(number) else [])
-        self.cell_block, self.cell_start = block[edge], np.append(edge, len(number))
-        self.cell_max = np.maximum.reduceat(self.weight, edge) if len(edge) else np.zeros(0)
-        self.term_cell = np.searchsorted(number[edge], np.arange(len(self.terms) + 1))
-        self.blocks = -(-len(terms) // BLOCK_ROWS)
+        del tf, of, by, number
+        self.rows = max(1, -(-len(sizes) // BLOCKS))
+        cell += self.doc // self.rows
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        # bounds are a little above the weights, as they are kept in half the bits
+        self.bound = np.zeros((len(self.terms), BLOCKS), np.float32)
+        if len(cell):
+            self.bound.ravel()[cell[edge]] = np.maximum.reduceat(self.weight, edge) * (1 + 1e-6)
+        starts = np.zeros(len(self.terms) * BLOCKS + 1, np.int32)
+        np.cumsum(np.bincount(cell, minlength=len(self.terms) * BLOCKS), out=starts[1:])
+        self.start = starts
+        self.weighed = np.zeros(len(self.terms), bool)
+        # where the postings of a query are laid together; made once, as fresh memory for each query costs more than the sums
+        self.docs, self.weights = np.zeros(0, np.int64), np.zeros(0)
+
+    def _weigh(self, at: np.ndarray, idf: np.ndarray) -> None:
+        """Multiply the postings and bounds of terms by their idf, when the first query brings it."""
+        new = np.flatnonzero(~self.weighed[at])
+        self.weighed[at[new]] = True
+        self.bound[at[new]] *= (idf[new, None] * (1 + 1e-6)).astype(np.float32)
+        for t, w in zip(at[new].tolist(), idf[new].tolist(), strict=True):
+            self.weight[self.start[t * BLOCKS] : self.start[(t + 1) * BLOCKS]] *= w
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The best k (score, number of document), exactly, by block-max WAND; ties go to the lesser number.
 
-        Every term has a cursor in its list of cells. As blocks have the same borders in all lists, the pivot is the next
-        block where the maxima of the terms that have a cell there add up to the threshold, the k-th best score so far.
-        All cursors jump to it; blocks between are never looked into. Pivots are taken a few at a time, and the two blocks
-        with the highest bounds come first, so that the threshold is high from the start. Weights of a document are added in
-        the order of its terms, so scores do not depend on what is skipped.
+        Every term has a cursor in its list. As blocks have the same borders in all lists, the pivot is the next block
+        where the largest weights of the terms add up to the threshold, the k-th best score so far. All cursors jump to
+        its beginning; blocks between are never looked into. Up to STEP pivots are scored together, and the block with the
+        highest bound comes first, so that the threshold is high from the start. Scores are rounded to 9 places, which
+        makes them the same whatever the order of sums. A term's idf is the same for all queries.
         """
         at = np.searchsorted(self.terms, terms)
         here = self.terms[np.minimum(at, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[here], idf[here]
-        cells = _ranges(self.term_cell[at], self.term_cell[at + 1])
-        by_block = np.argsort(self.cell_block[cells], kind="stable")
-        weight = np.repeat(idf, self.term_cell[at + 1] - self.term_cell[at])[by_block]
-        cells = cells[by_block]
-        block = self.cell_block[cells]
-        bound = np.bincount(block, self.cell_max[cells] * weight, self.blocks)
-        cursor = np.searchsorted(block, np.arange(self.blocks + 1))
+        at = at[here]
+        self._weigh(at, idf[here])
+        bound = self.bound[at].sum(0, dtype=np.float64)
+        long = self.start[(at + 1) * BLOCKS] - self.start[at * BLOCKS] >= LONG
+        long, short = at[long] * BLOCKS, at[~long] * BLOCKS
         found, best, threshold = np.zeros(0, np.int64), np.zeros(0), 0.0
-        pivots, after, step = np.argsort(-bound, kind="stable")[:2], 0, 4
+        pivots, after = np.argmax(bound)[None], 0
         while len(pivots):
-            own = _ranges(cursor[pivots], cursor[pivots + 1])
-            start, end = self.cell_start[cells[own]], self.cell_start[cells[own] + 1]
-            postings = _ranges(start, end)
-            scores = np.bincount(self.doc[postings], self.weight[postings] * np.repeat(weight[own], end - start), len(self.ids))
-            good = np.flatnonzero((scores > 0) & (scores >= threshold))
-            found, best = np.concatenate([found, self.ids[good]]), np.concatenate([best, scores[good]])
+            cut = np.flatnonzero(np.diff(pivots) > 1) + 1
+            scores = np.zeros(len(self.ids))
+            for begin, end in zip(pivots[np.concatenate([[0], cut])], pivots[np.concatenate([cut - 1, [-1]])] + 1, strict=True):
+                first, last = self.start[long + begin], self.start[long + end]
+                runs = [slice(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                places = _ranges(self.start[short + begin], self.start[short + end])
+                n = len(places) + int((last - first).sum())
+                if n > len(self.docs):
+                    self.docs, self.weights = np.zeros(2 * n, np.int64), np.zeros(2 * n)
+                docs = np.concatenate([*(self.doc[r] for r in runs), self.doc[places]], out=self.docs[:n])
+                weights = np.concatenate([*(self.weight[r] for r in runs), self.weight[places]], out=self.weights[:n])
+                docs -= begin * self.rows
+                scores[begin * self.rows : end * self.rows] = np.bincount(docs, weights, min((end - begin) * self.rows, len(self.ids) - begin * self.rows))
+            good = np.flatnonzero((scores > 0) & (scores >= threshold * (1 - 1e-9)))
+            if len(good) > k:
+                good = good[scores[good] >= np.partition(scores[good], -k)[-k] * (1 - 1e-9)]
+            found, best = np.concatenate([found, self.ids[good]]), np.concatenate([best, np.round(scores[good], 9)])
             kept = np.lexsort((found, -best))[:k]
             found, best = found[kept], best[kept]
             threshold = best[-1] if len(best) == k else 0.0
             bound[pivots] = 0
-            pivots = after + np.flatnonzero((bound[after:] > 0) & (bound[after:] >= threshold * (1 - 1e-9)))[:step]
-            after, step = pivots[-1] + 1 if len(pivots) else after, min(2 * step, 32)
+            pivots = after + np.flatnonzero((bound[after:] > 0) & (bound[after:] >= threshold * (1 - 1e-9)))[:STEP]
+            after = pivots[-1] + 1 if len(pivots) else after
         return list(zip(best.tolist(), found.tolist(), strict=True))
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each start up to its end."""
+    n = (end - start).astype(np.int64)
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+
+
 def _order(number: np.ndarray, of: np.ndarray, length: np.ndarray, terms: int) -> np.ndarray:
     """Documents in an order that puts like ones into the same blocks, which keeps the bounds of blocks close.
 
@@ -154,40 +252,35 @@ def _order(number: np.ndarray, of: np.ndarray, length: np.ndarray, terms: int) -
     return np.lexsort((length, side))
 
 
-def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All numbers from each start up to its end."""
-    n = end - start
-    return np.repeat(start - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-
-
 def _search(batches: Iterator[pa.RecordBatch], k: int, mean_length: float) -> Iterator[pa.RecordBatch]:
     """(query_id, doc_id, score) from rows (shard, is_query, id, body, terms, idf) sorted by shard, documents first, by id and body.
 
     Rows that agree in id and body are one document of the index, which comes up as often as it is there.
     """
     unzip = zstandard.ZstdDecompressor()
-    shard, words, index = None, Terms(), None
+    shard, index = None, None
     ids, copies, held, last = [], [], ([], []), None
     for batch in batches:
         queries, docs, scores = [], [], []
         lists = [batch.column(i) for i in (4, 5)]
+        new = term_counts(unzip.decompress(z.as_py()).decode() for z in batch.column(3).drop_null())
         for i, (s, is_query, key, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
             if s != shard:
                 shard, index = s, None
                 ids, copies, held, last = [], [], ([], []), None
             if not is_query:
+                t, n = next(new)
                 if last == (key, body):
                     copies[-1] += 1
                 else:
                     last = (key, body)
                     ids.append(key)
                     copies.append(1)
-                    t, n = words.counts(unzip.decompress(body).decode())
                     held[0].append(t)
                     held[1].append(n.astype(np.int32))
                 continue
             if index is None:
-                index, held = Index(*held, mean_length), ([], [])
+                index = Index(*held, mean_length)
             t, idf = (c[i].values.to_numpy(zero_copy_only=False) for c in lists)
             for score, doc in index.top(t.view(np.uint64), idf, k):
                 for _ in range(min(k, copies[doc])):
@@ -199,9 +292,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, mean_length: float) -> It
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    terms = Terms()
     for batch in batches:
-        found = [terms.counts(t or "")[0] for t in batch.column(1).to_pylist()]
+        found = [t for t, _ in term_counts(batch.column(1).to_pylist())]
         ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
         yield pa.record_batch({"query_id": ids, "term": pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))})
 
