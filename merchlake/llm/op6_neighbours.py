@@ -34,12 +34,16 @@ def _search(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> Iterator[tu
     """(query id, ids, scores) of the best k found for each query in one shard, exactly scored and sorted.
 
     A further component brings all vectors of the shard to the same length; queries have 0 there. Then those nearest
-    by distance are those with the largest inner product.
+    by distance are those with the largest inner product. Equal vectors are one entry with several ids, so windows, counts
+    and BETA are of different vectors, however many copies there are.
     """
     vectors, queries = vectors.sort_values("vec_id", kind="stable"), queries.sort_values("query_id")
-    ids = vectors["vec_id"].to_numpy()
-    x = np.stack(vectors["embedding"].to_numpy()).astype(np.float64)
-    n, squares = len(ids), np.einsum("ij,ij->i", x, x)
+    x = np.stack(vectors["embedding"].to_numpy()).astype(np.float64) + 0.0
+    _, first, entry = np.unique(x.view(np.void(x.shape[1] * 8).dtype).ravel(), return_index=True, return_inverse=True)
+    members = np.argsort(entry, kind="stable")  # entry by entry, in each by id
+    ids, copies = vectors["vec_id"].to_numpy()[members], vectors["copies"].to_numpy()[members]
+    start, x = np.searchsorted(entry[members], np.arange(len(first) + 1)), x[first]
+    n, squares = len(x), np.einsum("ij,ij->i", x, x)
     lines = _lines(x.shape[1] + 1)
     projections = np.column_stack([x, np.sqrt(squares.max() - squares)]) @ lines
     q = np.stack(queries["embedding"].to_numpy()).astype(np.float64)
@@ -50,22 +54,33 @@ def _search(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> Iterator[tu
         column, reach = projections[order[j], j], np.array(WIDTHS) * (projections[:, j].std() + 1e-12)
         low[j] = np.searchsorted(column, centre[:, j, None] - reach, "left")
         high[j] = np.searchsorted(column, centre[:, j, None] + reach, "right")
-    enough, need = min(n, max(4 * k, int(BETA * n))), int(np.ceil(THRESHOLD * PROJECTIONS))
+    # one more entry may be the query's own
+    enough, need = min(n, max(4 * k, int(BETA * n)) + 1), int(np.ceil(THRESHOLD * PROJECTIONS))
     usual = 0
     for i, query in enumerate(queries["query_id"].to_numpy()):
-        own = int((ids == query).sum())
         # virtual rehashing: windows begin near the width that the last query came to, and widen until enough pass
         r = max(0, usual - 1)
         counts = np.bincount(np.concatenate([order[j, low[j, i, r] : high[j, i, r]] for j in range(PROJECTIONS)]), minlength=n)
-        while (counts >= need).sum() - own < min(enough, n - own):
+        while (counts >= need).sum() < enough:
             r += 1
             new = [part for j in range(PROJECTIONS) for part in (order[j, low[j, i, r] : low[j, i, r - 1]], order[j, high[j, i, r - 1] : high[j, i, r]])]
             counts += np.bincount(np.concatenate(new), minlength=n)
         usual = r
-        found = np.flatnonzero((counts >= need) & (ids != query))
-        scores = x[found] @ q[i]
-        best = np.lexsort((ids[found], -scores))[:k]
-        yield query, ids[found][best], scores[best]
+        found = np.flatnonzero(counts >= need)
+        # sums in one order for every row, so equal vectors have equal scores
+        scores = np.einsum("ij,j->i", x[found], q[i])
+        best = np.argsort(-scores, kind="stable")
+        found, scores = found[best], scores[best]
+        # entries up to k other ids, with all entries of the last one's score
+        least = scores[min(k, len(scores) - 1)]
+        found, scores = found[scores >= least], scores[scores >= least]
+        size = start[found + 1] - start[found]
+        at = np.repeat(start[found] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+        near, value, times = ids[at], np.repeat(scores, size), np.minimum(copies[at], k)
+        other = near != query
+        near, value = np.repeat(near[other], times[other]), np.repeat(value[other], times[other])
+        best = np.lexsort((near, -value))[:k]
+        yield query, near[best], value[best]
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -83,7 +98,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     by a hash to shards of about SHARD_ROWS, queries to blocks of about BLOCK_ROWS, and every block is searched in every
     shard; of each search k rows come out, and the best k of them are kept. In a shard each projection is a sorted
     array; windows around the query widen together until enough vectors lie in THRESHOLD of them, and those are
-    scored exactly. Ties go to the smaller vec_id; equal vectors have equal counts, so they are found together.
+    scored exactly. Ties go to the smaller vec_id; equal vectors are found together and have equal scores. Rows that agree
+    in id and vector are merged before they are dealt, and counted.
     Vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part. Vectors are
     compared with those of the same number of components. A repeated id is a candidate as often as it is there, and
     asks once (with its least vector). Other columns play no part; an empty table gives an empty result.
@@ -97,10 +113,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     number = lambda per, at: F.element_at(F.create_map(*[F.lit(x) for dim, s in sizes.items() for x in (dim, max(1, -(-s[at] // per)))]), F.col("dim"))
     shards, blocks = number(SHARD_ROWS, 0), number(BLOCK_ROWS, 1)
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    dealt = lambda n, *c: F.pmod(F.xxhash64(*c), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    side_v = usable.select("dim", dealt(F.col("vec_id"), shards).alias("shard"), every(blocks).alias("block"), "vec_id", "embedding")
-    side_q = queries.select("dim", every(shards).alias("shard"), dealt(F.col("query_id"), blocks).alias("block"), "query_id", "embedding")
+    merged = usable.groupBy("dim", "vec_id", "embedding").agg(F.count("*").alias("copies"))
+    side_v = merged.select("dim", dealt(shards, "vec_id", "embedding").alias("shard"), every(blocks).alias("block"), "vec_id", "embedding", "copies")
+    side_q = queries.select("dim", every(shards).alias("shard"), dealt(blocks, "query_id").alias("block"), "query_id", "embedding")
 
     def search(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if v.empty or q.empty:

@@ -60,6 +60,31 @@ def test_lengths_matter_and_ties_go_to_the_smaller_id(spark):
     assert compared(got, want, 20) >= 0.9
 
 
+def test_equal_vectors_come_by_id(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    for dim, shard in ((64, 16_384), (64, 200), (13, 16_384)):
+        monkeypatch.setattr(op, "SHARD_ROWS", shard)
+        same = rng.standard_normal(dim).tolist()
+        rows = [(i, same) for i in range(1, 22)] + [(0, [2 * v for v in same])] + [(i, (0.1 * rng.standard_normal(dim)).tolist()) for i in range(100, 480) if i % 20]
+        got = op.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 20).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == list(range(1, 21))
+        assert len({r["score"] for r in got}) == 1
+
+
+def test_repeated_rows_and_large_groups_of_copies(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(600)]
+    rows += [(7, rows[7][1])] * 3 + [(40, rows[40][1])] * 2 + [(40, rows[41][1])] + [(1000 + i, rows[5][1]) for i in range(600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = [i for i in range(0, 600, 20) if i != 40]
+    got = op.nearest(vectors, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < 600), 20).collect()
+    assert compared([r for r in got if r["query_id"] != 40], brute(rows, queries, 20), 20) >= 0.9
+    assert all(r["vec_id"] != 40 for r in got if r["query_id"] == 40)
+    ask = spark.createDataFrame([(0, rows[7][1])], "vec_id long, embedding array<double>")
+    best = op.nearest(vectors.union(ask), F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert len(best) == 5
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (None, [1.0, 1.0], 1), (7, [1.0, 2.0, 3.0], 1), (8, [], 1), (20, [1.0, 1.0], 1), (40, [0.5, 0.5], 1)]
