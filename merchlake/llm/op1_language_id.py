@@ -14,10 +14,8 @@ from merchlake.llm.common import small_batches
 #: Characters of one sampled training excerpt, and of one block that is encoded.
 EXCERPT = 1024
 BLOCK = 8192
-#: zstandard level; the fast levels below 5 look for matches that are too long for words.
-LEVEL = 6
-#: Texts of at most so many characters are encoded at a slower level, as faster ones miss matches at the start of a text.
-SHORT, SHORT_LEVEL = 1024, 12
+#: zstandard level for all texts; faster levels miss short matches, above all at the start of a text.
+LEVEL = 12
 #: Bytes of text that the dictionary of a language is made of, at most.
 DICTIONARY_BYTES = 64 * 1024
 #: Rejected if the best encoding saves less than this share of the second best.
@@ -29,11 +27,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
     A dictionary is made of excerpts from anywhere in the texts. Which ones is settled by a hash, at a rate that gives
     about `dictionary_bytes` a language (the documented bound of the sample; what is above it is cut off), so neither
-    large languages nor long texts shift it. Rows without text or language teach nothing; no rows give no languages.
+    large languages nor long texts shift it. Copies of a text count once. Rows without text or language teach nothing;
+    no rows give no languages.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     parts = F.ceil(F.length("text") / F.lit(EXCERPT)).cast("int")
-    sizes = {r["lang"]: r["parts"] for r in rows.groupBy("lang").agg(F.sum(parts).alias("parts")).collect() if r["parts"]}
+    texts = rows.select("lang", F.xxhash64("text").alias("text"), parts.alias("parts")).distinct()
+    sizes = {r["lang"]: r["parts"] for r in texts.groupBy("lang").agg(F.sum("parts").alias("parts")).collect() if r["parts"]}
     if not sizes:
         return {}
     # excerpts may be shorter than EXCERPT at the end of a text: ask for half as many again, and cut
@@ -42,7 +42,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     picked = F.filter(F.sequence(F.lit(0), parts - 1), lambda i: chance(i) < F.element_at(rates, F.col("lang")))
     excerpts = F.transform(picked, lambda i: F.struct(chance(i).alias("at"), F.substring("text", i * EXCERPT + 1, F.lit(EXCERPT)).alias("part")))
     found: dict[str, list] = {}
-    for r in rows.where(parts > 0).select("lang", F.explode(excerpts).alias("e")).select("lang", "e.*").toLocalIterator():
+    for r in rows.where(parts > 0).select("lang", F.explode(excerpts).alias("e")).select("lang", "e.*").distinct().collect():
         found.setdefault(r["lang"], []).append((r["at"], r["part"]))
     out = {}
     for lang in sorted(found):
@@ -54,21 +54,17 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 def _scorer(dictionaries: dict[str, bytes], margin: float):
     """text -> (language, score, whether rejected)."""
 
-    def encoders(level: int) -> tuple[list, zstandard.ZstdCompressor]:
-        out = []
-        for lang in sorted(dictionaries):
-            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            out.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)))
-        return out, zstandard.ZstdCompressor(level=level, write_content_size=False)
-
-    usual, slow = encoders(LEVEL), encoders(SHORT_LEVEL)
+    by_lang = []
+    for lang in sorted(dictionaries):
+        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        by_lang.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
+    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def score(text: str | None) -> tuple[str, float, bool]:
         if text is None or not dictionaries or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         text = text.lower()
-        by_lang, plain = slow if len(text) <= SHORT else usual
         blocks = [text[i : i + BLOCK].encode("utf-8", "replace") for i in range(0, len(text), BLOCK)]
         sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in by_lang)
         second = sizes[1][0] if len(sizes) > 1 else max(sizes[0][0], sum(len(plain.compress(b)) for b in blocks))

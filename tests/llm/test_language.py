@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, defined results for odd texts."""
 
+import zstandard
 from pyspark.sql import functions as F
 
 from merchlake.llm import op1_language_id as op
@@ -37,3 +38,37 @@ def test_sample_is_bounded(spark):
     train = spark.range(3000).select(F.concat_ws(" ", F.array_repeat(F.md5(F.col("id").cast("string").cast("binary")), 60)).alias("text"), F.lit("a").alias("lang"))
     (d,) = op.learn(train, dictionary_bytes=20_000).values()
     assert 10_000 <= len(d) <= 20_000
+
+
+def test_scores_are_those_of_plain_encoding(spark):
+    """Brute force: every whole text encoded with each learned dictionary, the smallest sum wins."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = op.learn(docs.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in op.identify(docs, learned).collect()}
+    for doc, text in docs.select("doc_id", "text").collect():
+        low, sums = (text or "").lower(), {}
+        for lang, dictionary in learned.items():
+            c = zstandard.ZstdCompressor(level=op.LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sums[lang] = sum(len(c.compress(low[i : i + op.BLOCK].encode())) for i in range(0, len(low), op.BLOCK))
+        if not any(map(str.isalpha, low)):
+            assert got[doc] == ("und", 0.0, True)
+            continue
+        best, second = sorted(sums.values())[:2]
+        lang, score, rejected = got[doc]
+        assert sums[lang] == best
+        assert score == 1 - best / second
+        assert rejected == (score < op.MARGIN)
+
+
+def test_ties_and_clashing_columns(spark):
+    same = {lang: b"the same words in all of them " * 40 for lang in ("bb", "aa")}
+    docs = spark.createDataFrame([(1, "the same words", "x", True)], "doc_id long, text string, lang_pred string, rejected boolean")
+    (row,) = op.identify(docs, same).collect()
+    assert (row["lang_pred"], row["score"], row["rejected"]) == ("aa", 0.0, True)
+
+
+def test_copies_of_a_text_count_once(spark):
+    rows = [("one two three four five six seven eight " * 40, "a")] * 400 + [(f"nine {i} ten {i * i} eleven " * 60, "a") for i in range(40)]
+    few = op.learn(spark.createDataFrame(rows, "text string, lang string").repartition(4), dictionary_bytes=16_000)
+    once = op.learn(spark.createDataFrame(list(dict.fromkeys(rows)), "text string, lang string"), dictionary_bytes=16_000)
+    assert few == once
