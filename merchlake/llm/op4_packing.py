@@ -19,7 +19,7 @@ from merchlake.llm.common import Scratch, small_batches
 
 CAPACITY = 2048
 END_ID = 0
-_LONG_RUN = re.compile(r"\S{2000}")
+_LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -28,7 +28,7 @@ def _encoder(path: str):
 
     The file is read by `tokenizers`. Where it is byte-level BPE with the usual splitting, the same ids are had
     several times faster from `tiktoken` with the ranks of the same file; texts that hold a special token's string, or
-    a very long run without white space, always go through `tokenizers`.
+    a very long run without white space or of white space alone, always go through `tokenizers`.
     """
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True

@@ -73,7 +73,7 @@ def test_special_strings_and_long_runs_go_through_the_tokenizer():
     encode = _encoder(VOCABULARY)
     own = Tokenizer.from_file(VOCABULARY)
     own.encode_special_tokens = True
-    for text in ["", "a<|endoftext|>b", "x" * 30_000, " \n\t  z", "日本語 \U0001f600 ĀĂ"]:
+    for text in ["", "a<|endoftext|>b", "x" * 30_000, " \n\t  z", "日本語 \U0001f600 ĀĂ", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, " \t" * 3000 + "x"]:
         assert list(encode(text)) == own.encode(text, add_special_tokens=False).ids
 
 
