@@ -37,17 +37,43 @@ _TOKEN = re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
 _WORD = re.compile(r"\S+")
 _SALTS = np.random.default_rng(33).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 _BAND = np.arange(BANDS, dtype=np.uint64)
+#: A band of more different paragraphs is split: by further MinHash values, of which similar ones share none with probability 0.2 ** SPLITS.
+HOT = 1000
+SPLITS = 8
+_SPLIT_SALTS = np.random.default_rng(34).integers(1, 2**63, SPLITS, dtype=np.uint64) | np.uint64(1)
+_PLACE = np.random.default_rng(35).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _UNITS = "rid long, doc_id {0}, unit int, pos int, words int, start long, end long, k long, bands array<long>, body string"
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    n = max(1, len(words) - SHINGLE + 1)
-    return np.array([xxhash.xxh3_64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(n)], dtype=np.uint64)
+class _Hashes(dict):
+    """64-bit hashes of words, made when first asked for."""
 
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return h
 
-def shingles(words: list[str]) -> np.ndarray:
-    """The different hashes of a paragraph's shingles, sorted; fewer words than a shingle are one shingle."""
-    return np.unique(_hashes(words))
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 400_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _rolled(h: np.ndarray) -> np.ndarray:
+    """The hash of the shingle that begins at each of the word hashes `h`; the last ones are of fewer words."""
+    out = np.zeros(len(h), np.uint64)
+    for i in range(min(SHINGLE, len(h))):
+        out[: len(h) - i] += h[i:] * _PLACE[i]
+    return _mix(out)
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The different hashes of a paragraph's shingles, sorted, from the hashes of its words; fewer words than a shingle are one shingle."""
+    return np.unique(_rolled(words)[: max(1, len(words) - SHINGLE + 1)])
 
 
 def _pieces(h: np.ndarray, words: int) -> list[tuple[int, int]]:
@@ -66,25 +92,28 @@ def _pieces(h: np.ndarray, words: int) -> list[tuple[int, int]]:
     return out
 
 
-def _split(text: str) -> Iterator[tuple[int, int, int, list[str], np.ndarray | None]]:
-    """(unit, start, end, words, shingle hashes) of the units of a text."""
-    for m in _PARAGRAPH.finditer(text):
-        part = m[0]
-        w = part.lower().split()
-        short = len(w) < SHINGLE
-        h = None if short else _hashes(w)
-        yield 2 if short else 0, m.start(), m.end(), w, h
-        dense = not part.isascii() and _IS_DENSE.search(part)
-        if not dense and len(w) <= LONG:
-            continue
-        spans = [t.span() for t in (_TOKEN if dense else _WORD).finditer(part)]
-        if len(spans) <= LONG:
-            continue
-        if dense:
-            w = [part[a:b].lower() for a, b in spans]
-            h = _hashes(w)
-        for a, b in _pieces(h, len(w)):
-            yield 1, m.start() + spans[a][0], m.start() + spans[b - 1][1], w[a:b], h[a : max(a + 1, b - SHINGLE + 1)]
+def _sentences(texts: list[str | None], known: _Hashes) -> tuple[list[tuple], list[str], np.ndarray]:
+    """(text number, unit, start, end, where its words begin, how many) of sentences and short ones; all words and their hashes.
+
+    A long sentence with letters of scripts without spaces comes once more, as unit -1, with these as words: pieces of it only.
+    """
+    found, words, hashes = [], [], []
+
+    def add(i: int, unit: int, start: int, end: int, w: list[str]) -> None:
+        found.append((i, unit, start, end, len(words), len(w)))
+        words.extend(w)
+        hashes.append(known.of(w))
+
+    for i, text in enumerate(texts):
+        for m in _PARAGRAPH.finditer(text or ""):
+            part = m[0]
+            w = part.lower().split()
+            add(i, 2 if len(w) < SHINGLE else 0, m.start(), m.end(), w)
+            if not part.isascii() and _IS_DENSE.search(part):
+                w = [t.lower() for t in _TOKEN.findall(part)]
+                if len(w) > LONG:
+                    add(i, -1, m.start(), m.end(), w)
+    return found, words, np.concatenate([*hashes, np.zeros(0, np.uint64)])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,31 +122,55 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k identifies the set of shingles. Sets of fewer than 4 shingles are as similar as SIMILARITY only if equal, so they
     have no bands and no body.
     """
+    known = _Hashes()
     for batch in batches:
-        of, kind, pos, words, start, end, keys, bands, body = ([] for _ in range(9))
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            number = [0] * len(UNITS)
-            for unit, at, to, w, h in _split(text or ""):
-                s = None if h is None else np.unique(h)
-                long = s is not None and len(s) >= 4
-                k = xxhash.xxh3_64_intdigest(" ".join(w) if s is None else s.tobytes()) ^ int(_APART[unit])
-                values = (i, unit, number[unit], len(w), at, to, k, ((s[:, None] * _SALTS).min(0) ^ _BAND ^ _APART[unit]).tolist() if long else None, " ".join(w) if long else None)
-                for column, value in zip((of, kind, pos, words, start, end, keys, bands, body), values, strict=True):
-                    column.append(value)
-                number[unit] += 1
-        signed = pa.array(np.array(keys, np.uint64).view(np.int64))
-        flat = np.array([b for bs in bands if bs for b in bs], np.uint64).view(np.int64)
-        ends = np.cumsum([0, *(len(bs) if bs else 0 for bs in bands)])
-        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-        take = pa.array(of, pa.int64())
-        yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind, pa.int32()), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), signed, listed, pa.array(body, pa.string())], names=["rid", "doc_id", "unit", "pos", "words", "start", "end", "k", "bands", "body"])
-
-
-def _similar(members: dict[int, str]) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links among paragraphs (k: body), each link verified by exact Jaccard similarity.
+        texts = batch.column(2).to_pylist()
+        found, words, hashes = _sentences(texts, known)
+        # a short unit ends before its shingle does, so it is hashed by itself
+        rolled, units = _rolled(hashes), []
+        for n, (i, unit, start, end, at, size) in enumerate(found):
+            if unit >= 0:
+                units.append((i, unit, start, end, at, size))
+            dense = unit < 0
+            if unit == 2 or size <= LONG or (not dense and n + 1 < len(found) and found[n + 1][1] < 0):
+                continue
+            spans = [(start + t.start(), start + t.end()) for t in (_TOKEN if dense else _WORD).finditer(texts[i][start:end])]
+            for a, b in _pieces(rolled[at : at + size - SHINGLE + 1], size):
+                units.append((i, 1, spans[a][0], spans[b - 1][1], at + a, b - a))
+        if not units:
+            continue
+        of, kind, start, end, at, size = (np.array(c, np.int64) for c in zip(*units, strict=True))
+        count = np.maximum(1, size - SHINGLE + 1)
+        first = np.cumsum(count) - count
+        unit_of = np.repeat(np.arange(len(units)), count)
+        h = rolled[np.repeat(at - first, count) + np.arange(len(unit_of))]
+        for u in np.flatnonzero(size < SHINGLE).tolist():
+            h[first[u]] = _rolled(hashes[at[u] : at[u] + size[u]])[0] ^ np.uint64(size[u])
+        order = np.lexsort((h, unit_of))
+        h, unit_of = h[order], unit_of[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (unit_of[1:] != unit_of[:-1])])
+        h, unit_of = h[new], unit_of[new]
+        first = np.searchsorted(unit_of, np.arange(len(units)))
+        different = np.diff(np.append(first, len(h)))
+        keys = _mix(np.add.reduceat(_mix(h * _PLACE[0]), first) + different.astype(np.uint64) * _PLACE[1]) ^ _APART[kind]
+        long = (different >= 4) & (size >= SHINGLE)
+        bands = np.stack([np.minimum.reduceat(h * salt, first) for salt in _SALTS], 1) ^ _BAND ^ _APART[kind][:, None]
+        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(BANDS * long)]), pa.int32()), pa.array(bands[long].ravel().view(np.int64)))
+        body = [" ".join(words[a : a + n]) if keep else None for a, n, keep in zip(at.tolist(), size.tolist(), long.tolist(), strict=True)]
+        # numbers within kind and text: units of a text come in the order of their starts
+        group = np.lexsort((np.arange(len(units)), kind, of))
+        edge = np.concatenate([[True], (of[group][1:] != of[group][:-1]) | (kind[group][1:] != kind[group][:-1])])
+        pos = np.empty(len(units), np.int32)
+        pos[group] = np.arange(len(units)) - np.maximum.accumulate(np.where(edge, np.arange(len(units)), 0))
+        take = pa.array(of)
+        yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind.astype(np.int32)), pa.array(pos), pa.array(size.astype(np.int32)), pa.array(start), pa.array(end), pa.array(keys.view(np.int64)), listed, pa.array(body, pa.string())], names=["rid", "doc_id", "unit", "pos", "words", "start", "end", "k", "bands", "body"])
+
+
+def _similar(members: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links among paragraphs (k: shingles), each link verified by exact Jaccard similarity.
 
     Sets so similar share one of the first shingles, in any fixed order, of a fifth of each and one; so only members
-    that do are compared, and only if no link joins them yet.
+    that do are compared, and only if no link joins them yet: those that links join stand together and are passed over.
     """
     up: dict[int, int] = {}
 
@@ -128,22 +181,29 @@ def _similar(members: dict[int, str]) -> Iterator[tuple[int, int]]:
 
     sets, index = {}, {}
     for k in sorted(members):
-        s = shingles(members[k].split())
-        sets[k] = set(s.tolist())
+        s = members[k]
+        a = sets[k] = set(s.tolist())
         for e in s[: len(s) - int(np.ceil(SIMILARITY * len(s))) + 1].tolist():
-            for other in index.get(e, ()):
-                if top(k) != top(other):
-                    a, b = sets[k], sets[other]
-                    both = len(a & b)
+            groups = index.setdefault(e, {})
+            for root in list(groups):
+                if (now := top(root)) != root:
+                    groups.setdefault(now, []).extend(groups.pop(root))
+            for root, others in list(groups.items()):
+                if top(k) == top(root):
+                    continue
+                for other in others:
+                    b = sets[other]
+                    both = len(a & b) if SIMILARITY * len(b) <= len(a) <= len(b) / SIMILARITY else 0
                     if both >= SIMILARITY * (len(a) + len(b) - both):
                         up[top(k)] = top(other)
                         yield k, other
-            index.setdefault(e, []).append(k)
+                        break
+            groups.setdefault(top(k), []).append(k)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links found in rows (band, k, body) sorted by band; one band value's different paragraphs are held at a time."""
-    band, members = None, {}
+    band, members, known = None, {}, _Hashes()
     for batch in batches:
         out: list[tuple[int, int]] = []
         for b, k, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -151,13 +211,28 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(members) > 1:
                     out += _similar(members)
                 band, members = b, {}
-            members[k] = body
+            members[k] = shingles(known.of(body.split(" ")))
         yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
     if len(members) > 1:
         out = list(_similar(members))
         yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, k, body) from rows (band, k, body, hot): those of hot bands under SPLITS narrower ones each."""
+    known = _Hashes()
+    for batch in batches:
+        hot = batch.column(3).to_numpy(zero_copy_only=False)
+        times = np.where(hot, SPLITS, 1)
+        bands = np.repeat(batch.column(0).to_numpy().view(np.uint64), times)
+        if hot.any():
+            least = [(shingles(known.of(body.split(" ")))[:, None] * _SPLIT_SALTS).min(0) for body in batch.column(2).filter(pa.array(hot)).to_pylist()]
+            at = np.repeat(hot, times)
+            bands[at] = _mix(bands[at] * _PLACE[3] + np.concatenate(least) + np.tile(np.arange(SPLITS, dtype=np.uint64) * _PLACE[2], len(least)))
+        take = pa.array(np.repeat(np.arange(len(hot)), times))
+        yield pa.record_batch([pa.array(bands.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["band", "k", "body"])
+
+
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Long repeated passages of `docs`: the sentences of `repeated_paragraphs` in runs of `run_words` words or more.
 
@@ -178,7 +253,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Jaccard similarity and linked (short ones are equal or not); components follow links. A unit is repeated if its
     component has two or more occurrences; each such one has a row: its number in the document among its kind, its place
     in code points, `component` (an identifier), the least doc_id in the component, whether it is removed (all but the
-    first by doc_id and number are), and the words of the unbroken run of repeated units of its kind and document that
+    first by doc_id, row and number are), and the words of the unbroken run of repeated units of its kind and row that
     it stands in.
     Null texts have none. Null ids come first, and are a component's id only if all its ids are null. Repeated rows
     are occurrences of their own. Other columns play no part; an empty table gives an empty result.
@@ -186,17 +261,20 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "paragraphs")
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # a number for each row; units are written, so it stays the same
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     units = scratch.keep(rows.mapInArrow(_units, _UNITS.format(kind)), "units")
 
-    banded = units.where("body is not null").select("k", F.explode("bands").alias("band"))
+    # one row for each different paragraph, however many copies there are
+    keys = scratch.keep(units.where("body is not null").select("k", "bands").distinct(), "keys")
+    banded = keys.select("k", F.explode("bands").alias("band"))
     # bands of several paragraphs are written first: the shuffle that found them goes before the next one comes, and
     # the join below stands right on two shuffles, so a very common band can be split among tasks
-    shared = scratch.keep(banded.groupBy("band").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 != k1").select("band"), "shared")
+    shared = scratch.keep(banded.groupBy("band").count().where("count > 1"), "shared")
     scratch.free()
-    met = scratch.keep(banded.join(shared, "band"), "met")
-    scratch.drop(shared)
+    met = scratch.keep(banded.join(shared, "band").select("band", "k", (F.col("count") > HOT).alias("hot")), "met")
+    scratch.drop(shared, keys)
     del banded, shared
     scratch.free()
     wanted = met.select("k").distinct()
@@ -209,8 +287,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         del half_bodies
         scratch.free()
     bodies = halves[0].union(halves[1])
-    small_batches(spark)
-    edges = met.distinct().join(bodies, "k").select("band", "k", "body").repartition("band").sortWithinPartitions("band", "k").mapInArrow(_links, "a long, b long")
+    pairs = met.join(bodies, "k").select("band", "k", "body", "hot").mapInArrow(_narrowed, "band long, k long, body string")
+    edges = pairs.repartition("band").sortWithinPartitions("band", "k").mapInArrow(_links, "a long, b long")
     roots = connected_components(spark, edges, scratch)
     scratch.drop(met, *halves)
 
@@ -223,7 +301,6 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     flags = scratch.keep(named.select("k", "component").join(groups.drop("n"), "component"), "flags")
     hits = scratch.keep(units.drop("bands", "body").join(flags, "k").withColumn("removed", place != F.col("first")).drop("k", "first"), "hits")
     scratch.drop(units)
-    in_doc = Window.partitionBy("rid", "unit").orderBy("pos")
-    run = hits.withColumn("run", F.col("pos") - F.dense_rank().over(in_doc)).withColumn("copies", F.count("*").over(Window.partitionBy("rid", "unit", "pos")))
-    in_run = F.round(F.sum(F.col("words") / F.col("copies")).over(Window.partitionBy("rid", "unit", "run"))).cast("long")
+    run = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("rid", "unit").orderBy("pos")))
+    in_run = F.sum("words").over(Window.partitionBy("rid", "unit", "run"))
     return run.select("doc_id", F.get(F.array(*[F.lit(u) for u in UNITS]), F.col("unit")).alias("unit"), F.col("pos").alias("paragraph"), "start", "end", "words", "component", "component_doc_id", "removed", in_run.alias("run_words"))

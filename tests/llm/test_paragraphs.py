@@ -112,3 +112,36 @@ def test_pieces_and_short_units(spark):
     assert at(6) == at(7) == ["All rights reserved."] and at(5) == at(9) == []
     assert {(r["doc_id"], r["unit"], r["removed"]) for r in got if r["doc_id"] < 8} == {(n, u, n in (2, 4, 7)) for n, u in ((1, "piece"), (2, "piece"), (3, "piece"), (4, "piece"), (6, "short"), (7, "short"))}
     assert repeated_paragraphs(docs.where("doc_id < 8")).where("unit = 'sentence'").count() == 0
+
+
+def test_rows_that_are_there_more_than_once(spark):
+    from merchlake.llm.op3_paragraphs import repeated_paragraphs
+
+    t = " ".join(f"x{i}" for i in range(30)) + "."
+    got = repeated_paragraphs(spark.createDataFrame([(1, t)] * 3, "doc_id long, text string").repartition(2)).where("unit = 'sentence'").collect()
+    assert sorted(r["removed"] for r in got) == [False, True, True]
+    assert all((r["words"], r["run_words"], r["doc_id"]) == (30, 30, 1) for r in got)
+
+
+def test_common_bands_are_split(spark, monkeypatch):
+    """Paragraphs that share a band with many others are still found."""
+    from merchlake.llm import op3_paragraphs as op
+
+    rows = [(i, "these five words stand here " + " ".join(f"w{i}x{j}" for j in range(12)) + ".") for i in range(300)]
+    rows += [(1000 + i, t[:-1] + " more.") for i, t in rows[::3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(op, "HOT", 1 << 40)
+    usual = sorted(map(tuple, op.repeated_paragraphs(docs).drop("component").collect()))
+    monkeypatch.setattr(op, "HOT", 20)
+    assert sorted(map(tuple, op.repeated_paragraphs(docs).drop("component").collect())) == usual
+    assert len(usual) >= 2 * 97
+
+
+def test_very_long_text(spark):
+    from merchlake.llm.op3_paragraphs import repeated_paragraphs
+
+    passage = " ".join(f"p{i}" for i in range(80)) + "."
+    long = " ".join(f"n{i} n{i * 7} n{i * i}." if i % 5 == 0 else f"n{i}" for i in range(150_000)) + "\n"
+    docs = spark.createDataFrame([(1, long + passage), (2, passage)], "doc_id long, text string")
+    got = repeated_paragraphs(docs).where("unit = 'sentence'").collect()
+    assert sorted((r["doc_id"], r["words"], r["removed"]) for r in got) == [(1, 80, False), (2, 80, True)]
