@@ -86,7 +86,7 @@ class _Grams:
 
 
 def _bundled(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """The rows of the first pass from rows (rid, text)."""
+    """The rows of the first pass from rows (rid, zipped text)."""
     grams = _Grams(window, gram)
 
     def rows(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -105,10 +105,10 @@ def _bundled(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
         kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
         return pa.record_batch([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(out, kinds, strict=True)], names=["digit", "whole", "rid", "at", "n", "mark"])
 
-    parts, size = [], 0
+    parts, size, unzip = [], 0, zstandard.ZstdDecompressor()
     for batch in batches:
-        for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            text = text.as_py() or b""
+        for rid, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = unzip.decompress(z.as_py())
             for base in range(0, max(1, len(text) - window + 1), SEGMENT):
                 parts.append((rid, base, text[base : base + SEGMENT + window - 1]))
                 size += len(parts[-1][2])
@@ -197,13 +197,16 @@ def _on_strings(rows: DataFrame, window: int, block: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(rid, at, n): runs of positions of `rows` (rid, text) whose windows repeat; together, all such positions."""
+    """(rid, at, n): runs of positions of `rows` (rid, z: the zipped text) whose windows repeat; together, all such positions.
+
+    rid is another one for each row, so a text that is there many times is that many texts, and none gathers in a task.
+    """
     bundles = scratch.keep(rows.mapInArrow(lambda it: _bundled(it, window, gram), _ROWS), "bundles")
     settled, todo = _pass(bundles, scratch)
     scratch.drop(bundles)
     scratch.free()
     lists = todo.groupBy("rid").agg(F.collect_list(F.struct("at", "n", "mark")).alias("todo"))
-    zipped = rows.select("rid", _zip("text").alias("z")).join(lists, "rid")
+    zipped = rows.join(lists, "rid")
     strings = scratch.keep(zipped.mapInArrow(lambda it: _strings(it, window), _STRINGS), "strings")
     by_block, todo = _pass(scratch.keep(_on_strings(strings, window, BLOCK), "blocks"), scratch)
     lo = F.floor(F.col("mark") / MARK).cast("int")
@@ -245,14 +248,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     else, in the same text or another, is removed; strings are judged on the input. n_spans counts maximal removed
     runs. Rows that agree in id and text are separate texts, so each is a repeat of the other. Null ids are ids like
     any other; other columns play no part; an empty table gives an empty result. Texts of any length are taken in
-    segments. Rows are told apart by a 64-bit hash of id and text, strings by 128 bits.
+    segments. Strings are told apart by 128 bits of hashes.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "substrings")
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_spans(rows.select("rid", "text"), scratch, window, gram)
+    # written before they are read again, so a row keeps its number
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), _zip(text_col).alias("z")), "texts")
+    found = repeated_spans(rows.select("rid", "z"), scratch, window, gram)
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    zipped = rows.select("rid", "doc_id", _zip("text").alias("z")).join(spans, "rid", "left").select("doc_id", "z", "spans")
+    zipped = rows.join(spans, "rid", "left").select("doc_id", "z", "spans")
     kind = zipped.schema["doc_id"].dataType.simpleString()
     return zipped.mapInArrow(lambda it: _kept(it, window), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

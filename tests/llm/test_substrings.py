@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+import zstandard
 
 from merchlake.llm import op2_substrings as op
 
@@ -58,7 +59,7 @@ def test_long_texts_are_cut_into_segments():
 
     rng = random.Random(9)
     text = "".join(rng.choices("abcdefgh ", k=3000))
-    whole = pa.record_batch([pa.array([1]), pa.array([text])], names=["rid", "text"])
+    whole = pa.record_batch([pa.array([1]), pa.array([zstandard.ZstdCompressor().compress(text.encode())])], names=["rid", "z"])
 
     def positions(segment):
         old, op.SEGMENT = op.SEGMENT, segment
@@ -74,3 +75,16 @@ def test_edge_tables(spark):
     docs = spark.createDataFrame([(1, "short", "x")], "doc_id long, text string, kept string")
     assert result(op.remove_repeats(docs)) == brute([(1, "short")], 200)
     assert op.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_many_equal_rows_and_long_texts(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcdefgh ", k=3_000_000))
+    part = long[1_500_000:1_500_900]
+    rows = [(7, part)] * 5000 + [(8, long), (9, long[2_097_000:2_097_600] + "z"), (10, part + "tail"), (11, "x" + long[-700:])]
+    got = {r[0]: r[1:] for r in result(op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got["7"] == (900, 900, 1, empty) and got["9"] == (601, 600, 1, hashlib.sha256(b"z").hexdigest())
+    assert got["10"] == (904, 900, 1, hashlib.sha256(b"tail").hexdigest()) and got["11"] == (701, 700, 1, hashlib.sha256(b"x").hexdigest())
+    kept = long[:1_500_000] + long[1_500_900:2_097_000] + long[2_097_600:-700]
+    assert got["8"] == (3_000_000, 2200, 3, hashlib.sha256(kept.encode()).hexdigest())
