@@ -14,9 +14,11 @@ BATCH_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: spark.checkpoint.dir of the session, a local one only where that is unset."""
+    """The shared folder for scratch tables: spark.checkpoint.dir of the session; a local one only where that is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="merchlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -11,8 +11,8 @@ from merchlake.llm.common import Scratch
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of finish times for each unit of it; a source's shuffled order has 4096 groups, by three hex digits of the key.
-RANGES = 2048
+#: Rows in a range of finish times and in a group of a source's shuffled order, about; so both grow in number with the table.
+RANGE_ROWS, GROUP_ROWS = 4_096, 4_096
 
 
 def word_count(text: Column) -> Column:
@@ -70,7 +70,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     extra = [] if identity is None else [identity.alias("identity")]
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *extra)
     d = d.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    d = scratch.keep(d.withColumn("grp", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
+    d = scratch.keep(d)
+    n = d.count()
+    digits = min(12, 3 + max(0, math.ceil(math.log(max(1, n / GROUP_ROWS / 4096), 16))))
+    ranges = max(2048, -(-n // RANGE_ROWS))
+    d = d.withColumn("grp", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"))
 
     words = scratch.keep(d.groupBy("source", "grp").agg(F.sum("size").alias("words")))
     before = Window.partitionBy("source").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     d = d.withColumn("inside", F.sum("size").over(within))
     d = d.join(starts, F.col("source").eqNullSafe(F.col("s1")) & (F.col("grp") == F.col("g1"))).drop("s1", "g1")
 
-    passes = [F.struct(finish.alias("finish"), F.least(F.floor(finish * F.lit(float(RANGES))), F.lit(8 * RANGES)).alias("range"), tie.alias("tie")) for finish, tie in (_pass(n) for n in range(math.ceil(most)))]
+    passes = [F.struct(finish.alias("finish"), F.least(F.floor(finish * F.lit(float(ranges))), F.lit(8 * ranges)).alias("range"), tie.alias("tie")) for finish, tie in (_pass(n) for n in range(math.ceil(most)))]
     d = scratch.keep(d.select("doc_id", "source", "size", "source_size", "target", *(["identity"] if extra else []), F.array(*passes).alias("passes")))
 
     each = d.where("size > 0").select("size", F.explode("passes").alias("p")).select("size", "p.*")
@@ -90,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     budget = budget * float(share)
     end = running.where(F.col("upto") > budget).orderBy("range").first()
     if end is None:
-        cut_range, cut_finish, cut_tie = 8 * RANGES + 1, 0.0, ""
+        cut_range, cut_finish, cut_tie = 8 * ranges + 1, 0.0, ""
     else:
         last = each.where(F.col("range") == end["range"]).select("finish", "tie", F.sum("size").over(Window.partitionBy("range").orderBy("finish", "tie")).alias("upto"))
         cut = last.where(F.col("upto") + (end["upto"] - end["words"]) <= budget).orderBy(F.desc("finish"), F.desc("tie")).first()

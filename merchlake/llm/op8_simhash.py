@@ -133,9 +133,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "simhash")
     extra = [] if identity is None else [identity.alias("identity")]
     rows = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), *extra), "rows")
-    small_batches(spark)
     distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    keys = distinct.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
+    # a small table makes many rows: as many tasks as the shuffle has partitions
+    spread = distinct.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = spread.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
     met = keys.repartition("key").sortWithinPartitions("key")
     edges = met.mapInArrow(lambda it: _links(it, RADIUS), "a long, b long")
     roots = connected_components(spark, edges, scratch)
