@@ -97,7 +97,7 @@ def brands_by_letter(catalog: DataFrame) -> DataFrame:
 
 def details(phones: DataFrame, listings: DataFrame, stores: DataFrame) -> DataFrame:
     """A row a product: cheapest positive listing, whether any store has it, and its stores."""
-    offers = listings.join(F.broadcast(stores), "store_id")
+    offers = listings.join(stores, "store_id")
     found = offers.groupBy("phone_id").agg(
         F.min(F.when(c("price") > 0, c("price"))).alias("lowest"), F.bool_or("in_stock").alias("available"), F.count("*").alias("listings"), F.count_distinct("store_id").alias("stores")
     )

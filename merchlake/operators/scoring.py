@@ -200,7 +200,7 @@ def reason(priorities: list[str]) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^d", "D"), "^f", "F")
 
 
-#: What speaks for and against a product: (score, bound, sentence).
+#: Sentences that speak for and against a product, by score.
 FOR = [
     (["camera"], "High-resolution camera system with clear optics"),
     (["gaming", "performance"], "Strong processor performance suitable for heavy gaming and multitasking"),

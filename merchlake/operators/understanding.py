@@ -25,22 +25,37 @@ def _any(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 
 
-def scope(message: Column) -> Column:
-    """The scope of a message; noise first, then the domain, greetings, small talk, other topics."""
+def _scopes(message: Column) -> list[tuple[Column, str, float]]:
+    """(condition, scope, confidence) in order: noise first, then the domain, greetings, small talk, other topics."""
     clean = F.trim(F.coalesce(message, F.lit("")))
     low = F.lower(clean)
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\w+"), F.lit(0)))
     smashed = (F.size(words) == 1) & (F.length(clean) > 8) & (F.size(F.array_distinct(F.split(clean, ""))) < 4)
     domain = F.arrays_overlap(words, F.array(*[F.lit(w) for w in [*V.SCOPE_BRANDS, *V.SCOPE_WORDS]])) | _any(low, V.SCOPE_PATTERNS)
-    return T.ladder([
-        ((F.length(clean) < 2) | smashed, "UNKNOWN"),
-        (domain, "PHONE_DOMAIN"),
-        (low.rlike(V.GREETING) & (F.size(words) <= 5), "GENERAL_GREETING"),
-        (_any(low, V.SMALL_TALK) & (F.size(words) <= 7), "SMALL_TALK"),
-        (_any(low, V.UNRELATED) | low.rlike(V.QUESTION_START), "UNRELATED"),
-    ], "UNKNOWN")
+    return [
+        (F.coalesce(message, F.lit("")) == "", "UNKNOWN", 1.0),
+        ((F.length(clean) < 2) | smashed, "UNKNOWN", 0.9),
+        (domain, "PHONE_DOMAIN", 0.95),
+        (low.rlike(V.GREETING) & (F.size(words) <= 5), "GENERAL_GREETING", 0.95),
+        (_any(low, V.SMALL_TALK) & (F.size(words) <= 7), "SMALL_TALK", 0.95),
+        (_any(low, V.UNRELATED), "UNRELATED", 0.95),
+        (low.rlike(V.QUESTION_START), "UNRELATED", 0.85),
+        (F.size(words) == 1, "UNKNOWN", 0.8),
+        (F.lit(True), "UNKNOWN", 0.7),
+    ]
+
+
+def scope(message: Column) -> Column:
+    """The scope of a message."""
+    return T.ladder([(condition, name) for condition, name, _ in _scopes(message)], F.lit(None).cast("string"))
 
 
+def scope_confidence(message: Column) -> Column:
+    """How sure the scope of a message is."""
+    return T.ladder([(condition, sure) for condition, _, sure in _scopes(message)], F.lit(None).cast("double"))
+
+
+# Patterns of budgets
 _UPPER = r"\b(?:under|below|less\s+than|within|max(?:imum)?|upto|up\s+to|cheap(?:er)?\s+than)\s*(\d+(?:\.\d+)?)\s*(k|thousand)?\b"
 _LOWER = r"\b(?:above|over|more\s+than|min(?:imum)?|start(?:ing)?\s+from)\s*(\d+(?:\.\d+)?)\s*(k|thousand)?\b"
 _RANGE = r"\b(?:between\s+)?(\d+(?:\.\d+)?)\s*(k|thousand)?\s*(?:and|to|-)\s*(\d+(?:\.\d+)?)\s*(k|thousand)?\b"
@@ -92,11 +107,16 @@ def with_intent(queries: DataFrame, text: str = "text") -> DataFrame:
         "general": F.when(reduce(lambda a, b: a | b, [q.startswith(g) for g in V.INTENT_WORDS["general"]]) | (F.size(F.split(q, r"\s+")) <= 2), 1),
     }
     scored = F.array(*[F.struct(F.coalesce(p, F.lit(0)).alias("points"), F.lit(-i).alias("order"), F.lit(n).alias("intent")) for i, (n, p) in enumerate(points.items())])
-    df = df.withColumn("_s", F.sort_array(scored, asc=False))
-    first, second = c("_s")[0], c("_s")[1]
-    intent = T.ladder([(first["points"] == 0, "general"), ((first["points"] == second["points"]) & (first["points"] >= 2), "mixed")], first["intent"])
-    confidence = F.when(first["points"] == 0, 0.5).otherwise(F.least(0.5 + 0.1 * first["points"], F.lit(0.9)))
-    return df.withColumns({"intent": intent, "confidence": F.round(confidence, 6)}).drop("_s")
+
+    def settled(best: Column) -> Column:
+        first, second = best[0], best[1]
+        intent = T.ladder([(first["points"] == 0, "general"), ((first["points"] == second["points"]) & (first["points"] >= 2), "mixed")], first["intent"])
+        confidence = F.when(first["points"] == 0, 0.5).otherwise(F.least(0.5 + 0.1 * first["points"], F.lit(0.9)))
+        return F.struct(intent.alias("intent"), F.round(confidence, 6).alias("confidence"))
+
+    # inside a lambda the points are made once, and their many word tests stay out of one huge generated method
+    df = df.withColumn("_r", F.transform(F.array(F.sort_array(scored, asc=False)), settled)[0])
+    return df.withColumns({"intent": c("_r.intent"), "confidence": c("_r.confidence")}).drop("_r")
 
 
 def with_plan(classified: DataFrame) -> DataFrame:

@@ -178,17 +178,35 @@ def price_recommendation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # entities
 
-_NAMES = [(1, "Samsung small ring iPhone 16 Pro"), (2, "ring pixel 9"), (3, "xiaomi widget note"), (4, "nothing like it"), (5, "Apple Z Flip 6 ring"), (6, "!!!")]
+_NAMES = [(1, "Samsung small ring iPhone 16 Pro"), (2, "ring pixel 9"), (3, "xiaomi widget note"), (4, "nothing like it"), (5, "Apple Z Flip 6 ring"), (6, "!!!"), (7, "google"), (8, "vivo zzz ring"), (9, " ")]
 
 
-@query(_P + f""", n AS (SELECT unnest([{', '.join(str(i) for i, _ in _NAMES)}]) AS name_id, unnest([{', '.join(repr(n) for _, n in _NAMES)}]) AS name),
-ns AS (SELECT *, {_SLUG('name')} AS ns FROM n), ps AS (SELECT id, brand, price_min, name AS p_name, {_SLUG('name')} AS ps FROM phones),
-m AS (SELECT name_id, ns.name, id, price_min, CASE WHEN ps = ns THEN 1 WHEN contains(ps, ns) THEN 2 WHEN contains(lower(ns.name), lower(brand)) AND len(list_filter(string_split(ns, '-'), lambda w: length(w) > 1 AND contains(ps, w))) >= 2 THEN 3 WHEN contains(lower(p_name), lower(ns.name)) THEN 4 END AS stage FROM ns, ps WHERE ns <> '')
-SELECT name_id, name, id, stage FROM m WHERE stage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY stage, price_min DESC NULLS LAST, id) = 1""")
+def resolved_sql(names: str, order: str) -> str:
+    """CTEs that end in `met`: name_id, name, id, stage; from a CTE `names` (name_id, name) and `phones`."""
+    tests = {"slug": "ps = ns", "brand": "lower(brand) = lower(n.name)", "name_part": "contains(lower(p_name), lower(n.name))", "slug_part": "contains(ps, ns)", "tokens": "(lower(brand) = head AND hits > 0)"}
+    stage = " ".join(f"WHEN {tests[kind]} THEN {i + 1}" for i, kind in enumerate(E.STAGES[order]))
+    tokens = E.STAGES[order].index("tokens") + 1
+    return f"""ns AS (SELECT name_id, trim(name) AS name, {_SLUG('trim(name)')} AS ns, lower(split_part(trim(name), ' ', 1)) AS head, CASE WHEN contains(trim(name), ' ') THEN list_filter(string_split({_SLUG("regexp_replace(trim(name), '^[^ ]+ *', '')")}, '-'), lambda w: length(w) > 1) ELSE [] END AS words FROM {names}),
+ps AS (SELECT id, brand, price_min, name AS p_name, {_SLUG('name')} AS ps FROM phones),
+np AS (SELECT n.name_id, n.name, n.ns, n.head, ps.*, len(list_filter(words, lambda w: contains(ps, w))) AS hits FROM ns n, ps WHERE n.ns <> ''),
+staged AS (SELECT *, CASE {stage} END AS stage FROM np n),
+met AS (SELECT name_id, name, id, stage FROM staged WHERE stage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name_id ORDER BY stage, CASE WHEN stage = {tokens} THEN hits ELSE 0 END DESC, price_min DESC NULLS LAST, id) = 1)"""
+
+
+_N = f"{_P}, names AS (SELECT unnest([{', '.join(str(i) for i, _ in _NAMES)}]) AS name_id, unnest([{', '.join(repr(n) for _, n in _NAMES)}]) AS name)"
+
+
+@query(f"{_N}, {resolved_sql('names', 'lookup')} SELECT * FROM met")
 def resolve_name_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.resolve(spark.createDataFrame(_NAMES, "name_id int, name string"), phones(spark, sf_dir))
 
 
+@query(f"{_N}, {resolved_sql('names', 'compare')} SELECT * FROM met")
+def resolve_name_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.resolve(spark.createDataFrame(_NAMES, "name_id int, name string"), phones(spark, sf_dir), "compare")
+
+
+
 def _clean_sql(x: str) -> str:
     x = f"CASE WHEN starts_with(lower(trim({x})), lower(trim(brand))) THEN trim(substr(lower(trim({x})), length(trim(brand)) + 1)) ELSE lower(trim({x})) END"
     for noise in E.NAME_NOISE:

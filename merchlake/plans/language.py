@@ -46,10 +46,16 @@ def _word(x: str, words: list[str]) -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
-@query(_M + rf""", w AS (SELECT *, trim(text) AS t, lower(trim(text)) AS l, list_distinct(regexp_extract_all(lower(trim(text)), '\w+')) AS ws FROM m)
-SELECT query_id, CASE WHEN length(t) < 2 OR (len(ws) = 1 AND length(t) > 8 AND len(list_distinct(string_split(t, ''))) < 4) THEN 'UNKNOWN'
-WHEN list_has_any(ws, {_list([*V.SCOPE_BRANDS, *V.SCOPE_WORDS])}) OR {_any('l', V.SCOPE_PATTERNS)} THEN 'PHONE_DOMAIN' WHEN regexp_matches(l, '{V.GREETING}') AND len(ws) <= 5 THEN 'GENERAL_GREETING'
-WHEN {_any('l', V.SMALL_TALK)} AND len(ws) <= 7 THEN 'SMALL_TALK' WHEN {_any('l', V.UNRELATED)} OR regexp_matches(l, '{V.QUESTION_START}') THEN 'UNRELATED' ELSE 'UNKNOWN' END AS scope FROM w""")
+_SCOPES = [
+    ("coalesce(text, '') = ''", "UNKNOWN", 1.0), ("length(t) < 2 OR (len(ws) = 1 AND length(t) > 8 AND len(list_distinct(string_split(t, ''))) < 4)", "UNKNOWN", 0.9),
+    (f"list_has_any(ws, {_list([*V.SCOPE_BRANDS, *V.SCOPE_WORDS])}) OR {_any('l', V.SCOPE_PATTERNS)}", "PHONE_DOMAIN", 0.95), (f"regexp_matches(l, '{V.GREETING}') AND len(ws) <= 5", "GENERAL_GREETING", 0.95),
+    (f"{_any('l', V.SMALL_TALK)} AND len(ws) <= 7", "SMALL_TALK", 0.95), (_any("l", V.UNRELATED), "UNRELATED", 0.95), (f"regexp_matches(l, '{V.QUESTION_START}')", "UNRELATED", 0.85), ("len(ws) = 1", "UNKNOWN", 0.8), ("true", "UNKNOWN", 0.7),
+]
+SCOPED_SQL = _M + rf""", w AS (SELECT *, trim(text) AS t, lower(trim(text)) AS l, list_distinct(regexp_extract_all(lower(trim(text)), '\w+')) AS ws FROM m),
+sc AS (SELECT query_id, text, CASE {' '.join(f"WHEN {x} THEN '{n}'" for x, n, _ in _SCOPES)} END AS scope, CASE {' '.join(f"WHEN {x} THEN {v}::DOUBLE" for x, _, v in _SCOPES)} END AS confidence FROM w)"""
+
+
+@query(SCOPED_SQL + " SELECT query_id, scope FROM sc")
 def nlu_scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark).select("query_id", U.scope(c("text")).alias("scope"))
 
@@ -146,6 +152,40 @@ def spec_fields_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fields_long(phones(spark, sf_dir))
 
 
+_flat = lambda x: rf"trim(regexp_replace(nullif(trim({x}), ''), '\s+', ' ', 'g'))"
+_first_of = lambda x: rf"coalesce(nullif(regexp_extract({_flat(x)}, '^(.*?[.!?])\s', 1), ''), {_flat(x)})"
+_sentence = lambda x: f"(CASE WHEN length({_first_of(x)}) <= 140 THEN {_first_of(x)} ELSE rtrim({_first_of(x)}[:139]) || '…' END)"
+_blank = lambda x: f"nullif(trim({x}), '')"
+_field = lambda key, value, display, source, summary="''": f"SELECT id, '{key}' AS field, '{S.LABELS[key]}' AS label, ({value})::VARCHAR AS value, {display} AS display, {source} AS source, coalesce({summary}, '') AS summary FROM phones"
+_count = lambda key, value, unit, other="NULL": _field(key, value, f"coalesce({value} || '{unit}', {other}, '{S.MISSING}')", f"CASE WHEN {value} IS NOT NULL THEN 'parsed' WHEN {other} IS NOT NULL THEN 'text' ELSE 'unknown' END")
+_plain = lambda key, x: _field(key, "NULL", f"coalesce({_sentence(x)}, '{S.MISSING}')", f"CASE WHEN {_blank(x)} IS NOT NULL THEN 'text' ELSE 'unknown' END")
+_feature = lambda key, x: _field(key, x, f"CASE WHEN {x} THEN '{S.YES}' WHEN NOT ({x}) THEN '{S.NO}' ELSE '{S.UNKNOWN}' END", f"CASE WHEN ({x}) IS NOT NULL THEN 'checked' ELSE 'unknown' END")
+
+
+def _bits(key: str, bits: list[str], x: str) -> str:
+    known = f"list_filter([{', '.join(bits)}], lambda b: b IS NOT NULL)"
+    return _field(key, "NULL", f"CASE WHEN len({known}) > 0 THEN array_to_string({known}, ', ') ELSE coalesce({_sentence(x)}, '{S.MISSING}') END", f"CASE WHEN len({known}) > 0 THEN 'parsed' WHEN {_blank(x)} IS NOT NULL THEN 'text' ELSE 'unknown' END", f"CASE WHEN len({known}) > 0 THEN {_sentence(x)} END")
+
+
+_INCHES, _LOW_D = f"coalesce(display_inches, {_N['inches']})", "lower(coalesce(display_text, ''))"
+_PANEL = f"CASE WHEN contains({_LOW_D}, 'amoled') THEN 'AMOLED' WHEN contains({_LOW_D}, 'oled') THEN 'OLED' WHEN contains({_LOW_D}, 'ips') THEN 'IPS' END"
+_PRO = f"len(list_filter({_list(S.CAMERA_WORDS)}, lambda w: contains(lower(coalesce(camera_text, '')), w)))"
+_FIVE, _NETWORK = _CHECKS["five_g"], _sentence("network")
+FIELDS_SQL = " UNION ALL ".join([
+    _count("ram", f"coalesce(ram_gb, {_N['ram']})", " GB"), _count("storage", "storage_gb", " GB"), _plain("processor", "processor_text"),
+    _count("battery", f"coalesce(battery_mah, {_N['mah']})", " mAh", _sentence("battery_text")), _count("charging", f"coalesce(charging_w, {_N['watt']})", " W", _sentence("battery_text")), _feature("wireless_charging", _CHECKS["wireless_charging"]),
+    _bits("display", [f"CASE WHEN {_INCHES} IS NOT NULL THEN printf('%.2f\"', {_INCHES}) END", f"{_N['hertz']} || ' Hz'", f"{_N['nits']} || ' nits peak'", _PANEL], "display_text"),
+    _bits("camera", [f"{_N['megapixels']} || ' MP main'", f"CASE WHEN {_PRO} > 0 THEN {_PRO} || ' pro features' END"], "camera_text"), _plain("os", "os"),
+    _field("network", f"CASE WHEN {_blank('network')} IS NOT NULL THEN {_FIVE} END", f"coalesce({_NETWORK} || CASE WHEN {_FIVE} THEN ' — 5G support ✓' WHEN NOT ({_FIVE}) THEN ' — 5G support ✗' ELSE '' END, '{S.MISSING}')", f"CASE WHEN {_blank('network')} IS NOT NULL THEN 'text+feature' ELSE 'unknown' END"),
+    *[_feature(n, _CHECKS[n]) for n in ("nfc", "water_resistance", "sd_card")],
+])
+
+
+@query(f"{_P} {FIELDS_SQL}")
+def spec_fields_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.described(phones(spark, sf_dir))
+
+
 _EXP = "concat_ws(' ', " + ", ".join(f"CASE WHEN {_has(_low('processor_text', 'camera_text', 'body_text', 'network'), w)} THEN '{y}' ELSE '{n}' END" for _, w, y, n in D.ASPECTS) + ")"
 _KNOWN = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN trim({x}::VARCHAR) <> '' THEN '{label}: ' || {x} END" for label, x in (("RAM", "ram_gb"), ("Storage", "storage_gb"), ("Battery", "battery_mah"), ("Processor", "processor_text"), ("System", "os"))) + "], lambda x: x IS NOT NULL), '; ')"
 _DOC = f"concat_ws(chr(10) || chr(10), name || ' is a phone by ' || brand || '.', {_KNOWN}, coalesce('Price: BDT ' || format('{{:,}}', price_min::BIGINT) || '.', 'Price: not known.'), {_EXP})"

@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from merchlake.plans import catalogue, feeds, language, retrieval, scores
+import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (catalogue, feeds, language, retrieval, scores)
+PLANS = __spark_entry__.PLANS
 QUERIES = {n: q for p in PLANS for n, q in p.QUERIES.items()}
 SQL = {n: s for p in PLANS for n, s in p.ORACLE_SQL.items()}
 
