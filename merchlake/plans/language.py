@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.functions import vocabulary as V
-from merchlake.operators import documents as D
 from merchlake.operators import specs as S
 from merchlake.operators import understanding as U
 from merchlake.plans.scores import _first, _has, _low, _most
@@ -184,24 +183,3 @@ FIELDS_SQL = " UNION ALL ".join([
 @query(f"{_P} {FIELDS_SQL}")
 def spec_fields_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.described(phones(spark, sf_dir))
-
-
-_EXP = "concat_ws(' ', " + ", ".join(f"CASE WHEN {_has(_low('processor_text', 'camera_text', 'body_text', 'network'), w)} THEN '{y}' ELSE '{n}' END" for _, w, y, n in D.ASPECTS) + ")"
-_KNOWN = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN trim({x}::VARCHAR) <> '' THEN '{label}: ' || {x} END" for label, x in (("RAM", "ram_gb"), ("Storage", "storage_gb"), ("Battery", "battery_mah"), ("Processor", "processor_text"), ("System", "os"))) + "], lambda x: x IS NOT NULL), '; ')"
-_DOC = f"concat_ws(chr(10) || chr(10), name || ' is a phone by ' || brand || '.', {_KNOWN}, coalesce('Price: BDT ' || format('{{:,}}', price_min::BIGINT) || '.', 'Price: not known.'), {_EXP})"
-
-
-@query(_P + f" SELECT id, {_DOC} AS text FROM phones")
-def doc_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phones(spark, sf_dir).select("id", D.render().alias("text"))
-
-
-@query(_P + f" SELECT id, {_EXP} AS text FROM phones")
-def doc_experiential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phones(spark, sf_dir).select("id", D.experience().alias("text"))
-
-
-@query(_P + " SELECT id, name, brand, price_min::BIGINT AS price FROM phones")
-def doc_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = phones(spark, sf_dir).select("id", D.render().alias("text"))
-    return docs.select("id", *[e.alias(n) for n, e in D.parse(c("text")).items()])
