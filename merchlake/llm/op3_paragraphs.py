@@ -20,7 +20,7 @@ BANDS = 4
 #: The words of a run of repeated paragraphs from which `repeated_passages` keeps it.
 RUN_WORDS = 25
 #: A paragraph: a stretch of a line up to a full stop, question mark or exclamation mark with white space after it.
-_PARAGRAPH = re.compile(r"\S(?:[^\n.!?]|[.!?](?!\s|$))*[.!?]*")
+_PARAGRAPH = re.compile(r"\S[^\n.!?]*(?:[.!?](?!\s|$)[^\n.!?]*)*[.!?]*")
 #: Kinds of units. They are kept apart by a salt, so no unit is linked with a part of itself.
 UNITS = ("sentence", "piece", "short")
 _APART = np.array([0, 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D], np.uint64)
@@ -53,7 +53,7 @@ class _Hashes(dict):
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 400_000:
+        if len(self) > 1_000_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -71,24 +71,34 @@ def _rolled(h: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """The different hashes of a paragraph's shingles, sorted, from the hashes of its words; fewer words than a shingle are one shingle."""
-    return np.unique(_rolled(words)[: max(1, len(words) - SHINGLE + 1)])
+def _fewer(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hashes of units of fewer words than a shingle: `size` words from `at`."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(SHINGLE - 1):
+        has = size > i
+        out[has] += h[at[has] + i] * _PLACE[i]
+    return _mix(out) ^ size.astype(np.uint64)
 
 
-def _pieces(h: np.ndarray, words: int) -> list[tuple[int, int]]:
-    """Pieces (from, to) of a stretch of words with shingle hashes `h`, cut alike wherever the words around a cut are the same."""
-    cuts = [0]
-    if len(h) > 2 * REACH:
-        around = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
-        middle = around[:, REACH : REACH + 1]
-        cuts += (np.flatnonzero((middle < around[:, :REACH]).all(1) & (middle <= around[:, REACH + 1 :]).all(1)) + REACH).tolist()
-    out = []
-    for at, to in zip(cuts, [*cuts[1:], words], strict=True):
+def _least(h: np.ndarray) -> np.ndarray:
+    """Where a hash is the least of those up to REACH before and behind it, and the first such of them."""
+    low = np.ones(len(h), bool)
+    low[:REACH] = low[max(0, len(h) - REACH) :] = False
+    for i in range(1, min(REACH, len(h) - 1) + 1):
+        low[i:] &= h[i:] < h[:-i]
+        low[:-i] &= h[:-i] <= h[i:]
+    return np.flatnonzero(low)
+
+
+def _pieces(cuts: list[int], words: int) -> list[tuple[int, int]]:
+    """Pieces (from, to) of a stretch of words, cut at `cuts`, which are alike wherever the words around them are the same."""
+    out, at = [], 0
+    for to in [*cuts, words]:
         while to - at > PIECE:
             out.append((at, at + PIECE // 2))
             at += PIECE // 2
         out.append((at, to))
+        at = to
     return out
 
 
@@ -97,23 +107,20 @@ def _sentences(texts: list[str | None], known: _Hashes) -> tuple[list[tuple], li
 
     A long sentence with letters of scripts without spaces comes once more, as unit -1, with these as words: pieces of it only.
     """
-    found, words, hashes = [], [], []
-
-    def add(i: int, unit: int, start: int, end: int, w: list[str]) -> None:
-        found.append((i, unit, start, end, len(words), len(w)))
-        words.extend(w)
-        hashes.append(known.of(w))
-
+    found, words = [], []
     for i, text in enumerate(texts):
+        plain = not text or text.isascii()
         for m in _PARAGRAPH.finditer(text or ""):
             part = m[0]
             w = part.lower().split()
-            add(i, 2 if len(w) < SHINGLE else 0, m.start(), m.end(), w)
-            if not part.isascii() and _IS_DENSE.search(part):
+            found.append((i, 2 if len(w) < SHINGLE else 0, *m.span(), len(words), len(w)))
+            words += w
+            if not plain and _IS_DENSE.search(part):
                 w = [t.lower() for t in _TOKEN.findall(part)]
                 if len(w) > LONG:
-                    add(i, -1, m.start(), m.end(), w)
-    return found, words, np.concatenate([*hashes, np.zeros(0, np.uint64)])
+                    found.append((i, -1, *m.span(), len(words), len(w)))
+                    words += w
+    return found, words, known.of(words)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +133,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         found, words, hashes = _sentences(texts, known)
-        # a short unit ends before its shingle does, so it is hashed by itself
         rolled, units = _rolled(hashes), []
+        low = _least(rolled)
         for n, (i, unit, start, end, at, size) in enumerate(found):
             if unit >= 0:
                 units.append((i, unit, start, end, at, size))
@@ -135,7 +142,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if unit == 2 or size <= LONG or (not dense and n + 1 < len(found) and found[n + 1][1] < 0):
                 continue
             spans = [(start + t.start(), start + t.end()) for t in (_TOKEN if dense else _WORD).finditer(texts[i][start:end])]
-            for a, b in _pieces(rolled[at : at + size - SHINGLE + 1], size):
+            inside = low[np.searchsorted(low, at + REACH) : np.searchsorted(low, at + size - SHINGLE + 1 - REACH)]
+            for a, b in _pieces((inside - at).tolist(), size):
                 units.append((i, 1, spans[a][0], spans[b - 1][1], at + a, b - a))
         if not units:
             continue
@@ -144,8 +152,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.cumsum(count) - count
         unit_of = np.repeat(np.arange(len(units)), count)
         h = rolled[np.repeat(at - first, count) + np.arange(len(unit_of))]
-        for u in np.flatnonzero(size < SHINGLE).tolist():
-            h[first[u]] = _rolled(hashes[at[u] : at[u] + size[u]])[0] ^ np.uint64(size[u])
+        # a short unit ends before its shingle does, so it is hashed by itself
+        few = np.flatnonzero(size < SHINGLE)
+        h[first[few]] = _fewer(hashes, at[few], size[few])
         order = np.lexsort((h, unit_of))
         h, unit_of = h[order], unit_of[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (unit_of[1:] != unit_of[:-1])])
@@ -166,6 +175,16 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind.astype(np.int32)), pa.array(pos), pa.array(size.astype(np.int32)), pa.array(start), pa.array(end), pa.array(keys.view(np.int64)), listed, pa.array(body, pa.string())], names=["rid", "doc_id", "unit", "pos", "words", "start", "end", "k", "bands", "body"])
 
 
+def _sets(bodies: list[str], known: _Hashes) -> Iterator[np.ndarray]:
+    """The different shingle hashes of each body, sorted."""
+    words = [body.split(" ") for body in bodies]
+    ends = np.cumsum([len(w) for w in words]).tolist()
+    rolled = _rolled(known.of([x for w in words for x in w]))
+    for w, end in zip(words, ends, strict=True):
+        s = np.sort(rolled[end - len(w) : end - SHINGLE + 1])
+        yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
 def _similar(members: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among paragraphs (k: shingles), each link verified by exact Jaccard similarity.
 
@@ -206,12 +225,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band, members, known = None, {}, _Hashes()
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for b, k, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        sets = _sets(batch.column(2).to_pylist(), known)
+        for b, k, s in zip(*(c.to_pylist() for c in batch.columns[:2]), sets, strict=True):
             if b != band:
                 if len(members) > 1:
                     out += _similar(members)
                 band, members = b, {}
-            members[k] = shingles(known.of(body.split(" ")))
+            members[k] = s
         yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
     if len(members) > 1:
         out = list(_similar(members))
@@ -226,7 +246,7 @@ def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.where(hot, SPLITS, 1)
         bands = np.repeat(batch.column(0).to_numpy().view(np.uint64), times)
         if hot.any():
-            least = [(shingles(known.of(body.split(" ")))[:, None] * _SPLIT_SALTS).min(0) for body in batch.column(2).filter(pa.array(hot)).to_pylist()]
+            least = [(s[:, None] * _SPLIT_SALTS).min(0) for s in _sets(batch.column(2).filter(pa.array(hot)).to_pylist(), known)]
             at = np.repeat(hot, times)
             bands[at] = _mix(bands[at] * _PLACE[3] + np.concatenate(least) + np.tile(np.arange(SPLITS, dtype=np.uint64) * _PLACE[2], len(least)))
         take = pa.array(np.repeat(np.arange(len(hot)), times))
