@@ -133,3 +133,14 @@ def related(phones: DataFrame, item: int, most: int = 6) -> DataFrame:
 def page_numbers(pages: Column, page: Column) -> Column:
     """Page numbers to show: the first, the last, and two around the current one."""
     return F.filter(F.sequence(F.lit(1), pages), lambda i: (i == 1) | (i == pages) | (F.abs(i - page) <= 2))
+
+
+def of_brand_slug(phones: DataFrame, slug: str) -> DataFrame:
+    """Products of all brands whose slug is the given one."""
+    brands = phones.select("brand").distinct().where(T.slugify(c("brand")) == slug)
+    return phones.join(brands, "brand", "left_semi")
+
+
+def phone_key(name: Column, number: Column) -> Column:
+    """A key to refer to a product by: its slug, or else its number."""
+    return F.coalesce(T.blank_to_null(T.slugify(name)), number.cast("string"))

@@ -53,7 +53,7 @@ def check(names: DataFrame, phones: DataFrame, listings: DataFrame, stores: Data
     s = own.groupBy(c("phone_id").alias("id")).agg(F.min("price").alias("lowest"), F.max("price").alias("highest"), F.count("*").alias("offers"), F.min_by("store_name", F.when(c("price").isNotNull(), F.struct("price", "offer_rank"))).alias("cheapest"))
     df = names.join(found, "name_id", "left").join(phones.select("id", "brand", c("name").alias("p_name")), "id", "left").join(s, "id", "left")
     label, money = F.concat_ws(" ", "brand", "p_name"), lambda x: F.concat(F.lit("৳"), F.format_number(x, 0))
-    spread = F.format_string("%.1f", F.bround((c("highest") - c("lowest")) / c("highest") * 100, 2))
+    spread = F.format_string("%.1f", F.bround(F.bround((c("highest") - c("lowest")) / c("highest") * 100, 2), 1))
     advice = (
         F.when(c("id").isNull(), F.concat(F.lit("No phone matched: "), "name"))
         .when(c("offers").isNull(), F.concat(F.lit("No store listings found for "), label, F.lit(".")))

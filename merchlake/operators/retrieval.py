@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,18 @@ def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(T.tokens(c(text))).alias("pos", "token"))
 
 
-def idf(token_df: DataFrame, key: str, documents: Column) -> DataFrame:
-    """(token, df, idf): ln((1 + N) / (1 + df)) + 1, smoothed."""
-    seen = token_df.groupBy("token").agg(F.count_distinct(key).alias("df"))
+def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, token, tf, last, bucket, sign), a row for each different token of a document.
+
+    This is what everything else here is made from; callers that use it more than once write it first.
+    """
+    t = token_rows(docs, key, text).groupBy(key, "token").agg(F.count("*").alias("tf"), F.max("pos").alias("last"))
+    return t.withColumns({"bucket": bucket_of(c("token")), "sign": F.when(T.token_hash(c("token"), 1) % 2 == 0, 1.0).otherwise(-1.0)})
+
+
+def idf(term_df: DataFrame, documents: Column) -> DataFrame:
+    """(token, df, idf): ln((1 + N) / (1 + df)) + 1, smoothed; terms have each token of a document once."""
+    seen = term_df.groupBy("token", "bucket").agg(F.count("*").alias("df"))
     return seen.withColumn("idf", F.log((1 + documents) / (1 + c("df"))) + 1)
 
 
@@ -29,21 +40,25 @@ def bucket_of(token: Column) -> Column:
 
 def bucket_idf(idf_df: DataFrame) -> DataFrame:
     """(bucket, idf): the mean over the vocabulary."""
-    return idf_df.groupBy(bucket_of(c("token")).alias("bucket")).agg(F.avg("idf").alias("idf"))
+    return idf_df.groupBy("bucket").agg(F.avg("idf").alias("idf"))
 
 
-def vectors(token_df: DataFrame, key: str, buckets: DataFrame) -> DataFrame:
+def vectors(term_df: DataFrame, key: str, buckets: DataFrame | None = None, token_idf: DataFrame | None = None) -> DataFrame:
     """(key, bucket, weight): sparse signed vectors of length 1.
 
-    A bucket's weight is (1 + ln of its tokens) times the bucket's mean idf; its sign is that of the last token in it.
+    A bucket's weight is (1 + ln of its tokens), times the bucket's mean idf if `buckets` (DIM rows at most) is given, or
+    times the greatest idf of its tokens if `token_idf` is; without either the count alone weighs. Its sign is that of the
+    last token in it.
     """
-    sign = F.when(T.token_hash(c("token"), 1) % 2 == 0, 1.0).otherwise(-1.0)
-    hits = token_df.withColumns({"bucket": bucket_of(c("token")), "sign": sign})
-    raw = hits.groupBy(key, "bucket").agg(F.count("*").alias("tf"), F.max_by("sign", "pos").alias("sign"))
-    raw = raw.join(F.broadcast(buckets), "bucket", "left")
-    raw = raw.withColumn("w", c("sign") * (1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0)))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(c("w") * c("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "bucket", (c("w") / c("norm")).alias("weight"))
+    if token_idf is not None:
+        term_df = term_df.join(token_idf.select("token", c("idf").alias("t_idf")), "token", "left")
+    weight = F.max("t_idf").alias("t_idf") if token_idf is not None else F.lit(None).cast("double").alias("t_idf")
+    raw = term_df.groupBy(key, "bucket").agg(F.sum("tf").alias("tf"), F.max_by("sign", "last").alias("sign"), weight)
+    raw = raw.join(F.broadcast(buckets), "bucket", "left") if buckets is not None else raw.withColumn("idf", F.lit(None).cast("double"))
+    w = c("sign") * (1 + F.log("tf")) * F.coalesce("t_idf", "idf", F.lit(1.0))
+    every = raw.groupBy(key).agg(F.collect_list(F.struct("bucket", w.alias("w"))).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    return every.select(key, norm.alias("norm"), F.explode("v").alias("x")).select(key, "x.bucket", (c("x.w") / c("norm")).alias("weight"))
 
 
 def top(scored: DataFrame, key: str, k: int, by: str = "score") -> DataFrame:
@@ -53,18 +68,19 @@ def top(scored: DataFrame, key: str, k: int, by: str = "score") -> DataFrame:
 
 
 def cosine(query_vectors: DataFrame, doc_vectors: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, score): dot products over shared buckets. Queries are a bounded request and are broadcast."""
-    q = F.broadcast(query_vectors.withColumnRenamed("weight", "qw"))
+    """(query_id, key, score): dot products over shared buckets."""
+    q = query_vectors.withColumnRenamed("weight", "qw")
     return doc_vectors.join(q, "bucket").groupBy("query_id", key).agg(F.round(F.sum(c("weight") * c("qw")), 9).alias("score"))
 
 
-def bm25(candidates: DataFrame, doc_tokens: DataFrame, query_tokens: DataFrame, idf_df: DataFrame, key: str) -> DataFrame:
+def bm25(candidates: DataFrame, term_df: DataFrame, query_terms: DataFrame, idf_df: DataFrame, key: str) -> DataFrame:
     """(query_id, key, score) of the candidates (query_id, key); lengths are compared with the mean of the query's candidates."""
-    lengths = doc_tokens.groupBy(key).agg(F.greatest(F.count("*"), F.lit(1)).alias("len"))
+    chosen = term_df.join(candidates.select(key).distinct(), key, "left_semi")
+    lengths = chosen.groupBy(key).agg(F.sum("tf").alias("len"))
     mean = Window.partitionBy("query_id")
     sized = candidates.join(lengths, key, "left").withColumn("len", F.coalesce("len", F.lit(1))).withColumn("mean_len", F.avg("len").over(mean))
-    words = query_tokens.select("query_id", "token").distinct().join(idf_df.select("token", "idf"), "token")
-    tf = doc_tokens.join(F.broadcast(words), "token").groupBy("query_id", key, "token", "idf").agg(F.count("*").alias("tf"))
+    words = query_terms.select("query_id", "token").join(idf_df.select("token", "idf"), "token")
+    tf = chosen.select(key, "token", "tf").join(words, "token")
     part = c("idf") * c("tf") * (K1 + 1) / (c("tf") + K1 * (1 - B + B * c("len") / c("mean_len")))
     return sized.join(tf, ["query_id", key], "left").groupBy("query_id", key).agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 9).alias("score"))
 
@@ -94,3 +110,51 @@ def dense_topk(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     score = {"cosine": dot(v, q) / F.sqrt(dot(v, v) * dot(q, q)), "ip": dot(v, q) - 1, "l2": -apart}[metric]
     scored = vecs.join(F.broadcast(queries)).select("query_id", "vec_id", (F.round(score, 6) + 0.0).alias("score"))
     return top(scored, "vec_id", k)
+
+
+def search(docs: DataFrame, requests: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "doc_id", where: Column | None = None, where_document: Column | None = None, k: int = 5, candidates: int = 25, alpha: float = 0.5) -> DataFrame:
+    """(query_id, key, score, rank): the best k documents for each request (query_id, text) by vectors, then words.
+
+    `where` is a condition on the columns of `docs` and `where_document` one on its text; only such documents are
+    candidates, while idf is that of all. `keep` writes a table that is used more than once and returns it reread.
+    """
+    every = keep(terms(docs, key))
+    vocabulary = keep(idf(every, F.lit(docs.count())))
+    asked = keep(terms(requests, "query_id"))
+    buckets = bucket_idf(vocabulary)
+    conditions = [x for x in (where, where_document) if x is not None]
+    own = every
+    for condition in conditions:
+        docs = docs.where(condition)
+    if conditions:
+        own = every.join(docs.select(key), key, "left_semi")
+    found = keep(top(cosine(vectors(asked, "query_id", buckets), vectors(own, key, buckets), key), key, max(candidates, k)))
+    return hybrid(found, bm25(found.select("query_id", key), every, asked, vocabulary, key), key, alpha, k)
+
+
+# Operators of a condition text, the longest first
+COMPARISONS = [("<=", "$lte"), (">=", "$gte"), ("!=", "$ne"), ("<", "$lt"), (">", "$gt"), ("=", "$eq")]
+
+
+def parsed_value(text: str) -> int | float | str:
+    """A value of a condition: an int, else a float, else the text without its quotes."""
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            continue
+    return text.strip("\"'")
+
+
+def parsed_where(conditions: list[str]) -> dict:
+    """Conditions such as price<=30000 or brand=Samsung as a filter for `catalog.where`; several are joined by $and."""
+    out = []
+    for text in conditions:
+        for sign, name in COMPARISONS:
+            field, found, value = text.partition(sign)
+            if found and field.strip():
+                out.append({field.strip(): parsed_value(value.strip()) if name == "$eq" else {name: parsed_value(value.strip())}})
+                break
+        else:
+            raise ValueError(f"no comparison in {text!r}")
+    return out[0] if len(out) == 1 else {"$and": out} if out else {}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.operators.entities import upsert
+from merchlake.operators.ingest import numbered
+
+c = F.col
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
@@ -39,10 +42,18 @@ class Snapshots:
         return self.spark.read.parquet(path) if path else None
 
     def replace(self, df: DataFrame) -> None:
-        number = int(self.newest().rpartition("/v")[2]) + 1 if self.newest() else 0
-        part = f"{self.root}/_{uuid.uuid4().hex}"
+        """Write `df` as the next snapshot; an error if another writer has made that one in the meantime.
+
+        Renaming a folder is atomic on HDFS and local disks. Object stores have no such rename; keep snapshots elsewhere
+        there, or in a table format with commits of its own.
+        """
+        newest = self.newest()
+        number = int(newest.rpartition("/v")[2]) + 1 if newest else 0
+        part, final = f"{self.root}/_{uuid.uuid4().hex}", f"{self.root}/v{number:010d}"
         df.write.parquet(part)
-        self.fs.rename(self.path(part), self.path(f"{self.root}/v{number:010d}"))
+        if self.fs.exists(self.path(final)) or not self.fs.rename(self.path(part), self.path(final)):
+            self.fs.delete(self.path(part), True)
+            raise RuntimeError(f"{final} was written by someone else")
 
     def merge(self, new: DataFrame, key: str, removed: DataFrame | None = None) -> None:
         """Upserts `new`, after taking out the keys of `removed`."""
@@ -62,3 +73,55 @@ def append_history(listings: DataFrame, path: str) -> None:
 def log_failures(failed: DataFrame, stage: str, path: str) -> None:
     """Appends (id, stage, error, at) as JSON lines."""
     failed.select("id", F.lit(stage).alias("stage"), "error", F.current_timestamp().alias("at")).write.mode("append").json(path)
+
+
+def write_array(rows: DataFrame, path: str, indent: bool = False) -> None:
+    """One JSON array in one file, for readers that take nothing else; for small tables, as one task writes it."""
+    body = rows.select(F.to_json(F.struct("*"), {"pretty": str(indent).lower()}).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("j")), ",\n"), F.lit("]")).alias("value"))
+    body.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """The records of files that hold one JSON array each; any other root is an error."""
+    files = spark.read.option("wholetext", True).text(path)
+    wrong = files.where(~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("ARRAY")), F.lit(False)))
+    if bad := wrong.select("_metadata.file_path").take(1):
+        raise ValueError(f"{bad[0][0]} does not hold a list of records")
+    return spark.read.option("multiLine", True).json(path)
+
+
+def write_result(products: DataFrame, errors: DataFrame, path: str) -> None:
+    """A scrape's products, and its errors in a folder of their own beside them, only if there are any."""
+    products.write.mode("overwrite").json(path)
+    if not errors.isEmpty():
+        errors.write.mode("overwrite").json(f"{path}.errors")
+
+
+def checked(rows: DataFrame, error: Column, on_error: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """Rows without an error, and (all columns, error) of the others; with "raise", one such row stops the job.
+
+    `error` is null for a good row. Nothing is lost: with "skip" the caller has the bad rows to write.
+    """
+    if on_error not in ("raise", "skip"):
+        raise ValueError(f"unknown policy {on_error!r}")
+    marked = rows.withColumn("error", error)
+    if on_error == "raise":
+        return marked.where(F.assert_true(c("error").isNull(), F.coalesce("error", F.lit(""))).isNull()).drop("error"), marked.limit(0)
+    return marked.where("error is null").drop("error"), marked.where("error is not null")
+
+
+def append_listings(spark: SparkSession, listings: DataFrame, root: str) -> None:
+    """A scrape's listings into the normalised tables under `root`: stores and models are found or created, variants upserted, listings appended.
+
+    `listings` has store, brand, model, variant_key, price, in_stock, product_url, scraped_at.
+    """
+    tables = {n: Snapshots(spark, f"{root}/{n}") for n in ("stores", "models", "variants")}
+    old = lambda n, schema: tables[n].read() or spark.createDataFrame([], schema)
+    stores = numbered(old("stores", "name string, store_id long"), listings.select(c("store").alias("name")), ["name"], "store_id")
+    models = numbered(old("models", "brand string, model string, model_id long"), listings.select("brand", "model"), ["brand", "model"], "model_id")
+    tables["stores"].replace(stores)
+    tables["models"].replace(models)
+    new = listings.select("variant_key", "brand", "model").distinct().join(tables["models"].read(), ["brand", "model"]).select("variant_key", "model_id")
+    tables["variants"].merge(new, "variant_key")
+    facts = listings.join(tables["stores"].read().withColumnRenamed("name", "store"), "store").select("variant_key", "store_id", "price", "in_stock", "product_url", "scraped_at")
+    append_history(facts, f"{root}/listings")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from merchlake.functions import text as T
 from merchlake.sources import feeds
 from merchlake.sources.catalog import LISTINGS_SQL, listings, table
+from merchlake.sources.scratch import shared_root
 from merchlake.streaming.listings import arrivals, each_once, run_available
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -128,9 +128,8 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events")
 def stream_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events, twice over, as a stream of files: each comes out once."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="merchlake-")
-    base = f"{root}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    events.unionAll(events).repartition(4).write.mode("overwrite").parquet(f"{base}/in")
+    events.unionAll(events).write.mode("overwrite").parquet(f"{base}/in")
     run_available(each_once(arrivals(spark, f"{base}/in", events.schema, "ts"), "event_id", "ts"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("event_id", "event_type")

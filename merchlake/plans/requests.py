@@ -185,7 +185,7 @@ _LABEL = "CASE WHEN starts_with(lower(name), lower(brand)) THEN name ELSE trim(b
 o AS (SELECT l.phone_id, s_name AS store_name, price, in_stock, row_number() OVER (PARTITION BY phone_id ORDER BY in_stock DESC, price NULLS LAST, s_name, order_id, line) AS r FROM listings l JOIN supplier ON store_id = s_suppkey WHERE phone_id IN (SELECT id FROM met)),
 s AS (SELECT phone_id, min(price) AS lowest, max(price) AS highest, count(*) AS offers, arg_min(store_name, (price, r)) FILTER (WHERE price IS NOT NULL) AS cheapest FROM o GROUP BY phone_id)
 SELECT names.name_id AS query_id, met.id, lowest, highest, coalesce(offers, 0) AS offers, CASE WHEN met.id IS NULL THEN 'No phone matched: ' || names.name WHEN offers IS NULL THEN 'No store listings found for ' || brand || ' ' || p.name || '.' WHEN lowest IS NULL THEN 'Listings exist for ' || brand || ' ' || p.name || ' but no price has been published yet.'
-WHEN highest > lowest THEN 'Cheapest: ' || cheapest || ' at ৳' || {_money('lowest')} || '. Buying from there saves ~' || printf('%.1f', round_even((highest - lowest) / highest * 100, 2)) || '% versus the highest priced store.' ELSE 'Only one store has a price for ' || brand || ' ' || p.name || ': ' || cheapest || ' at ৳' || {_money('lowest')} || '.' END AS advice
+WHEN highest > lowest THEN 'Cheapest: ' || cheapest || ' at ৳' || {_money('lowest')} || '. Buying from there saves ~' || printf('%.1f', round_even(round_even((highest - lowest) / highest * 100, 2), 1)) || '% versus the highest priced store.' ELSE 'Only one store has a price for ' || brand || ' ' || p.name || ': ' || cheapest || ' at ৳' || {_money('lowest')} || '.' END AS advice
 FROM names LEFT JOIN met USING (name_id) LEFT JOIN phones p ON p.id = met.id LEFT JOIN s ON s.phone_id = met.id""")
 def price_check_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _texts(spark, CHECKED).select(c("query_id").alias("name_id"), c("text").alias("name"))

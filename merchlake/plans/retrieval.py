@@ -9,6 +9,7 @@ from merchlake.functions import text as T
 from merchlake.operators import retrieval as R
 from merchlake.operators.catalog import where
 from merchlake.sources.catalog import table
+from merchlake.sources.scratch import kept
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -37,42 +38,59 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokens, idf and bucket idf of the documents."""
-    docs = _docs(spark, sf_dir)
-    tokens = R.token_rows(docs, "doc_id")
-    idf = R.idf(tokens, "doc_id", F.lit(docs.count()))
-    return tokens, idf, R.bucket_idf(idf)
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.terms(_docs(spark, sf_dir), "doc_id")
+
+
+def _idf(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
+    return R.idf(terms, F.lit(_docs(spark, sf_dir).count()))
 
 
 def _asked(spark: SparkSession) -> DataFrame:
-    return R.token_rows(spark.createDataFrame(_ASKED, "query_id int, text string"), "query_id")
+    return R.terms(spark.createDataFrame(_ASKED, "query_id int, text string"), "query_id")
 
 
 @query(_BASE + " SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS vocabulary FROM tok GROUP BY doc_id")
 def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.token_rows(_docs(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count_distinct("token").alias("vocabulary"))
+    return _terms(spark, sf_dir).groupBy("doc_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("vocabulary"))
 
 
 @query(_BASE + " SELECT token, df, round(idf, 9) AS idf FROM idf")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _state(spark, sf_dir)[1].select("token", "df", F.round("idf", 9).alias("idf"))
+    return _idf(spark, sf_dir, _terms(spark, sf_dir)).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(_BASE + " SELECT bucket, round(idf, 9) AS idf FROM bidf")
 def bucket_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _state(spark, sf_dir)[2].select("bucket", F.round("idf", 9).alias("idf"))
+    return R.bucket_idf(_idf(spark, sf_dir, _terms(spark, sf_dir))).select("bucket", F.round("idf", 9).alias("idf"))
 
 
 @query(_BASE + f" SELECT doc_id, bucket, round(weight, 9) AS weight FROM {_VEC('tok', 'doc_id')}")
 def hash_vectors_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, _, buckets = _state(spark, sf_dir)
-    return R.vectors(tokens, "doc_id", buckets).select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
+    terms = kept(_terms(spark, sf_dir))
+    return R.vectors(terms, "doc_id", R.bucket_idf(_idf(spark, sf_dir, terms))).select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+def _cosines(spark: SparkSession, terms: DataFrame, idf: DataFrame, k: int) -> DataFrame:
+    buckets = R.bucket_idf(idf)
+    return R.top(R.cosine(R.vectors(_asked(spark), "query_id", buckets), R.vectors(terms, "doc_id", buckets), "doc_id"), "doc_id", k)
+
+
+def _weightings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    terms = kept(_terms(spark, sf_dir))
+    return terms, kept(_idf(spark, sf_dir, terms))
 
 
-def _cosines(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    tokens, _, buckets = _state(spark, sf_dir)
-    return R.top(R.cosine(R.vectors(_asked(spark), "query_id", buckets), R.vectors(tokens, "doc_id", buckets), "doc_id"), "doc_id", k)
+_MODES = f"""{_BASE}, r AS (SELECT doc_id, {_HASH('token', 0)} % 384 AS bucket, count(*) AS tf, arg_max(CASE WHEN {_HASH('token', 1)} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END, pos) AS sign, max(idf) AS t_idf FROM tok JOIN idf USING (token) GROUP BY ALL),
+w AS (SELECT doc_id, bucket, sign * (1 + ln(tf)) AS plain, sign * (1 + ln(tf)) * t_idf AS by_token FROM r)"""
+
+
+@query(f"{_MODES} SELECT doc_id, bucket, round(plain / sqrt(sum(plain * plain) OVER d), 9) AS plain, round(by_token / sqrt(sum(by_token * by_token) OVER d), 9) AS by_token FROM w WINDOW d AS (PARTITION BY doc_id)")
+def hash_vectors_weightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by counts alone, and by the idf of tokens."""
+    terms, idf = _weightings(spark, sf_dir)
+    plain, by_token = R.vectors(terms, "doc_id"), R.vectors(terms, "doc_id", token_idf=idf)
+    return plain.join(by_token.withColumnRenamed("weight", "by_token"), ["doc_id", "bucket"]).select("doc_id", "bucket", F.round("weight", 9).alias("plain"), F.round("by_token", 9).alias("by_token"))
 
 
 _COS = f"dv AS {_VEC('tok', 'doc_id')}, qv AS {_VEC('qtok', 'query_id')}, cs AS (SELECT query_id, doc_id, round(sum(dv.weight * qv.weight), 9) AS score FROM dv JOIN qv USING (bucket) GROUP BY ALL), cand AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM cs QUALIFY rank < 25)"
@@ -81,13 +99,13 @@ _BM = "bm AS (SELECT query_id, doc_id, round(coalesce(sum(idf * tf * 2.5 / (tf +
 
 @query(f"{_BASE}, {_Q}, {_COS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM cand WHERE rank < 10")
 def cosine_topk_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cosines(spark, sf_dir, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _cosines(spark, *_weightings(spark, sf_dir), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"{_BASE}, {_Q}, {_COS}, {_BM} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, idf, _ = _state(spark, sf_dir)
-    found = R.bm25(_cosines(spark, sf_dir, 25).select("query_id", "doc_id"), tokens, _asked(spark), idf, "doc_id")
+    terms, idf = _weightings(spark, sf_dir)
+    found = R.bm25(kept(_cosines(spark, terms, idf, 25)).select("query_id", "doc_id"), terms, _asked(spark), idf, "doc_id")
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -96,10 +114,19 @@ _MM = lambda x: f"(CASE WHEN max({x}) OVER w - min({x}) OVER w < 1e-9 THEN 0.0::
 
 @query(f"{_BASE}, {_Q}, {_COS}, {_BM}, h AS (SELECT query_id, doc_id, round(0.5::DOUBLE * {_MM('cand.score')} + 0.5::DOUBLE * {_MM('bm.score')}, 6) AS score FROM cand JOIN bm USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM h QUALIFY rank < 5")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, idf, _ = _state(spark, sf_dir)
-    cosines = _cosines(spark, sf_dir, 25)
-    found = R.bm25(cosines.select("query_id", "doc_id"), tokens, _asked(spark), idf, "doc_id")
-    return R.hybrid(cosines, found, "doc_id").select("query_id", "doc_id", "score", "rank")
+    asked = spark.createDataFrame(_ASKED, "query_id int, text string")
+    return R.search(_docs(spark, sf_dir), asked, kept).select("query_id", "doc_id", "score", "rank")
+
+
+_SOME = "(SELECT * FROM tok WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars <= 3000 AND lang <> 'es' AND contains(text, 'the')))"
+
+
+@query(f"{_BASE}, {_Q}, {_COS.replace(_VEC('tok', 'doc_id'), _VEC(_SOME, 'doc_id'))}, {_BM}, h AS (SELECT query_id, doc_id, round(0.3::DOUBLE * {_MM('cand.score')} + 0.7::DOUBLE * {_MM('bm.score')}, 6) AS score FROM cand JOIN bm USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM h QUALIFY rank < 3")
+def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search among documents that meet conditions on metadata and text."""
+    asked = spark.createDataFrame(_ASKED, "query_id int, text string")
+    some = where(R.parsed_where(["n_chars<=3000", "lang != 'es'"]))
+    return R.search(_docs(spark, sf_dir), asked, kept, where=some, where_document=F.contains("text", F.lit("the")), k=3, alpha=0.3).select("query_id", "doc_id", "score", "rank")
 
 
 def _dense(spark: SparkSession, sf_dir: str, metric: str, where_: dict | None = None) -> DataFrame:

@@ -94,3 +94,17 @@ def price_range(text: Column) -> Column:
     numbers = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[\d,]*\d"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("long")), lambda n: n.isNotNull())
     low, high = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
     return F.struct(low.alias("price"), F.when(high > low, high).alias("original_price"))
+
+
+def catalog_brands(spark: SparkSession, path: str) -> DataFrame:
+    """(brand, first_row, phones) of a CSV catalog: each brand by its first row, with its count of rows."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = raw.select(squeeze(c("brand")).alias("brand"), F.monotonically_increasing_id().alias("row")).where("brand != ''")
+    return rows.groupBy("brand").agg(F.min("row").alias("first_row"), F.count("*").alias("phones"))
+
+
+def stable(record: DataFrame, volatile: list[str], nested: str = "stores") -> DataFrame:
+    """Records without the volatile fields, at the top and in the structs of the nested array."""
+    out = record.drop(*volatile)
+    inside = [f.name for f in record.schema[nested].dataType.elementType.fields if f.name in volatile]
+    return out.withColumn(nested, F.transform(nested, lambda s: s.dropFields(*inside))) if inside else out

@@ -1,11 +1,14 @@
 """Facts about single operators, and jobs that read and write."""
 
+import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
-from merchlake.operators import catalog, comparison, documents, entities, scoring, sinks, understanding
+from merchlake.operators import catalog, comparison, documents, entities, rendering, retrieval, scoring, sinks, understanding
+from merchlake.operators import ingest as ingest_ops
 from merchlake.sources import feeds
 from merchlake.streaming.listings import arrivals, each_once, ingest, run_available, windowed
 
@@ -65,9 +68,85 @@ def test_budget_and_scope(spark):
 
 
 def test_documents_come_back(spark):
-    df = phones(spark, {}, {"id": 2, "price_min": None, "os": " "}).select("id", documents.render().alias("d"))
-    got = {r["id"]: (r["name"], r["brand"], r["price"]) for r in df.select("id", *[e.alias(n) for n, e in documents.parse(F.col("d")).items()]).collect()}
-    assert got == {1: (S25["name"], "Samsung", 120000), 2: (S25["name"], "Samsung", None)}
+    df = phones(spark, {}, {"id": 2, "os": " ", "category": None})
+    shops = spark.createDataFrame([(1, "Shop A", 120000.0, True, None), (1, "Shop B", 125500.0, False, "Out"), (1, "shop a ", None, None, "In Stock")], "id long, name string, price double, in_stock boolean, stock_status string")
+    docs = df.join(ingest_ops.store_buckets(shops, "id", [F.col("name")]), "id", "left").select("id", documents.render().alias("d"))
+    got = {r["id"]: tuple(r)[1:] for r in docs.select("id", *[e.alias(n) for n, e in documents.parse(F.col("d")).items()]).collect()}
+    assert got == {1: (S25["name"], "Samsung", "Flagship", 120000, 125500, 2, 2), 2: (S25["name"], "Samsung", "Mobile", None, None, 0, 0)}
+    text = docs.where("id = 2").first()["d"]
+    assert "No live price is currently reported by any store." in text and "none reported" in text and "Operating System" not in text
+
+
+def test_snapshots_do_not_overwrite_each_other(spark, tmp_path):
+    one, two = (sinks.Snapshots(spark, f"{tmp_path}/t") for _ in range(2))
+    one.replace(spark.range(3))
+    seen = two.newest()
+    two.newest = lambda: seen
+    one.replace(spark.range(4))
+    with pytest.raises(RuntimeError, match="someone else"):
+        two.replace(spark.range(5))
+    assert one.read().count() == 4
+
+
+def test_arrays_results_and_policies(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    sinks.write_array(rows, f"{tmp_path}/array")
+    assert sorted((r["id"], r["name"]) for r in sinks.read_array(spark, f"{tmp_path}/array").collect()) == [(1, "a"), (2, None)]
+    (tmp_path / "no.json").write_text('{"id": 1}')
+    with pytest.raises(ValueError, match="list of records"):
+        sinks.read_array(spark, str(tmp_path / "no.json"))
+    error = F.when(F.col("name").isNull(), F.lit("no name"))
+    good, bad = sinks.checked(rows, error, "skip")
+    assert good.count() == 1 and bad.first()["error"] == "no name"
+    sinks.write_result(good, bad, f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out.errors").count() == 1
+    with pytest.raises(Exception, match="no name"):
+        sinks.checked(rows, error)[0].collect()
+    sinks.log_failures(bad.select("id", "error"), "load", f"{tmp_path}/log")
+    sinks.log_failures(bad.select("id", "error"), "embed", f"{tmp_path}/log")
+    assert sorted(r["stage"] for r in spark.read.json(f"{tmp_path}/log").collect()) == ["embed", "load"]
+
+
+def test_normalised_tables_find_or_create(spark, tmp_path):
+    kinds = "store string, brand string, model string, variant_key string, price double, in_stock boolean, product_url string, scraped_at timestamp"
+    at = datetime.datetime(2025, 1, 2)
+    first = spark.createDataFrame([("A", "x", "m1", "k1", 1.0, True, "u1", at), ("B", "x", "m1", "k1", 2.0, True, "u2", at)], kinds)
+    second = spark.createDataFrame([("B", "x", "m2", "k2", 3.0, False, "u3", at), ("C", "x", "m1", "k1", 4.0, True, "u4", at)], kinds)
+    for batch in (first, second):
+        sinks.append_listings(spark, batch, f"{tmp_path}/db")
+    read = lambda n: sinks.Snapshots(spark, f"{tmp_path}/db/{n}").read()
+    assert {(r["name"], r["store_id"]) for r in read("stores").collect()} == {("A", 1), ("B", 2), ("C", 3)}
+    assert {(r["model"], r["model_id"]) for r in read("models").collect()} == {("m1", 1), ("m2", 2)}
+    assert {(r["variant_key"], r["model_id"]) for r in read("variants").collect()} == {("k1", 1), ("k2", 2)}
+    assert sorted((r["store_id"], r["price"]) for r in spark.read.parquet(f"{tmp_path}/db/listings").collect()) == [(1, 1.0), (2, 2.0), (2, 3.0), (3, 4.0)]
+
+
+def test_vectors_are_checked(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="2 has 1 components, not 2"):
+        ingest_ops.checked_vectors(v, 2).collect()
+    with pytest.raises(LookupError, match="no such id: 3"):
+        ingest_ops.update_vectors(v, spark.createDataFrame([(3, "x")], "id long, label string"), "id", ["label"])
+    with pytest.raises(ValueError):
+        ingest_ops.delete_vectors(v)
+    assert ingest_ops.delete_vectors(v, where=F.size("embedding") == 1).count() == 1
+
+
+def test_condition_texts():
+    assert retrieval.parsed_where(["price<=30000"]) == {"price": {"$lte": 30000}}
+    assert retrieval.parsed_where(["brand='Samsung'", "score>0.5"]) == {"$and": [{"brand": "Samsung"}, {"score": {"$gt": 0.5}}]}
+    assert retrieval.parsed_where([]) == {}
+    with pytest.raises(ValueError, match="no comparison"):
+        retrieval.parsed_where(["brand"])
+
+
+def test_templates_and_volatile_fields(spark):
+    assert rendering.placeholders("a {{x}} {{ y }} {{x}}") == ["x", "y"]
+    with pytest.raises(KeyError):
+        rendering.filled("{{x}}", {})
+    df = spark.createDataFrame([(1, "t", [("s", "t")])], "id long, scraped_at string, stores array<struct<name string, scraped_at string>>")
+    assert feeds.stable(df, ["scraped_at"]).schema.simpleString() == "struct<id:bigint,stores:array<struct<name:string>>>"
+    assert spark.range(1).select(T.digits(F.lit("Tk 1,350.00")), T.digits(F.lit("none"))).first() == (135000, None)
 
 
 def test_scrape_files_of_all_shapes(spark, tmp_path):
