@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -286,17 +287,19 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["doc_id"].dataType.simpleString()
     units = scratch.keep(rows.mapInArrow(_units, _UNITS.format(kind)), "units")
 
-    # one row for each different paragraph, however many copies there are
-    keys = scratch.keep(units.where("body is not null").select("k", "bands").distinct(), "keys")
-    banded = keys.select("k", F.explode("bands").alias("band"))
-    # bands of several paragraphs are written first: the shuffle that found them goes before the next one comes, and
-    # the join below stands right on two shuffles, so a very common band can be split among tasks
-    shared = scratch.keep(banded.groupBy("band").count().where("count > 1"), "shared")
-    scratch.free()
-    met = scratch.keep(banded.join(shared, "band").select("band", "k", (F.col("count") > HOT).alias("hot")), "met")
-    scratch.drop(shared, keys)
-    del banded, shared
-    scratch.free()
+    # one band after the other, so that only one of them is on its way at a time; one row for each different paragraph,
+    # however many copies there are. Bands of several paragraphs are written first: the join then stands right on two
+    # shuffles, so a very common band can be split among tasks
+    met = []
+    for n in range(BANDS):
+        banded = scratch.keep(units.where("body is not null").select("k", F.get("bands", F.lit(n)).alias("band")).distinct(), "band")
+        shared = scratch.keep(banded.groupBy("band").count().where("count > 1"), "shared")
+        met.append(scratch.keep(banded.join(shared, "band").select("band", "k", (F.col("count") > HOT).alias("hot")), "met"))
+        scratch.drop(shared, banded)
+        del banded, shared
+        scratch.free()
+    meetings = met
+    met = reduce(DataFrame.unionAll, meetings)
     wanted = met.select("k").distinct()
     # half of the paragraphs after the other: all bodies go through this shuffle, which is the largest
     halves = []
@@ -310,7 +313,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = met.join(bodies, "k").select("band", "k", "body", "hot").mapInArrow(_narrowed, "band long, k long, body string")
     edges = pairs.repartition("band").sortWithinPartitions("band", "k").mapInArrow(_links, "a long, b long")
     roots = connected_components(spark, edges, scratch)
-    scratch.drop(met, *halves)
+    scratch.drop(*meetings, *halves)
 
     place = F.struct("doc_id", "rid", "pos")
     same = units.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(place).alias("first"))
@@ -319,8 +322,13 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch.free()
     groups = named.groupBy("component").agg(F.sum("n").alias("n"), F.min("least").alias("component_doc_id"), F.min("first").alias("first")).where("n > 1")
     flags = scratch.keep(named.select("k", "component").join(groups.drop("n"), "component"), "flags")
+    scratch.drop(named)
+    del same, named, groups
+    scratch.free()
     hits = scratch.keep(units.drop("bands", "body").join(flags, "k").withColumn("removed", place != F.col("first")).drop("k", "first"), "hits")
-    scratch.drop(units)
+    scratch.drop(units, flags)
+    del flags
+    scratch.free()
     run = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("rid", "unit").orderBy("pos")))
     in_run = F.sum("words").over(Window.partitionBy("rid", "unit", "run"))
     return run.select("doc_id", F.get(F.array(*[F.lit(u) for u in UNITS]), F.col("unit")).alias("unit"), F.col("pos").alias("paragraph"), "start", "end", "words", "component", "component_doc_id", "removed", in_run.alias("run_words"))
