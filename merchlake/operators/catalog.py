@@ -144,3 +144,43 @@ def of_brand_slug(phones: DataFrame, slug: str) -> DataFrame:
 def phone_key(name: Column, number: Column) -> Column:
     """A key to refer to a product by: its slug, or else its number."""
     return F.coalesce(T.blank_to_null(T.slugify(name)), number.cast("string"))
+
+
+# Facets of the finder, how each is tested, and the column that it tests
+FACETS = {
+    "network": ("all_of", "networks"), "year": ("between", "released"), "dimension_max": ("at_most", "depth_mm"), "weight_max": ("at_most", "weight_g"), "build": ("equal", "build"), "sim": ("equal", "sim"), "display_type": ("equal", "display_type"),
+    "size": ("between", "inches"), "refresh_min": ("at_least", "refresh_hz"), "os": ("one_of", "os"), "chipset": ("holds", "chipset"), "cpu_cores_min": ("at_least", "cpu_cores"), "ram_min": ("at_least", "ram_gb"), "storage_min": ("at_least", "storage_gb"),
+    "card_slot": ("needed", "card_slot"), "main_cam_min": ("at_least", "main_cam_mp"), "video_res": ("equal", "video_res"), "selfie_cam_min": ("at_least", "selfie_cam_mp"), "batt_min": ("at_least", "batt_mah"), "charging_min": ("at_least", "charging_w"),
+    "jack": ("yes_no", "jack35"), "form_factor": ("equal", "form_factor"), "price": ("between", "price"),
+}
+_FACET_TESTS = {
+    "all_of": lambda x, v: F.size(F.array_except(F.array(*[F.lit(n) for n in v]), x)) == 0 if v else None,
+    "one_of": lambda x, v: x.isin(*v) if v else None,
+    "between": lambda x, v: x.between(*v),
+    "at_most": lambda x, v: x <= v,
+    "at_least": lambda x, v: x >= v,
+    "equal": lambda x, v: x == v if v != "Any" else None,
+    "holds": lambda x, v: F.contains(F.lower(x), F.lit(v.lower())) if v != "Any" else None,
+    "needed": lambda x, v: x if v else None,
+    "yes_no": lambda x, v: {"yes": x, "no": ~x}.get(v),
+}
+
+
+def find(phones: DataFrame, wanted: dict) -> DataFrame:
+    """Products that meet all wanted facets; lists that are empty, "Any", "any" and false flags ask for nothing."""
+    tests = [_FACET_TESTS[kind](c(column), wanted[name]) for name, (kind, column) in FACETS.items() if name in wanted]
+    tests = [t for t in tests if t is not None]
+    return phones.where(reduce(operator.and_, tests)) if tests else phones
+
+
+def db_search(phones: DataFrame, text: str) -> DataFrame:
+    """Products whose brand, name or variant key holds the text, whatever the case; a blank text holds for all."""
+    needle = text.strip().lower()
+    return phones.where(reduce(operator.or_, [F.contains(F.lower(F.coalesce(c(n), F.lit(""))), F.lit(needle)) for n in ("brand", "name", "variant_key")]))
+
+
+def brand_summaries(known: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(name, slug, phones): brands as a catalog gives them, with its own count where it has one, else the number of products."""
+    counted = catalog.groupBy(F.lower("brand").alias("low")).agg(F.count("*").alias("n"))
+    joined = known.withColumn("low", F.lower(F.coalesce("name", F.lit("")))).join(counted, "low", "left")
+    return joined.select("name", "slug", F.coalesce("phone_count", "n", F.lit(0)).alias("phones"))

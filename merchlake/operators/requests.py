@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -187,7 +188,7 @@ def compose(parts: DataFrame) -> DataFrame:
     reply = F.element_at(F.create_map(*[F.lit(x) for pair in S.REPLIES.items() for x in pair]), c("scope"))
     section = lambda title, body: F.when(F.trim(body) != "", F.concat(F.lit(f"#### {title}\n\n"), F.trim(body)))
     body = F.concat_ws("\n\n", section("From the catalog (SQL)", c("catalog")), section("Supporting snippets (vector search)", c("snippets")))
-    title = F.concat(F.lit("### "), F.initcap("intent"), F.lit(" — answer"))
+    title = F.concat(F.lit("### "), F.array_join(F.transform(F.split("intent", "_"), F.initcap), "_"), F.lit(" — answer"))
     found = F.when(body != "", F.concat_ws("\n\n", title, body)).otherwise(F.lit(S.NO_ANSWER))
     return parts.select("query_id", F.when(c("scope") != "PHONE_DOMAIN", F.coalesce(reply, F.lit(S.REPLIES["UNKNOWN"]))).otherwise(found).alias("answer"))
 
@@ -199,3 +200,43 @@ def trace(text: Column) -> Column:
 
 def has_field(text: Column, words: list[str]) -> Column:
     return has_word(F.lower(text), words)
+
+
+def with_fallback(ranked: DataFrame, requests: DataFrame, search: Callable[[DataFrame], DataFrame], top: int = 5) -> DataFrame:
+    """(query_id, rank, id, doc_id, score): ranked products, or for requests without any, documents found by `search`.
+
+    `ranked` has query_id, rank, id, score. `search` gets the requests (query_id, text) that are left, and returns
+    query_id, doc_id, score and rank from 0.
+    """
+    left = requests.select("query_id", "text").join(ranked.select("query_id").distinct(), "query_id", "left_anti").where(F.trim("text") != "")
+    found = search(left).where(c("rank") < top).select("query_id", (c("rank") + 1).alias("rank"), F.lit(None).cast("long").alias("id"), "doc_id", "score")
+    return ranked.select("query_id", "rank", c("id").cast("long").alias("id"), F.lit(None).cast("long").alias("doc_id"), "score").unionByName(found)
+
+
+def dispatch(planned: DataFrame, engines: dict[str, Callable[[DataFrame], DataFrame]], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    """What each engine says to the requests whose plan names it, and the errors of engines that failed.
+
+    `planned` has a row for each request and step (query_id, step, engine, and whatever engines read). An engine takes its
+    rows and returns (query_id, text); it runs once for all its requests, and its rows are written by `keep`, so that
+    one that fails leaves the others as they are. Returns (query_id, step, engine, text) and the errors by engine.
+    """
+    out, errors = None, {}
+    for name, engine in engines.items():
+        rows = planned.where(c("engine") == name)
+        try:
+            said = keep(engine(rows).select("query_id", "text"))
+        except Exception as e:  # noqa: BLE001  an engine may fail in any way, and is then left out
+            errors[name] = f"{type(e).__name__}: {e}"[:200]
+            continue
+        part = rows.select("query_id", "step", "engine").join(said, "query_id")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = planned.select("query_id", "step", "engine").limit(0).withColumn("text", F.lit(""))
+    return out, errors
+
+
+def joined_contexts(said: DataFrame, from_catalog: list[str]) -> DataFrame:
+    """(query_id, catalog, snippets): what engines said, in the order of their steps, by where it comes from."""
+    text = lambda mine: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("step", "text")))), lambda x: x["text"]), "\n\n")
+    catalog = c("engine").isin(*from_catalog)
+    return said.groupBy("query_id").agg(text(catalog).alias("catalog"), text(~catalog).alias("snippets"))

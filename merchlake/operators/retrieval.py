@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
@@ -132,6 +132,39 @@ def search(docs: DataFrame, requests: DataFrame, keep: Callable[[DataFrame], Dat
     return hybrid(found, bm25(found.select("query_id", key), every, asked, vocabulary, key), key, alpha, k)
 
 
+def build_index(docs: DataFrame, root: str, key: str = "doc_id") -> None:
+    """Fits an index and writes it under `root`: terms, vocabulary with idf, mean idf of buckets, vectors, and metadata.
+
+    Metadata are the columns of `docs` besides key and text, where they are not null.
+    """
+    spark = docs.sparkSession
+    written = {}
+
+    def write(name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        written[name] = spark.read.parquet(f"{root}/{name}")
+
+    write("terms", terms(docs, key))
+    write("vocabulary", idf(written["terms"], F.lit(docs.count())))
+    write("buckets", bucket_idf(written["vocabulary"]))
+    write("vectors", vectors(written["terms"], key, written["buckets"]))
+    meta = [n for n in docs.columns if n not in (key, "text")]
+    pairs = F.array(F.struct(F.lit("").alias("k"), F.lit(None).cast("string").alias("v")), *[F.struct(F.lit(n).alias("k"), c(n).cast("string").alias("v")) for n in meta])
+    write("metadata", docs.select(key, F.map_from_entries(F.filter(pairs, lambda e: e["v"].isNotNull())).alias("metadata")))
+
+
+def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of a written index by name."""
+    return {n: spark.read.parquet(f"{root}/{n}") for n in ("terms", "vocabulary", "buckets", "vectors", "metadata")}
+
+
+def search_index(index: dict[str, DataFrame], requests: DataFrame, key: str = "doc_id", k: int = 5, candidates: int = 25, alpha: float = 0.5) -> DataFrame:
+    """`search` over a written index."""
+    asked = terms(requests, "query_id")
+    found = top(cosine(vectors(asked, "query_id", index["buckets"]), index["vectors"], key), key, max(candidates, k))
+    return hybrid(found, bm25(found.select("query_id", key), index["terms"], asked, index["vocabulary"], key), key, alpha, k)
+
+
 # Operators of a condition text, the longest first
 COMPARISONS = [("<=", "$lte"), (">=", "$gte"), ("!=", "$ne"), ("<", "$lt"), (">", "$gt"), ("=", "$eq")]
 

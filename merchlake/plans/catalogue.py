@@ -350,3 +350,56 @@ def stable_hash_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = T.token_hash(c("p_name"))
     raw = c("p_name").cast("binary")
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), h.alias("hash32"), (h % 384).alias("bucket"), F.concat(F.lit("phone_"), F.substring(F.sha1(raw), 1, 24)).alias("doc_id"), F.sha2(raw, 256).alias("doc_hash"))
+
+
+#: Columns of the finder; Spark and DuckDB both read the expressions.
+_FINDER = {
+    "id": "id", "released": "2015 + id % 11", "depth_mm": "6 + id % 5", "weight_g": "150 + id % 100", "build": "CASE WHEN id % 3 = 0 THEN 'Glass' ELSE 'Plastic' END", "sim": "CASE WHEN id % 2 = 0 THEN 'Dual' ELSE 'Single' END",
+    "display_type": "CASE WHEN display_text LIKE '%OLED%' THEN 'OLED' ELSE 'LCD' END", "inches": "display_inches", "refresh_hz": "60 + id % 4 * 28", "os": "CASE WHEN os LIKE 'iOS%' THEN 'iOS' ELSE 'Android' END", "chipset": "processor_text", "cpu_cores": "4 + id % 3 * 2",
+    "ram_gb": "ram_gb", "storage_gb": "storage_gb", "card_slot": "id % 5 <> 0", "main_cam_mp": "12 + id * 13 % 190", "video_res": "CASE WHEN camera_text LIKE '%8K%' THEN '8K' ELSE '4K' END", "selfie_cam_mp": "8 + id % 30", "batt_mah": "battery_mah", "charging_w": "charging_w",
+    "jack35": "id % 4 = 0", "form_factor": "CASE WHEN id % 10 = 4 THEN 'Fold' ELSE 'Bar' END", "price": "price_min",
+}
+_FIND = f"{_P}, f AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _FINDER.items())}, list_filter(string_split(coalesce(network, ''), ' / '), lambda x: x <> '') AS networks FROM phones)"
+_WANTED = {
+    "network": ["LTE"], "year": (2016, 2025), "dimension_max": 9, "weight_max": 240, "build": "Any", "sim": "Any", "display_type": "OLED", "size": (5.0, 7.0), "refresh_min": 60, "os": ["Android", "iOS"], "chipset": "a", "cpu_cores_min": 4, "ram_min": 4,
+    "storage_min": 64, "card_slot": True, "main_cam_min": 20, "video_res": "Any", "selfie_cam_min": 8, "batt_min": 3000, "charging_min": 10, "jack": "no", "form_factor": "Bar", "price": (0.0, 900000.0),
+}
+
+
+@query(f"{_FIND} SELECT id FROM f WHERE list_contains(networks, 'LTE') AND released BETWEEN 2016 AND 2025 AND depth_mm <= 9 AND weight_g <= 240 AND display_type = 'OLED' AND inches BETWEEN 5.0 AND 7.0 AND refresh_hz >= 60 AND os IN ('Android', 'iOS') AND contains(lower(chipset), 'a') AND cpu_cores >= 4 AND ram_gb >= 4 AND storage_gb >= 64 AND card_slot AND main_cam_mp >= 20 AND selfie_cam_mp >= 8 AND batt_mah >= 3000 AND charging_w >= 10 AND NOT jack35 AND form_factor = 'Bar' AND price BETWEEN 0 AND 900000")
+def finder_all_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phones(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in _FINDER.items()], "network")
+    rows = rows.withColumn("networks", F.filter(F.split(F.coalesce("network", F.lit("")), " / "), lambda x: x != ""))
+    return C.find(rows, _WANTED).select("id")
+
+
+_SEARCHED = "k AS (SELECT id, brand, name, 'v_' || ram_gb || '_' || storage_gb AS variant_key FROM phones)"
+
+
+@query(f"{_P}, {_SEARCHED} SELECT id FROM k WHERE contains(lower(brand), 'v_8') OR contains(lower(name), 'v_8') OR contains(lower(coalesce(variant_key, '')), 'v_8')")
+def catalog_db_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = phones(spark, sf_dir).select("id", "brand", "name", F.concat(F.lit("v_"), c("ram_gb").cast("string"), F.lit("_"), c("storage_gb").cast("string")).alias("variant_key"))
+    return C.db_search(rows, " V_8").select("id")
+
+
+@query(f"{_P}, b AS (SELECT * FROM (VALUES ('Samsung', 'samsung', NULL), ('VIVO', 'vivo', NULL), ('Apple', 'apple', 7), ('Unknown', 'unknown', NULL)) AS t(name, slug, phone_count)) SELECT b.name, slug, coalesce(phone_count, (SELECT count(*) FROM phones WHERE lower(brand) = lower(b.name)), 0) AS phones FROM b")
+def catalog_brand_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("Samsung", "samsung", None), ("VIVO", "vivo", None), ("Apple", "apple", 7), ("Unknown", "unknown", None)], "name string, slug string, phone_count long")
+    return C.brand_summaries(known, phones(spark, sf_dir))
+
+
+_SORTED = f"{_P}, g AS (SELECT id, name, CASE WHEN id % 7 = 0 THEN NULL ELSE 2015 + id % 9 END AS release_year, id * 37 % 101 AS popularity FROM phones)"
+_BY = {"popularity": "popularity DESC", "newest": "coalesce(release_year, 0) DESC", "oldest": "coalesce(release_year, 0)", "name": "name", "bogus": "popularity DESC"}
+
+
+@query(_SORTED + " " + " UNION ALL ".join(f"(SELECT '{n}' AS sort, id, row_number() OVER (ORDER BY {o}, id) AS place FROM g QUALIFY place <= 10)" for n, o in _BY.items()))
+def catalog_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of each order of the catalog list; an unknown one means popularity."""
+    rows = phones(spark, sf_dir).select("id", "name", "brand", F.when(c("id") % 7 != 0, 2015 + c("id") % 9).alias("release_year"), (c("id") * 37 % 101).alias("popularity"), F.lit("").alias("slug"))
+    out = None
+    for sort in _BY:
+        kind, name, direction = C.SORTS.get(sort, C.SORTS["popularity"])
+        key = F.coalesce(c(name), F.lit(0)) if kind else c(name)
+        page = C.list_page(rows, sort=sort, size=10).select(F.lit(sort).alias("sort"), "id", F.row_number().over(Window.orderBy(key.desc() if direction == "desc" else key.asc(), "id")).alias("place"))
+        out = page if out is None else out.unionAll(page)
+    return out

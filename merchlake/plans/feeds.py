@@ -133,3 +133,13 @@ def stream_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.unionAll(events).write.mode("overwrite").parquet(f"{base}/in")
     run_available(each_once(arrivals(spark, f"{base}/in", events.schema, "ts"), "event_id", "ts"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("event_id", "event_type")
+
+
+_NESTED = ['{"Display": {"Size": "6.1", "Panel": {"Type": "OLED", "Hz": 120}}, "RAM": "8 GB", "NFC": true}', '{"a": {"b": {"c": {"d": {"e": "deep"}}}}}', "{}"]
+
+
+@query(f"SELECT i, coalesce(string_agg(replace(fullkey[3:], '.', '_') || '=' || (atom->>'$'), '; ' ORDER BY fullkey), '') AS specs FROM (SELECT unnest(range(0, {len(_NESTED)})) AS i, unnest([{', '.join(repr(t) for t in _NESTED)}]) AS j) LEFT JOIN LATERAL (SELECT fullkey, atom FROM json_tree(j) WHERE type <> 'OBJECT') ON true GROUP BY i")
+def json_flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_NESTED)), "i int, j string")
+    flat = feeds.flattened(F.try_variant_get(F.try_parse_json("j"), "$", "map<string,variant>"))
+    return rows.select("i", F.array_join(F.transform(F.array_sort(F.map_entries(flat)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("specs"))

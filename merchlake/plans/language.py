@@ -93,7 +93,7 @@ _POINTS = {
     "deals": f"CASE WHEN {_w('deals')} THEN 4 ELSE 0 END",
     "general": "CASE WHEN " + " OR ".join(f"starts_with(q, '{g}')" for g in V.INTENT_WORDS["general"]) + r" OR len(regexp_split_to_array(q, '\s+')) <= 2 THEN 1 ELSE 0 END",
 }
-_I = _B + ", pts AS (" + " UNION ALL ".join(f"SELECT query_id, '{n}' AS intent, {i} AS ord, {p} AS points FROM pri" for i, (n, p) in enumerate(_POINTS.items())) + "), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, ord) AS n, lead(points) OVER (PARTITION BY query_id ORDER BY points DESC, ord) AS next FROM pts), cls AS (SELECT query_id, CASE WHEN points = 0 THEN 'general' WHEN points = next AND points >= 2 THEN 'mixed' ELSE intent END AS intent, CASE WHEN points = 0 THEN 0.5::DOUBLE ELSE round(least(0.5::DOUBLE + 0.1::DOUBLE * points, 0.9::DOUBLE), 6) END AS confidence FROM r WHERE n = 1)"
+_I = _B + ", pts AS (" + " UNION ALL ".join(f"SELECT query_id, '{n}' AS intent, {i} AS ord, {p} AS points FROM pri" for i, (n, p) in enumerate(_POINTS.items())) + "), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, ord) AS n, lead(points) OVER (PARTITION BY query_id ORDER BY points DESC, ord) AS next FROM pts), cls AS (SELECT query_id, CASE WHEN points = 0 THEN 'general' WHEN points = next AND points >= 2 THEN 'mixed' ELSE intent END AS intent, CASE WHEN points = 0 THEN 0.5::DOUBLE ELSE round(least(0.5::DOUBLE + 0.1::DOUBLE * points, 0.9::DOUBLE), 6) END AS confidence FROM rk WHERE n = 1)"
 
 
 @query(_I + " SELECT * FROM cls")

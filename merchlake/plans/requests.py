@@ -9,13 +9,15 @@ from merchlake.functions import slots as S
 from merchlake.functions import vocabulary as V
 from merchlake.operators import pricing as P
 from merchlake.operators import requests as R
-from merchlake.operators import scoring, specs
+from merchlake.operators import retrieval, scoring, specs
 from merchlake.operators import understanding as U
 from merchlake.operators.entities import resolve
 from merchlake.plans import language as L
+from merchlake.plans import retrieval as PR
 from merchlake.plans.catalogue import resolved_sql
 from merchlake.plans.scores import _C, _S, FEATURES_SQL, _has
-from merchlake.sources.catalog import LISTINGS_SQL, listings, phones, stores
+from merchlake.sources.catalog import LISTINGS_SQL, listings, phones, stores, table
+from merchlake.sources.scratch import kept
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -226,3 +228,49 @@ def answer_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     parts = _texts(spark, ASKED).join(lines, "query_id", "left").select("query_id", F.lit("PHONE_DOMAIN").alias("scope"), F.lit("recommendation").alias("intent"), F.coalesce(F.concat(F.lit("### Recommendations\n"), "lines"), F.lit("")).alias("catalog"), F.lit("").alias("snippets"))
     return R.compose(parts).withColumn("t", R.trace(c("answer"))).select("query_id", "answer", "t.*")
+
+
+_RANKED = _RECOMMEND.replace("(brand IS NULL OR", "(r.brand IS NULL OR")
+_FALL = f"asked AS (SELECT query_id, text FROM m WHERE trim(text) <> '' AND query_id NOT IN (SELECT query_id FROM ranked)), qtok AS ({PR._TOKENS('asked', 'query_id')})"
+
+
+@query(f"{_RANKED}, {PR._BASE.removeprefix('WITH ')}, {_FALL}, {PR._COS}, {PR._BM}, h AS (SELECT query_id, doc_id, round(0.5::DOUBLE * {PR._MM('cand.score')} + 0.5::DOUBLE * {PR._MM('bm.score')}, 6) AS score FROM cand JOIN bm USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)), hr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 5) SELECT query_id, rank, id, NULL::BIGINT AS doc_id, round(score, 6) AS score FROM ranked UNION ALL SELECT query_id, rank, NULL, doc_id, score FROM hr")
+def recommend_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations, and documents for requests that no product fits."""
+    ranked = R.recommend(_requests(spark), phones(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return R.with_fallback(kept(ranked), _texts(spark, ASKED), lambda left: retrieval.search(table(spark, sf_dir, "documents"), left, kept))
+
+
+_SAID = "said AS (SELECT p.query_id, step, engine, CASE engine WHEN 'recommend' THEN lines ELSE " + _SUFFIX.replace("CASE engine", "CASE p.engine") + " END AS text FROM (SELECT query_id, step, engine FROM cls JOIN rub USING (intent)) p JOIN m USING (query_id) LEFT JOIN found ON found.query_id = p.query_id WHERE engine <> 'recommend' OR lines IS NOT NULL)"
+
+
+def _intents(texts: str) -> str:
+    """The CTEs that classify `m`, over other texts."""
+    return L._I.replace(L._M, _m(ASKED))
+
+
+_CHAT = f"{_intents('')}{_RUB}, " + _TEXT_LINES.removeprefix(_m(ASKED) + ", ") + ", " + _SAID
+
+
+@query(f"""{_CHAT}, ctx AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY step) FILTER (WHERE engine = 'recommend') AS catalog, string_agg(text, chr(10) || chr(10) ORDER BY step) FILTER (WHERE engine <> 'recommend') AS snippets FROM said WHERE engine IN ('recommend', 'search', 'review', 'deals') GROUP BY query_id)
+SELECT query_id, CASE WHEN coalesce(trim(catalog), '') = '' AND coalesce(trim(snippets), '') = '' THEN {_quoted(S.NO_ANSWER)} ELSE concat_ws(chr(10) || chr(10), '### ' || array_to_string(list_transform(string_split(intent, '_'), lambda w: upper(w[1]) || w[2:]), '_') || ' — answer', '#### From the catalog (SQL)' || chr(10) || chr(10) || nullif(trim(catalog), ''), '#### Supporting snippets (vector search)' || chr(10) || chr(10) || nullif(trim(snippets), '')) END AS answer FROM m LEFT JOIN ctx USING (query_id) JOIN cls USING (query_id)""")
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request through its plan: engines run once for all requests, one of them fails, and answers are composed."""
+    planned = U.with_plan(U.with_intent(_texts(spark, ASKED)))
+    plan = kept(R.steps(planned).join(planned.select("query_id", "intent").distinct(), "query_id"))
+    p = phones(spark, sf_dir)
+
+    def recommended(rows: DataFrame) -> DataFrame:
+        found = R.recommend(_requests(spark).join(rows.select("query_id"), "query_id", "left_semi"), p).join(p.select("id", "name", "brand"), "id")
+        line = F.format_string("%d. %s (%s) — score %.2f", "rank", "name", "brand", "score")
+        return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+
+    def broken(rows: DataFrame) -> DataFrame:
+        raise ConnectionError("no guide")
+
+    asked = lambda rows: rows.select("query_id", c("search_text").alias("text"))
+    said, errors = R.dispatch(plan, {"recommend": recommended, "buying_guide": broken, "search": asked, "review": asked, "deals": asked}, kept)
+    assert list(errors) == ["buying_guide"]
+    contexts = R.joined_contexts(said, ["recommend"])
+    parts = _texts(spark, ASKED).join(contexts, "query_id", "left").join(plan.select("query_id", "intent").distinct(), "query_id").select("query_id", F.lit("PHONE_DOMAIN").alias("scope"), "intent", F.coalesce("catalog", F.lit("")).alias("catalog"), F.coalesce("snippets", F.lit("")).alias("snippets"))
+    return R.compose(parts)

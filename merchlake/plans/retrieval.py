@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from merchlake.functions import text as T
 from merchlake.operators import retrieval as R
 from merchlake.operators.catalog import where
 from merchlake.sources.catalog import table
-from merchlake.sources.scratch import kept
+from merchlake.sources.scratch import kept, shared_root
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -118,6 +120,15 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(_docs(spark, sf_dir), asked, kept).select("query_id", "doc_id", "score", "rank")
 
 
+@query(ORACLE_SQL["hybrid_search"])
+def index_built_and_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that is fitted, written, loaded and searched gives what a search over the documents gives."""
+    root = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
+    R.build_index(_docs(spark, sf_dir), root)
+    asked = spark.createDataFrame(_ASKED, "query_id int, text string")
+    return R.search_index(R.load_index(spark, root), asked).select("query_id", "doc_id", "score", "rank")
+
+
 _SOME = "(SELECT * FROM tok WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars <= 3000 AND lang <> 'es' AND contains(text, 'the')))"
 
 

@@ -108,3 +108,14 @@ def stable(record: DataFrame, volatile: list[str], nested: str = "stores") -> Da
     out = record.drop(*volatile)
     inside = [f.name for f in record.schema[nested].dataType.elementType.fields if f.name in volatile]
     return out.withColumn(nested, F.transform(nested, lambda s: s.dropFields(*inside))) if inside else out
+
+
+def flattened(specs: Column, joint: str = "_", levels: int = 8) -> Column:
+    """A map of names to texts from a nested one: names of inner entries stand behind those of the outer ones, as deep as `levels`."""
+    pairs = F.transform(F.map_entries(specs), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    inner = lambda p: F.transform(F.map_entries(F.try_variant_get(p["value"], "$", "map<string,variant>")), lambda x: F.struct(F.concat(p["key"], F.lit(joint), x["key"]).alias("key"), x["value"].alias("value")))
+    for _ in range(levels):
+        pairs = F.flatten(F.transform(pairs, lambda p: F.coalesce(inner(p), F.array(p))))
+    named = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), F.try_variant_get(p["value"], "$", "string").alias("value")))
+    names = F.array_distinct(F.transform(named, lambda p: p["key"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(named, lambda p: p["key"] == n), -1)["value"]))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from merchlake.operators.entities import content_hash, diff
+from merchlake.operators.entities import content_hash, diff, keep_first
+from merchlake.operators.ingest import doc_hash, to_embed
 from merchlake.operators.sinks import Snapshots
 
 
@@ -31,19 +34,29 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def ingest(batch: DataFrame, table: Snapshots, manifest: Snapshots, key: str, stable: list[str]) -> DataFrame:
+def ingest(batch: DataFrame, table: Snapshots, manifest: Snapshots, key: str, stable: list[str], document: Column | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, vectors: Snapshots | None = None) -> DataFrame:
     """Applies one batch of products: only what changed is written; returns (status, n).
 
-    The manifest has a hash of each product's stable columns. Products that are no longer in the batch are removed. A
-    second run of the same batch finds everything unchanged and writes nothing, so it can follow a failed run.
+    The manifest has a hash of each product's stable columns, and of its document if that is given; a product is updated
+    if either differs. Of rows with the same key the one with the least hash stays. Products that are no longer in the
+    batch are removed. With `embed`, a function of (key, text), documents whose hash changed are embedded into `vectors`,
+    and those of removed products are deleted there; no others are embedded. A second run of the same batch finds
+    everything unchanged and writes nothing, so it can follow a failed run.
     """
-    hashed = batch.withColumn("content_hash", content_hash(*stable))
+    text = F.lit(None).cast("string") if document is None else document
+    hashed = batch.withColumns({"content_hash": content_hash(*stable), "doc_text": text}).withColumn("doc_hash", doc_hash(F.col("doc_text")))
+    hashed = keep_first(hashed, [key], [F.col("content_hash"), F.col("doc_hash")])
     old = manifest.read()
-    new_manifest = hashed.select(key, "content_hash")
-    status = diff(old, new_manifest, key, ["content_hash"]) if old is not None else new_manifest.select(key, F.lit("added").alias("status"))
+    new_manifest = hashed.select(key, "content_hash", "doc_hash")
+    status = diff(old, new_manifest, key, ["content_hash", "doc_hash"]) if old is not None else new_manifest.select(key, F.lit("added").alias("status"))
     counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
     if set(counts) - {"unchanged"}:
-        changed = hashed.join(status.where("status in ('added', 'updated')").select(key), key, "left_semi").drop("content_hash")
-        table.merge(changed, key, removed=status.where("status = 'removed'").select(key))
+        removed = status.where("status = 'removed'").select(key)
+        changed = hashed.join(status.where("status in ('added', 'updated')").select(key), key, "left_semi")
+        table.merge(changed.select(*batch.columns), key, removed=removed)
+        if embed is not None and vectors is not None:
+            known = old.select(key, "doc_hash") if old is not None else new_manifest.select(key, "doc_hash").limit(0)
+            todo, gone = to_embed(hashed.select(key, F.col("doc_text").alias("text")), known, key)
+            vectors.merge(embed(todo.select(key, "text")), key, removed=gone)
         manifest.replace(new_manifest)
     return batch.sparkSession.createDataFrame(sorted(counts.items()), "status string, n long")

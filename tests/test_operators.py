@@ -77,6 +77,27 @@ def test_documents_come_back(spark):
     assert "No live price is currently reported by any store." in text and "none reported" in text and "Operating System" not in text
 
 
+def test_ingest_embeds_only_changed_documents(spark, tmp_path):
+    tables = [sinks.Snapshots(spark, f"{tmp_path}/{n}") for n in ("t", "m", "v")]
+    embedded = []
+
+    def embed(docs):
+        embedded.append(sorted(r["id"] for r in docs.collect()))
+        return docs.select("id", F.length("text").alias("size"))
+
+    def run(*rows):
+        df = spark.createDataFrame(rows, "id long, name string, price double")
+        return {r["status"]: r["n"] for r in ingest(df, tables[0], tables[1], "id", ["name", "price"], F.concat(F.lit("about "), "name"), embed, tables[2]).collect()}
+
+    assert run((1, "a", 1.0), (2, "b", 2.0), (2, "b", 2.0)) == {"added": 2}
+    assert run((1, "a", 9.0), (2, "bb", 2.0)) == {"updated": 2}
+    assert run((1, "a", 9.0), (3, "c", 1.0)) == {"added": 1, "removed": 1, "unchanged": 1}
+    assert run((1, "a", 9.0), (3, "c", 1.0)) == {"unchanged": 2}
+    assert embedded == [[1, 2], [2], [3]]
+    assert sorted(tuple(r) for r in tables[2].read().collect()) == [(1, 7), (3, 7)]
+    assert sorted(r["id"] for r in tables[0].read().collect()) == [1, 3]
+
+
 def test_snapshots_do_not_overwrite_each_other(spark, tmp_path):
     one, two = (sinks.Snapshots(spark, f"{tmp_path}/t") for _ in range(2))
     one.replace(spark.range(3))
