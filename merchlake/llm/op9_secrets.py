@@ -17,7 +17,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 #: What the models judge: long runs of characters that keys are written in.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 #: Documents that samples are taken from, at most: of random strings, and of ordinary identifiers.
 SECRET_DOCS, IDENTIFIER_DOCS = 50_000, 4_000
@@ -119,11 +120,19 @@ def ratio(token: Column, table: list[float]) -> Column:
     return _let(codes, walk)
 
 
+def _outside(span: Column, base: Column) -> Column:
+    """What sorted base spans that overlap a span leave of it, as spans of kind 3 with LEAST characters or more."""
+    ends = F.transform(base, lambda b: b["end"])
+    begin = F.concat(F.array(span["start"]), F.transform(ends, lambda _, i: F.array_max(F.slice(ends, F.lit(1), i + 1))))
+    stop = F.concat(F.transform(base, lambda b: b["start"]), F.array(span["end"]))
+    return F.filter(F.zip_with(begin, stop, lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end"))), lambda p: p["end"] - p["start"] >= LEAST)
+
+
 def find(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Secrets of each row of `docs`: doc_id, base and spans (arrays of structs of start, kind and end).
 
-    base: what the fixed patterns find. spans: those and, as kind 3, candidates that overlap none of them and that the
-    Markov models of `table` find random; both sorted by start, then kind. Positions are code points, ends exclusive.
+    base: what the fixed patterns find. spans: those and, as kind 3, candidates, or what base spans leave of them if that is
+    LEAST characters or more, that the Markov models of `table` find random; both sorted by start, then kind. Positions are code points, ends exclusive.
     `carry` names columns of `docs` to keep beside, none of them called like one of the result; others play no part. Null texts count as empty and have no spans.
     Null and repeated ids are kept as they are; an empty table gives an empty result.
     """
@@ -134,8 +143,8 @@ def find(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     rows = rows.withColumn(base, F.array_sort(F.concat(_spans(t, ASSIGN, 0, ASSIGN_LEAST), _spans(t, ACCESS, 1), _spans(t, HEX, 2))))
     value = lambda s: F.substring(t, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
     is_random = lambda s: _let(ratio(value(s), table), lambda r: (r >= TOTAL) & (r >= PER_PAIR * (s["end"] - s["start"] - 1)))
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn(extra, F.filter(_spans(t, CANDIDATE, 3), lambda s: free(s) & is_random(s)))
+    own = lambda s: _let(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])), lambda bs: _outside(s, bs))
+    rows = rows.withColumn(extra, F.filter(F.flatten(F.transform(_spans(t, CANDIDATE, 3), own)), is_random))
     return rows.select("doc_id", *kept, F.col(base).alias("base"), F.array_sort(F.concat(base, extra)).alias("spans"))
 
 
