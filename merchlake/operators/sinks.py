@@ -83,7 +83,7 @@ def write_array(rows: DataFrame, path: str, indent: bool = False) -> None:
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:
     """The records of files that hold one JSON array each; any other root is an error."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     wrong = files.where(~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("value")), F.lit("ARRAY")), F.lit(False)))
     if bad := wrong.select("_metadata.file_path").take(1):
         raise ValueError(f"{bad[0][0]} does not hold a list of records")

@@ -18,7 +18,7 @@ def scrape_files(spark: SparkSession, *folders: str) -> DataFrame:
     """
     found = None
     for rank, folder in enumerate(folders):
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
         files = files.select(c("_metadata.file_name").alias("file"), c("_metadata.file_path").alias("path"), c("value").alias("content"), F.lit(rank).alias("rank"))
         found = files if found is None else found.unionAll(files)
     once = Window.partitionBy("file").orderBy("rank", "path")

@@ -180,7 +180,7 @@ def test_scrape_files_of_all_shapes(spark, tmp_path):
         a / "data.json": {"data": [{"url": "u4"}]}, a / "other.json": {"n": 1, "tags": [1], "things": [{"url": "u5"}]}, a / "x-errors-1.json": {"products": [product]}, b / "items.json": {"items": [{"url": "other"}]},
     }
     for path, content in files.items():
-        path.write_text(json.dumps(content))
+        path.write_text(json.dumps(content, indent=1))
     (a / "empty.json").write_text(" ")
     (a / "bad.json").write_text("{nope")
     found = feeds.scrape_files(spark, str(a), str(b))
