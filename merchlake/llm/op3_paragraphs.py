@@ -43,7 +43,7 @@ HOT = 1000
 SPLITS = 8
 _SPLIT_SALTS = np.random.default_rng(34).integers(1, 2**63, SPLITS, dtype=np.uint64) | np.uint64(1)
 _PLACE = np.random.default_rng(35).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_UNITS = "rid long, doc_id {0}, unit int, pos int, words int, start long, end long, k long, bands array<long>, body string"
+_UNITS = "rid long, doc_id {0}, unit int, pos int, words int, start long, end long, k long, " + ", ".join(f"b{n} long" for n in range(BANDS)) + ", body string"
 
 
 class _Hashes(dict):
@@ -164,8 +164,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         different = np.diff(np.append(first, len(h)))
         keys = _mix(np.add.reduceat(_mix(h * _PLACE[0]), first) + different.astype(np.uint64) * _PLACE[1]) ^ _APART[kind]
         long = (different >= 4) & (size >= SHINGLE)
-        bands = np.stack([np.minimum.reduceat(h * salt, first) for salt in _SALTS], 1) ^ _BAND ^ _APART[kind][:, None]
-        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(BANDS * long)]), pa.int32()), pa.array(bands[long].ravel().view(np.int64)))
+        bands = [pa.array((np.minimum.reduceat(h * salt, first) ^ n ^ _APART[kind]).view(np.int64), mask=~long) for salt, n in zip(_SALTS, _BAND, strict=True)]
         body = [" ".join(words[a : a + n]) if keep else None for a, n, keep in zip(at.tolist(), size.tolist(), long.tolist(), strict=True)]
         # numbers within kind and text: units of a text come in the order of their starts
         group = np.lexsort((np.arange(len(units)), kind, of))
@@ -173,7 +172,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = np.empty(len(units), np.int32)
         pos[group] = np.arange(len(units)) - np.maximum.accumulate(np.where(edge, np.arange(len(units)), 0))
         take = pa.array(of)
-        yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind.astype(np.int32)), pa.array(pos), pa.array(size.astype(np.int32)), pa.array(start), pa.array(end), pa.array(keys.view(np.int64)), listed, pa.array(body, pa.string())], names=["rid", "doc_id", "unit", "pos", "words", "start", "end", "k", "bands", "body"])
+        yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(kind.astype(np.int32)), pa.array(pos), pa.array(size.astype(np.int32)), pa.array(start), pa.array(end), pa.array(keys.view(np.int64)), *bands, pa.array(body, pa.string())], names=["rid", "doc_id", "unit", "pos", "words", "start", "end", "k", *(f"b{n}" for n in range(BANDS)), "body"])
 
 
 def _sets(bodies: list[str], known: _Hashes) -> Iterator[np.ndarray]:
@@ -292,7 +291,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # shuffles, so a very common band can be split among tasks
     met = []
     for n in range(BANDS):
-        banded = scratch.keep(units.where("body is not null").select("k", F.get("bands", F.lit(n)).alias("band")).distinct(), "band")
+        banded = scratch.keep(units.where(f"b{n} is not null").select("k", F.col(f"b{n}").alias("band")).distinct(), "band")
         shared = scratch.keep(banded.groupBy("band").count().where("count > 1"), "shared")
         met.append(scratch.keep(banded.join(shared, "band").select("band", "k", (F.col("count") > HOT).alias("hot")), "met"))
         scratch.drop(shared, banded)
@@ -325,7 +324,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch.drop(named)
     del same, named, groups
     scratch.free()
-    hits = scratch.keep(units.drop("bands", "body").join(flags, "k").withColumn("removed", place != F.col("first")).drop("k", "first"), "hits")
+    hits = scratch.keep(units.drop(*(f"b{n}" for n in range(BANDS)), "body").join(flags, "k").withColumn("removed", place != F.col("first")).drop("k", "first"), "hits")
     scratch.drop(units, flags)
     del flags
     scratch.free()
