@@ -17,6 +17,7 @@ from merchlake.llm.op5_mixing import mix
 from merchlake.llm.op6_neighbours import nearest
 from merchlake.llm.op7_search import search
 from merchlake.llm.op8_simhash import near_duplicates
+from merchlake.llm.op11_spelling import count_words, group_variants
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(_docs(spark, sf_dir), drop_one_in=199).where("n >= 5"))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
@@ -108,5 +113,5 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op7_search": op7_search, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op7_search": op7_search, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity, "op11_spelling": op11_spelling}
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
