@@ -18,6 +18,8 @@ from merchlake.llm.op6_neighbours import nearest
 from merchlake.llm.op7_search import search
 from merchlake.llm.op8_simhash import near_duplicates
 from merchlake.llm.op11_spelling import count_words, group_variants
+from merchlake.llm.op12_whitening import whiten
+from merchlake.llm.op13_quality import judge
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(count_words(_docs(spark, sf_dir), drop_one_in=199).where("n >= 5"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 8)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_docs(spark, sf_dir))
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
@@ -113,5 +123,34 @@ SELECT doc_id, size, source_size, target, (sum(CASE WHEN total <= budget THEN si
 FROM g GROUP BY doc_id, source, key, size, source_size, target
 """
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op7_search": op7_search, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity, "op11_spelling": op11_spelling}
-ORACLE_SQL = {"op5_mixing": OP5_SQL}
+_S13 = r"[\x20\x09-\x0D]"
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), s AS (
+  SELECT row, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5
+), g AS (
+  SELECT row, i, array_to_string(w[i:i + 4], ' ') AS v FROM s
+), p AS (
+  SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, v) AS n FROM g) WHERE n > 1
+), r AS (
+  SELECT row, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat_words FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS nxt FROM p) GROUP BY row
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, (length(t) - length(regexp_replace(t, '{_S13}', '', 'g')))::BIGINT AS spaces, length(t)::BIGINT AS chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_bare_words,
+    length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters, length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_capitals, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{{2022}}]\x20'))) AS n_bullets
+  FROM d LEFT JOIN r USING (row)
+), b AS (
+  SELECT *, chars - spaces AS word_chars, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_bare_words > 3 * n_words
+    OR 2 * n_capitals > n_letters OR 10 * n_bullets > 9 * n_lines) AS kept
+FROM b
+"""
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_substrings": op2_substrings, "op3_paragraphs": op3_paragraphs, "op4_packing": op4_packing, "op5_mixing": op5_mixing, "op6_neighbours": op6_neighbours, "op7_search": op7_search, "op8_simhash": op8_simhash, "op9_secrets": op9_secrets, "op10_toxicity": op10_toxicity, "op11_spelling": op11_spelling, "op12_whitening": op12_whitening, "op13_quality": op13_quality}
+ORACLE_SQL = {"op5_mixing": OP5_SQL, "op13_quality": OP13_SQL}
