@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
+from merchlake.operators import postings
+from merchlake.sources.scratch import spread
 
 c = F.col
 DIM = 384
@@ -16,7 +18,7 @@ K1, B = 1.5, 0.75
 
 def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, token), a row for each token."""
-    return docs.select(key, F.posexplode(T.tokens(c(text))).alias("pos", "token"))
+    return spread(docs.select(key, text)).select(key, F.posexplode(T.tokens(c(text))).alias("pos", "token"))
 
 
 def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -43,8 +45,8 @@ def bucket_idf(idf_df: DataFrame) -> DataFrame:
     return idf_df.groupBy("bucket").agg(F.avg("idf").alias("idf"))
 
 
-def vectors(term_df: DataFrame, key: str, buckets: DataFrame | None = None, token_idf: DataFrame | None = None) -> DataFrame:
-    """(key, bucket, weight): sparse signed vectors of length 1.
+def doc_vectors(term_df: DataFrame, key: str, buckets: DataFrame | None = None, token_idf: DataFrame | None = None) -> DataFrame:
+    """(key, v): sparse signed vectors of length 1, v being an array of structs of bucket and weight w.
 
     A bucket's weight is (1 + ln of its tokens), times the bucket's mean idf if `buckets` (DIM rows at most) is given, or
     times the greatest idf of its tokens if `token_idf` is; without either the count alone weighs. Its sign is that of the
@@ -58,7 +60,12 @@ def vectors(term_df: DataFrame, key: str, buckets: DataFrame | None = None, toke
     w = c("sign") * (1 + F.log("tf")) * F.coalesce("t_idf", "idf", F.lit(1.0))
     every = raw.groupBy(key).agg(F.collect_list(F.struct("bucket", w.alias("w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return every.select(key, norm.alias("norm"), F.explode("v").alias("x")).select(key, "x.bucket", (c("x.w") / c("norm")).alias("weight"))
+    return every.withColumn("norm", norm).select(key, F.transform("v", lambda x: F.struct(x["bucket"].alias("bucket"), (x["w"] / c("norm")).alias("w"))).alias("v"))
+
+
+def vectors(term_df: DataFrame, key: str, buckets: DataFrame | None = None, token_idf: DataFrame | None = None) -> DataFrame:
+    """(key, bucket, weight): `doc_vectors`, a row for each bucket."""
+    return doc_vectors(term_df, key, buckets, token_idf).select(key, F.explode("v").alias("x")).select(key, "x.bucket", c("x.w").alias("weight"))
 
 
 def top(scored: DataFrame, key: str, k: int, by: str = "score") -> DataFrame:
@@ -112,28 +119,8 @@ def dense_topk(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     return top(scored, "vec_id", k)
 
 
-def search(docs: DataFrame, requests: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "doc_id", where: Column | None = None, where_document: Column | None = None, k: int = 5, candidates: int = 25, alpha: float = 0.5) -> DataFrame:
-    """(query_id, key, score, rank): the best k documents for each request (query_id, text) by vectors, then words.
-
-    `where` is a condition on the columns of `docs` and `where_document` one on its text; only such documents are
-    candidates, while idf is that of all. `keep` writes a table that is used more than once and returns it reread.
-    """
-    every = keep(terms(docs, key))
-    vocabulary = keep(idf(every, F.lit(docs.count())))
-    asked = keep(terms(requests, "query_id"))
-    buckets = bucket_idf(vocabulary)
-    conditions = [x for x in (where, where_document) if x is not None]
-    own = every
-    for condition in conditions:
-        docs = docs.where(condition)
-    if conditions:
-        own = every.join(docs.select(key), key, "left_semi")
-    found = keep(top(cosine(vectors(asked, "query_id", buckets), vectors(own, key, buckets), key), key, max(candidates, k)))
-    return hybrid(found, bm25(found.select("query_id", key), every, asked, vocabulary, key), key, alpha, k)
-
-
 def build_index(docs: DataFrame, root: str, key: str = "doc_id") -> None:
-    """Fits an index and writes it under `root`: terms, vocabulary with idf, mean idf of buckets, vectors, and metadata.
+    """Fits an index and writes it under `root`: terms, vocabulary with idf, mean idf of buckets, vectors, their postings, and metadata.
 
     Metadata are the columns of `docs` besides key and text, where they are not null.
     """
@@ -147,7 +134,8 @@ def build_index(docs: DataFrame, root: str, key: str = "doc_id") -> None:
     write("terms", terms(docs, key))
     write("vocabulary", idf(written["terms"], F.lit(docs.count())))
     write("buckets", bucket_idf(written["vocabulary"]))
-    write("vectors", vectors(written["terms"], key, written["buckets"]))
+    write("vectors", doc_vectors(written["terms"], key, written["buckets"]))
+    postings.write(written["vectors"], f"{root}/postings", key)
     meta = [n for n in docs.columns if n not in (key, "text")]
     pairs = F.array(F.struct(F.lit("").alias("k"), F.lit(None).cast("string").alias("v")), *[F.struct(F.lit(n).alias("k"), c(n).cast("string").alias("v")) for n in meta])
     write("metadata", docs.select(key, F.map_from_entries(F.filter(pairs, lambda e: e["v"].isNotNull())).alias("metadata")))
@@ -155,16 +143,33 @@ def build_index(docs: DataFrame, root: str, key: str = "doc_id") -> None:
 
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of a written index by name."""
-    return {n: spark.read.parquet(f"{root}/{n}") for n in ("terms", "vocabulary", "buckets", "vectors", "metadata")}
+    index = {n: spark.read.parquet(f"{root}/{n}") for n in ("terms", "vocabulary", "buckets", "vectors", "metadata")}
+    return index | {"postings": postings.load(spark, f"{root}/postings", index["vectors"].dtypes[0][1])}
+
 
+def search_index(index: dict[str, DataFrame], requests: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "doc_id", only: DataFrame | None = None, k: int = 5, candidates: int = 25, alpha: float = 0.5) -> DataFrame:
+    """(query_id, key, score, rank): the best k documents for each request (query_id, text) by vectors, then words, over a written index.
 
-def search_index(index: dict[str, DataFrame], requests: DataFrame, key: str = "doc_id", k: int = 5, candidates: int = 25, alpha: float = 0.5) -> DataFrame:
-    """`search` over a written index."""
-    asked = terms(requests, "query_id")
-    found = top(cosine(vectors(asked, "query_id", index["buckets"]), index["vectors"], key), key, max(candidates, k))
+    With `only`, a table of keys, other documents are no candidates, while idf is that of all.
+    """
+    asked = keep(terms(requests, "query_id"))
+    found, _ = postings.top(index["postings"], vectors(asked, "query_id", index["buckets"]), key, max(candidates, k), keep, only)
     return hybrid(found, bm25(found.select("query_id", key), index["terms"], asked, index["vocabulary"], key), key, alpha, k)
 
 
+def search(docs: DataFrame, requests: DataFrame, keep: Callable[[DataFrame], DataFrame], root: str, key: str = "doc_id", where: Column | None = None, where_document: Column | None = None, k: int = 5, candidates: int = 25, alpha: float = 0.5) -> DataFrame:
+    """`search_index` over documents that have no index yet: one is built under `root`.
+
+    `where` is a condition on the columns of `docs` and `where_document` one on its text; only such documents are candidates.
+    """
+    build_index(docs, root, key)
+    only = docs
+    for condition in (where, where_document):
+        only = only if condition is None else only.where(condition)
+    only = None if where is None and where_document is None else only.select(key)
+    return search_index(load_index(docs.sparkSession, root), requests, keep, key, only, k, candidates, alpha)
+
+
 # Operators of a condition text, the longest first
 COMPARISONS = [("<=", "$lte"), (">=", "$gte"), ("!=", "$ne"), ("<", "$lt"), (">", "$gt"), ("=", "$eq")]
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
+from merchlake.operators import postings
 from merchlake.operators import retrieval as R
 from merchlake.operators.catalog import where
 from merchlake.sources.catalog import table
-from merchlake.sources.scratch import kept, shared_root
+from merchlake.sources.scratch import fresh_root, kept
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -104,6 +103,27 @@ def cosine_topk_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cosines(spark, *_weightings(spark, sf_dir), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(ORACLE_SQL["cosine_topk_sparse"])
+def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a written index of postings, of which only cells that can still matter are read."""
+    found, _ = _from_postings(spark, sf_dir, 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _from_postings(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    terms, idf = _weightings(spark, sf_dir)
+    buckets, root = kept(R.bucket_idf(idf)), fresh_root(spark, "postings")
+    postings.write(kept(R.doc_vectors(terms, "doc_id", buckets)), root, "doc_id")
+    return postings.top(postings.load(spark, root), R.vectors(_asked(spark), "query_id", buckets), "doc_id", k, kept)
+
+
+@query(f"{_BASE}, {_Q} SELECT query_id, count(*) AS postings, true AS below FROM (SELECT DISTINCT doc_id, {_HASH('token', 0)} % 384 AS bucket FROM tok) JOIN (SELECT DISTINCT query_id, {_HASH('token', 0)} % 384 AS bucket FROM qtok) USING (bucket) GROUP BY query_id")
+def postings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many postings each query's buckets have, and whether fewer were read than that to find its best document."""
+    _, share = _from_postings(spark, sf_dir, 1)
+    return share.select("query_id", "postings", (c("postings_read") < c("postings")).alias("below"))
+
+
 @query(f"{_BASE}, {_Q}, {_COS}, {_BM} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, idf = _weightings(spark, sf_dir)
@@ -117,16 +137,16 @@ _MM = lambda x: f"(CASE WHEN max({x}) OVER w - min({x}) OVER w < 1e-9 THEN 0.0::
 @query(f"{_BASE}, {_Q}, {_COS}, {_BM}, h AS (SELECT query_id, doc_id, round(0.5::DOUBLE * {_MM('cand.score')} + 0.5::DOUBLE * {_MM('bm.score')}, 6) AS score FROM cand JOIN bm USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM h QUALIFY rank < 5")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame(_ASKED, "query_id int, text string")
-    return R.search(_docs(spark, sf_dir), asked, kept).select("query_id", "doc_id", "score", "rank")
+    return R.search(_docs(spark, sf_dir), asked, kept, fresh_root(spark, "index")).select("query_id", "doc_id", "score", "rank")
 
 
 @query(ORACLE_SQL["hybrid_search"])
 def index_built_and_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index that is fitted, written, loaded and searched gives what a search over the documents gives."""
-    root = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
+    root = fresh_root(spark, "index")
     R.build_index(_docs(spark, sf_dir), root)
     asked = spark.createDataFrame(_ASKED, "query_id int, text string")
-    return R.search_index(R.load_index(spark, root), asked).select("query_id", "doc_id", "score", "rank")
+    return R.search_index(R.load_index(spark, root), asked, kept).select("query_id", "doc_id", "score", "rank")
 
 
 _SOME = "(SELECT * FROM tok WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars <= 3000 AND lang <> 'es' AND contains(text, 'the')))"
@@ -137,7 +157,7 @@ def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search among documents that meet conditions on metadata and text."""
     asked = spark.createDataFrame(_ASKED, "query_id int, text string")
     some = where(R.parsed_where(["n_chars<=3000", "lang != 'es'"]))
-    return R.search(_docs(spark, sf_dir), asked, kept, where=some, where_document=F.contains("text", F.lit("the")), k=3, alpha=0.3).select("query_id", "doc_id", "score", "rank")
+    return R.search(_docs(spark, sf_dir), asked, kept, fresh_root(spark, "index"), where=some, where_document=F.contains("text", F.lit("the")), k=3, alpha=0.3).select("query_id", "doc_id", "score", "rank")
 
 
 def _dense(spark: SparkSession, sf_dir: str, metric: str, where_: dict | None = None) -> DataFrame:

@@ -24,3 +24,14 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_root(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt to all cores where it is read from fewer files than there are cores; larger tables have a file or more for each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def fresh_root(spark: SparkSession, name: str) -> str:
+    """A folder of its own for the tables of an index."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
