@@ -67,44 +67,6 @@ def as_map(entries: DataFrame, key: str, name: str, value: str) -> DataFrame:
 
 #: Requests that may be broadcast to a catalog, at most; more are joined in the same way without the hint.
 BROADCAST_NAMES = 10_000
-#: Stages of name resolution in order: for look-ups of one product, and for comparisons.
-STAGES = {"lookup": ["slug", "slug_part", "tokens", "name_part"], "compare": ["slug", "brand", "name_part", "slug_part", "tokens"]}
-
-
-def resolve(names: DataFrame, phones: DataFrame, order: str = "lookup") -> DataFrame:
-    """(name_id, name, id, stage): the product that each name means, by the first stage (from 1) that finds one.
-
-    Stages are those of STAGES: an equal slug; a brand of that name; a product's name that contains it; a slug that
-    contains the name's; or products of the brand that the first word tells, by how many of the other words (of two
-    letters or more) are in the slug. In a stage the dearest product wins, then the least id. Blank names find nothing.
-
-    Equal slugs are an equi-join. Only names that it leaves go on to the stages that have to look at the whole catalog;
-    these are a request, and are broadcast where they are few.
-    """
-    n = names.withColumn("name", F.trim("name")).withColumn("ns", T.slugify(c("name"))).where("ns != ''")
-    tail = T.slugify(F.regexp_replace("name", r"^\S+\s*", ""))
-    n = n.withColumns({"head": F.lower(F.split("name", " ")[0]), "words": F.when(F.contains("name", F.lit(" ")), F.filter(F.split(tail, "-"), lambda w: F.length(w) > 1)).otherwise(F.array().cast("array<string>"))})
-    p = phones.select("id", "brand", "price_min", c("name").alias("p_name"), T.slugify(c("name")).alias("ps"))
-    exact = p.join(n.select("name_id", "name", c("ns").alias("ps")), "ps").select("name_id", "name", "id", "price_min", F.lit(1).alias("stage"), F.lit(0).alias("hits"))
-    rest = n.join(exact.select("name_id").distinct(), "name_id", "left_anti")
-    hits = F.size(F.filter("words", lambda w: F.contains(c("ps"), w)))
-    tests = {
-        "slug": F.lit(False),
-        "brand": F.lower("brand") == F.lower("name"),
-        "name_part": F.contains(F.lower("p_name"), F.lower("name")),
-        "slug_part": F.contains(c("ps"), c("ns")),
-        "tokens": (F.lower("brand") == c("head")) & (hits > 0),
-    }
-    stage = None
-    for i, kind in enumerate(STAGES[order]):
-        stage = F.when(tests[kind], i + 1) if stage is None else stage.when(tests[kind], i + 1)
-    few = len(rest.limit(BROADCAST_NAMES + 1).select("name_id").take(BROADCAST_NAMES + 1)) <= BROADCAST_NAMES
-    met = p.join(F.broadcast(rest) if few else rest, stage.isNotNull()).withColumns({"stage": stage, "hits": hits})
-    met = met.withColumn("hits", F.when(c("stage") == STAGES[order].index("tokens") + 1, c("hits")).otherwise(0)).select("name_id", "name", "id", "price_min", "stage", "hits")
-    best = Window.partitionBy("name_id").orderBy("stage", F.desc("hits"), c("price_min").desc_nulls_last(), "id")
-    return exact.unionByName(met).withColumn("n", F.row_number().over(best)).where("n = 1").select("name_id", "name", "id", "stage")
-
-
 def content_hash(*columns: str) -> Column:
     """A hash of a row's stable columns: sorted by name, nulls left out."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merchlake.operators.entities import resolve
+from merchlake.operators.names import resolve
 
 c = F.col
 

@@ -13,7 +13,7 @@ from merchlake.functions import text as T
 from merchlake.functions import vocabulary as V
 from merchlake.functions.numbers import positive
 from merchlake.operators import comparison, scoring
-from merchlake.operators.entities import resolve
+from merchlake.operators.names import resolve
 from merchlake.operators.understanding import has_word
 
 c = F.col

@@ -10,8 +10,10 @@ from merchlake.functions.numbers import price_score, round_half_up
 from merchlake.functions.vocabulary import SPEC_NAMES
 from merchlake.operators import catalog as C
 from merchlake.operators import entities as E
+from merchlake.operators import names as N
 from merchlake.operators import pricing as P
 from merchlake.sources.catalog import LISTINGS_SQL, PHONES_SQL, listings, phones, stores, table
+from merchlake.sources.scratch import fresh_root
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -184,8 +186,8 @@ _NAMES = [(1, "Samsung small ring iPhone 16 Pro"), (2, "ring pixel 9"), (3, "xia
 def resolved_sql(names: str, order: str) -> str:
     """CTEs that end in `met`: name_id, name, id, stage; from a CTE `names` (name_id, name) and `phones`."""
     tests = {"slug": "ps = ns", "brand": "lower(brand) = lower(n.name)", "name_part": "contains(lower(p_name), lower(n.name))", "slug_part": "contains(ps, ns)", "tokens": "(lower(brand) = head AND hits > 0)"}
-    stage = " ".join(f"WHEN {tests[kind]} THEN {i + 1}" for i, kind in enumerate(E.STAGES[order]))
-    tokens = E.STAGES[order].index("tokens") + 1
+    stage = " ".join(f"WHEN {tests[kind]} THEN {i + 1}" for i, kind in enumerate(N.STAGES[order]))
+    tokens = N.STAGES[order].index("tokens") + 1
     return f"""ns AS (SELECT name_id, trim(name) AS name, {_SLUG('trim(name)')} AS ns, lower(split_part(trim(name), ' ', 1)) AS head, CASE WHEN contains(trim(name), ' ') THEN list_filter(string_split({_SLUG("regexp_replace(trim(name), '^[^ ]+ *', '')")}, '-'), lambda w: length(w) > 1) ELSE [] END AS words FROM {names}),
 ps AS (SELECT id, brand, price_min, name AS p_name, {_SLUG('name')} AS ps FROM phones),
 np AS (SELECT n.name_id, n.name, n.ns, n.head, ps.*, len(list_filter(words, lambda w: contains(ps, w))) AS hits FROM ns n, ps WHERE n.ns <> ''),
@@ -198,13 +200,46 @@ _N = f"{_P}, names AS (SELECT unnest([{', '.join(str(i) for i, _ in _NAMES)}]) A
 
 @query(f"{_N}, {resolved_sql('names', 'lookup')} SELECT * FROM met")
 def resolve_name_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.resolve(spark.createDataFrame(_NAMES, "name_id int, name string"), phones(spark, sf_dir))
+    return N.resolve(spark.createDataFrame(_NAMES, "name_id int, name string"), phones(spark, sf_dir))
 
 
 @query(f"{_N}, {resolved_sql('names', 'compare')} SELECT * FROM met")
 def resolve_name_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.resolve(spark.createDataFrame(_NAMES, "name_id int, name string"), phones(spark, sf_dir), "compare")
+    return N.resolve(spark.createDataFrame(_NAMES, "name_id int, name string"), phones(spark, sf_dir), "compare")
 
+@query(f"""{_P}, names AS (SELECT id AS name_id, CASE id % 4 WHEN 0 THEN name WHEN 1 THEN name[5:17] WHEN 2 THEN brand || ' ' || string_split(name, ' ')[3] || ' zzz' ELSE string_split(name, ' ')[4] END AS name FROM phones WHERE id % 10 = 0 OR id < 100), {resolved_sql('names', 'lookup')} SELECT * FROM met""")
+def resolve_names_of_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made from a tenth of the products, looked up in a written index: whole ones, parts, words with the brand, single words."""
+    return N.resolve(_catalog_names(phones(spark, sf_dir)), phones(spark, sf_dir), index=_name_index(spark, sf_dir))
+
+
+@query(ORACLE_SQL["resolve_names_of_catalog"].replace(resolved_sql("names", "lookup"), resolved_sql("names", "compare")))
+def resolve_names_of_catalog_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.resolve(_catalog_names(phones(spark, sf_dir)), phones(spark, sf_dir), "compare", _name_index(spark, sf_dir))
+
+
+def _catalog_names(p: DataFrame) -> DataFrame:
+    word = lambda i: F.split("name", " ")[i]
+    text = F.when(c("id") % 4 == 0, c("name")).when(c("id") % 4 == 1, F.substring("name", 5, 13)).when(c("id") % 4 == 2, F.concat(c("brand"), F.lit(" "), word(2), F.lit(" zzz"))).otherwise(word(3))
+    return p.where("id % 10 = 0 or id < 100").select(c("id").alias("name_id"), text.alias("name"))
+
+
+def _name_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    root = fresh_root(spark, "names")
+    N.write_index(phones(spark, sf_dir), root)
+    return N.load_index(spark, root)
+
+
+_HELD = "SELECT id AS query_id, CASE id % 3 WHEN 0 THEN ' ' || upper(name[8:14]) WHEN 1 THEN name[9:10] ELSE string_split(name, ' ')[2] || ' ' END AS text FROM phones WHERE id % 20 = 0 OR id < 50 UNION ALL SELECT -1, '  '"
+
+
+@query(_P + f", q AS ({_HELD}), t AS (SELECT id, lower(brand || ' ' || name) AS text FROM phones) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM q JOIN t ON contains(t.text, lower(trim(q.text))) QUALIFY rank <= 8")
+def typeahead_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first matches of many look-ups at once."""
+    p = phones(spark, sf_dir)
+    text = F.when(c("id") % 3 == 0, F.concat(F.lit(" "), F.upper(F.substring("name", 8, 7)))).when(c("id") % 3 == 1, F.substring("name", 9, 2)).otherwise(F.concat(F.split("name", " ")[1], F.lit(" ")))
+    asked = p.where("id % 20 = 0 or id < 50").select(c("id").alias("query_id"), text.alias("text")).unionByName(spark.range(1).select((c("id") - 1).alias("query_id"), F.lit("  ").alias("text")))
+    return N.holding(p.select("id", F.concat_ws(" ", "brand", "name").alias("text")), asked)
 
 
 def _clean_sql(x: str) -> str:

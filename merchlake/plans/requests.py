@@ -11,13 +11,13 @@ from merchlake.operators import pricing as P
 from merchlake.operators import requests as R
 from merchlake.operators import retrieval, scoring, specs
 from merchlake.operators import understanding as U
-from merchlake.operators.entities import resolve
+from merchlake.operators.names import resolve
 from merchlake.plans import language as L
 from merchlake.plans import retrieval as PR
 from merchlake.plans.catalogue import resolved_sql
 from merchlake.plans.scores import _C, _S, FEATURES_SQL, _has
 from merchlake.sources.catalog import LISTINGS_SQL, listings, phones, stores, table
-from merchlake.sources.scratch import kept
+from merchlake.sources.scratch import fresh_root, kept
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -238,7 +238,7 @@ _FALL = f"asked AS (SELECT query_id, text FROM m WHERE trim(text) <> '' AND quer
 def recommend_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations, and documents for requests that no product fits."""
     ranked = R.recommend(_requests(spark), phones(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return R.with_fallback(kept(ranked), _texts(spark, ASKED), lambda left: retrieval.search(table(spark, sf_dir, "documents"), left, kept))
+    return R.with_fallback(kept(ranked), _texts(spark, ASKED), lambda left: retrieval.search(table(spark, sf_dir, "documents"), left, kept, fresh_root(spark, "index")))
 
 
 _SAID = "said AS (SELECT p.query_id, step, engine, CASE engine WHEN 'recommend' THEN lines ELSE " + _SUFFIX.replace("CASE engine", "CASE p.engine") + " END AS text FROM (SELECT query_id, step, engine FROM cls JOIN rub USING (intent)) p JOIN m USING (query_id) LEFT JOIN found ON found.query_id = p.query_id WHERE engine <> 'recommend' OR lines IS NOT NULL)"
