@@ -12,9 +12,10 @@ from merchlake.functions import slots as S
 from merchlake.functions import text as T
 from merchlake.functions import vocabulary as V
 from merchlake.functions.numbers import positive
-from merchlake.operators import comparison, scoring
+from merchlake.operators import bands, comparison, scoring
 from merchlake.operators.names import resolve
 from merchlake.operators.understanding import has_word
+from merchlake.sources.scratch import kept
 
 c = F.col
 
@@ -106,31 +107,26 @@ def recommend(requests: DataFrame, phones: DataFrame, most: int = 100, top: int
     """(query_id, rank, id, score): for each request (query_id, budget_min, budget_max, brand, priorities, foldable, five_g)
     the best `top` of its `most` cheapest matches.
 
-    Scores are made once for each product. Matches are kept to `most` a request before they are ranked, as a feature.
+    Matches are kept to `most` a request before they are ranked, as a feature. They are found by price bands, and only
+    products that some request has kept are scored, once each and by the scores that requests ask for.
     The final score is 0.8 of the mean of the priorities and 0.2 of the mean of all, or the mean of all without any.
     """
-    names = sorted(scoring.SCORERS)
-    scored = scoring.with_scores(phones.where(c("price_min") > 0), names)
-    scored = scored.select("id", "name", "brand", "category", "network", "price_min", F.create_map(*[x for n in names for x in (F.lit(n), c(f"s_{n}"))]).alias("scores"))
     fold = T.has_any(T.lowered(c("category")), ["fold", "flip"]) | T.has_any(T.lowered(c("name")), ["fold", "flip"])
     five = T.has_any(T.lowered(c("network")), ["5g"]) | T.has_any(T.lowered(c("name")), ["5g"])
-    r = requests.select("query_id", "budget_min", "budget_max", c("brand").alias("asked_brand"), "priorities", "foldable", "five_g")
-    fits = (
-        (c("asked_brand").isNull() | (F.lower("brand") == F.lower("asked_brand")))
-        & (c("budget_min").isNull() | (c("price_min") >= c("budget_min")))
-        & (c("budget_max").isNull() | (c("price_min") <= c("budget_max")))
-        & (~c("foldable") | fold)
-        & (~c("five_g") | five)
-    )
-    cheapest = Window.partitionBy("query_id").orderBy(c("price_min"), "id")
-    met = scored.join(r, fits).withColumn("n", F.row_number().over(cheapest)).where(c("n") <= most)
-    at = lambda n: F.coalesce(F.element_at("scores", n), F.lit(0.0))
+    narrow = phones.select("id", "price_min", "brand", fold.alias("foldable"), five.alias("five_g"))
+    met = kept(bands.cheapest(requests, narrow, most))
+    asked = {r["p"] for r in requests.select(F.explode("priorities").alias("p")).distinct().where(c("p").isin(*scoring.SCORERS)).collect()}
+    names = sorted(asked | set(scoring.BASE))
+    scored = scoring.with_scores(phones.join(met.select("id").distinct(), "id", "left_semi"), names)
+    scored = scored.select("id", F.create_map(*[x for n in names for x in (F.lit(n), c(f"s_{n}"))]).alias("scores"))
+    met = met.join(scored, "id").join(requests.select("query_id", "priorities"), "query_id")
+    at = lambda n: F.coalesce(F.try_element_at("scores", n), F.lit(0.0))
     mean = lambda ns: F.aggregate(ns, F.lit(0.0), lambda s, n: s + at(n)) / F.size(ns)
     every = F.array_distinct(F.concat(F.array(*[F.lit(n) for n in scoring.BASE]), c("priorities")))
     final = F.when(F.size("priorities") > 0, 0.8 * mean(c("priorities")) + 0.2 * mean(every)).otherwise(mean(every))
-    met = met.withColumn("score", F.round(final, 9))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce(positive(c("price_min")), F.lit(999999.0)), "id")
-    return met.withColumn("rank", F.row_number().over(best)).where(c("rank") <= top).select("query_id", "rank", "id", "score")
+    ranked = met.withColumn("score", F.round(final, 9)).withColumn("rank", F.row_number().over(best))
+    return ranked.where(c("rank") <= top).select("query_id", "rank", "id", "score")
 
 
 def compared_names(text: Column) -> Column:
