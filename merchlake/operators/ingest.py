@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
 from merchlake.operators.entities import upsert
+from merchlake.sources.scratch import kept
 
 c = F.col
 # Specifications that a record has at its top level too, in this order
@@ -148,10 +149,19 @@ def prune(parents: DataFrame, children: DataFrame, removed: DataFrame, url: str,
 
 
 def numbered(old: DataFrame, wanted: DataFrame, unique: list[str], key: str) -> DataFrame:
-    """A dimension with the wanted rows found or created; new ones are numbered after the greatest old number, by their names."""
+    """A dimension with the wanted rows found or created; new ones are numbered after the greatest old number, by their names.
+
+    New rows are written in ranges of their names, which are counted; a row's number is its place in its range after
+    those of the ranges before. So no task has them all.
+    """
     new = wanted.select(*unique).distinct().join(old, unique, "left_anti")
+    ranged = kept(new.repartitionByRange(*unique).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    added = new.withColumn("r", F.row_number().over(Window.orderBy(*unique))).join(top).select(*unique, (c("top") + c("r")).alias(key))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*unique))
+    added = ranged.withColumn("place", place).join(starts, "range").join(top).select(*unique, (c("top") + c("start") + c("place")).alias(key))
     return old.select(*unique, key).unionByName(added)
 
 

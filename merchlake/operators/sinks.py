@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.operators.entities import upsert
-from merchlake.operators.ingest import numbered
 
 c = F.col
 
@@ -109,19 +108,3 @@ def checked(rows: DataFrame, error: Column, on_error: str = "raise") -> tuple[Da
         return marked.where(F.assert_true(c("error").isNull(), F.coalesce("error", F.lit(""))).isNull()).drop("error"), marked.limit(0)
     return marked.where("error is null").drop("error"), marked.where("error is not null")
 
-
-def append_listings(spark: SparkSession, listings: DataFrame, root: str) -> None:
-    """A scrape's listings into the normalised tables under `root`: stores and models are found or created, variants upserted, listings appended.
-
-    `listings` has store, brand, model, variant_key, price, in_stock, product_url, scraped_at.
-    """
-    tables = {n: Snapshots(spark, f"{root}/{n}") for n in ("stores", "models", "variants")}
-    old = lambda n, schema: tables[n].read() or spark.createDataFrame([], schema)
-    stores = numbered(old("stores", "name string, store_id long"), listings.select(c("store").alias("name")), ["name"], "store_id")
-    models = numbered(old("models", "brand string, model string, model_id long"), listings.select("brand", "model"), ["brand", "model"], "model_id")
-    tables["stores"].replace(stores)
-    tables["models"].replace(models)
-    new = listings.select("variant_key", "brand", "model").distinct().join(tables["models"].read(), ["brand", "model"]).select("variant_key", "model_id")
-    tables["variants"].merge(new, "variant_key")
-    facts = listings.join(tables["stores"].read().withColumnRenamed("name", "store"), "store").select("variant_key", "store_id", "price", "in_stock", "product_url", "scraped_at")
-    append_history(facts, f"{root}/listings")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
-from merchlake.operators import catalog, comparison, documents, entities, rendering, retrieval, scoring, sinks, understanding
+from merchlake.operators import catalog, commits, comparison, documents, entities, rendering, retrieval, scoring, sinks, understanding
 from merchlake.operators import ingest as ingest_ops
 from merchlake.sources import feeds
 from merchlake.streaming.listings import arrivals, each_once, ingest, run_available, windowed
@@ -133,13 +133,15 @@ def test_normalised_tables_find_or_create(spark, tmp_path):
     at = datetime.datetime(2025, 1, 2)
     first = spark.createDataFrame([("A", "x", "m1", "k1", 1.0, True, "u1", at), ("B", "x", "m1", "k1", 2.0, True, "u2", at)], kinds)
     second = spark.createDataFrame([("B", "x", "m2", "k2", 3.0, False, "u3", at), ("C", "x", "m1", "k1", 4.0, True, "u4", at)], kinds)
-    for batch in (first, second):
-        sinks.append_listings(spark, batch, f"{tmp_path}/db")
-    read = lambda n: sinks.Snapshots(spark, f"{tmp_path}/db/{n}").read()
-    assert {(r["name"], r["store_id"]) for r in read("stores").collect()} == {("A", 1), ("B", 2), ("C", 3)}
-    assert {(r["model"], r["model_id"]) for r in read("models").collect()} == {("m1", 1), ("m2", 2)}
-    assert {(r["variant_key"], r["model_id"]) for r in read("variants").collect()} == {("k1", 1), ("k2", 2)}
-    assert sorted((r["store_id"], r["price"]) for r in spark.read.parquet(f"{tmp_path}/db/listings").collect()) == [(1, 1.0), (2, 2.0), (2, 3.0), (3, 4.0)]
+    db = commits.Tables(spark, f"{tmp_path}/db", buckets=4)
+    for number, batch in enumerate((first, second, second)):
+        assert commits.import_listings(db, "scrape", min(number, 1), batch) == (number < 2)
+    assert {(r["name"], r["store_id"]) for r in db.read("stores").collect()} == {("A", 1), ("B", 2), ("C", 3)}
+    assert {(r["model"], r["model_id"]) for r in db.read("models").collect()} == {("m1", 1), ("m2", 2)}
+    assert {(r["variant_key"], r["model_id"]) for r in db.read("variants").collect()} == {("k1", 1), ("k2", 2)}
+    assert sorted((r["store_id"], r["price"]) for r in db.read("listings").collect()) == [(1, 1.0), (2, 2.0), (2, 3.0), (3, 4.0)]
+    db.compact("listings")
+    assert len(db.parts("listings")[None]) == 1 and db.read("listings").count() == 4
 
 
 def test_vectors_are_checked(spark):
