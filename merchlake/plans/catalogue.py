@@ -14,6 +14,7 @@ from merchlake.operators import names as N
 from merchlake.operators import pricing as P
 from merchlake.sources.catalog import LISTINGS_SQL, PHONES_SQL, listings, phones, stores, table
 from merchlake.sources.scratch import fresh_root
+from merchlake.sources.texts import filled, rows, rows_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -127,10 +128,10 @@ def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.related(phones(spark, sf_dir), 42).select("id", "name")
 
 
-@query("SELECT page, array_to_string(list_filter(range(1, 13), lambda i: i = 1 OR i = 12 OR abs(i - page) <= 2), ' ') AS shown FROM range(1, 13) t(page)")
+@query("SELECT id, page, array_to_string(list_filter(range(1, pages + 1), lambda i: i = 1 OR i = pages OR abs(i - page) <= 2), ' ') AS shown FROM (SELECT p_partkey AS id, p_size::BIGINT AS pages, p_partkey % p_size + 1 AS page FROM part)")
 def page_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = C.page_numbers(F.lit(12).cast("long"), c("id"))
-    return spark.range(1, 13).select(c("id").alias("page"), F.array_join(F.transform(numbers, lambda i: i.cast("string")), " ").alias("shown"))
+    p = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_size").cast("long").alias("pages"), (c("p_partkey") % c("p_size") + 1).alias("page"))
+    return p.select("id", "page", F.array_join(F.transform(C.page_numbers(c("pages"), c("page")), lambda i: i.cast("string")), " ").alias("shown"))
 
 
 # offers
@@ -303,17 +304,21 @@ _inside = lambda vs: "(" + " OR ".join(f"contains(n, '{v}')" for v in vs) + ")"
 _SPEC_STEPS += [(f"{_inside(SPEC_NAMES['ram'])} AND {_inside(['storage', 'rom', 'internal', 'capacity'])}", "storage")] + [(_inside(vs), k) for k, vs in SPEC_NAMES.items()]
 
 
-@query(rf"WITH r AS (SELECT unnest({_SPECS}) AS raw), m AS (SELECT raw, trim(regexp_replace(lower(trim(raw)), '[\s_-]+', ' ', 'g')) AS n FROM r) SELECT raw, CASE " + " ".join(f"WHEN {w} THEN '{k}'" for w, k in _SPEC_STEPS) + " ELSE replace(n, ' ', '_') END AS spec FROM m")
+_SPEC = {"id": "p_partkey", "raw": f"concat({filled([*_SPECS, '{name}'])}, {filled(['', ' ', '', ' {size}', '-{type}'], 16)})"}
+
+
+@query(rf"WITH r AS ({rows_sql(_SPEC)}), m AS (SELECT id, raw, trim(regexp_replace(lower(trim(raw)), '[\s_-]+', ' ', 'g')) AS n FROM r) SELECT id, raw, CASE " + " ".join(f"WHEN {w} THEN '{k}'" for w, k in _SPEC_STEPS) + " ELSE replace(n, ' ', '_') END AS spec FROM m")
 def normalize_spec_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in _SPECS], "raw string").select("raw", E.spec_name(c("raw")).alias("spec"))
+    return rows(spark, sf_dir, _SPEC).select("id", "raw", E.spec_name(c("raw")).alias("spec"))
 
 
-_FILES = ["star-tech-2026-06-19T11-53-57-549Z.json", "gadget-&-gear-2026-06-21T10-04-16-399Z.json", "custom-mac-bd-2026-06-28T19-13-20-124Z.json", "plain-name.json", "rio-2026-01-02.json"]
+_FILES = {"id": "p_partkey", "file": f"replace({filled(['star-tech-{year}-06-19T11-53-57-549Z.json', 'gadget-&-gear-{brand}-{year}-06-21T10-04-16-399Z.json', 'custom-mac-bd-{year}-06-28T19-13-20-124Z.json', 'plain-{name}.json', 'rio-{brand}-{year}-01-02.json', '{type}.json'])}, ' ', '-')"}
 
 
-@query(f"SELECT unnest({_FILES}) AS file, unnest(['Star Tech', 'Gadget & Gear', 'Custom Mac BD', 'Plain Name', 'Rio']) AS source")
+@query(rf"""WITH f AS ({rows_sql(_FILES)}), n AS (SELECT id, file, replace(coalesce(nullif(regexp_extract(file, '^(.+?)-\d{{4}}-\d{{2}}-\d{{2}}T', 1), ''), regexp_replace(replace(file, '.json', ''), '-\d{{4}}-\d{{2}}-\d{{2}}.*$', '')), '-', ' ') AS n FROM f)
+SELECT id, file, regexp_replace(array_to_string(list_transform(string_split(n, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), '\bBd\b', 'BD') AS source FROM n""")
 def source_from_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(f,) for f in _FILES], "file string").select("file", E.source_of_file(c("file")).alias("source"))
+    return rows(spark, sf_dir, _FILES).select("id", "file", E.source_of_file(c("file")).alias("source"))
 
 
 @query(_P + f" SELECT id, {_SLUG('name')} AS slug FROM phones")

@@ -11,6 +11,7 @@ from merchlake.functions import text as T
 from merchlake.sources import feeds
 from merchlake.sources.catalog import LISTINGS_SQL, listings, table
 from merchlake.sources.scratch import shared_root
+from merchlake.sources.texts import filled, rows, rows_sql
 from merchlake.streaming.listings import arrivals, each_once, run_available
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -62,12 +63,12 @@ def json_flatten_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", (specs["k"].cast("int") % 10).alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
-_TEXTS = ["12,000 - 15,500", "BDT 9,999", "1,200 through 1,100", "call us", "5 / 7 / 9"]
+_TEXT = {"id": "p_partkey", "text": filled(["1{k},{mah} - 15,500", "BDT 9,9{k}", "1,200 through 1,1{k}", "call {brand}", "{size} / {gb} / 9", "{n}-{m} taka", ""])}
 
 
-@query(f"SELECT unnest({_TEXTS}) AS text, unnest([12000, 9999, 1200, NULL, 5]) AS price, unnest([15500, NULL, NULL, NULL, 7]) AS original_price")
+@query(rf"WITH t AS ({rows_sql(_TEXT)}), n AS (SELECT id, list_transform(regexp_extract_all(text, '[0-9,]*[0-9]'), lambda x: replace(x, ',', '')::BIGINT) AS n FROM t) SELECT id, n[1] AS price, CASE WHEN n[2] > n[1] THEN n[2] END AS original_price FROM n")
 def price_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in _TEXTS], "text string").select("text", feeds.price_range(c("text")).alias("p")).select("text", "p.*")
+    return rows(spark, sf_dir, _TEXT).select("id", feeds.price_range(c("text")).alias("p")).select("id", "p.*")
 
 
 _L = f"WITH listings AS ({LISTINGS_SQL})"
@@ -135,11 +136,13 @@ def stream_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("event_id", "event_type")
 
 
-_NESTED = ['{"Display": {"Size": "6.1", "Panel": {"Type": "OLED", "Hz": 120}}, "RAM": "8 GB", "NFC": true}', '{"a": {"b": {"c": {"d": {"e": "deep"}}}}}', "{}"]
+_NESTED = {"id": "p_partkey", "j": filled(['{"Display": {"Size": "{inch}", "Panel": {"Type": "OLED", "Hz": 1{k}}}, "RAM": "{gb} GB", "NFC": true}', '{"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": {"j": "{name}"}, "k": {size}}}}}}}}}}', "{}", '{"{brand}": {"{type}": {"x": null}}}'])}
 
 
-@query(f"SELECT i, coalesce(string_agg(replace(fullkey[3:], '.', '_') || '=' || (atom->>'$'), '; ' ORDER BY fullkey), '') AS specs FROM (SELECT unnest(range(0, {len(_NESTED)})) AS i, unnest([{', '.join(repr(t) for t in _NESTED)}]) AS j) LEFT JOIN LATERAL (SELECT fullkey, atom FROM json_tree(j) WHERE type <> 'OBJECT') ON true GROUP BY i")
+@query(f"SELECT id, coalesce(string_agg(replace(replace(fullkey[3:], '\"', ''), '.', '_') || '=' || (atom->>'$'), '; ' ORDER BY replace(replace(fullkey[3:], '\"', ''), '.', '_')) FILTER (WHERE atom->>'$' IS NOT NULL), '') AS specs FROM ({rows_sql(_NESTED)}) LEFT JOIN LATERAL (SELECT fullkey, atom FROM json_tree(j) WHERE type <> 'OBJECT') ON true GROUP BY id")
 def json_flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_NESTED)), "i int, j string")
-    flat = feeds.flattened(F.try_variant_get(F.try_parse_json("j"), "$", "map<string,variant>"))
-    return rows.select("i", F.array_join(F.transform(F.array_sort(F.map_entries(flat)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("specs"))
+    """Specifications of any depth as one level."""
+    flat = feeds.flattened_rows(rows(spark, sf_dir, _NESTED), "id", "j")
+    pair = F.struct("name", F.concat("name", F.lit("="), "value").alias("pair"))
+    found = flat.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["pair"]), "; ").alias("specs"))
+    return table(spark, sf_dir, "part").select(c("p_partkey").alias("id")).join(found, "id", "left").select("id", F.coalesce("specs", F.lit("")).alias("specs"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from merchlake.operators import ingest as I
 from merchlake.plans.catalogue import _SLUG
 from merchlake.sources.catalog import LISTINGS_SQL, PHONES_SQL, listings, phones, stores, table
+from merchlake.sources.texts import filled, rows, rows_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -98,7 +99,8 @@ def merge_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEAK = r"concat(lower(trim(coalesce(brand, ''))), '|', regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(name, ''))), '\s+', ' ', 'g'), '\(\d+gb\)', '', 'g'), '\(\d+gb/\d+gb\)', '', 'g'))"
-_SPEC_NAMES = ["RAM", "Internal Storage", "Chipset", "Rear Camera setup", "selfie", "Display size", "OS", "5G connectivity", "Weight", "in", "Notch", "face ID unlock", "GPU", "", "Fingerprint Sensor", "SIM"]
+_SPEC_NAMES = ["RAM", "Internal Storage", "Chipset", "Rear Camera setup", "selfie", "Display size", "OS", "5G connectivity", "Weight", "in", "Notch", "face ID unlock", "GPU", "", "Fingerprint Sensor", "SIM", "{type}", "{name}"]
+_SPEC_NAME = {"id": "p_partkey", "raw": f"concat({filled(_SPEC_NAMES)}, {filled(['', '', ' {size}', ' type'], 18)})"}
 _WIDE = lambda x: f"CASE WHEN {x} = '' THEN {x} " + " ".join("WHEN " + " OR ".join(f"contains(lower(trim({x})), '{v}') OR contains('{v}', lower(trim({x})))" for v in vs) + f" THEN '{n}'" for n, vs in I.WIDE_SPEC_NAMES.items()) + f" ELSE {x} END"
 _ENTRIES = "SELECT ord, {key} AS key, unnest(['RAM', 'internal storage', 'Chip', 'weight']) AS spec, unnest([ram, storage, chipset, CASE WHEN ord % 2 = 0 THEN '' ELSE release_year::VARCHAR END]) AS value FROM products"
 
@@ -108,10 +110,9 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _products(spark, sf_dir).select("ord", I.weak_key(c("brand"), c("name")).alias("key"), F.explode(pairs).alias("p")).select("ord", "key", "p.*")
 
 
-@query(f"SELECT raw, {_WIDE('raw')} AS name FROM (SELECT unnest([{', '.join(repr(n) for n in _SPEC_NAMES)}]) AS raw)")
+@query(f"SELECT id, raw, {_WIDE('raw')} AS name FROM ({rows_sql(_SPEC_NAME)})")
 def normalize_spec_names_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in _SPEC_NAMES], "raw string")
-    return names.select("raw", I.wide_spec_name(c("raw")).alias("name"))
+    return rows(spark, sf_dir, _SPEC_NAME).select("id", "raw", I.wide_spec_name(c("raw")).alias("name"))
 
 
 @query(f"{_PR}, e AS ({_ENTRIES.format(key=_WEAK)}) SELECT key, name, arg_max(value, ord) AS value FROM (SELECT *, {_WIDE('spec')} AS name FROM e) WHERE value <> '' GROUP BY ALL")
@@ -214,27 +215,25 @@ def specs_hoisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.hoisted(df).select("id", "ram", "battery", "processor", "os", "network", "charging")
 
 
-_SIZES = [("256", ""), ("1.5", ""), ("1 TB", ""), ("big", "256GB 12GB RAM"), (None, "12GB RAM"), ("0", "64 GB"), ("512.0", "")]
-_TIMES = ["2024-05-06T07:08:09Z", "2024-05-06T07:08:09+06:00", "2024-05-06 07:08:09", "yesterday", "", None]
-_SAID = ["n/a", " N/A ", "None", "—", "-", " x ", "", None, "null", "nullable"]
-_v = lambda xs: ", ".join("NULL" if x is None else f"'{x}'" for x in xs)
+_SIZES = {"id": "p_partkey", "v": filled(["{m}", "1.5", "{gb}.0", "{k} TB", "big", None, "0", "5{size}.0", "TB {size}"]), "r": filled(["", "{k}6GB {gb}GB RAM", "{gb}GB RAM", "6{size} GB"], 2)}
+_TIMES = {"id": "p_partkey", "t": filled(["{year}-05-06T07:08:{k}Z", "{year}-05-06T07:08:09+06:00", "{year}-11-{k} 07:08:09", "yesterday {id}", "", None, "{year}-0{size}-06T07:08:09-03:30"])}
+_SAID = {"id": "p_partkey", "t": filled(["n/a", " N/A ", "None", "—", "-", " {name} ", "", None, "null", "nullable {id}", "{brand}", "na"])}
+_size = "try_cast(v AS DOUBLE)"
 
 
-@query(f"SELECT i, CASE WHEN v = '1.5' THEN 1536 WHEN v = '1 TB' THEN 1024 WHEN try_cast(v AS DOUBLE) > 0 THEN try_cast(v AS DOUBLE)::INT ELSE nullif(regexp_extract(r, '(?i)([0-9]{{2,4}})[ ]*GB', 1), '')::INT END AS gb FROM (SELECT unnest(range(0, {len(_SIZES)})) AS i, unnest([{_v([a for a, _ in _SIZES])}]) AS v, unnest([{_v([b for _, b in _SIZES])}]) AS r)")
+@query(f"SELECT id, coalesce(CASE WHEN {_size} > 0 AND contains(v, '.') AND {_size} < 16 THEN trunc({_size} * 1024)::INT WHEN {_size} > 0 THEN trunc({_size})::INT END, nullif(regexp_extract(v, '(?i)([0-9]+)[ ]*TB', 1), '')::INT * 1024, nullif(regexp_extract(r, '(?i)([0-9]{{2,4}})[ ]*GB', 1), '')::INT) AS gb FROM ({rows_sql(_SIZES)})")
 def storage_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_SIZES)], "i int, v string, r string")
-    return rows.select("i", I.storage_gb(c("v"), c("r")).alias("gb"))
+    return rows(spark, sf_dir, _SIZES).select("id", I.storage_gb(c("v"), c("r")).alias("gb"))
 
 
-@query(f"SELECT i, strftime(try_cast(t AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT unnest(range(0, {len(_TIMES)})) AS i, unnest([{_v(_TIMES)}]) AS t)")
+@query(f"SELECT id, strftime(try_cast(t AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS moment FROM ({rows_sql(_TIMES)})")
 def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_TIMES)), "i int, t string")
-    return rows.select("i", F.date_format(I.moment(c("t")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return rows(spark, sf_dir, _TIMES).select("id", F.date_format(I.moment(c("t")), "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
-@query(f"SELECT i, {_WHOLE('t')} AS said FROM (SELECT unnest(range(0, {len(_SAID)})) AS i, unnest([{_v(_SAID)}]) AS t)")
+@query(f"SELECT id, {_WHOLE('t')} AS said FROM ({rows_sql(_SAID)})")
 def placeholders_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_SAID)), "i int, t string").select("i", I.whole(c("t")).alias("said"))
+    return rows(spark, sf_dir, _SAID).select("id", I.whole(c("t")).alias("said"))
 
 
 @query(f"WITH phones AS ({PHONES_SQL}), listings AS ({LISTINGS_SQL}) SELECT id, name, count(phone_id) AS listings, string_agg(store_id || ':' || coalesce(price::BIGINT::VARCHAR, '-'), ',' ORDER BY order_id, line, store_id, price NULLS FIRST) AS stores FROM phones LEFT JOIN listings ON phone_id = id GROUP BY id, name")

@@ -10,6 +10,7 @@ from merchlake.operators import specs as S
 from merchlake.operators import understanding as U
 from merchlake.plans.scores import _first, _has, _low, _most
 from merchlake.sources.catalog import PHONES_SQL, phones
+from merchlake.sources.texts import filled, rows, rows_sql, varied
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -30,11 +31,15 @@ def query(sql: str):
     return register
 
 
-def _messages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(MESSAGES)), "query_id int, text string")
+_SAID = {"query_id": "p_partkey", "text": filled(varied(MESSAGES, ["samsung", "redmi", "vivo", "poco", "pixel"]))}
 
 
-_M = "WITH m AS (SELECT unnest(range(0, {n})) AS query_id, unnest([{t}]) AS text)".format(n=len(MESSAGES), t=", ".join("'" + t.replace("'", "''") + "'" for t in MESSAGES))
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message for each product: one of MESSAGES with amounts and brands of its own."""
+    return rows(spark, sf_dir, _SAID)
+
+
+_M = f"WITH m AS ({rows_sql(_SAID)})"
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _any = lambda x, ps: "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in ps) + ")"
 
@@ -56,7 +61,7 @@ sc AS (SELECT query_id, text, CASE {' '.join(f"WHEN {x} THEN '{n}'" for x, n, _
 
 @query(SCOPED_SQL + " SELECT query_id, scope FROM sc")
 def nlu_scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark).select("query_id", U.scope(c("text")).alias("scope"))
+    return _messages(spark, sf_dir).select("query_id", U.scope(c("text")).alias("scope"))
 
 
 _num = lambda p, g: f"nullif(regexp_extract(lower(text), '{p}', {g}), '')"
@@ -72,12 +77,12 @@ pri AS (SELECT *, CASE {' '.join(f"WHEN {_word('lower(text)', w)} THEN '{n}'" fo
 @query(_B + " SELECT query_id, budget_max, budget_min FROM bud")
 def nlu_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     most, least = U.budget(c("text"))
-    return _messages(spark).select("query_id", most.alias("budget_max"), least.alias("budget_min"))
+    return _messages(spark, sf_dir).select("query_id", most.alias("budget_max"), least.alias("budget_min"))
 
 
 @query(_B + " SELECT query_id, priority FROM pri")
 def nlu_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark).select("query_id", U.priority(c("text")).alias("priority"))
+    return _messages(spark, sf_dir).select("query_id", U.priority(c("text")).alias("priority"))
 
 
 _w = lambda n: _word("q", V.INTENT_WORDS[n])
@@ -98,17 +103,17 @@ _I = _B + ", pts AS (" + " UNION ALL ".join(f"SELECT query_id, '{n}' AS intent,
 
 @query(_I + " SELECT * FROM cls")
 def nlu_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.with_intent(_messages(spark)).select("query_id", "intent", "confidence")
+    return U.with_intent(_messages(spark, sf_dir)).select("query_id", "intent", "confidence")
 
 
 @query(_I + ", rub AS (SELECT unnest([" + ", ".join(f"'{i}'" for i, es in V.RUBRIC.items() for _ in es) + "]) AS intent, unnest([" + ", ".join(str(n + 1) for es in V.RUBRIC.values() for n, _ in enumerate(es)) + "]) AS step, unnest([" + ", ".join(f"'{e}'" for es in V.RUBRIC.values() for e in es) + "]) AS engine) SELECT query_id, step, engine FROM cls JOIN rub USING (intent)")
 def nlu_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.with_plan(U.with_intent(_messages(spark))).select("query_id", "step", "engine")
+    return U.with_plan(U.with_intent(_messages(spark, sf_dir))).select("query_id", "step", "engine")
 
 
 @query(_M + " SELECT query_id, CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{f}'" for p, f in V.QUESTION_FIELDS) + " END AS field FROM m")
 def spec_question_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark).select("query_id", U.question_field(c("text")).alias("field"))
+    return _messages(spark, sf_dir).select("query_id", U.question_field(c("text")).alias("field"))
 
 
 _P = f"WITH phones AS ({PHONES_SQL})"

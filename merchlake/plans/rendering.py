@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlake.operators import comparison, pricing, specs
@@ -11,6 +11,7 @@ from merchlake.plans import scores
 from merchlake.plans.catalogue import _L, _RANK, _SLUG
 from merchlake.plans.language import FIELDS_SQL
 from merchlake.sources.catalog import PHONES_SQL, listings, phones, stores, table
+from merchlake.sources.texts import filled, rows, rows_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -59,12 +60,14 @@ def template_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phones(spark, sf_dir).select("id", R.filled("About {{name}} by {{ brand }}: {{os}} / {{os}}.", {n: c(n) for n in ("name", "brand", "os")}).alias("text"))
 
 
-@query("SELECT k AS section, row_number() OVER (ORDER BY list_position([" + ", ".join(f"'{s}'" for s in R.SECTIONS) + "], k) IS NULL, list_position([" + ", ".join(f"'{s}'" for s in R.SECTIONS) + "], k), k) AS place FROM (SELECT DISTINCT unnest(['Battery', 'Zoo', 'Network', 'Alpha', 'Memory', 'Misc']) AS k)")
-def section_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+_SECTION = {"section": filled(["Battery", "Zoo", "Network", "{type}", "Alpha", "Memory", "{brand}", "Misc"])}
+_PLACE = "list_position([" + ", ".join(f"'{s}'" for s in R.SECTIONS) + "], section)"
+
 
-    rows = spark.createDataFrame([(k,) for k in ("Battery", "Zoo", "Network", "Alpha", "Memory", "Misc")], "section string")
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*R.section_order(c("section")))))
+@query(f"SELECT section, row_number() OVER (ORDER BY {_PLACE} IS NULL, {_PLACE}, section) AS place FROM (SELECT DISTINCT section FROM ({rows_sql(_SECTION)}))")
+def section_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections in their order; as there are few different ones, one task numbers them."""
+    return rows(spark, sf_dir, _SECTION).distinct().withColumn("place", F.row_number().over(Window.orderBy(*R.section_order(c("section")))))
 
 
 @query("SELECT event_id, event_type, value, (ts::VARCHAR)[:10] AS ts, props FROM events")

@@ -18,6 +18,7 @@ from merchlake.plans.catalogue import resolved_sql
 from merchlake.plans.scores import _C, _S, FEATURES_SQL, _has
 from merchlake.sources.catalog import LISTINGS_SQL, listings, phones, stores, table
 from merchlake.sources.scratch import fresh_root, kept
+from merchlake.sources.texts import filled, rows, rows_sql, varied
 
 QUERIES, ORACLE_SQL = {}, {}
 c = F.col
@@ -68,21 +69,28 @@ e AS (SELECT query_id, text, q, budget, {_once('b')} AS brands, {_once('md')} AS
 _SLOT_COLUMNS = ["budget", "brand", "brands", "model", "models", *S.LADDERS, *S.FLAGS]
 
 
-def _slots(spark: SparkSession) -> DataFrame:
-    return _texts(spark, ASKED).select("query_id", *[x.alias(n) for n, x in R.slots(c("text")).items()])
+#: A request for each product: one of ASKED with amounts and a brand of its own.
+_BRANDS = ["samsung", "redmi", "vivo", "poco", "apple", "motorola", "oneplus"]
+_EACH = {"query_id": "p_partkey", "text": filled([t.replace("$500", "$1{k}") for t in varied(ASKED, _BRANDS)])}
+_QUESTION = {"query_id": "p_partkey", "text": filled([q.replace("Flip", "{name}") for q in varied(QUESTIONS, ["samsung", "xiaomi", "vivo", "apple"])])}
+_OF_ROWS = lambda sql, columns=_EACH, texts=ASKED: sql.replace(_m(texts), f"WITH m AS ({rows_sql(columns)})")
 
 
-@query(f"{_E} SELECT query_id, budget, brands[1] AS brand, array_to_string(brands, ',') AS brands, models[1] AS model, array_to_string(models, ',') AS models, {', '.join(_SLOT)} FROM e")
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, _EACH).select("query_id", *[x.alias(n) for n, x in R.slots(c("text")).items()])
+
+
+@query(f"{_OF_ROWS(_E)} SELECT query_id, budget, brands[1] AS brand, array_to_string(brands, ',') AS brands, models[1] AS model, array_to_string(models, ',') AS models, {', '.join(_SLOT)} FROM e")
 def nlu_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _slots(spark).withColumns({"brands": F.array_join("brands", ","), "models": F.array_join("models", ",")})
+    return _slots(spark, sf_dir).withColumns({"brands": F.array_join("brands", ","), "models": F.array_join("models", ",")})
 
 
 _JSON = _kept(", ".join([f"'\"budget\":' || budget::VARCHAR", "CASE WHEN len(brands) > 0 THEN '\"brand\":\"' || brands[1] || '\"' END", "CASE WHEN len(brands) > 0 THEN '\"brands\":[\"' || array_to_string(brands, '\",\"') || '\"]' END", "CASE WHEN len(models) > 0 THEN '\"model\":\"' || models[1] || '\"' END", "CASE WHEN len(models) > 0 THEN '\"models\":[\"' || array_to_string(models, '\",\"') || '\"]' END"] + [f"'\"{n}\":\"' || {n} || '\"'" for n in S.LADDERS] + [f"CASE WHEN {n} THEN '\"{n}\":true' END" for n in S.FLAGS]))
 
 
-@query(f"{_E} SELECT query_id, '{{' || array_to_string({_JSON}, ',') || '}}' AS entities FROM e")
+@query(f"{_OF_ROWS(_E)} SELECT query_id, '{{' || array_to_string({_JSON}, ',') || '}}' AS entities FROM e")
 def nlu_entities_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _slots(spark).select("query_id", R.compact(_SLOT_COLUMNS).alias("entities"))
+    return _slots(spark, sf_dir).select("query_id", R.compact(_SLOT_COLUMNS).alias("entities"))
 
 
 _PH = f"WITH phones AS ({FEATURES_SQL.partition('phones AS (')[2].partition('), feats AS')[0]})"
@@ -115,16 +123,16 @@ _MAPPED = f"list_filter(list_transform({_RAW}, lambda p: CASE p {' '.join(f'WHEN
 _ASK = f"""{_E}, r0 AS (SELECT e.*, {_MAPPED} AS p FROM e), r AS (SELECT query_id, budget AS budget_max, brands[1] AS brand, {_once('p')} AS priorities, coalesce(list_contains({_once('p')}, 'foldable'), false) OR contains(q, 'fold') AS foldable, contains(q, '5g') AS five_g FROM r0)"""
 
 
-def _requests(spark: SparkSession) -> DataFrame:
+def _requests(texts: DataFrame) -> DataFrame:
     """What the engine of recommendations is asked for by each text."""
     text = c("text")
-    df = _texts(spark, ASKED).withColumns({"budget_max": R.budget(text), "budget_min": F.lit(None).cast("double"), "brand": F.get(R.brands(text), 0), "priorities": R.priorities(U.priority(text), R.fields_asked(text))})
+    df = texts.withColumns({"budget_max": R.budget(text), "budget_min": F.lit(None).cast("double"), "brand": F.get(R.brands(text), 0), "priorities": R.priorities(U.priority(text), R.fields_asked(text))})
     return df.withColumns({"foldable": F.array_contains("priorities", "foldable") | F.contains(F.lower("text"), F.lit("fold")), "five_g": F.contains(F.lower("text"), F.lit("5g"))})
 
 
-@query(f"{_ASK} SELECT query_id, budget_max, brand, array_to_string(priorities, ',') AS priorities, foldable, five_g FROM r")
+@query(f"{_OF_ROWS(_ASK)} SELECT query_id, budget_max, brand, array_to_string(priorities, ',') AS priorities, foldable, five_g FROM r")
 def request_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(spark).select("query_id", "budget_max", "brand", F.array_join("priorities", ",").alias("priorities"), "foldable", "five_g")
+    return _requests(rows(spark, sf_dir, _EACH)).select("query_id", "budget_max", "brand", F.array_join("priorities", ",").alias("priorities"), "foldable", "five_g")
 
 
 _FOLD = "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), '{w}')" for x in ("category", "name") for w in ("fold", "flip")) + ")"
@@ -141,7 +149,13 @@ ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id
 
 @query(f"{_RECOMMEND.replace('r.brand)', 'r.brand)').replace('(brand IS NULL OR', '(r.brand IS NULL OR')} SELECT query_id, rank, id, round(score, 6) AS score FROM ranked")
 def recommend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recommend(_requests(spark), phones(spark, sf_dir)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return R.recommend(_requests(_texts(spark, ASKED)), phones(spark, sf_dir)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(_OF_ROWS(ORACLE_SQL["recommend_requests"]))
+def recommend_for_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for as many requests as there are products."""
+    return R.recommend(_requests(rows(spark, sf_dir, _EACH)), phones(spark, sf_dir)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 _SPLIT = r"list_filter(list_transform(regexp_split_to_array(text, '(?i)\b(?:vs\.?|versus|and)\b'), lambda p: trim(p)), lambda p: p <> '')"
@@ -166,17 +180,17 @@ _QNAME = f"coalesce(nullif(array_to_string(list_filter({_WORDS}, lambda w: w <>
 _QFIELD = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{f}'" for p, f in V.QUESTION_FIELDS) + " END"
 
 
-@query(f"{_m(QUESTIONS)} SELECT query_id, {_QNAME} AS name, {_QFIELD} AS field FROM m")
+@query(f"{_OF_ROWS(_m(QUESTIONS), _QUESTION, QUESTIONS)} SELECT query_id, {_QNAME} AS name, {_QFIELD} AS field FROM m")
 def spec_question_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, QUESTIONS).select("query_id", R.question_name(c("text")).alias("name"), U.question_field(c("text")).alias("field"))
+    return rows(spark, sf_dir, _QUESTION).select("query_id", R.question_name(c("text")).alias("name"), U.question_field(c("text")).alias("field"))
 
 
 @query(f"{_m(QUESTIONS)}, qs AS (SELECT query_id, {_QNAME} AS name, {_QFIELD} AS field FROM m), {FEATURES_SQL}, names AS (SELECT query_id AS name_id, name FROM qs), {resolved_sql('names', 'lookup')}, fields AS ({L.FIELDS_SQL}) SELECT query_id, met.id, fields.field, label, display, source FROM qs JOIN met ON met.name_id = query_id JOIN fields ON fields.id = met.id AND (qs.field IS NULL OR qs.field = fields.field)")
 def spec_question_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _texts(spark, QUESTIONS).select("query_id", R.question_name(c("text")).alias("name"), U.question_field(c("text")).alias("asked"))
     found = resolve(asked.select(c("query_id").alias("name_id"), "name"), phones(spark, sf_dir)).select(c("name_id").alias("query_id"), "id")
-    rows = specs.described(phones(spark, sf_dir).join(found.select("id").distinct(), "id", "left_semi"))
-    return asked.join(found, "query_id").join(rows, "id").where(c("asked").isNull() | (c("asked") == c("field"))).select("query_id", "id", "field", "label", "display", "source")
+    fields = specs.described(phones(spark, sf_dir).join(found.select("id").distinct(), "id", "left_semi"))
+    return asked.join(found, "query_id").join(fields, "id").where(c("asked").isNull() | (c("asked") == c("field"))).select("query_id", "id", "field", "label", "display", "source")
 
 
 _money = lambda x: f"format('{{:,}}', ({x})::BIGINT)"
@@ -200,7 +214,7 @@ _RUB = ", rub AS (SELECT unnest([" + ", ".join(f"'{i}'" for i, es in V.RUBRIC.it
 
 @query(f"{L._I}{_RUB} SELECT query_id, step, engine, {_SUFFIX} AS search_text FROM cls JOIN rub USING (intent) JOIN m USING (query_id)")
 def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.steps(U.with_plan(U.with_intent(L._messages(spark))))
+    return R.steps(U.with_plan(U.with_intent(L._messages(spark, sf_dir))))
 
 
 _REPLY = "CASE scope " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in S.REPLIES.items()) + f" ELSE {_quoted(S.REPLIES['UNKNOWN'])} END"
@@ -208,13 +222,13 @@ _REPLY = "CASE scope " + " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in S.
 
 @query(f"{L.SCOPED_SQL} SELECT query_id, {_REPLY} AS reply FROM sc WHERE scope <> 'PHONE_DOMAIN'")
 def guard_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scoped = L._messages(spark).select("query_id", U.scope(c("text")).alias("scope"), F.lit("general").alias("intent"), F.lit("").alias("catalog"), F.lit("").alias("snippets")).where("scope != 'PHONE_DOMAIN'")
+    scoped = L._messages(spark, sf_dir).select("query_id", U.scope(c("text")).alias("scope"), F.lit("general").alias("intent"), F.lit("").alias("catalog"), F.lit("").alias("snippets")).where("scope != 'PHONE_DOMAIN'")
     return R.compose(scoped).select("query_id", c("answer").alias("reply"))
 
 
 @query(f"{L.SCOPED_SQL} SELECT query_id, scope, confidence FROM sc")
 def nlu_scope_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L._messages(spark).select("query_id", U.scope(c("text")).alias("scope"), U.scope_confidence(c("text")).alias("confidence"))
+    return L._messages(spark, sf_dir).select("query_id", U.scope(c("text")).alias("scope"), U.scope_confidence(c("text")).alias("confidence"))
 
 
 _TEXT_LINES = f"""{_RECOMMEND.replace('(brand IS NULL OR', '(r.brand IS NULL OR')}, found AS (SELECT query_id, string_agg(rank || '. ' || name || ' (' || brand || ') — score ' || printf('%.2f', score), chr(10) ORDER BY rank) AS lines FROM ranked JOIN feats USING (id) GROUP BY query_id)"""
@@ -223,7 +237,7 @@ _TEXT_LINES = f"""{_RECOMMEND.replace('(brand IS NULL OR', '(r.brand IS NULL OR'
 @query(f"{_TEXT_LINES}, a AS (SELECT query_id, CASE WHEN lines IS NOT NULL THEN '### Recommendation — answer' || chr(10) || chr(10) || '#### From the catalog (SQL)' || chr(10) || chr(10) || '### Recommendations' || chr(10) || lines ELSE {_quoted(S.NO_ANSWER)} END AS answer FROM m LEFT JOIN found USING (query_id)) SELECT query_id, answer, answer[:1200] AS kept, (length(answer) // 4) AS tokens FROM a")
 def answer_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer to each request that recommendations alone can give, and its trace."""
-    found = R.recommend(_requests(spark), phones(spark, sf_dir)).join(phones(spark, sf_dir).select("id", "name", "brand"), "id")
+    found = R.recommend(_requests(_texts(spark, ASKED)), phones(spark, sf_dir)).join(phones(spark, sf_dir).select("id", "name", "brand"), "id")
     line = F.format_string("%d. %s (%s) — score %.2f", "rank", "name", "brand", "score")
     lines = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     parts = _texts(spark, ASKED).join(lines, "query_id", "left").select("query_id", F.lit("PHONE_DOMAIN").alias("scope"), F.lit("recommendation").alias("intent"), F.coalesce(F.concat(F.lit("### Recommendations\n"), "lines"), F.lit("")).alias("catalog"), F.lit("").alias("snippets"))
@@ -237,7 +251,7 @@ _FALL = f"asked AS (SELECT query_id, text FROM m WHERE trim(text) <> '' AND quer
 @query(f"{_RANKED}, {PR._BASE.removeprefix('WITH ')}, {_FALL}, {PR._COS}, {PR._BM}, h AS (SELECT query_id, doc_id, round(0.5::DOUBLE * {PR._MM('cand.score')} + 0.5::DOUBLE * {PR._MM('bm.score')}, 6) AS score FROM cand JOIN bm USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)), hr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 5) SELECT query_id, rank, id, NULL::BIGINT AS doc_id, round(score, 6) AS score FROM ranked UNION ALL SELECT query_id, rank, NULL, doc_id, score FROM hr")
 def recommend_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations, and documents for requests that no product fits."""
-    ranked = R.recommend(_requests(spark), phones(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    ranked = R.recommend(_requests(_texts(spark, ASKED)), phones(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return R.with_fallback(kept(ranked), _texts(spark, ASKED), lambda left: retrieval.search(table(spark, sf_dir, "documents"), left, kept, fresh_root(spark, "index")))
 
 
@@ -261,7 +275,7 @@ def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = phones(spark, sf_dir)
 
     def recommended(rows: DataFrame) -> DataFrame:
-        found = R.recommend(_requests(spark).join(rows.select("query_id"), "query_id", "left_semi"), p).join(p.select("id", "name", "brand"), "id")
+        found = R.recommend(_requests(_texts(spark, ASKED)).join(rows.select("query_id"), "query_id", "left_semi"), p).join(p.select("id", "name", "brand"), "id")
         line = F.format_string("%d. %s (%s) — score %.2f", "rank", "name", "brand", "score")
         return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 

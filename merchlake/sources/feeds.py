@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,12 +112,29 @@ def stable(record: DataFrame, volatile: list[str], nested: str = "stores") -> Da
     return out.withColumn(nested, F.transform(nested, lambda s: s.dropFields(*inside))) if inside else out
 
 
-def flattened(specs: Column, joint: str = "_", levels: int = 8) -> Column:
-    """A map of names to texts from a nested one: names of inner entries stand behind those of the outer ones, as deep as `levels`."""
-    pairs = F.transform(F.map_entries(specs), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    inner = lambda p: F.transform(F.map_entries(F.try_variant_get(p["value"], "$", "map<string,variant>")), lambda x: F.struct(F.concat(p["key"], F.lit(joint), x["key"]).alias("key"), x["value"].alias("value")))
-    for _ in range(levels):
-        pairs = F.flatten(F.transform(pairs, lambda p: F.coalesce(inner(p), F.array(p))))
-    named = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), F.try_variant_get(p["value"], "$", "string").alias("value")))
-    names = F.array_distinct(F.transform(named, lambda p: p["key"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(named, lambda p: p["key"] == n), -1)["value"]))
+def flattened_rows(records: DataFrame, key: str, json: str, joint: str = "_") -> DataFrame:
+    """(key, name, value): the entries of JSON objects nested to any depth, as one level.
+
+    Names of inner entries stand behind those of the outer ones. A recursive query opens one level a step until there are
+    no more objects; empty objects and nulls are left out, lists are texts. Of entries that come to the same name the
+    last by its value stays.
+    """
+    records.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # else a million rows end it with an error
+    variant = F.try_variant_get(F.try_parse_json(c(json)), "$", "map<string,variant>")
+    entries = records.select(c(key).alias("key"), F.explode(variant).alias("name", "value"))
+    view = f"entries_{uuid.uuid4().hex}"
+    entries.createOrReplaceTempView(view)
+    try:
+        found = records.sparkSession.sql(f"""
+            WITH RECURSIVE opened(key, name, value) MAX RECURSION LEVEL 10000 AS (
+              SELECT key, name, value FROM {view}
+              UNION ALL
+              SELECT key, concat(name, '{joint}', inner_name), inner_value
+              FROM opened, LATERAL explode(try_variant_get(value, '$', 'map<string,variant>')) AS e(inner_name, inner_value)
+            )
+            SELECT key, name, max(try_variant_get(value, '$', 'string')) AS value FROM opened
+            WHERE schema_of_variant(value) NOT LIKE 'OBJECT%' AND schema_of_variant(value) <> 'VOID' GROUP BY key, name
+        """)
+    finally:
+        records.sparkSession.catalog.dropTempView(view)
+    return found.select(c("key").alias(key), "name", "value")

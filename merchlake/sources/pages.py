@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +96,31 @@ def next_page(pages: DataFrame, base: str) -> DataFrame:
     return pages.select("page_id", absolute(T.first_match(c("html"), NEXT), base).alias("next_url"))
 
 
+def followed(pages: DataFrame, first: DataFrame, base: str) -> DataFrame:
+    """(first_url, step, url): the pages that one comes to from each first one (url) by next-page links, itself at step 0.
+
+    `pages` has url and html. A chain ends with a page without such a link, with a link to a page that is not stored, or
+    before a page that it has been to.
+    """
+    spark = pages.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # else a million rows end it with an error
+    names = {n: f"{n}_{uuid.uuid4().hex}" for n in ("links", "firsts")}
+    pages.select("url", absolute(T.first_match(c("html"), NEXT), base).alias("next_url")).createOrReplaceTempView(names["links"])
+    first.select("url").distinct().createOrReplaceTempView(names["firsts"])
+    try:
+        return spark.sql(f"""
+            WITH RECURSIVE walk(first_url, step, url, next_url, been) MAX RECURSION LEVEL 10000 AS (
+              SELECT l.url, 0, l.url, l.next_url, array(l.url) FROM {names['firsts']} f JOIN {names['links']} l ON l.url = f.url
+              UNION ALL
+              SELECT w.first_url, w.step + 1, l.url, l.next_url, array_append(w.been, l.url) FROM walk w JOIN {names['links']} l ON l.url = w.next_url WHERE NOT array_contains(w.been, l.url)
+            )
+            SELECT first_url, step, url FROM walk
+        """)
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+
+
 def spec_rows(pages: DataFrame) -> DataFrame:
     """(page_id, section, key, value) of a device page's tables.
 
@@ -211,7 +238,7 @@ def inferred_brand(name: Column, vendor: Column | None = None, not_vendors: list
 def category(og_type: Column, crumbs: Column) -> Column:
     """The kind of product: the first label of og:type if it is about phones, else the last crumb unless that is home."""
     label = F.trim(F.split(F.coalesce(og_type, F.lit("")), ",")[0])
-    leaf = F.element_at(F.filter(crumbs, lambda x: F.trim(x) != ""), -1)
+    leaf = F.try_element_at(F.filter(crumbs, lambda x: F.trim(x) != ""), F.lit(-1))
     return F.when(label.rlike("(?i)mobile|phone"), label).when(~leaf.rlike("(?i)home"), leaf)
 
 

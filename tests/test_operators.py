@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from merchlake.functions import text as T
 from merchlake.operators import catalog, commits, comparison, documents, entities, rendering, retrieval, scoring, sinks, understanding
 from merchlake.operators import ingest as ingest_ops
-from merchlake.sources import feeds
+from merchlake.sources import feeds, pages
 from merchlake.streaming.listings import arrivals, each_once, ingest, run_available, windowed
 
 S25 = {
@@ -235,3 +235,23 @@ def test_snippets(spark):
     got = [tuple(r) for r in df.select(T.snippet(F.col("t")), T.first_sentence(F.col("t"))).collect()]
     assert got[0][0].endswith("word…") and len(got[0][0]) <= 281
     assert got[1] == ("One. Two", "One.") and got[2] == (None, None)
+
+
+def test_nesting_of_any_depth(spark):
+    deep = '{"a": ' * 40 + "1" + "}" * 40
+    df = spark.createDataFrame([(1, deep), (2, '{"x": {"y": [1, 2], "z": null}, "e": {}}'), (3, "no json"), (4, None), (5, '{"p": {"q": 1}, "p_q": 2}')], "id long, j string")
+    got = {(r["id"], r["name"], r["value"]) for r in feeds.flattened_rows(df, "id", "j").collect()}
+    assert got == {(1, "_".join("a" * 40), "1"), (2, "x_y", "[1,2]"), (5, "p_q", "2")}
+
+
+def test_links_that_run_in_circles(spark):
+    link = lambda to: f'<a title="Next page" href="{to}">'
+    rows = [("https://h/a", link("b")), ("https://h/b", link("/c")), ("https://h/c", link("https://h/b")), ("https://h/d", link("gone")), ("https://h/e", "")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = {(r["first_url"][-1], r["step"], r["url"][-1]) for r in pages.followed(df, df.where("url not like '%b'"), "https://h").collect()}
+    assert got == {("a", 0, "a"), ("a", 1, "b"), ("a", 2, "c"), ("c", 0, "c"), ("c", 1, "b"), ("d", 0, "d"), ("e", 0, "e")}
+
+
+def test_a_kind_of_product_without_crumbs(spark):
+    df = spark.createDataFrame([(None, []), ("phones", None), (None, [" "])], "o string, k array<string>")
+    assert [r[0] for r in df.select(pages.category(F.col("o"), F.col("k"))).collect()] == [None, "phones", None]
