@@ -109,13 +109,13 @@ class Tables:
         names = [s.getPath().getName() for s in fs.listStatus(p(path))] if fs.exists(p(path)) else []
         return [(int(n.partition("=")[2]),) for n in names if n.startswith("_bucket=")]
 
-    def compact(self, table: str) -> None:
-        """Rewrites the parts of an appended table as one; a commit of its own, so readers see the old parts or the new one."""
+    def compact(self, table: str, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        """Rewrites the parts of an appended table as one, as `change` makes it; a commit of its own, so readers see the old parts or the new one."""
         state = self._state()
         mine = [x for x in state if x[0] == "part" and x[1] == table and x[2] is None]
         if len(mine) > 1:
-            path = f"{self.root}/data/{uuid.uuid4().hex}/{table}"
-            self.read(table).write.parquet(path)
+            path, rows = f"{self.root}/data/{uuid.uuid4().hex}/{table}", self.read(table)
+            change(rows).select(*rows.columns).write.parquet(path)
             self.log.replace(self.spark.createDataFrame([x for x in state if x not in mine] + [("part", table, None, path)], LOG).coalesce(1))
 
     def expire(self, keep: int = 2, older_s: float = 86_400) -> int:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 c = F.col
-#: Documents in a cell, about.
-CELL = 64
+#: Documents in a cell, about; folders that buckets are dealt to.
+CELL, PARTS = 64, 32
 #: Cells that a query reads in its first rounds; after these all that may still matter.
 ROUNDS = (2, 8, 32)
 #: Scores are rounded to nine places, and sums differ in the last digits by their order: bounds within this count as reached.
@@ -32,7 +32,7 @@ def _summary(v: Column) -> Column:
 def write(vectors: DataFrame, path: str, key: str, cell: int = CELL) -> None:
     """Writes postings of (key, v), v being an array of structs of bucket and weight w, under `path`.
 
-    Rows (cell, most, least, n, posts) in a folder for each bucket, in order of cells. Vectors are put in order by what
+    Rows (bucket, cell, most, least, n, posts) in PARTS folders, in order of buckets and cells. Vectors are put in order by what
     `_summary` says and cut into cells of about `cell`: a count for each summary, of which there are no more than buckets
     times some forty steps, says where its vectors begin, and a hash of the key where each stands among them. So
     nothing is sorted as a whole. `vectors` is read twice; callers write it first.
@@ -45,12 +45,17 @@ def write(vectors: DataFrame, path: str, key: str, cell: int = CELL) -> None:
     placed = v.join(F.broadcast(begins), "s").select(key, "v", F.floor((c("begin") + u * c("n")) / cell).alias("cell"))
     posts = placed.select(key, "cell", F.explode("v").alias("x")).select("cell", c("x.bucket").alias("bucket"), F.struct(c(key).alias("key"), c("x.w").alias("w")).alias("post"))
     blocks = posts.groupBy("bucket", "cell").agg(F.max("post.w").alias("most"), F.min("post.w").alias("least"), F.count("*").alias("n"), F.collect_list("post").alias("posts"))
-    blocks.repartitionByRange("bucket", "cell").sortWithinPartitions("bucket", "cell").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    blocks.withColumn("part", c("bucket") % PARTS).repartitionByRange("part", "bucket", "cell").sortWithinPartitions("part", "bucket", "cell").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def load(spark: SparkSession, path: str, key_type: str = "long") -> DataFrame:
     """Written postings; `key_type` is that of the documents' keys."""
-    return spark.read.schema(f"cell long, most double, least double, n long, posts array<struct<key:{key_type},w:double>>, bucket int").parquet(path)
+    return spark.read.schema(f"bucket long, cell long, most double, least double, n long, posts array<struct<key:{key_type},w:double>>, part long").parquet(path)
+
+
+def of_buckets(postings: DataFrame, buckets: list[int]) -> DataFrame:
+    """The postings of some buckets: other folders are not opened, and in these, files and row groups are passed over by their bounds."""
+    return postings.where(c("part").isin(sorted({b % PARTS for b in buckets})) & c("bucket").isin(buckets))
 
 
 def top(postings: DataFrame, asked: DataFrame, key: str, k: int, keep: Callable[[DataFrame], DataFrame], only: DataFrame | None = None, rounds: tuple[int, ...] = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +71,7 @@ def top(postings: DataFrame, asked: DataFrame, key: str, k: int, keep: Callable[
     """
     asked = keep(asked.select("query_id", "bucket", c("weight").alias("qw")))
     wanted = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # as many as there are buckets, at most
-    lists = postings.where(c("bucket").isin(wanted))
+    lists = of_buckets(postings, wanted)
     most = F.greatest(c("qw") * c("most"), c("qw") * c("least"), F.lit(0.0))
     bounds = keep(lists.select("bucket", "cell", "most", "least", "n").join(asked, "bucket").groupBy("query_id", "cell").agg(F.sum(most).alias("bound"), F.sum("n").alias("n")))
     left, best, read = bounds, None, None

@@ -9,6 +9,7 @@ from merchlake.functions import text as T
 from merchlake.functions.numbers import price_score, round_half_up
 from merchlake.functions.vocabulary import SPEC_NAMES
 from merchlake.operators import catalog as C
+from merchlake.operators import directory as D
 from merchlake.operators import entities as E
 from merchlake.operators import names as N
 from merchlake.operators import pricing as P
@@ -73,6 +74,22 @@ def catalog_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.select("id", "name", "release_year", "popularity", "total", "total_pages")
 
 
+_ORDER = "coalesce(popularity, 0) DESC, id"
+
+
+@query(f"{_CAT}, n AS (SELECT count(*) AS total, greatest(1, ceil(count(*) / 10.0))::BIGINT AS total_pages FROM cat WHERE brand = 'Apple'), p AS (SELECT row_number() OVER (ORDER BY {_ORDER}) - 1 AS r, id, name, popularity FROM cat WHERE brand = 'Apple') SELECT r // 10 + 1 AS page, id, name, popularity, total, total_pages FROM p, n WHERE r // 10 + 1 IN (1, 3, total_pages)")
+def catalog_deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, the third and the last page of a brand, from a list that was written in its order."""
+    root, order = fresh_root(spark, "list"), [F.coalesce("popularity", F.lit(0)).desc(), c("id")]
+    D.write(_catalog(spark, sf_dir).select("id", "name", "brand", "popularity"), root, order, ["brand"], size=256)
+    page = lambda n: D.page(spark, root, order, n, 10, brand="Apple").withColumn("page", F.lit(n).cast("long"))
+    last = page(1).first()["total_pages"]
+    out = page(1)
+    for n in sorted({3, last} - {1}):
+        out = out.unionByName(page(n))
+    return out.select("page", "id", "name", "popularity", "total", "total_pages")
+
+
 @query(_CAT + " SELECT id, name FROM cat WHERE release_year = 2021 ORDER BY coalesce(release_year, 0), id LIMIT 100")
 def catalog_list_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.list_page(_catalog(spark, sf_dir), year=2021, sort="oldest", page=0, size=500).select("id", "name")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
-from merchlake.operators import postings
+from merchlake.operators import deltas, postings
 from merchlake.operators import retrieval as R
 from merchlake.operators.catalog import where
+from merchlake.operators.commits import Tables
 from merchlake.sources.catalog import table
 from merchlake.sources.scratch import fresh_root, kept
 
@@ -149,6 +150,23 @@ def index_built_and_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search_index(R.load_index(spark, root), asked, kept).select("query_id", "doc_id", "score", "rank")
 
 
+@query(ORACLE_SQL["hybrid_search"])
+def index_after_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that has come about by three batches, with documents that changed and went, gives what one fitted at once gives."""
+    docs, tables = _docs(spark, sf_dir).select("doc_id", "text"), Tables(spark, fresh_root(spark, "deltas"), buckets=8)
+    other = docs.where("doc_id % 4 = 0").withColumn("text", F.concat(F.lit("altogether otherwise "), F.upper("text")))
+    wrong = docs.where("doc_id % 5 = 0").select((-1 - c("doc_id")).alias("doc_id"), "text")
+    deltas.apply(tables, "docs", 0, docs.where("doc_id % 3 != 0 and doc_id % 4 != 0").unionByName(other))
+    deltas.apply(tables, "docs", 1, docs.where("doc_id % 3 = 0 and doc_id % 4 != 0").unionByName(wrong))
+    first, _ = deltas.refresh(tables)
+    for _ in range(2):
+        deltas.apply(tables, "docs", 2, docs.where("doc_id % 4 = 0"), wrong.select("doc_id"))
+    deltas.compact(tables)
+    index, _ = deltas.refresh(tables, first)
+    asked = spark.createDataFrame(_ASKED, "query_id int, text string")
+    return R.search_index(index, asked, kept).select("query_id", "doc_id", "score", "rank")
+
+
 _SOME = "(SELECT * FROM tok WHERE doc_id IN (SELECT doc_id FROM documents WHERE n_chars <= 3000 AND lang <> 'es' AND contains(text, 'the')))"
 
 

@@ -1,12 +1,15 @@
 """Written indexes give what reading everything gives, and read less."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from merchlake.operators import deltas, directory, retrieval
 from merchlake.operators import names as N
 from merchlake.operators import postings
+from merchlake.operators.commits import Tables
 from merchlake.sources.scratch import fresh_root, kept
 
 SF = "/root/testdata/sf0.01"
@@ -71,11 +74,13 @@ def test_postings_among_some_documents_only(spark):
     assert got == brute(docs, QUERIES, 5, only)
 
 
-def test_a_folder_of_postings_for_each_bucket(spark):
+def test_postings_of_other_buckets_are_not_opened(spark):
     root = fresh_root(spark, "postings")
     postings.write(spark.createDataFrame(sparse(50, 10, 4), "doc_id long, v array<struct<bucket:long,w:double>>"), root, "doc_id")
-    plan = postings.load(spark, root).where("bucket in (1, 2)")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan and postings.load(spark, root).select("bucket").distinct().count() == 10
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = postings.of_buckets(postings.load(spark, root), [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part#" in plan and "PushedFilters: [In(bucket" in plan
+    assert postings.load(spark, root).select("bucket").distinct().count() == 10
 
 
 def plain_resolve(asked, products, order):
@@ -163,3 +168,49 @@ def test_look_ups_of_many_texts(spark, monkeypatch):
     got = {(x["query_id"], x["rank"], x["id"]) for x in N.holding(rows, spark.createDataFrame(list(enumerate(asked)), "query_id int, text string"), 3).collect()}
     want = {(q, n + 1, i) for q, a in enumerate(asked) if a is not None for n, i in enumerate([i for i, t in enumerate(texts) if a.strip().lower() in t][:3])}
     assert got == want
+
+
+def test_a_deep_page_reads_one_or_two_ranges(spark, tmp_path):
+    rows = spark.range(2000).select("id", (F.col("id") * 7919 % 300).alias("p"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("b"), F.col("id") % 3)).alias("brand"))
+    order, path = [F.desc("p"), F.col("id")], str(tmp_path / "list")
+    directory.write(rows, path, order, ["brand"], size=150)
+    every = sorted(((-r["p"], r["id"], r["brand"]) for r in rows.collect()))
+    for wanted in ({}, {"brand": "b1"}, {"brand": None}):
+        mine = [i for _, i, b in every if not wanted or b == wanted["brand"]]
+        for n in (1, 2, 14, -(-len(mine) // 33), 10_000):
+            df = directory.page(spark, path, order, n, 33, **wanted)
+            got = df.collect()
+            assert [r["id"] for r in got] == mine[(n - 1) * 33 : n * 33]
+            assert all((r["total"], r["total_pages"]) == (len(mine), -(-len(mine) // 33)) for r in got)
+            assert len(ranges_read(df)) <= (2 if not wanted else 3)
+    with pytest.raises(ValueError, match="not written for"):
+        directory.page(spark, path, order, 1, 10, p=3)
+
+
+def ranges_read(df):
+    """The ranges that the plan's scan is left with."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.findall(r"\d+", "".join(re.findall(r"_range#\d+ IN \(([\d,]+)\)|\(_range#\d+ = (\d+)\)", plan)[0])) if "LocalRelation" not in plan else []
+
+
+def test_only_vectors_whose_buckets_moved_are_made_again(spark):
+    t = Tables(spark, fresh_root(spark, "deltas"), buckets=4)
+    docs = spark.createDataFrame([(i, f"word{i % 40} word{i % 7} other{i % 90}") for i in range(200)], "doc_id long, text string")
+    deltas.apply(t, "s", 0, docs)
+    first, n = deltas.refresh(t)
+    assert n == 200
+    # the same document again: nothing moves
+    deltas.apply(t, "s", 1, docs.where("doc_id = 5"))
+    second, n = deltas.refresh(t, first)
+    assert n == 0
+    # a token gives way to one that the same number of documents has: the number of documents stays, two buckets move
+    deltas.apply(t, "s", 2, spark.createDataFrame([(5, "word5 word5 word5 other5 fresh")], "doc_id long, text string"))
+    third, n = deltas.refresh(t, second)
+    assert 1 <= n < 200
+    once = retrieval.terms(docs.where("doc_id != 5").unionByName(spark.createDataFrame([(5, "word5 word5 word5 other5 fresh")], "doc_id long, text string")), "doc_id")
+    want = retrieval.doc_vectors(once, "doc_id", retrieval.bucket_idf(retrieval.idf(once, F.lit(200))))
+    flat = lambda df: {(r["doc_id"], x["bucket"], round(x["w"], 9)) for r in df.collect() for x in r["v"]}
+    assert flat(third["vectors"]) == flat(want)
+    deltas.apply(t, "s", 3, docs.limit(0), docs.where("doc_id >= 100").select("doc_id"))
+    fourth, _ = deltas.refresh(t, third)
+    assert fourth["vectors"].count() == 100 and {r["df"] for r in fourth["vocabulary"].where("token = 'word3'").collect()} == {17}
