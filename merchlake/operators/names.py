@@ -20,7 +20,7 @@ from merchlake.sources.scratch import kept
 c = F.col
 GRAM = 3
 #: Products in the first level, about, and how many times as many there are with each further one.
-FIRST, GROWTH = 1024, 16
+FIRST, GROWTH = 16_384, 16
 #: Stages of name resolution in order: for look-ups of one product, and for comparisons.
 STAGES = {"lookup": ["slug", "slug_part", "tokens", "name_part"], "compare": ["slug", "brand", "name_part", "slug_part", "tokens"]}
 

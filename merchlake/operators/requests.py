@@ -12,7 +12,7 @@ from merchlake.functions import slots as S
 from merchlake.functions import text as T
 from merchlake.functions import vocabulary as V
 from merchlake.functions.numbers import positive
-from merchlake.operators import bands, comparison, scoring
+from merchlake.operators import bands, comparison, scoring, understanding
 from merchlake.operators.names import resolve
 from merchlake.operators.understanding import has_word
 from merchlake.sources.scratch import kept
@@ -103,6 +103,13 @@ def priorities(priority: Column, fields: Column) -> Column:
     return F.array_distinct(F.filter(mapped, lambda p: p.isin(*S.SUPPORTED_PRIORITIES)))
 
 
+def wishes(texts: DataFrame) -> DataFrame:
+    """What `recommend` is asked for by each request (query_id, text)."""
+    text = c("text")
+    df = texts.withColumns({"budget_max": budget(text), "budget_min": F.lit(None).cast("double"), "brand": F.get(brands(text), 0), "priorities": priorities(understanding.priority(text), fields_asked(text))})
+    return df.withColumns({"foldable": F.array_contains("priorities", "foldable") | F.contains(F.lower("text"), F.lit("fold")), "five_g": F.contains(F.lower("text"), F.lit("5g"))})
+
+
 def recommend(requests: DataFrame, phones: DataFrame, most: int = 100, top: int = 5) -> DataFrame:
     """(query_id, rank, id, score): for each request (query_id, budget_min, budget_max, brand, priorities, foldable, five_g)
     the best `top` of its `most` cheapest matches.
@@ -209,26 +216,44 @@ def with_fallback(ranked: DataFrame, requests: DataFrame, search: Callable[[Data
     return ranked.select("query_id", "rank", c("id").cast("long").alias("id"), F.lit(None).cast("long").alias("doc_id"), "score").unionByName(found)
 
 
-def dispatch(planned: DataFrame, engines: dict[str, Callable[[DataFrame], DataFrame]], keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, str]]:
-    """What each engine says to the requests whose plan names it, and the errors of engines that failed.
+def dispatch(planned: DataFrame, engines: dict[str, Callable[[DataFrame], DataFrame]], tries: int = 64) -> tuple[DataFrame, DataFrame]:
+    """What each engine says to the requests whose plan names it, and what went wrong.
 
     `planned` has a row for each request and step (query_id, step, engine, and whatever engines read). An engine takes its
-    rows and returns (query_id, text); it runs once for all its requests, and its rows are written by `keep`, so that
-    one that fails leaves the others as they are. Returns (query_id, step, engine, text) and the errors by engine.
+    rows, of which each has a query_id of its own here, and returns (query_id, text) and, if it likes, error; it runs once
+    for all its rows, and engines that are one function run together. Where that fails the rows are halved by a hash and
+    tried again, until what fails is a single one, or `tries` runs are used up; so a request that an engine cannot take does
+    not cost others their answer. Returns (query_id, step, engine, text), and (query_id, step, engine, error) of steps that
+    failed, that said they could not, or whose engine there is none.
     """
-    out, errors = None, {}
-    for name, engine in engines.items():
-        rows = planned.where(c("engine") == name)
-        try:
-            said = keep(engine(rows).select("query_id", "text"))
-        except Exception as e:  # noqa: BLE001  an engine may fail in any way, and is then left out
-            errors[name] = f"{type(e).__name__}: {e}"[:200]
-            continue
-        part = rows.select("query_id", "step", "engine").join(said, "query_id")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = planned.select("query_id", "step", "engine").limit(0).withColumn("text", F.lit(""))
-    return out, errors
+    said = planned.select("query_id", "step", "engine").limit(0).withColumn("text", F.lit(""))
+    failed = said.withColumnRenamed("text", "error")
+    named = sorted(r["engine"] for r in planned.select("engine").distinct().collect())  # as many as the rubric has
+    if lost := [n for n in named if n not in engines]:
+        gone = planned.where(c("engine").isin(lost))
+        failed = failed.unionByName(gone.select("query_id", "step", "engine", F.concat(F.lit("there is no engine "), "engine").alias("error")))
+    of = lambda rows, other: rows.select(c("query_id").alias("ask"), c("query_id.query_id").alias("query_id"), "step", "engine").join(other.withColumnRenamed("query_id", "ask"), "ask").drop("ask")
+    for engine in dict.fromkeys(engines[n] for n in named if n in engines):
+        own = c("engine").isin([n for n in named if engines.get(n) is engine])
+        parts, used = [(kept(planned.where(own).withColumn("query_id", F.struct("query_id", "step"))), 0)], 0
+        while parts:
+            part, depth = parts.pop()
+            used += 1
+            try:
+                out = engine(part)
+                error = c("error") if "error" in out.columns else F.lit(None).cast("string").alias("error")
+                out = kept(out.select("query_id", "text", error))
+            except Exception as e:  # noqa: BLE001  an engine may fail in any way
+                if used + len(parts) + 2 > tries or part.limit(2).count() < 2:
+                    error = F.lit(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:200])
+                    failed = failed.unionByName(part.select("query_id.query_id", "step", "engine", error.alias("error")))
+                else:
+                    half = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(2))
+                    parts += [(kept(part.where(half == i)), depth + 1) for i in (0, 1)]
+                continue
+            said = said.unionByName(of(part, out.where("text is not null").select("query_id", "text")))
+            failed = failed.unionByName(of(part, out.where("error is not null").select("query_id", "error")))
+    return said, failed
 
 
 def joined_contexts(said: DataFrame, from_catalog: list[str]) -> DataFrame:

@@ -41,9 +41,9 @@ _PRICES = f"CASE WHEN lowest IS NOT NULL THEN 'Lowest price: ' || {_num('lowest'
 _PARAGRAPH = f"concat_ws(' ', {_PRICES}, " + ", ".join(f"'{label} (' || {_n(x)} || '): ' || {_names(x)} || '.'" for label, x in (("Available stores", "available"), ("In-stock stores", "in_stock"), ("Out-of-stock stores", "out_of_stock"))) + ")"
 _MEM = f"{_S['ram']} || ' GB of RAM with ' || {_S['storage']} || ' GB of storage'"
 _FEAT = f"regexp_replace(concat_ws('; ', {_S['display']}, {_S['battery']}, {_S['rear_camera']}, {_MEM}), '[.;]+$', '')"
-_CORE = f"'In short, the ' || b || ' ' || n || ' is a ' || lower(cat) || CASE WHEN {_FEAT} <> '' THEN ' that combines ' || {_FEAT} ELSE '' END"
-_SUM = f"CASE WHEN lowest = highest THEN {_CORE} || '. It is listed at ' || {_num('lowest')} || ' BDT across the catalog.' WHEN lowest IS NOT NULL THEN {_CORE} || '. It spans ' || {_num('lowest')} || ' to ' || {_num('highest')} || ' BDT across ' || {_n('available')} || ' stores, with ' || {_n('in_stock')} || ' showing live stock.' WHEN {_FEAT} <> '' THEN {_CORE} ELSE {_CORE} || '.' END"
-_OPEN = "'Phone name: ' || n || '. Brand: ' || b || '. Category: ' || cat || '. The ' || b || ' ' || n || ' is a ' || lower(cat) || '. It is sold across multiple Bangladeshi retailers and aggregates specifications merged from each store page.'"
+_CORE = f"'To sum up, the ' || b || ' ' || n || ' is a ' || lower(cat) || CASE WHEN {_FEAT} <> '' THEN ' with ' || {_FEAT} ELSE '' END"
+_SUM = f"CASE WHEN lowest = highest THEN {_CORE} || '. Every store asks ' || {_num('lowest')} || ' BDT.' WHEN lowest IS NOT NULL THEN {_CORE} || '. It costs ' || {_num('lowest')} || ' to ' || {_num('highest')} || ' BDT in ' || {_n('available')} || ' stores, with ' || {_n('in_stock')} || ' that have it now.' WHEN {_FEAT} <> '' THEN {_CORE} ELSE {_CORE} || '.' END"
+_OPEN = "'Phone name: ' || n || '. Brand: ' || b || '. Category: ' || cat || '. The ' || b || ' ' || n || ' is a ' || lower(cat) || '. What follows was put together from the pages of all stores that have it.'"
 _ROWS = f"rec AS (SELECT phones.*, lowest, highest, available, in_stock, out_of_stock, coalesce({_WHOLE('name')}, 'Unnamed phone') AS n, coalesce({_WHOLE('brand')}, 'Unknown brand') AS b, coalesce({_WHOLE('category')}, 'Mobile Phone') AS cat, {_BLOB} AS blob FROM phones LEFT JOIN buckets ON phone_id = id)"
 _DOC = f"concat_ws(chr(10) || chr(10), {_OPEN}, 'Key specifications — ' || nullif({_LINES}, '') || '.', {_PARAGRAPH}, {_EXP}, {_SUM})"
 

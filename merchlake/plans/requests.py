@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from merchlake.functions import slots as S
 from merchlake.functions import vocabulary as V
+from merchlake.operators import answers
 from merchlake.operators import pricing as P
 from merchlake.operators import requests as R
 from merchlake.operators import retrieval, scoring, specs
@@ -16,7 +17,7 @@ from merchlake.plans import language as L
 from merchlake.plans import retrieval as PR
 from merchlake.plans.catalogue import resolved_sql
 from merchlake.plans.scores import _C, _S, FEATURES_SQL, _has
-from merchlake.sources.catalog import LISTINGS_SQL, listings, phones, stores, table
+from merchlake.sources.catalog import LISTINGS_SQL, PHONES_SQL, listings, phones, stores, table
 from merchlake.sources.scratch import fresh_root, kept
 from merchlake.sources.texts import filled, rows, rows_sql, varied
 
@@ -123,16 +124,9 @@ _MAPPED = f"list_filter(list_transform({_RAW}, lambda p: CASE p {' '.join(f'WHEN
 _ASK = f"""{_E}, r0 AS (SELECT e.*, {_MAPPED} AS p FROM e), r AS (SELECT query_id, budget AS budget_max, brands[1] AS brand, {_once('p')} AS priorities, coalesce(list_contains({_once('p')}, 'foldable'), false) OR contains(q, 'fold') AS foldable, contains(q, '5g') AS five_g FROM r0)"""
 
 
-def _requests(texts: DataFrame) -> DataFrame:
-    """What the engine of recommendations is asked for by each text."""
-    text = c("text")
-    df = texts.withColumns({"budget_max": R.budget(text), "budget_min": F.lit(None).cast("double"), "brand": F.get(R.brands(text), 0), "priorities": R.priorities(U.priority(text), R.fields_asked(text))})
-    return df.withColumns({"foldable": F.array_contains("priorities", "foldable") | F.contains(F.lower("text"), F.lit("fold")), "five_g": F.contains(F.lower("text"), F.lit("5g"))})
-
-
 @query(f"{_OF_ROWS(_ASK)} SELECT query_id, budget_max, brand, array_to_string(priorities, ',') AS priorities, foldable, five_g FROM r")
 def request_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(rows(spark, sf_dir, _EACH)).select("query_id", "budget_max", "brand", F.array_join("priorities", ",").alias("priorities"), "foldable", "five_g")
+    return R.wishes(rows(spark, sf_dir, _EACH)).select("query_id", "budget_max", "brand", F.array_join("priorities", ",").alias("priorities"), "foldable", "five_g")
 
 
 _FOLD = "(" + " OR ".join(f"contains(lower(coalesce({x}, '')), '{w}')" for x in ("category", "name") for w in ("fold", "flip")) + ")"
@@ -149,13 +143,13 @@ ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id
 
 @query(f"{_RECOMMEND.replace('r.brand)', 'r.brand)').replace('(brand IS NULL OR', '(r.brand IS NULL OR')} SELECT query_id, rank, id, round(score, 6) AS score FROM ranked")
 def recommend_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.recommend(_requests(_texts(spark, ASKED)), phones(spark, sf_dir)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return R.recommend(R.wishes(_texts(spark, ASKED)), phones(spark, sf_dir)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @query(_OF_ROWS(ORACLE_SQL["recommend_requests"]))
 def recommend_for_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for as many requests as there are products."""
-    return R.recommend(_requests(rows(spark, sf_dir, _EACH)), phones(spark, sf_dir)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return R.recommend(R.wishes(rows(spark, sf_dir, _EACH)), phones(spark, sf_dir)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 _SPLIT = r"list_filter(list_transform(regexp_split_to_array(text, '(?i)\b(?:vs\.?|versus|and)\b'), lambda p: trim(p)), lambda p: p <> '')"
@@ -237,7 +231,7 @@ _TEXT_LINES = f"""{_RECOMMEND.replace('(brand IS NULL OR', '(r.brand IS NULL OR'
 @query(f"{_TEXT_LINES}, a AS (SELECT query_id, CASE WHEN lines IS NOT NULL THEN '### Recommendation — answer' || chr(10) || chr(10) || '#### From the catalog (SQL)' || chr(10) || chr(10) || '### Recommendations' || chr(10) || lines ELSE {_quoted(S.NO_ANSWER)} END AS answer FROM m LEFT JOIN found USING (query_id)) SELECT query_id, answer, answer[:1200] AS kept, (length(answer) // 4) AS tokens FROM a")
 def answer_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer to each request that recommendations alone can give, and its trace."""
-    found = R.recommend(_requests(_texts(spark, ASKED)), phones(spark, sf_dir)).join(phones(spark, sf_dir).select("id", "name", "brand"), "id")
+    found = R.recommend(R.wishes(_texts(spark, ASKED)), phones(spark, sf_dir)).join(phones(spark, sf_dir).select("id", "name", "brand"), "id")
     line = F.format_string("%d. %s (%s) — score %.2f", "rank", "name", "brand", "score")
     lines = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     parts = _texts(spark, ASKED).join(lines, "query_id", "left").select("query_id", F.lit("PHONE_DOMAIN").alias("scope"), F.lit("recommendation").alias("intent"), F.coalesce(F.concat(F.lit("### Recommendations\n"), "lines"), F.lit("")).alias("catalog"), F.lit("").alias("snippets"))
@@ -251,40 +245,50 @@ _FALL = f"asked AS (SELECT query_id, text FROM m WHERE trim(text) <> '' AND quer
 @query(f"{_RANKED}, {PR._BASE.removeprefix('WITH ')}, {_FALL}, {PR._COS}, {PR._BM}, h AS (SELECT query_id, doc_id, round(0.5::DOUBLE * {PR._MM('cand.score')} + 0.5::DOUBLE * {PR._MM('bm.score')}, 6) AS score FROM cand JOIN bm USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)), hr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 5) SELECT query_id, rank, id, NULL::BIGINT AS doc_id, round(score, 6) AS score FROM ranked UNION ALL SELECT query_id, rank, NULL, doc_id, score FROM hr")
 def recommend_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendations, and documents for requests that no product fits."""
-    ranked = R.recommend(_requests(_texts(spark, ASKED)), phones(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    ranked = R.recommend(R.wishes(_texts(spark, ASKED)), phones(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return R.with_fallback(kept(ranked), _texts(spark, ASKED), lambda left: retrieval.search(table(spark, sf_dir, "documents"), left, kept, fresh_root(spark, "index")))
 
 
-_SAID = "said AS (SELECT p.query_id, step, engine, CASE engine WHEN 'recommend' THEN lines ELSE " + _SUFFIX.replace("CASE engine", "CASE p.engine") + " END AS text FROM (SELECT query_id, step, engine FROM cls JOIN rub USING (intent)) p JOIN m USING (query_id) LEFT JOIN found ON found.query_id = p.query_id WHERE engine <> 'recommend' OR lines IS NOT NULL)"
-
-
-def _intents(texts: str) -> str:
-    """The CTEs that classify `m`, over other texts."""
-    return L._I.replace(L._M, _m(ASKED))
-
-
-_CHAT = f"{_intents('')}{_RUB}, " + _TEXT_LINES.removeprefix(_m(ASKED) + ", ") + ", " + _SAID
+CHAT = ASKED + COMPARED + QUESTIONS + ["compare Samsung large pink iPhone 16 Pro and google", "specs of the Apple Z Flip 6 ring", "what does the google pixel 9 cost", "upcoming xiaomi, should i wait or buy", "how are you", "recipe for chicken curry", "resale value of a vivo"]
+_FROM = "WITH m AS (SELECT query_id, text FROM about)"
+_nested = lambda sql, of: sql.replace(_m(of), _FROM)
+_NAMES_ABOUT = f"names AS (SELECT query_id AS name_id, {_QNAME} AS name FROM about)"
+_PRICED = ORACLE_SQL["price_check_by_name"].replace(f"names AS (SELECT unnest(range(0, {len(CHECKED)})) AS name_id, unnest([{', '.join(map(_quoted, CHECKED))}]) AS name)", _NAMES_ABOUT)
+_SPECIFIED = _nested(ORACLE_SQL["spec_question_answer"], QUESTIONS).replace("met.id, fields.field, label, display, source FROM", "CASE WHEN starts_with(lower(phones.name), lower(phones.brand)) THEN phones.name ELSE trim(phones.brand || ' ' || phones.name) END AS product, fields.field, label, display FROM").replace("FROM qs JOIN met ON met.name_id = query_id", "FROM qs JOIN met ON met.name_id = query_id JOIN phones ON phones.id = met.id")
+_COMPARED_SQL = _nested(ORACLE_SQL["compare_by_names"], COMPARED)
+_SNIP = r"(CASE WHEN length(flat) <= 160 THEN flat ELSE rtrim(regexp_replace(flat[:160], '\s\S*$', '')) || '…' END)"
+_SEARCHED = f"""{PR._BASE}, asked AS (SELECT query_id * 100 + step AS query_id, {_SUFFIX} AS text FROM planned JOIN about USING (query_id) WHERE engine IN ('deals', 'future_phones', 'resale', 'review', 'search')), qtok AS ({PR._TOKENS('asked', 'query_id')}), {PR._COS}, {PR._BM},
+h AS (SELECT query_id, doc_id, round(0.5::DOUBLE * {PR._MM('cand.score')} + 0.5::DOUBLE * {PR._MM('bm.score')}, 6) AS score FROM cand JOIN bm USING (query_id, doc_id) WINDOW w AS (PARTITION BY query_id)), hr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h QUALIFY rank <= 5),
+flat AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents WHERE doc_id IN (SELECT doc_id FROM hr)) SELECT query_id // 100 AS query_id, query_id % 100 AS step, '### Found' || chr(10) || string_agg(rank || '. ' || {_SNIP}, chr(10) ORDER BY rank) AS text FROM hr JOIN flat USING (doc_id) GROUP BY ALL"""
+_ANSWERS = f"""WITH chat AS (SELECT unnest(range(0, {len(CHAT)})) AS query_id, unnest([{', '.join(map(_quoted, CHAT))}]) AS text),
+scoped AS ({L.SCOPED_SQL.replace(L._M, 'WITH m AS (SELECT query_id, text FROM chat)')} SELECT query_id, scope FROM sc), about AS (SELECT chat.* FROM chat JOIN scoped USING (query_id) WHERE scope = 'PHONE_DOMAIN'),
+intents AS ({L._I.replace(L._M, _FROM)} SELECT query_id, intent FROM cls){_RUB}, planned AS (SELECT query_id, step, engine FROM intents JOIN rub USING (intent)),
+rec AS ({_nested(_TEXT_LINES, ASKED)} SELECT query_id, '### Recommendations' || chr(10) || lines AS text FROM found),
+pri AS (SELECT query_id, '### Prices' || chr(10) || advice AS text FROM ({_PRICED}) WHERE id IS NOT NULL),
+spe AS (SELECT query_id, '### ' || any_value(product) || chr(10) || string_agg('- ' || label || ': ' || display, chr(10) ORDER BY field) AS text FROM ({_SPECIFIED}) GROUP BY query_id),
+com AS (SELECT c.*, p.name AS product FROM ({_COMPARED_SQL}) c LEFT JOIN ({PHONES_SQL}) p USING (id)), cmp AS (SELECT query_id, '### Comparison' || chr(10) || string_agg('- ' || product || ': ' || wins || ' won, ' || ties || ' even' || CASE WHEN leads THEN ' — leads' ELSE '' END, chr(10) ORDER BY ord) AS text FROM com WHERE error IS NULL GROUP BY query_id),
+sea AS ({_SEARCHED}),
+said AS (SELECT query_id, step, engine, text FROM planned JOIN rec USING (query_id) WHERE engine IN ('recommend', 'buying_guide') UNION ALL SELECT query_id, step, engine, text FROM planned JOIN pri USING (query_id) WHERE engine = 'pricing' UNION ALL SELECT query_id, step, engine, text FROM planned JOIN spe USING (query_id) WHERE engine = 'specs'
+UNION ALL SELECT query_id, step, engine, text FROM planned JOIN cmp USING (query_id) WHERE engine = 'compare' UNION ALL SELECT query_id, step, engine, text FROM planned JOIN sea USING (query_id, step)),
+ctx AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY step) FILTER (WHERE engine IN ('recommend', 'buying_guide', 'pricing', 'specs', 'compare')) AS catalog, string_agg(text, chr(10) || chr(10) ORDER BY step) FILTER (WHERE engine IN ('deals', 'future_phones', 'resale', 'review', 'search')) AS snippets FROM said GROUP BY query_id)"""
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, root = table(spark, sf_dir, "documents"), fresh_root(spark, "index")
+    retrieval.build_index(docs.select("doc_id", "text"), root)
+    by_name = answers.engines(phones(spark, sf_dir), listings(spark, sf_dir), stores(spark, sf_dir), docs, retrieval.load_index(spark, root))
+    return answers.answer(_texts(spark, CHAT), by_name)
+
+
+@query(f"""{_ANSWERS} SELECT query_id, scope, coalesce(intent, 'general') AS intent, CASE WHEN scope <> 'PHONE_DOMAIN' THEN {_REPLY} WHEN coalesce(trim(catalog), '') = '' AND coalesce(trim(snippets), '') = '' THEN {_quoted(S.NO_ANSWER)}
+ELSE concat_ws(chr(10) || chr(10), '### ' || array_to_string(list_transform(string_split(intent, '_'), lambda w: upper(w[1]) || w[2:]), '_') || ' — answer', '#### From the catalog (SQL)' || chr(10) || chr(10) || nullif(trim(catalog), ''), '#### Supporting snippets (vector search)' || chr(10) || chr(10) || nullif(trim(snippets), '')) END AS answer
+FROM chat JOIN scoped USING (query_id) LEFT JOIN intents USING (query_id) LEFT JOIN ctx USING (query_id)""")
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request through guard, plan and all engines that its plan names, each of which runs once for all requests."""
+    return _chat(spark, sf_dir)[0]
 
 
-@query(f"""{_CHAT}, ctx AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY step) FILTER (WHERE engine = 'recommend') AS catalog, string_agg(text, chr(10) || chr(10) ORDER BY step) FILTER (WHERE engine <> 'recommend') AS snippets FROM said WHERE engine IN ('recommend', 'search', 'review', 'deals') GROUP BY query_id)
-SELECT query_id, CASE WHEN coalesce(trim(catalog), '') = '' AND coalesce(trim(snippets), '') = '' THEN {_quoted(S.NO_ANSWER)} ELSE concat_ws(chr(10) || chr(10), '### ' || array_to_string(list_transform(string_split(intent, '_'), lambda w: upper(w[1]) || w[2:]), '_') || ' — answer', '#### From the catalog (SQL)' || chr(10) || chr(10) || nullif(trim(catalog), ''), '#### Supporting snippets (vector search)' || chr(10) || chr(10) || nullif(trim(snippets), '')) END AS answer FROM m LEFT JOIN ctx USING (query_id) JOIN cls USING (query_id)""")
-def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each request through its plan: engines run once for all requests, one of them fails, and answers are composed."""
-    planned = U.with_plan(U.with_intent(_texts(spark, ASKED)))
-    plan = kept(R.steps(planned).join(planned.select("query_id", "intent").distinct(), "query_id"))
-    p = phones(spark, sf_dir)
-
-    def recommended(rows: DataFrame) -> DataFrame:
-        found = R.recommend(_requests(_texts(spark, ASKED)).join(rows.select("query_id"), "query_id", "left_semi"), p).join(p.select("id", "name", "brand"), "id")
-        line = F.format_string("%d. %s (%s) — score %.2f", "rank", "name", "brand", "score")
-        return found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-
-    def broken(rows: DataFrame) -> DataFrame:
-        raise ConnectionError("no guide")
-
-    asked = lambda rows: rows.select("query_id", c("search_text").alias("text"))
-    said, errors = R.dispatch(plan, {"recommend": recommended, "buying_guide": broken, "search": asked, "review": asked, "deals": asked}, kept)
-    assert list(errors) == ["buying_guide"]
-    contexts = R.joined_contexts(said, ["recommend"])
-    parts = _texts(spark, ASKED).join(contexts, "query_id", "left").join(plan.select("query_id", "intent").distinct(), "query_id").select("query_id", F.lit("PHONE_DOMAIN").alias("scope"), "intent", F.coalesce("catalog", F.lit("")).alias("catalog"), F.coalesce("snippets", F.lit("")).alias("snippets"))
-    return R.compose(parts)
+@query(f"{_ANSWERS} SELECT DISTINCT query_id, step, engine, error FROM planned JOIN com USING (query_id) WHERE engine = 'compare' AND error IS NOT NULL")
+def chat_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of these requests that an engine could not take, and why."""
+    return _chat(spark, sf_dir)[1]
