@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,10 +38,12 @@ _TOKEN = re.compile(f"[{_DENSE}]|[^\\s{_DENSE}]+")
 _WORD = re.compile(r"\S+")
 _SALTS = np.random.default_rng(33).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 _BAND = np.arange(BANDS, dtype=np.uint64)
-#: A band of more different paragraphs is split: by further MinHash values, of which similar ones share none with probability 0.2 ** SPLITS.
+#: The different paragraphs of a larger band are dealt to groups; which of them are found similar does not hang on it.
 HOT = 1000
-SPLITS = 8
-_SPLIT_SALTS = np.random.default_rng(34).integers(1, 2**63, SPLITS, dtype=np.uint64) | np.uint64(1)
+#: In such a band, paragraphs of more different shingles are grouped by their number, others by their rarest shingles.
+WIDE = 64
+#: Shingles are counted in so many buckets to tell rare from common ones; that many numbers come to the driver, at most.
+RARITY_BITS = 18
 _PLACE = np.random.default_rng(35).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _UNITS = "rid long, doc_id {0}, unit int, pos int, words int, start long, end long, k long, " + ", ".join(f"b{n} long" for n in range(BANDS)) + ", body string"
 
@@ -185,11 +187,30 @@ def _sets(bodies: list[str], known: _Hashes) -> Iterator[np.ndarray]:
         yield s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
+def _first(rank: np.ndarray) -> np.ndarray:
+    """Places of a set's first shingles, in the order of their ranks: as many as two sets so similar cannot both do without one of."""
+    return np.argsort(rank, kind="stable")[: len(rank) - int(np.ceil(SIMILARITY * len(rank))) + 1]
+
+
+def _prefixes(members: dict[int, np.ndarray]) -> dict[int, list[int]]:
+    """The first shingles of every set, those first that fewest of the sets have; what a single set has meets nothing and is left out."""
+    if len(members) <= 32:  # any order does; this is the cheapest
+        return {k: s[: len(s) - int(np.ceil(SIMILARITY * len(s))) + 1].tolist() for k, s in members.items()}
+    sizes = np.cumsum([len(s) for s in members.values()])[:-1]
+    _, number, count = np.unique(np.concatenate(list(members.values())), return_inverse=True, return_counts=True)
+    out = {}
+    for k, own in zip(members, np.split(number, sizes), strict=True):
+        first = own[_first(count[own] * len(count) + own)]
+        out[k] = first[count[first] > 1].tolist()
+    return out
+
+
 def _similar(members: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links among paragraphs (k: shingles), each link verified by exact Jaccard similarity.
 
-    Sets so similar share one of the first shingles, in any fixed order, of a fifth of each and one; so only members
-    that do are compared, and only if no link joins them yet: those that links join stand together and are passed over.
+    Sets so similar share one of the first shingles, in any fixed order, of a fifth of each and one; rare ones come first,
+    so what a template gives to all of them brings none together. Only members that share one are compared, and only if
+    no link joins them yet: those that links join stand together and are passed over.
     """
     up: dict[int, int] = {}
 
@@ -198,11 +219,10 @@ def _similar(members: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
             up[k] = k = up[up[k]]
         return k
 
-    sets, index = {}, {}
+    sets, index, prefixes = {}, {}, _prefixes(members)
     for k in sorted(members):
-        s = members[k]
-        a = sets[k] = set(s.tolist())
-        for e in s[: len(s) - int(np.ceil(SIMILARITY * len(s))) + 1].tolist():
+        a = sets[k] = set(members[k].tolist())
+        for e in prefixes[k]:
             groups = index.setdefault(e, {})
             for root in list(groups):
                 if (now := top(root)) != root:
@@ -238,19 +258,48 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, k, body) from rows (band, k, body, hot): those of hot bands under SPLITS narrower ones each."""
-    known = _Hashes()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): how often shingles of bodies fall into each bucket of their hashes."""
+    known, seen = _Hashes(), np.zeros(1 << RARITY_BITS, np.int64)
     for batch in batches:
-        hot = batch.column(3).to_numpy(zero_copy_only=False)
-        times = np.where(hot, SPLITS, 1)
-        bands = np.repeat(batch.column(0).to_numpy().view(np.uint64), times)
-        if hot.any():
-            least = [(s[:, None] * _SPLIT_SALTS).min(0) for s in _sets(batch.column(2).filter(pa.array(hot)).to_pylist(), known)]
-            at = np.repeat(hot, times)
-            bands[at] = _mix(bands[at] * _PLACE[3] + np.concatenate(least) + np.tile(np.arange(SPLITS, dtype=np.uint64) * _PLACE[2], len(least)))
-        take = pa.array(np.repeat(np.arange(len(hot)), times))
-        yield pa.record_batch([pa.array(bands.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["band", "k", "body"])
+        if batch.num_rows:
+            every = np.concatenate(list(_sets(batch.column(0).to_pylist(), known)))
+            seen += np.bincount((every >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(seen))
+    bucket = np.flatnonzero(seen)
+    yield pa.record_batch([pa.array(bucket), pa.array(seen[bucket])], names=["bucket", "n"])
+
+
+def _grouped(rarity: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes of rows (band, k, body, hot) rows (band, k, body), those of hot bands under narrower ones, so that similar ones still meet.
+
+    Two sets so similar share one of their first shingles in any fixed order; the order is that of `rarity`, so most of
+    them are in small groups. Sets of more than WIDE shingles would have many of these: they are put together by the
+    number of their shingles, which for similar sets lies within a quarter; sets that may be similar to either kind are
+    in both.
+    """
+
+    def bands(band: np.uint64, s: np.ndarray) -> np.ndarray:
+        out = []
+        if len(s) <= WIDE:
+            rank = rarity[s >> np.uint64(64 - RARITY_BITS)]
+            out.append(_mix(band * _PLACE[3] + s[_first(rank)]))
+        if len(s) > SIMILARITY * WIDE:
+            step = int(np.log(len(s)) / -np.log(SIMILARITY))
+            out.append(_mix(band * _PLACE[2] + np.arange(step, step + 2, dtype=np.uint64)))
+        return np.concatenate(out)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            hot = batch.column(3).to_numpy(zero_copy_only=False)
+            band = batch.column(0).to_numpy().view(np.uint64)
+            sets = _sets(batch.column(2).filter(pa.array(hot)).to_pylist(), known)
+            with np.errstate(over="ignore"):
+                own = [bands(b, next(sets)) if h else b[None] for b, h in zip(band, hot.tolist(), strict=True)]
+            take = pa.array(np.repeat(np.arange(len(hot)), [len(x) for x in own]))
+            yield pa.record_batch([pa.array(np.concatenate(own).view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["band", "k", "body"])
+
+    return narrow
 
 
 def repeated_passages(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +358,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         del half_bodies
         scratch.free()
     bodies = halves[0].union(halves[1])
-    pairs = met.join(bodies, "k").select("band", "k", "body", "hot").mapInArrow(_narrowed, "band long, k long, body string")
+    hot = bodies.join(met.where("hot").select("k").distinct(), "k", "left_semi").select("body")
+    counts = hot.mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(1 << RARITY_BITS, np.int64)
+    rarity[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    pairs = met.join(bodies, "k").select("band", "k", "body", "hot").mapInArrow(_grouped(rarity), "band long, k long, body string")
     edges = pairs.repartition("band").sortWithinPartitions("band", "k").mapInArrow(_links, "a long, b long")
     roots = connected_components(spark, edges, scratch)
     scratch.drop(*meetings, *halves)

@@ -2,8 +2,12 @@
 
 import itertools
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
+
+from merchlake.llm import op3_paragraphs as op
 from merchlake.llm.op3_paragraphs import repeated_passages
 
 SF = "/root/testdata/sf0.01"
@@ -145,3 +149,54 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, long + passage), (2, passage)], "doc_id long, text string")
     got = repeated_paragraphs(docs).where("unit = 'sentence'").collect()
     assert sorted((r["doc_id"], r["words"], r["removed"]) for r in got) == [(1, 80, False), (2, 80, True)]
+
+
+def template(n, own):
+    """Sentences with 24 words of a template and some of their own: none is similar to another."""
+    words = " ".join(f"common{j}" for j in range(24))
+    return [f"{words} " + " ".join(f"own{i}x{j}" for j in range(own)) + "." for i in range(n)]
+
+
+def test_many_different_sentences_of_one_template_are_soon_told_apart():
+    """20,000 in one band: what they all have brings none of them together."""
+    known = op._Hashes()
+    bodies = [t.rstrip(".") for t in template(20_000, 16)]
+    members = dict(enumerate(op._sets(bodies + [bodies[7] + " y", bodies[7] + " z"], known)))
+    began = time.perf_counter()
+    found = {frozenset(x) for x in op._similar(members)}
+    assert time.perf_counter() - began < 60
+    assert len(found) == 2 and frozenset({7, 20_000}) | frozenset({7, 20_001}) >= frozenset().union(*found)
+
+
+def test_groups_of_a_large_band_lose_no_link():
+    """Every two sets that are similar share a group, on either side of WIDE and across it."""
+    r = np.random.default_rng(8)
+    rarity = r.integers(0, 50, 1 << op.RARITY_BITS)
+    narrow, sets = op._grouped(rarity), []
+    for size in (4, 5, 9, 30, 50, 52, 60, 64, 65, 70, 80, 81, 200, 1500):
+        base = r.integers(1, 1 << 63, size, dtype=np.uint64)
+        for _ in range(12):
+            other = base.copy()
+            other = np.delete(other, r.integers(0, len(other), r.integers(0, max(1, size // 9) + 1)))
+            other = np.concatenate([other, r.integers(1, 1 << 63, r.integers(0, max(1, size // 9) + 1), dtype=np.uint64)])
+            sets.append(np.unique(other))
+    import pyarrow as pa
+
+    by = {}
+    known_sets = iter(sets)
+    original, op._sets = op._sets, lambda bodies, known: known_sets
+    try:
+        rows = pa.record_batch([pa.array([5] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int64()), pa.array(["x"] * len(sets)), pa.array([True] * len(sets))], ["band", "k", "body", "hot"])
+        for batch in narrow([rows]):
+            for band, k in zip(batch["band"].to_pylist(), batch["k"].to_pylist(), strict=True):
+                by.setdefault(k, set()).add(band)
+    finally:
+        op._sets = original
+    similar = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= op.SIMILARITY * (len(a) + len(sets[j]) - both):
+                similar += 1
+                assert by[i] & by[j], (len(a), len(sets[j]))
+    assert similar > 100
