@@ -117,6 +117,18 @@ def by_url(products: DataFrame, fields: list[str], order: str) -> DataFrame:
     return g.select(c("key").alias("product_url"), "base.*", "stores", F.array_min(F.transform("stores", lambda s: s["price"])).alias("lowest"), F.exists("stores", lambda s: s["in_stock"]).alias("any_stock"), "listings")
 
 
+def merge_report(products: DataFrame, key: Column, source: str) -> DataFrame:
+    """(source, rows, without_key, merged, kept): of each source how many rows came, had no key, went into a record of another, and made one.
+
+    The record of a key counts for the first source by name. The sources' numbers add up to those of the whole.
+    """
+    rows = products.select(key.alias("key"), F.coalesce(source, F.lit("")).alias("source"))
+    firsts = rows.where("key is not null").groupBy("key").agg(F.min("source").alias("source")).groupBy("source").agg(F.count("*").alias("kept"))
+    counted = rows.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(c("key").isNull()).alias("without_key"))
+    made = F.coalesce("kept", F.lit(0))
+    return counted.join(firsts, "source", "left").select("source", "rows", "without_key", (c("rows") - c("without_key") - made).alias("merged"), made.alias("kept"))
+
+
 def hoisted(records: DataFrame, specs: str = "merged_specs") -> DataFrame:
     """The known specifications as columns of their own where they are missing, from the map."""
     return records.withColumns({n: F.coalesce(c(n), F.element_at(specs, n)) if n in records.columns else F.element_at(specs, F.lit(n)) for n in TOP_LEVEL})

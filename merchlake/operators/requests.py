@@ -13,6 +13,7 @@ from merchlake.functions import text as T
 from merchlake.functions import vocabulary as V
 from merchlake.functions.numbers import positive
 from merchlake.operators import bands, comparison, scoring, understanding
+from merchlake.operators.isolation import halved
 from merchlake.operators.names import resolve
 from merchlake.operators.understanding import has_word
 from merchlake.sources.scratch import kept
@@ -235,27 +236,19 @@ def dispatch(planned: DataFrame, engines: dict[str, Callable[[DataFrame], DataFr
     of = lambda rows, other: rows.select(c("query_id").alias("ask"), c("query_id.query_id").alias("query_id"), "step", "engine").join(other.withColumnRenamed("query_id", "ask"), "ask").drop("ask")
     for engine in dict.fromkeys(engines[n] for n in named if n in engines):
         own = c("engine").isin([n for n in named if engines.get(n) is engine])
-        parts, used = [(kept(planned.where(own).withColumn("query_id", F.struct("query_id", "step"))), 0)], 0
-        while parts:
-            part, depth = parts.pop()
-            used += 1
-            try:
-                out = engine(part)
-                error = c("error") if "error" in out.columns else F.lit(None).cast("string").alias("error")
-                out = kept(out.select("query_id", "text", error))
-            except Exception as e:  # noqa: BLE001  an engine may fail in any way
-                if used + len(parts) + 2 > tries or part.limit(2).count() < 2:
-                    error = F.lit(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:200])
-                    failed = failed.unionByName(part.select("query_id.query_id", "step", "engine", error.alias("error")))
-                else:
-                    half = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(2))
-                    parts += [(kept(part.where(half == i)), depth + 1) for i in (0, 1)]
-                continue
+        done, lost = halved(planned.where(own).withColumn("query_id", F.struct("query_id", "step")), "query_id", lambda rows, engine=engine: _with_error(engine(rows)), tries)
+        for part, out in done:
             said = said.unionByName(of(part, out.where("text is not null").select("query_id", "text")))
             failed = failed.unionByName(of(part, out.where("error is not null").select("query_id", "error")))
+        for part, why in lost:
+            failed = failed.unionByName(part.select("query_id.query_id", "step", "engine", F.lit(why).alias("error")))
     return said, failed
 
 
+def _with_error(out: DataFrame) -> DataFrame:
+    return out.select("query_id", "text", c("error") if "error" in out.columns else F.lit(None).cast("string").alias("error"))
+
+
 def joined_contexts(said: DataFrame, from_catalog: list[str]) -> DataFrame:
     """(query_id, catalog, snippets): what engines said, in the order of their steps, by where it comes from."""
     text = lambda mine: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("step", "text")))), lambda x: x["text"]), "\n\n")

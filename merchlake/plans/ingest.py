@@ -98,6 +98,14 @@ def merge_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.by_url(_products(spark, sf_dir), _FIELDS, "ord").withColumn("stores", F.array_join(F.transform("stores", lambda s: s["name"]), ","))
 
 
+@query(f"""{_PR}, k AS (SELECT coalesce({_BLANK('product_url')}, {_BLANK('url')}) AS key, coalesce(source, '') AS source FROM products), f AS (SELECT source, count(*) AS kept FROM (SELECT key, min(source) AS source FROM k WHERE key IS NOT NULL GROUP BY key) GROUP BY source)
+SELECT source, count(*) AS rows, count(*) - count(key) AS without_key, count(key) - coalesce(any_value(kept), 0) AS merged, coalesce(any_value(kept), 0) AS kept FROM k LEFT JOIN f USING (source) GROUP BY source""")
+def merge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the rows of each source when products are merged by url."""
+    key = F.coalesce(F.nullif(F.trim("product_url"), F.lit("")), F.nullif(F.trim("url"), F.lit("")))
+    return I.merge_report(_products(spark, sf_dir), key, "source")
+
+
 _WEAK = r"concat(lower(trim(coalesce(brand, ''))), '|', regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(name, ''))), '\s+', ' ', 'g'), '\(\d+gb\)', '', 'g'), '\(\d+gb/\d+gb\)', '', 'g'))"
 _SPEC_NAMES = ["RAM", "Internal Storage", "Chipset", "Rear Camera setup", "selfie", "Display size", "OS", "5G connectivity", "Weight", "in", "Notch", "face ID unlock", "GPU", "", "Fingerprint Sensor", "SIM", "{type}", "{name}"]
 _SPEC_NAME = {"id": "p_partkey", "raw": f"concat({filled(_SPEC_NAMES)}, {filled(['', '', ' {size}', ' type'], 18)})"}

@@ -77,6 +77,17 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, text string").option("mode", "FAILFAST").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of lines that are neither blank nor a JSON object; lines are numbered from 1.
+
+    All files are gone through line by line; only those that have such a line are read whole, to number their lines.
+    """
+    bad = lambda x: (F.trim(x) != "") & ~F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(x)), F.lit("OBJECT")), F.lit(False))
+    wrong = spark.read.text(path).where(bad(c("value"))).select(c("_metadata.file_path").alias("file")).distinct()
+    whole = spark.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("file"), "value").join(wrong, "file", "left_semi")
+    return whole.select("file", F.posexplode(F.split("value", "\r?\n"))).select("file", (c("pos") + 1).alias("line"), c("col").alias("text")).where(bad(c("text")))
+
+
 def csv_catalog(spark: SparkSession, path: str, sections: list[str]) -> DataFrame:
     """A catalog from CSV with a header: brand, name, and a map of those sections that are filled."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

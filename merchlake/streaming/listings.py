@@ -10,7 +10,9 @@ from pyspark.sql.types import StructType
 
 from merchlake.operators.entities import content_hash, diff, keep_first
 from merchlake.operators.ingest import doc_hash, to_embed
+from merchlake.operators.isolation import embedded
 from merchlake.operators.sinks import Snapshots
+from merchlake.sources.scratch import kept
 
 
 def arrivals(spark: SparkSession, path: str, schema: StructType, time: str) -> DataFrame:
@@ -40,12 +42,13 @@ def ingest(batch: DataFrame, table: Snapshots, manifest: Snapshots, key: str, st
     The manifest has a hash of each product's stable columns, and of its document if that is given; a product is updated
     if either differs. Of rows with the same key the one with the least hash stays. Products that are no longer in the
     batch are removed. With `embed`, a function of (key, text), documents whose hash changed are embedded into `vectors`,
-    and those of removed products are deleted there; no others are embedded. A second run of the same batch finds
-    everything unchanged and writes nothing, so it can follow a failed run.
+    and those of removed products are deleted there; no others are embedded. Where it fails, the documents that it cannot
+    take are found and counted as not_embedded; their hash is left out of the manifest, so the next run tries them again.
+    A second run of the same batch finds everything else unchanged and writes nothing, so it can follow a failed run.
     """
     text = F.lit(None).cast("string") if document is None else document
     hashed = batch.withColumns({"content_hash": content_hash(*stable), "doc_text": text}).withColumn("doc_hash", doc_hash(F.col("doc_text")))
-    hashed = keep_first(hashed, [key], [F.col("content_hash"), F.col("doc_hash")])
+    hashed = kept(keep_first(hashed, [key], [F.col("content_hash"), F.col("doc_hash")]))
     old = manifest.read()
     new_manifest = hashed.select(key, "content_hash", "doc_hash")
     status = diff(old, new_manifest, key, ["content_hash", "doc_hash"]) if old is not None else new_manifest.select(key, F.lit("added").alias("status"))
@@ -57,6 +60,15 @@ def ingest(batch: DataFrame, table: Snapshots, manifest: Snapshots, key: str, st
         if embed is not None and vectors is not None:
             known = old.select(key, "doc_hash") if old is not None else new_manifest.select(key, "doc_hash").limit(0)
             todo, gone = to_embed(hashed.select(key, F.col("doc_text").alias("text")), known, key)
-            vectors.merge(embed(todo.select(key, "text")), key, removed=gone)
+            made, failed = embedded(todo.select(key, "text"), key, embed)
+            if made is None:
+                made = vectors.read()
+                made = None if made is None else made.limit(0)
+            if made is not None:
+                vectors.merge(made, key, removed=gone)
+            if n := failed.count():
+                counts["not_embedded"] = n
+                without = F.when(F.col("error").isNull(), F.col("doc_hash")).alias("doc_hash")
+                new_manifest = new_manifest.join(failed, key, "left").select(key, "content_hash", without)
         manifest.replace(new_manifest)
     return batch.sparkSession.createDataFrame(sorted(counts.items()), "status string, n long")

@@ -70,3 +70,18 @@ def test_the_guard_keeps_other_requests_from_engines(spark):
     assert set(seen) == {"phone"} and failed.count() == 0
     assert got[1]["answer"] == S.REPLIES["GENERAL_GREETING"] and got[3]["answer"] == S.REPLIES["UNRELATED"] and got[4]["answer"] == S.REPLIES["UNKNOWN"]
     assert "PHONE" in got[2]["answer"] and got[2]["answer"].startswith("### ")
+
+
+def test_documents_that_cannot_be_embedded_are_found(spark):
+    from merchlake.operators.isolation import embedded
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "id long, text string")
+
+    def embed(rows):
+        return rows.select("id", F.when(F.col("id").isin(4, 17), F.raise_error(F.lit("too long")).cast("int")).otherwise(F.length("text")).alias("v"))
+
+    vectors, errors = embedded(docs, "id", embed)
+    assert {r["id"] for r in vectors.collect()} == set(range(30)) - {4, 17}
+    assert {r["id"] for r in errors.collect()} == {4, 17}
+    nothing, errors = embedded(docs, "id", lambda rows: 1 / 0, tries=3)
+    assert nothing is None and errors.count() == 30 and errors.first()["error"].startswith("ZeroDivisionError")

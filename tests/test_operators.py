@@ -255,3 +255,22 @@ def test_links_that_run_in_circles(spark):
 def test_a_kind_of_product_without_crumbs(spark):
     df = spark.createDataFrame([(None, []), ("phones", None), (None, [" "])], "o string, k array<string>")
     assert [r[0] for r in df.select(pages.category(F.col("o"), F.col("k"))).collect()] == [None, "phones", None]
+
+
+def test_lines_that_are_not_json_are_named(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "x"}\n\nnot json\n{"id": "2"}\n[1]\n')
+    (tmp_path / "b.jsonl").write_text('{"id": "3", "text": "y"}\n')
+    got = [(r["file"].rpartition("/")[2], r["line"], r["text"]) for r in feeds.bad_lines(spark, str(tmp_path)).orderBy("line").collect()]
+    assert got == [("a.jsonl", 3, "not json"), ("a.jsonl", 5, "[1]")]
+
+
+def test_documents_that_fail_are_embedded_in_the_next_run(spark, tmp_path):
+    table, manifest, vectors = (sinks.Snapshots(spark, str(tmp_path / n)) for n in ("t", "m", "v"))
+    rows = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "url string, name string")
+    bad = {"b"}
+    embed = lambda df: df.select("url", F.when(F.col("url").isin(*bad), F.raise_error(F.lit("no")).cast("int")).otherwise(F.length("text")).alias("v")) if bad else df.select("url", F.length("text").alias("v"))
+    run = lambda: {r["status"]: r["n"] for r in ingest(rows, table, manifest, "url", ["name"], F.col("name"), embed, vectors).collect()}
+    assert run() == {"added": 3, "not_embedded": 1} and vectors.read().count() == 2
+    bad.clear()
+    assert run() == {"unchanged": 2, "updated": 1} and vectors.read().count() == 3
+    assert run() == {"unchanged": 3}
