@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ WIDE = 64
 #: Shingles are counted in so many buckets to tell rare from common ones; that many numbers come to the driver, at most.
 RARITY_BITS = 18
 _PLACE = np.random.default_rng(35).integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+#: Words whose hashes a task remembers, and bytes of text that it takes apart at once, about; a longer text is taken by itself.
+KNOWN, AT_ONCE = 300_000, 2 << 20
 _UNITS = "rid long, doc_id {0}, unit int, pos int, words int, start long, end long, k long, " + ", ".join(f"b{n} long" for n in range(BANDS)) + ", body string"
 
 
@@ -56,7 +59,7 @@ class _Hashes(dict):
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -126,6 +129,16 @@ def _sentences(texts: list[str | None], known: _Hashes) -> tuple[list[tuple], li
     return found, words, known.of(words)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about AT_ONCE bytes of text."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)) // AT_ONCE
+        edges = np.flatnonzero(np.diff(sizes)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units of rows (rid, doc_id, text), numbered within their kind.
 
@@ -133,7 +146,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     have no bands and no body.
     """
     known = _Hashes()
-    for batch in batches:
+    for batch in _parts(batches):
         texts = batch.column(2).to_pylist()
         found, words, hashes = _sentences(texts, known)
         rolled, units = _rolled(hashes), []
