@@ -348,17 +348,22 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["doc_id"].dataType.simpleString()
     units = scratch.keep(rows.mapInArrow(_units, _UNITS.format(kind)), "units")
 
-    # one band after the other, so that only one of them is on its way at a time; one row for each different paragraph,
-    # however many copies there are. Bands of several paragraphs are written first: the join then stands right on two
-    # shuffles, so a very common band can be split among tasks
+    # one band after the other, so that only one of them is on its way at a time. Bands of several paragraphs are written
+    # first: the join then stands right on two shuffles, so a very common band can be split among tasks
+    # all bands of a paragraph go through one shuffle, by which copies are one
+    bands = [f"b{n}" for n in range(BANDS)]
+    different = scratch.keep(units.where("b0 is not null").groupBy("k").agg(*[F.min(b).alias(b) for b in bands]), "different")
+    scratch.free()
     met = []
-    for n in range(BANDS):
-        banded = scratch.keep(units.where(f"b{n} is not null").select("k", F.col(f"b{n}").alias("band")).distinct(), "band")
+    for band in bands:
+        banded = different.select("k", F.col(band).alias("band"))
         shared = scratch.keep(banded.groupBy("band").count().where("count > 1"), "shared")
         met.append(scratch.keep(banded.join(shared, "band").select("band", "k", (F.col("count") > HOT).alias("hot")), "met"))
-        scratch.drop(shared, banded)
+        scratch.drop(shared)
         del banded, shared
         scratch.free()
+    scratch.drop(different)
+    del different
     meetings = met
     met = reduce(DataFrame.unionAll, meetings)
     wanted = met.select("k").distinct()
