@@ -110,7 +110,7 @@ def in_given_order(phones: DataFrame, slugs: list[str]) -> DataFrame:
     spark = phones.sparkSession
     asked = spark.createDataFrame(list(enumerate(slugs)), "pos int, slug string")
     first = Window.partitionBy("pos").orderBy("id")
-    return phones.join(F.broadcast(asked), "slug").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    return phones.join(asked, "slug").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
 def finder(phones: DataFrame, networks: list[str], filters: dict) -> DataFrame:

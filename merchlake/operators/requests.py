@@ -75,11 +75,15 @@ def catalog_terms(phones: DataFrame) -> DataFrame:
 def named_in(requests: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, brands, models): terms of the catalog that stand alone in a request, the longest first.
 
-    A model that is part of a longer one found before it is left out. Requests and terms meet by the terms' first word,
-    an equi-join, and only such pairs are looked at as a whole.
+    A model that is part of a longer one found before it is left out. Requests and terms meet by the word of each term that
+    fewest terms have, an equi-join, and only such pairs are looked at as a whole; so a request that names a brand does
+    not meet all models that do.
     """
-    words = requests.select("query_id", F.lower("text").alias("q")).select("query_id", "q", F.explode(F.array_distinct(F.regexp_extract_all("q", F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    t = terms.withColumn("word", T.first_match(c("term"), r"^\W*(\w+)"))
+    every = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)))
+    words = requests.select("query_id", F.lower("text").alias("q")).select("query_id", "q", F.explode(every("q")).alias("word"))
+    in_terms = terms.select("kind", "term", "shown", F.explode(every("term")).alias("word"))
+    rare = in_terms.groupBy("word").agg(F.count("*").alias("n"))
+    t = in_terms.join(rare, "word").groupBy("kind", "term", "shown").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     edge = lambda x: F.regexp_replace(x, r"([^\w\s])", r"\\$1")
     met = words.join(t, "word").where(F.regexp_like("q", F.concat(F.lit(r"\b"), edge(c("term")), F.lit(r"\b"))))
     found = F.struct((-F.length("term")).alias("l"), c("term").alias("t"), c("shown").alias("s"))

@@ -14,6 +14,8 @@ from merchlake.sources.scratch import spread
 c = F.col
 DIM = 384
 K1, B = 1.5, 0.75
+#: Dense queries that are broadcast at once, about.
+QUERIES = 1000
 
 
 def token_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -107,16 +109,21 @@ def hybrid(cosines: DataFrame, bm25s: DataFrame, key: str, alpha: float = 0.5, k
 
 
 def dense_topk(vecs: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, vec_id, score, rank): exact nearest vectors; `queries` (query_id, q) is a bounded request and is broadcast.
+    """(query_id, vec_id, score, rank): exact nearest vectors of `queries` (query_id, q).
 
-    Scores are 1 - distance for cosine, and minus the distance for l2 (squared) and ip (1 - inner product).
+    Queries are broadcast, QUERIES at a time; each lot goes through all vectors. Scores are 1 - distance for cosine, and minus the distance for l2 (squared) and ip (1 - inner product).
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v, q = c("embedding"), c("q")
     apart = F.aggregate(F.zip_with(v, q, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     score = {"cosine": dot(v, q) / F.sqrt(dot(v, v) * dot(q, q)), "ip": dot(v, q) - 1, "l2": -apart}[metric]
-    scored = vecs.join(F.broadcast(queries)).select("query_id", "vec_id", (F.round(score, 6) + 0.0).alias("score"))
-    return top(scored, "vec_id", k)
+    lots = -(-queries.count() // QUERIES)
+    best = None
+    for n in range(max(1, lots)):
+        lot = queries if lots <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == n)
+        found = top(vecs.join(F.broadcast(lot)).select("query_id", "vec_id", (F.round(score, 6) + 0.0).alias("score")), "vec_id", k)
+        best = found if best is None else best.unionByName(found)
+    return best
 
 
 def build_index(docs: DataFrame, root: str, key: str = "doc_id") -> None:

@@ -214,3 +214,13 @@ def test_only_vectors_whose_buckets_moved_are_made_again(spark):
     deltas.apply(t, "s", 3, docs.limit(0), docs.where("doc_id >= 100").select("doc_id"))
     fourth, _ = deltas.refresh(t, third)
     assert fourth["vectors"].count() == 100 and {r["df"] for r in fourth["vocabulary"].where("token = 'word3'").collect()} == {16}
+
+
+def test_dense_queries_in_lots(spark, monkeypatch):
+    r = random.Random(2)
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    q = v.where("vec_id < 23").selectExpr("vec_id as query_id", "embedding as q")
+    rows = lambda: {tuple(x) for x in retrieval.dense_topk(v, q, 3).collect()}
+    want = rows()
+    monkeypatch.setattr(retrieval, "QUERIES", 5)
+    assert rows() == want and len(want) == 69
