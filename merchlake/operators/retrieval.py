@@ -57,12 +57,15 @@ def doc_vectors(term_df: DataFrame, key: str, buckets: DataFrame | None = None,
     if token_idf is not None:
         term_df = term_df.join(token_idf.select("token", c("idf").alias("t_idf")), "token", "left")
     weight = F.max("t_idf").alias("t_idf") if token_idf is not None else F.lit(None).cast("double").alias("t_idf")
-    raw = term_df.groupBy(key, "bucket").agg(F.sum("tf").alias("tf"), F.max_by("sign", "last").alias("sign"), weight)
+    # dealt by documents once: neither of the groupings that follow moves a row again
+    raw = term_df.repartition(key).groupBy(key, "bucket").agg(F.sum("tf").alias("tf"), F.max_by("sign", "last").alias("sign"), weight)
     raw = raw.join(F.broadcast(buckets), "bucket", "left") if buckets is not None else raw.withColumn("idf", F.lit(None).cast("double"))
     w = c("sign") * (1 + F.log("tf")) * F.coalesce("t_idf", "idf", F.lit(1.0))
     every = raw.groupBy(key).agg(F.collect_list(F.struct("bucket", w.alias("w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return every.withColumn("norm", norm).select(key, F.transform("v", lambda x: F.struct(x["bucket"].alias("bucket"), (x["w"] / c("norm")).alias("w"))).alias("v"))
+    # the length is made once for each vector: as a plain column it would be put into the inner expression, and made for each entry
+    unit = lambda n: F.transform("v", lambda x: F.struct(x["bucket"].alias("bucket"), (x["w"] / n).alias("w")))
+    return every.select(key, F.transform(F.array(norm), unit)[0].alias("v"))
 
 
 def vectors(term_df: DataFrame, key: str, buckets: DataFrame | None = None, token_idf: DataFrame | None = None) -> DataFrame:
