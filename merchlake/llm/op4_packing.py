@@ -18,6 +18,8 @@ from tokenizers import Tokenizer
 from merchlake.llm.common import Scratch, small_batches
 
 CAPACITY = 2048
+#: Pieces in a group, about, in which pieces of a size are numbered.
+GROUP_ROWS = 16_384
 END_ID = 0
 _LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
 
@@ -137,7 +139,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     A document is its token ids and one END_ID. Longer ones than the capacity are cut into pieces of it; the first piece
     may be shorter. Sizes are counted (at most `capacity` counts come to the driver), `plan` packs the counts, and each
     piece is placed by its size and its number among the pieces of that size. Numbers come from counts per size and
-    group (more groups with more shuffle partitions) and a running number within each, so no size, however common, is gathered in one task.
+    group and a running number within each. Groups are a hash of a number that each written piece has, and as many as the
+    pieces ask for; so no size, however common, and no document, however often it is there, is gathered in one task.
     Null texts count as empty: one piece of length 1. Null and repeated ids are kept as rows of their own; other
     columns play no part; an empty table gives an empty result.
     """
@@ -145,13 +148,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     small_batches(spark)
     scratch = Scratch(spark, "pack")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(pieces_of(F.col(text_col), tokenizer, capacity)).alias("p")).select("doc_id", "p.*")
-    groups = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = scratch.keep(rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")), "pieces")
+    rows = scratch.keep(rows.withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    groups = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // GROUP_ROWS))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("rid"), F.lit(groups)).cast("int"))
     in_group = scratch.keep(rows.groupBy("length", "grp").agg(F.count("*").alias("n")), "counts")
     counts = {int(r["length"]): r["n"] for r in in_group.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     firsts = in_group.select("length", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "grp").orderBy("doc_id", "piece", "ids_crc32", "start")
+    order = Window.partitionBy("length", "grp").orderBy("rid")
     numbered = rows.withColumn("r", F.row_number().over(order)).join(firsts, ["length", "grp"]).withColumn("number", F.col("base") + F.col("r") - 1)
     kind = "size long, first long, last long, each long, sequence long, base_offset long"
     steps = spark.createDataFrame(plan(counts, capacity), kind)

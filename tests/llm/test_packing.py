@@ -84,3 +84,23 @@ def test_edge_cases(spark):
     assert sorted((r["doc_id"] or 0, r["piece"], r["length"]) for r in got)[:3] == [(0, 0, 1), (1, 0, 1), (1, 0, 1)]
     check_places(got, 2048)
     assert pack(docs.limit(0), VOCABULARY).collect() == []
+
+
+def test_a_document_that_is_there_very_often_is_dealt_to_many_groups(spark, monkeypatch):
+    from merchlake.llm import op4_packing as op
+
+    monkeypatch.setattr(op, "GROUP_ROWS", 4)
+    docs = spark.createDataFrame([(7, "the very same words")] * 3000 + [(i, "a b " * i) for i in range(50)], "doc_id long, text string")
+    groups = []
+    keep = op.Scratch.keep
+
+    def watched(self, df, label="t"):
+        out = keep(self, df, label)
+        if label == "counts":
+            groups.extend(r["n"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(op.Scratch, "keep", watched)
+    got = pack(docs, VOCABULARY).collect()
+    assert len(got) == 3050 and max(groups) < 40
+    check_places(got, 2048)
