@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
-from merchlake.sources import feeds
+from merchlake.sources import feeds, scrapes
 from merchlake.sources.catalog import LISTINGS_SQL, listings, table
-from merchlake.sources.scratch import shared_root
+from merchlake.sources.scratch import fresh_root, shared_root
 from merchlake.sources.texts import filled, rows, rows_sql
 from merchlake.streaming.listings import arrivals, each_once, run_available
 
@@ -146,3 +146,14 @@ def json_flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.struct("name", F.concat("name", F.lit("="), "value").alias("pair"))
     found = flat.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["pair"]), "; ").alias("specs"))
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("id")).join(found, "id", "left").select("id", F.coalesce("specs", F.lit("")).alias("specs"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, CASE WHEN p_size % 2 = 0 THEN p_type END AS kind FROM part")
+def scrapes_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products written as a scrape's files and read back by the data source of scrapes."""
+    scrapes.register(spark)
+    folder = fresh_root(spark, "scrapes")
+    out = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_name").alias("name"), c("p_retailprice").alias("price"), F.when(c("p_size") % 2 == 0, c("p_type")).alias("kind"))
+    out.repartition(3, "id").write.format("scrapes").mode("append").save(folder)
+    rows = spark.read.format("scrapes").load(folder).where("error is null")
+    return rows.select(F.from_json("product", "id long, name string, price double, kind string").alias("p")).select("p.*")
