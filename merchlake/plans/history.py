@@ -76,11 +76,12 @@ def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = listings(spark, sf_dir).groupBy("phone_id", "scraped_at").agg(F.min("price").alias("price"), F.bool_or("in_stock").alias("in_stock"))
     seen = kept(seen.withColumn("scraped_at", c("scraped_at").cast("timestamp")))
     source, root = fresh_root(spark, "sightings"), fresh_root(spark, "changes")
-    for first, last in ((0, 1997), (1998, 1999), (2000, 9999)):  # a file source takes files by their age
-        seen.where(F.year("scraped_at").between(first, last)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    seen.limit(0).write.parquet(source)
+    stream = spark.readStream.schema(seen.schema).parquet(source)
     found = changes(stream, "phone_id", "scraped_at", ["price", "in_stock"], GONE_DAYS * 86_400)
-    found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    for first, last in ((0, 1997), (1998, 1999), (2000, 9999)):  # what has come since the last run is a batch, in as many files as it has
+        seen.where(F.year("scraped_at").between(first, last)).write.mode("append").parquet(source)
+        found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{root}/out").select("phone_id", F.date_format("at", "yyyy-MM-dd").alias("day"), "status")
 
 

@@ -70,3 +70,35 @@ def test_removals_wait_for_late_rows(spark, tmp_path):
     parts = [[("a", at(0), "x")], [("b", at(12), "x")], [("a", at(9), "x"), ("b", at(13), "y")]]
     got = streamed(spark, tmp_path, parts, 10, "5 days")
     assert got == [("a", 0, "added"), ("a", 9, "unchanged"), ("b", 12, "added"), ("b", 13, "updated")]
+
+
+def plain_changes(parts, gone_after):
+    """Sightings in order of parts, key by key, with removals at the latest before what comes next or when all time has passed."""
+    out, state, latest = [], {}, 0
+    for part in parts:
+        for key, ms, h in sorted(part):
+            known, seen = state.get(key, (None, None))
+            if seen is not None and ms - seen > gone_after:
+                out.append((key, seen + gone_after, "removed"))
+                known = seen = None
+            out.append((key, ms, "added" if known is None else "unchanged" if h == known else "updated"))
+            state[key] = (h, max(ms, seen or ms))
+        latest = max([latest, *[ms for _, ms, _ in part]])
+    return sorted(out + [(k, seen + gone_after, "removed") for k, (_, seen) in state.items() if seen + gone_after < latest])
+
+
+def test_many_keys_are_followed_in_a_call_a_group(spark, tmp_path):
+    """Not in one for each key and batch; and a batch may have any number of files."""
+    r = random.Random(9)
+    parts = [[(r.randrange(300), d * 40 + r.randrange(40), r.choice("xy")) for _ in range(900)] for d in range(3)]
+    parts = [sorted({(k, d): (k, d, v) for k, d, v in part}.values()) for part in parts]
+    src, schema = str(tmp_path / "in"), "k long, at timestamp, v string"
+    spark.createDataFrame([], schema).write.parquet(src)
+    out = changes(spark.readStream.schema(schema).parquet(src), "k", "at", ["v"], 30 * 86_400, groups=5)
+    for part in parts:
+        spark.createDataFrame([(k, T0 + DAY * d, v) for k, d, v in part], schema).repartition(3).write.mode("append").parquet(src)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert all(p["stateOperators"][0]["numRowsTotal"] <= 5 for p in query.recentProgress if p["stateOperators"])
+    got = sorted((x["k"], (x["at"] - T0).days, x["status"]) for x in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == plain_changes(parts, 30)
