@@ -152,6 +152,18 @@ def test_levels_hold_the_dearest_first(spark, monkeypatch):
     assert N.with_level(rows.limit(0), "price").count() == 0
 
 
+def test_bounds_of_levels_are_made_of_few_counts(spark, monkeypatch):
+    """Quantile sketches of all partitions would go to the driver; counts by step are as many for any number of rows."""
+    monkeypatch.setattr(N, "FIRST", 1000)
+    monkeypatch.setattr(type(spark.range(1)), "approxQuantile", lambda *_: pytest.fail("a sketch of every partition goes to the driver"))
+    rows = spark.range(60_000).select((F.col("id") + 10**9).alias("id"))
+    for falling in (True, False):
+        by = {r["level"]: r for r in N.with_level(rows, "id", falling).groupBy("level").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()}
+        assert sorted(by) == [0, 1, 2] and 1000 <= by[0]["n"] <= 1010 and 15_000 <= by[1]["n"] <= 15_060
+        assert all((by[i]["lo"] > by[i + 1]["hi"]) if falling else (by[i]["hi"] < by[i + 1]["lo"]) for i in (0, 1))
+    assert [r[0] for r in N.with_level(rows.select(F.lit(1).alias("p")), "p").distinct().select("level").collect()] == [0]
+
+
 def test_grams_and_probes(spark):
     df = spark.createDataFrame([("abcab",), ("ab",), ("",)], "t string")
     assert [sorted(r[0]) for r in df.select(N.grams(F.col("t"))).collect()] == [sorted({"a", "b", "c", "ab", "bc", "ca", "abc", "bca", "cab"}), ["a", "ab", "b"], []]
