@@ -236,3 +236,14 @@ def test_dense_queries_in_lots(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(retrieval, "QUERIES", 5)
     assert rows() == want and len(want) == 69
+
+
+def test_vectors_of_terms_as_they_come_shuffle_texts_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 40} word{i % 7} other{i % 90}") for i in range(200)], "doc_id long, text string")
+    terms = retrieval.terms(docs, "doc_id")
+    buckets = kept(retrieval.bucket_idf(retrieval.idf(terms, F.lit(200))))
+    dealt = retrieval.doc_vectors(terms, "doc_id", buckets, dealt=True)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan.partition("Initial Plan")[0])) == 1
+    flat = lambda df: {(r["doc_id"], x["bucket"], round(x["w"], 9)) for r in df.collect() for x in r["v"]}
+    assert flat(dealt) == flat(retrieval.doc_vectors(kept(terms), "doc_id", buckets))
