@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +56,12 @@ def weak_key(brand: Column, name: Column) -> Column:
     return F.concat(F.lower(F.trim(F.coalesce(brand, F.lit("")))), F.lit("|"), n)
 
 
-def last_values(entries: DataFrame, key: str, name: str, value: str, order: str) -> DataFrame:
-    """Of each key and name, the last value that is not empty."""
-    return entries.where((c(value) != "") & c(value).isNotNull()).groupBy(key, name).agg(F.max_by(value, order).alias(value))
+def last_values(entries: DataFrame, key: str, name: str, value: str, order: str, standard: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Of each key and name, the last value that is not empty; names are made `standard` once for each key and name, not for each entry."""
+    last = entries.where((c(value) != "") & c(value).isNotNull()).groupBy(key, name).agg(F.max(F.struct(order, value)).alias("last"))
+    if standard is not None:
+        last = last.withColumn(name, standard(c(name))).groupBy(key, name).agg(F.max("last").alias("last"))
+    return last.select(key, name, c(f"last.{value}").alias(value))
 
 
 def projected(products: DataFrame, default_brand: str = "Unknown") -> dict[str, DataFrame]:

@@ -125,7 +125,7 @@ def normalize_spec_names_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_PR}, e AS ({_ENTRIES.format(key=_WEAK)}) SELECT key, name, arg_max(value, ord) AS value FROM (SELECT *, {_WIDE('spec')} AS name FROM e) WHERE value <> '' GROUP BY ALL")
 def merge_last_value_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.last_values(_entries(spark, sf_dir).withColumn("name", I.wide_spec_name(c("spec"))), "key", "name", "value", "ord")
+    return I.last_values(_entries(spark, sf_dir).withColumnRenamed("spec", "name"), "key", "name", "value", "ord", I.wide_spec_name)
 
 
 @query(f"{_PR} SELECT key, count(*) AS members, arg_min(struct_pack(v := product_url), ord).v AS first_url, array_to_string(list_sort(list_distinct(list(coalesce({_BLANK('source')}, 'Unknown')))), ',') AS sources FROM (SELECT *, {_WEAK} AS key FROM products) GROUP BY key")

@@ -274,3 +274,10 @@ def test_documents_that_fail_are_embedded_in_the_next_run(spark, tmp_path):
     bad.clear()
     assert run() == {"unchanged": 2, "updated": 1} and vectors.read().count() == 3
     assert run() == {"unchanged": 3}
+
+
+def test_last_values_of_names_made_standard(spark):
+    rows = [("a", "RAM", "8", 1), ("a", "memory", "12", 2), ("a", "RAM", "", 3), ("a", "Weight", None, 4), ("b", "Chip", "x", 1), ("b", "RAM", "6", 2)]
+    df = spark.createDataFrame(rows, "key string, name string, value string, ord long")
+    got = ingest_ops.last_values(df, "key", "name", "value", "ord", ingest_ops.wide_spec_name)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "ram", "12"), ("b", "processor", "x"), ("b", "ram", "6")]
