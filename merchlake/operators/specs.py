@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions import text as T
+from merchlake.sources.scratch import spread
 
 c = F.col
 
@@ -58,8 +59,9 @@ def described(phones: DataFrame) -> DataFrame:
     """(id, field, label, value, display, source, summary): all 13 fields of each product, known or not.
 
     Numbers are `parsed`, from their column or from text; where there is none the text's first sentence stands for them.
-    Features are `checked`; what nothing tells is `unknown`.
+    Features are `checked`; what nothing tells is `unknown`. The patterns are the work here: few files are dealt to all cores.
     """
+    phones = spread(phones)
     text = {n: T.blank_to_null(c(n)) for n in ("battery_text", "display_text", "camera_text", "processor_text", "os", "network")}
     sentence = {n: T.first_sentence(t) for n, t in text.items()}
     none = F.lit(None).cast("string")
