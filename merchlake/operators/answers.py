@@ -69,16 +69,19 @@ def engines(phones: DataFrame, listings: DataFrame, stores: DataFrame, docs: Dat
     return catalog | {name: search for name in SEARCHES}
 
 
-def answer(texts: DataFrame, by_name: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(query_id, scope, intent, answer) for requests (query_id, text), and (query_id, step, engine, error) of steps that failed.
+def answer(texts: DataFrame, by_name: dict[str, Callable[[DataFrame], DataFrame]], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(query_id, scope, intent, answer) for requests (query_id, text), and (query_id, step, engine, error, broken) of steps that failed.
 
     A request that is not about phones gets the reply of its scope and no engine sees it. The others go by the plan of their
-    intent; what the engines say is put together in the order of its steps, what reads the catalog first.
+    intent; what the engines say is put together in the order of its steps, what reads the catalog first. An answer names
+    engines that broke under it; with `strict` there is none, and their error is raised (see `requests.dispatch`).
     """
     asked = kept(texts.select("query_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("scope", understanding.scope(c("text"))))
     mine = kept(understanding.with_intent(asked.where("scope = 'PHONE_DOMAIN'").select("query_id", "text")))
-    said, failed = requests.dispatch(kept(requests.steps(understanding.with_plan(mine)).join(mine.select("query_id", "text"), "query_id")), by_name)
+    said, failed = requests.dispatch(kept(requests.steps(understanding.with_plan(mine)).join(mine.select("query_id", "text"), "query_id")), by_name, strict=strict)
     contexts = requests.joined_contexts(said, CATALOG)
-    parts = asked.select("query_id", "scope").join(mine.select("query_id", "intent"), "query_id", "left").join(contexts, "query_id", "left")
-    parts = kept(parts.select("query_id", "scope", F.coalesce("intent", F.lit("general")).alias("intent"), F.coalesce("catalog", F.lit("")).alias("catalog"), F.coalesce("snippets", F.lit("")).alias("snippets")))
+    broken = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "engine", "error"))), lambda x: F.concat(F.lit("- "), x["engine"], F.lit(": "), x["error"])), "\n")
+    broken = failed.where("broken").groupBy("query_id").agg(broken.alias("broken"))
+    parts = asked.select("query_id", "scope").join(mine.select("query_id", "intent"), "query_id", "left").join(contexts, "query_id", "left").join(broken, "query_id", "left")
+    parts = kept(parts.select("query_id", "scope", F.coalesce("intent", F.lit("general")).alias("intent"), F.coalesce("catalog", F.lit("")).alias("catalog"), F.coalesce("snippets", F.lit("")).alias("snippets"), F.coalesce("broken", F.lit("")).alias("broken")))
     return parts.select("query_id", "scope", "intent").join(requests.compose(parts), "query_id"), failed

@@ -17,11 +17,11 @@ def message(error: Exception) -> str:
     return f"{type(error).__name__}: {text.splitlines()[0] if text else ''}"[:200]
 
 
-def halved(rows: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], tries: int = 64) -> tuple[list[tuple[DataFrame, DataFrame]], list[tuple[DataFrame, str]]]:
+def halved(rows: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], tries: int = 64, strict: bool = False) -> tuple[list[tuple[DataFrame, DataFrame]], list[tuple[DataFrame, str]]]:
     """`run` of all rows at once; where that fails, of halves by a hash of `key`, down to single rows or until `tries` runs are used up.
 
     Returns pairs of rows and what was made of them, written, and pairs of rows that failed and why. One bad row among n
-    costs about twice the logarithm of n runs; a step that always fails costs `tries`.
+    costs about twice the logarithm of n runs; a step that always fails costs `tries`. With `strict` the first failure is raised.
     """
     done, failed, parts, used = [], [], [(kept(rows), 0)], 0
     while parts:
@@ -30,6 +30,8 @@ def halved(rows: DataFrame, key: str, run: Callable[[DataFrame], DataFrame], tri
         try:
             done.append((part, kept(run(part))))
         except Exception as e:  # noqa: BLE001  a step may fail in any way
+            if strict:
+                raise
             if used + len(parts) + 2 > tries or part.limit(2).count() < 2:
                 failed.append((part, message(e)))
             else:

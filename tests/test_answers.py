@@ -1,5 +1,6 @@
 """Engines behind one call: what fails is told and costs others nothing."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from merchlake.functions import slots as S
@@ -72,6 +73,35 @@ def test_the_guard_keeps_other_requests_from_engines(spark):
     assert "PHONE" in got[2]["answer"] and got[2]["answer"].startswith("### ")
 
 
+def down(rows):
+    raise ConnectionError("down")
+
+
+def test_an_engine_that_fails_does_not_look_like_one_that_finds_nothing(spark):
+    texts = spark.createDataFrame([(1, "phone"), (2, "hello")], "query_id int, text string")
+    nothing = lambda rows: rows.select("query_id", F.lit(None).cast("string").alias("text"))
+    every = (*answers.CATALOG, *answers.SEARCHES)
+    empty, failed = answers.answer(texts, dict.fromkeys(every, nothing))
+    assert {r["query_id"]: r["answer"] for r in empty.collect()}[1] == S.NO_ANSWER and failed.count() == 0
+    for engines in (dict.fromkeys(every, down), {}):
+        found, failed = answers.answer(texts, engines)
+        got = {r["query_id"]: r["answer"] for r in found.collect()}
+        assert failed.count() and all(r["broken"] and f"- {r['engine']}: {r['error']}" in got[1] for r in failed.collect())
+        assert got[2] == S.REPLIES["GENERAL_GREETING"]
+    with pytest.raises(ConnectionError):
+        answers.answer(texts, dict.fromkeys(every, down), strict=True)
+    with pytest.raises(LookupError):
+        answers.answer(texts, {}, strict=True)
+
+
+def test_queries_on_chats_end_with_the_error_of_an_engine(spark, monkeypatch):
+    from merchlake.plans import requests as plans
+
+    monkeypatch.setattr(answers, "priced", lambda *a: down(None))
+    with pytest.raises(ConnectionError):
+        plans.chat_answers(spark, "/root/testdata/sf0.001")
+
+
 def test_documents_that_cannot_be_embedded_are_found(spark):
     from merchlake.operators.isolation import embedded
 
