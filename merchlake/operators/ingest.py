@@ -108,17 +108,21 @@ def completeness(columns: list[str]) -> Column:
     return out
 
 
-def by_url(products: DataFrame, fields: list[str], order: str) -> DataFrame:
+def by_url(products: DataFrame, fields: list[str], order: str, near: str | None = None) -> DataFrame:
     """One record a product url: the fullest row's fields, all different store entries, the lowest price, any stock.
 
     Rows without a url are dropped. `order` breaks ties and settles the order of entries, of which the first of each name
-    and url stays.
+    and url stays. A record's fields are those of its first entry, so only first rows go on. Where rows are dealt by a
+    column `near` already, with most rows of a url in one part, the first ones are found there, and only they are dealt by url.
     """
     rows = products.withColumns({"key": F.coalesce(T.blank_to_null(c("product_url")), T.blank_to_null(c("url"))), "entry": store_entry(products), "score": completeness(fields)}).where("key is not null")
-    firsts = Window.partitionBy("key", "entry.name", "entry.url").orderBy(F.desc("score"), order)
-    rows = rows.withColumn("nth", F.row_number().over(firsts))
-    entry = F.when(c("nth") == 1, F.struct((-c("score")).alias("s"), c(order).alias("o"), c("entry").alias("e")))
-    g = rows.groupBy("key").agg(F.max_by(F.struct(*fields), F.struct(c("score"), -c(order))).alias("base"), F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("stores"), F.count("*").alias("listings"))
+    rank = F.struct("score", -c(order))
+    one = [*([near] if near else []), "key", c("entry.name").alias("_name"), c("entry.url").alias("_url")]
+    first = rows.groupBy(*one).agg(F.max(rank).alias("rank"), F.max_by(F.struct(F.struct(*fields).alias("base"), "entry", c(order).alias("o")), rank).alias("first"), F.count("*").alias("n"))
+    # dealt by url once, for both groupings
+    first = first.repartition("key").groupBy("key", "_name", "_url").agg(F.max("rank").alias("rank"), F.max_by("first", "rank").alias("first"), F.sum("n").alias("n"))
+    entry = F.struct((-c("rank.score")).alias("s"), c("first.o").isNull().alias("last"), c("first.o").alias("o"), c("first.entry").alias("e"))
+    g = first.groupBy("key").agg(F.max_by("first.base", "rank").alias("base"), F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("stores"), F.sum("n").alias("listings"))
     return g.select(c("key").alias("product_url"), "base.*", "stores", F.array_min(F.transform("stores", lambda s: s["price"])).alias("lowest"), F.exists("stores", lambda s: s["in_stock"]).alias("any_stock"), "listings")
 
 

@@ -50,9 +50,10 @@ _PR = f"WITH phones AS ({PHONES_SQL}), listings AS ({LISTINGS_SQL}), products AS
 _BLANK = lambda x: f"nullif(trim({x}), '')"
 
 
-def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = listings(spark, sf_dir).join(phones(spark, sf_dir), c("phone_id") == c("id")).join(stores(spark, sf_dir), "store_id")
-    return both.selectExpr(*[f"{e} AS {n}" for n, e in PRODUCT.items()])
+def _products(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Scraped products, and columns of phones and listings that are asked for; phones come last, so no shuffle moves their texts with listings."""
+    both = listings(spark, sf_dir).join(stores(spark, sf_dir), "store_id").join(phones(spark, sf_dir), c("phone_id") == c("id"))
+    return both.selectExpr(*[f"{e} AS {n}" for n, e in PRODUCT.items()], *more)
 
 
 _GOOD = "coalesce(name, '') <> '' AND price IS NOT NULL AND coalesce(product_url, '') <> ''"
@@ -95,7 +96,7 @@ _SCORE = " + ".join(f"(coalesce({x}, '') <> '')::INT" for x in _FIELDS)
 f AS (SELECT *, row_number() OVER (PARTITION BY key, e_name ORDER BY score DESC, ord) AS nth FROM k)
 SELECT key AS product_url, {', '.join(f"arg_max(struct_pack(v := {x}), (score, -ord)).v AS {x}" for x in _FIELDS)}, string_agg(e_name, ',' ORDER BY score DESC, ord) FILTER (WHERE nth = 1) AS stores, min(price) FILTER (WHERE nth = 1) AS lowest, bool_or(coalesce(in_stock, true)) FILTER (WHERE nth = 1) AS any_stock, count(*) AS listings FROM f GROUP BY key""")
 def merge_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.by_url(_products(spark, sf_dir), _FIELDS, "ord").withColumn("stores", F.array_join(F.transform("stores", lambda s: s["name"]), ","))
+    return I.by_url(_products(spark, sf_dir, "phone_id"), _FIELDS, "ord", near="phone_id").withColumn("stores", F.array_join(F.transform("stores", lambda s: s["name"]), ","))
 
 
 @query(f"""{_PR}, k AS (SELECT coalesce({_BLANK('product_url')}, {_BLANK('url')}) AS key, coalesce(source, '') AS source FROM products), f AS (SELECT source, count(*) AS kept FROM (SELECT key, min(source) AS source FROM k WHERE key IS NOT NULL GROUP BY key) GROUP BY source)
