@@ -62,13 +62,13 @@ class Tables:
     def bucketed(self, rows: DataFrame, key: str) -> DataFrame:
         return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int"))
 
-    def commit(self, source: str, number: int, upserts: dict[str, tuple[DataFrame, str]] | None = None, removed: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None) -> bool:
+    def commit(self, source: str, number: int, upserts: dict[str, tuple[DataFrame, str]] | None = None, removed: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None, written: tuple[str, ...] = ()) -> bool:
         """Applies batch `number` of `source` to all tables at once; false, and nothing, if it has been applied before.
 
         `upserts` has for each table its new rows and the name of its key: rows of that key are replaced. `removed` has
         keys whose rows go, for tables that `upserts` names. `appended` has rows that are added to tables without a key.
-        Rows are read from the files once they are written, so a table may be computed from its own state. Null keys are
-        a key like any other.
+        Rows are read from the files once they are written, so a table may be computed from its own state; new rows of the
+        tables that `written` names are read from files already, and are not written twice. Null keys are a key like any other.
         """
         if self.last(source) >= number:
             return False
@@ -78,7 +78,8 @@ class Tables:
         for table, (rows, key) in (upserts or {}).items():
             columns.setdefault(table, rows.schema.json())
             schema = StructType.fromJson(json.loads(columns[table]))
-            new = kept(self.bucketed(rows.select(*schema.names), key))
+            new = self.bucketed(rows.select(*schema.names), key)
+            new = new if table in written else kept(new)
             keys = new.select("_bucket", key)
             if removed and table in removed:
                 keys = keys.unionByName(self.bucketed(removed[table].select(key), key))
@@ -91,7 +92,7 @@ class Tables:
                 before = self.bucketed(self.spark.read.schema(schema).parquet(*old), key)
                 same = keys.select(c("_bucket").alias("_b"), c(key).alias("_k"))
                 new = before.join(same, (c("_bucket") == c("_b")) & c(key).eqNullSafe(c("_k")), "left_anti").unionByName(new)
-            new.repartitionByRange("_bucket", key).write.partitionBy("_bucket").parquet(f"{folder}/{table}")
+            self._dealt(new, key).write.partitionBy("_bucket").parquet(f"{folder}/{table}")
             full = {r[0] for r in self._written(f"{folder}/{table}")}
             parts = [x for x in parts if x[1] != table or x[2] not in touched]
             parts += [("part", table, b, f"{folder}/{table}/_bucket={b}") for b in sorted(full)]
@@ -104,6 +105,11 @@ class Tables:
         self.log.replace(self.spark.createDataFrame(entries, LOG).coalesce(1))
         return True
 
+    def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows in as many parts as Spark shuffles to, buckets in their order: several to a part, or a bucket in several by a hash of the key. No row is read to find borders."""
+        parts, share = int(self.spark.conf.get("spark.sql.shuffle.partitions")), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
+        return rows.repartitionById(parts, F.floor((c("_bucket") + share) * (parts / self.buckets)).cast("int"))
+
     def _written(self, path: str) -> list[tuple[int]]:
         fs, p = self.log.fs, self.log.path
         names = [s.getPath().getName() for s in fs.listStatus(p(path))] if fs.exists(p(path)) else []

@@ -1,15 +1,17 @@
 """A search index that is kept up: batches of new, changed and removed documents add to its counts, nothing is fitted anew.
 
-What is kept: the terms of every document, in buckets of its key, and signed counts of tokens and documents, a part for each
-batch. Reading adds the counts up. A bucket's idf moves when its tokens' counts or the number of documents do; vectors
-are normalised again for documents that have such a bucket, from their terms, without their texts.
+What is kept: a row for every document, in buckets of its key, with its terms and all that its vector needs but the idf of
+buckets; and signed counts of tokens and documents, a part for each batch. Reading adds the counts up. A bucket's idf moves
+when its tokens' counts or the number of documents do; vectors are normalised again for documents that have such a bucket,
+without their texts or terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merchlake.functions import words
 from merchlake.operators import postings, retrieval
 from merchlake.operators.commits import Tables
 from merchlake.sources.scratch import fresh_root, kept
@@ -17,6 +19,11 @@ from merchlake.sources.scratch import fresh_root, kept
 c = F.col
 
 
+def _among(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """A semi or anti join by the key, null being a key like any other."""
+    return rows.join(keys.select(c(key).alias("_k")), c(key).eqNullSafe(c("_k")), how)
+
+
 def apply(tables: Tables, source: str, number: int, docs: DataFrame, removed: DataFrame | None = None, key: str = "doc_id") -> bool:
     """One batch: documents (key, text) that are new or have changed, and keys of those that go; each batch counts once.
 
@@ -24,55 +31,66 @@ def apply(tables: Tables, source: str, number: int, docs: DataFrame, removed: Da
     """
     if tables.last(source) >= number:
         return False
-    new = kept(retrieval.terms(docs, key))
-    gone = docs.select(key) if removed is None else docs.select(key).unionByName(removed.select(key))
-    gone = kept(gone.distinct())
-    known, seen = tables.read("terms"), tables.read("documents")
-    counted = new.select("token", "bucket", F.lit(1).alias("d"))
-    arrived = docs.select(key).distinct()
-    n = arrived.select(F.lit(1).alias("d"))
+    new = kept(retrieval.taken_apart(docs, key))
+    gone = new.select(key) if removed is None else kept(new.select(key).unionByName(removed.select(key)).distinct())
+    known = tables.read("documents")
+    tokens = lambda rows, d: rows.select(F.explode("terms.token").alias("token"), F.lit(d).alias("d"))
+    counted, n = tokens(new, 1), new.select(F.lit(1).alias("d"))
     if known is not None:
-        counted = counted.unionByName(known.join(gone, key, "left_semi").select("token", "bucket", F.lit(-1).alias("d")))
-        n = n.unionByName(seen.join(gone, key, "left_semi").select(F.lit(-1).alias("d")))
-    counts = counted.groupBy("token", "bucket").agg(F.sum("d").alias("df")).where("df != 0")
+        counted = counted.unionByName(tokens(_among(known.select(key, "terms"), gone, key, "left_semi"), -1))
+        n = n.unionByName(_among(known.select(key), gone, key, "left_semi").select(F.lit(-1).alias("d")))
+    counts = counted.groupBy("token").agg(F.sum("d").alias("df")).where("df != 0")
     total = n.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("n"))
-    return tables.commit(source, number, {"terms": (new, key), "documents": (arrived, key)}, {"terms": gone, "documents": gone}, {"counts": counts, "numbers": total})
+    return tables.commit(source, number, {"documents": (new, key)}, {"documents": gone}, {"counts": counts, "numbers": total}, written=("documents",))
 
 
 def vocabulary(tables: Tables) -> DataFrame:
     """(token, bucket, df, idf) of all batches together."""
     n = tables.read("numbers").agg(F.sum("n")).first()[0]
-    df = tables.read("counts").groupBy("token", "bucket").agg(F.sum("df").alias("df")).where("df > 0")
-    return df.withColumn("idf", F.log((1 + F.lit(n)) / (1 + c("df"))) + 1)
+    df = tables.read("counts").groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+    return retrieval.with_idf(df, F.lit(n)).select("token", "bucket", "df", "idf")
 
 
 def compact(tables: Tables) -> None:
     """Adds the parts of the counts up to one; the sums are those of before."""
-    for name, sums in (("counts", lambda df: df.groupBy("token", "bucket").agg(F.sum("df").alias("df")).where("df != 0")), ("numbers", lambda df: df.agg(F.sum("n").alias("n")))):
+    for name, sums in (("counts", lambda df: df.groupBy("token").agg(F.sum("df").alias("df")).where("df != 0")), ("numbers", lambda df: df.agg(F.sum("n").alias("n")))):
         tables.compact(name, sums)
 
 
-def refresh(tables: Tables, index: dict[str, DataFrame] | None = None, key: str = "doc_id") -> tuple[dict[str, DataFrame], int]:
+def refresh(tables: Tables, index: dict[str, DataFrame] | None = None, key: str = "doc_id", searched: bool = True) -> tuple[dict[str, DataFrame], int]:
     """The index as of all batches, for `retrieval.search_index`, and how many vectors had to be normalised.
 
     With the `index` that an earlier call gave, vectors are taken over where neither the document's terms nor the idf of
-    any of its buckets has changed.
+    any of its buckets has changed. Where the idf of all buckets has, nothing is taken over, and no vector moves.
+    An index that is not to be `searched`, but given to a later call, has no postings.
     """
-    terms, words = tables.read("terms"), kept(vocabulary(tables))
-    buckets = kept(retrieval.bucket_idf(words))
-    stale = terms.select(key).distinct()
-    print_ = terms.groupBy(key).agg(F.sum(F.xxhash64("token", "tf", "last").cast("decimal(38,0)")).alias("print"))
-    print_ = kept(print_)
-    if index is not None:
-        moved = buckets.join(index["buckets"].select("bucket", c("idf").alias("old")), "bucket", "left").where(~c("old").eqNullSafe(c("idf"))).select("bucket")
-        touched = terms.join(F.broadcast(moved), "bucket", "left_semi").select(key)
-        changed = print_.join(index["prints"], [key, "print"], "left_anti").select(key)
-        stale = touched.unionByName(changed).distinct()
-    stale = kept(stale)
-    made = retrieval.doc_vectors(terms.join(stale, key, "left_semi"), key, buckets)
-    if index is not None:
-        made = made.unionByName(index["vectors"].join(stale, key, "left_anti").join(print_.select(key), key, "left_semi"))
-    vectors, root = kept(made), fresh_root(terms.sparkSession, "postings")
+    docs, vocab = tables.read("documents"), kept(vocabulary(tables))
+    buckets = kept(retrieval.bucket_idf(vocab))
+    prints, means = kept(docs.select(key, "print")), retrieval.means_of(buckets)
+    vector = lambda rows: rows.select(key, words.weighted(c("buckets"), means).alias("x")).select(key, "x.*")
+    if index is None:
+        made, n = vector(docs), prints.count()
+    else:
+        before = retrieval.means_of(index["buckets"])
+        moved = [b for b, idf in means.items() if before.get(b) != idf]
+        touched = _has_any(c("buckets.bucket"), moved)
+        old = index["prints"].select(c(key).alias("_k"), c("print").alias("_p"))
+        changed = kept(prints.join(old, c(key).eqNullSafe(c("_k")) & (c("print") == c("_p")), "left_anti").select(key))
+        if len(moved) == len(means):
+            made = vector(docs)
+            n = docs.where(F.size("buckets") > 0).count() + _among(docs.where(F.size("buckets") == 0).select(key), changed, key, "left_semi").count()
+        else:
+            stale = kept(docs.where(touched).select(key).unionByName(changed).distinct())
+            n = stale.count()
+            same = _among(_among(index["vectors"], stale, key, "left_anti"), prints, key, "left_semi")
+            made = vector(_among(docs, stale, key, "left_semi")).unionByName(same)
+    vectors, root = kept(made), fresh_root(docs.sparkSession, "postings")
+    found = {"terms": docs.select(key, F.inline("terms")), "vocabulary": vocab, "buckets": buckets, "vectors": vectors, "prints": prints}
+    if not searched:
+        return found, n
     postings.write(vectors, root, key)
-    found = {"terms": terms, "vocabulary": words, "buckets": buckets, "vectors": vectors, "prints": print_}
-    return found | {"postings": postings.load(terms.sparkSession, root, dict(vectors.dtypes)[key])}, stale.count()
+    return found | {"postings": postings.load(docs.sparkSession, root, dict(vectors.dtypes)[key])}, n
+
+
+def _has_any(buckets: Column, some: list[int]) -> Column:
+    return F.arrays_overlap(buckets, F.array(*map(F.lit, some)).cast("array<bigint>"))

@@ -247,3 +247,31 @@ def test_vectors_of_terms_as_they_come_shuffle_texts_only(spark, tmp_path):
     assert len(re.findall(r"Exchange hashpartitioning", plan.partition("Initial Plan")[0])) == 1
     flat = lambda df: {(r["doc_id"], x["bucket"], round(x["w"], 9)) for r in df.collect() for x in r["v"]}
     assert flat(dealt) == flat(retrieval.doc_vectors(kept(terms), "doc_id", buckets))
+
+
+def test_documents_are_rows_of_an_index_by_deltas(spark):
+    t = Tables(spark, fresh_root(spark, "deltas"), buckets=3)
+    docs = spark.createDataFrame([(i, f"word{i % 40} word{i % 7} other{i % 90}") for i in range(60)] + [(60, "- !"), (61, None), (None, "no key at all")], "doc_id long, text string")
+    deltas.apply(t, "s", 0, docs)
+    assert t.read("documents").count() == 63 and set(t.read("documents").columns) == {"doc_id", "terms", "buckets", "print"}
+    first, n = deltas.refresh(t, searched=False)
+    assert n == 63 and "postings" not in first
+    again = docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" and more")))
+    deltas.apply(t, "s", 1, again, docs.where("doc_id is null or doc_id = 7").select("doc_id"))
+    index, n = deltas.refresh(t, first)
+    assert n == 60  # the number of documents is in every idf; one of the 61 has no token
+    left = kept(docs.where("doc_id is not null and doc_id != 7 and doc_id % 3 != 0").unionByName(again))
+    once = retrieval.terms(left, "doc_id")
+    buckets = retrieval.bucket_idf(retrieval.idf(once, F.lit(61)))
+    want = {(r["doc_id"], x["bucket"], round(x["w"], 9)) for r in retrieval.doc_vectors(once, "doc_id", buckets).collect() for x in r["v"]}
+    assert {(r["doc_id"], x["bucket"], round(x["w"], 9)) for r in index["vectors"].collect() for x in r["v"]} == want
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "token", "tf").collect())
+    assert rows(index["terms"]) == rows(once)
+
+
+def test_buckets_are_dealt_without_looking_for_borders(spark):
+    t = Tables(spark, fresh_root(spark, "dealt"), buckets=2)
+    dealt = t._dealt(t.bucketed(spark.range(4000), "id"), "id")
+    assert "rangepartitioning" not in dealt._jdf.queryExecution().executedPlan().toString()
+    parts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("_bucket").alias("b"), F.count("*").alias("n")).collect()
+    assert len(parts) == 4 and all(r["b"] == 1 and r["n"] > 700 for r in parts)
