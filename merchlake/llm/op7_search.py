@@ -21,8 +21,14 @@ SHARD_WORDS = 6_000_000
 BLOCKS = 16
 #: Blocks that are scored together at most, before the threshold is looked at again.
 STEP = 8
-#: Lists of so many postings are added slice by slice, shorter ones all at once by their places.
-LONG = 512
+#: Lists of so many postings are cursors' lists, looked into where a block's bound asks for it; shorter ones are added as they are.
+LONG = 1024
+#: Stretches of so many postings are added slice by slice, shorter ones all at once by their places.
+SLICE = 64
+#: A list that holds one in so many documents of a block, and this many at least, is kept whole there, with noughts for the others.
+FULL, FULL_LEAST = 6, 8
+#: Queries for which whole lists are added up at once.
+TOGETHER = 64
 #: Terms, the most common ones of a shard, by which its documents are put in order.
 ORDER_TERMS = 256
 #: Characters that are hashed at once, about.
@@ -134,7 +140,9 @@ class Index:
     """The inverted index of one shard: a list of postings for each term, by document, cut at the borders of blocks.
 
     A block is so many neighbouring documents, the same ones in every list; for each term and block the index has the
-    largest weight, and where the block's postings begin. Documents are given in the order of their ids, which settles ties.
+    largest weight, and where the block's postings begin. Where a block's list is long, it is kept whole, a weight for every
+    document: these are the rows of a matrix for each block, and what they add to the documents of a block is a product
+    for many queries at once. Documents are given in the order of their ids, which settles ties.
     """
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], mean_length: float):
@@ -162,6 +170,7 @@ class Index:
         del tf, of, by, number
         self.rows = max(1, -(-len(sizes) // BLOCKS))
         cell += self.doc // self.rows
+        cell = self._keep_whole(cell)
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         # bounds are a little above the weights, as they are kept in half the bits
         self.bound = np.zeros((len(self.terms), BLOCKS), np.float32)
@@ -174,6 +183,47 @@ class Index:
         # where the postings of a query are laid together; made once, as fresh memory for each query costs more than the sums
         self.docs, self.weights = np.zeros(0, np.int64), np.zeros(0)
 
+    def _keep_whole(self, cell: np.ndarray) -> np.ndarray:
+        """Moves the long lists of blocks out of the postings into `whole`; returns the cells of those that stay.
+
+        `full` numbers the terms that have such a list, and `row` says where it stands in the matrix of each block, -1 where there is none.
+        """
+        many = np.flatnonzero(np.bincount(cell, minlength=len(self.terms) * BLOCKS) >= max(FULL_LEAST, self.rows // FULL))
+        terms = np.unique(many // BLOCKS)
+        self.full = np.full(len(self.terms), -1, np.int32)
+        self.full[terms] = np.arange(len(terms), dtype=np.int32)
+        self.row = np.full((len(terms), BLOCKS), -1, np.int32)
+        self.whole = []
+        at = np.full(len(self.terms) * BLOCKS, -1, np.int32)
+        for b in range(BLOCKS):
+            mine = many[many % BLOCKS == b]
+            at[mine] = self.row[self.full[mine // BLOCKS], b] = np.arange(len(mine), dtype=np.int32)
+            self.whole.append(np.zeros((len(mine), max(0, min(self.rows, len(self.ids) - b * self.rows)))))
+        at = at[cell]
+        moved = np.flatnonzero(at >= 0)
+        for b in range(BLOCKS):
+            own = moved[cell[moved] % BLOCKS == b]
+            self.whole[b][at[own], self.doc[own] - b * self.rows] = self.weight[own]
+        stay = at < 0
+        self.doc, self.weight = self.doc[stay], self.weight[stay]
+        return cell[stay]
+
+    def _added(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What whole lists add to the score of each document, for each query (places of terms, idf)."""
+        of = np.repeat(np.arange(len(queries)), [len(at) for at, _ in queries])
+        n = self.full[np.concatenate([at for at, _ in queries])]
+        idf = np.concatenate([idf for _, idf in queries])[n >= 0]
+        of, n = of[n >= 0], n[n >= 0]
+        scores = np.zeros((len(queries), len(self.ids)))
+        for b, lists in enumerate(self.whole):
+            if lists.size:
+                row = self.row[n, b]
+                here = row >= 0
+                asked = np.zeros((len(queries), len(lists)))
+                asked[of[here], row[here]] = idf[here]
+                scores[:, b * self.rows : b * self.rows + lists.shape[1]] = asked @ lists
+        return scores
+
     def _weigh(self, at: np.ndarray, idf: np.ndarray) -> None:
         """Multiply the postings and bounds of terms by their idf, when the first query brings it."""
         new = np.flatnonzero(~self.weighed[at])
@@ -182,42 +232,74 @@ class Index:
         for t, w in zip(at[new].tolist(), idf[new].tolist(), strict=True):
             self.weight[self.start[t * BLOCKS] : self.start[(t + 1) * BLOCKS]] *= w
 
+    def _laid(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and weights of stretches of postings, laid together: slice by slice, or by their places where a stretch is short."""
+        by_slice = last - first >= SLICE
+        runs = [slice(a, b) for a, b in zip(first[by_slice].tolist(), last[by_slice].tolist(), strict=True)]
+        places = _ranges(first[~by_slice], last[~by_slice])
+        n = int((last - first).sum())
+        if n > len(self.docs):
+            self.docs, self.weights = np.zeros(2 * n, np.int64), np.zeros(2 * n)
+        docs = np.concatenate([*(self.doc[r] for r in runs), self.doc[places]], out=self.docs[:n])
+        return docs, np.concatenate([*(self.weight[r] for r in runs), self.weight[places]], out=self.weights[:n])
+
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The best k (score, number of document), exactly, by block-max WAND; ties go to the lesser number.
+        """`tops` of one query."""
+        return next(self.tops([(terms, idf)], k))
 
-        Every term has a cursor in its list. As blocks have the same borders in all lists, the pivot is the next block
-        where the largest weights of the terms add up to the threshold, the k-th best score so far. All cursors jump to
-        its beginning; blocks between are never looked into. Up to STEP pivots are scored together, and the block with the
+    def tops(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[list[tuple[float, int]]]:
+        """The best k (score, number of document) of each query (terms, idf), exactly, by block-max WAND; ties go to the lesser number.
+
+        A term's idf is the same for all queries. What whole lists add is made for TOGETHER queries at once.
+        """
+        for first in range(0, len(queries), TOGETHER):
+            placed = []
+            for terms, idf in queries[first : first + TOGETHER]:
+                at = np.searchsorted(self.terms, terms)
+                here = self.terms[np.minimum(at, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
+                placed.append((at[here], idf[here]))
+            for (at, idf), added in zip(placed, self._added(placed), strict=True):
+                self._weigh(at, idf)
+                yield self._top(at, added, k)
+
+    def _top(self, at: np.ndarray, added: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The best k of one query, by the places of its terms; `added` is what whole lists add to each document.
+
+        Short lists are added to that at once, by their places. Every other term has a cursor in its list. As blocks have
+        the same borders in all lists, the pivot is the next block where the largest weights of these terms, and the most
+        that one of its documents has already, add up to the threshold, the k-th best score so far. All cursors jump to its
+        beginning; blocks between are never looked into. Up to STEP pivots are scored together, and the block with the
         highest bound comes first, so that the threshold is high from the start. Scores are rounded to 9 places, which
-        makes them the same whatever the order of sums. A term's idf is the same for all queries.
+        makes them the same whatever the order of sums.
         """
-        at = np.searchsorted(self.terms, terms)
-        here = self.terms[np.minimum(at, len(self.terms) - 1)] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at = at[here]
-        self._weigh(at, idf[here])
-        bound = self.bound[at].sum(0, dtype=np.float64)
-        long = self.start[(at + 1) * BLOCKS] - self.start[at * BLOCKS] >= LONG
-        long, short = at[long] * BLOCKS, at[~long] * BLOCKS
+        if not len(self.ids):
+            return []
+        first, last = self.start[at * BLOCKS], self.start[(at + 1) * BLOCKS]
+        long = last - first >= LONG
+        docs, weights = self._laid(first[~long], last[~long])
+        added = added + np.bincount(docs, weights, len(self.ids))
+        bound = self.bound[at[long]].sum(0, dtype=np.float64)
+        borders = np.arange(0, len(self.ids), self.rows)
+        bound[: len(borders)] += np.maximum.reduceat(added, borders)
+        long = at[long] * BLOCKS
         found, best, threshold = np.zeros(0, np.int64), np.zeros(0), 0.0
         pivots, after = np.argmax(bound)[None], 0
         while len(pivots):
             cut = np.flatnonzero(np.diff(pivots) > 1) + 1
-            scores = np.zeros(len(self.ids))
+            goods, scores = [found], [best]
             for begin, end in zip(pivots[np.concatenate([[0], cut])], pivots[np.concatenate([cut - 1, [-1]])] + 1, strict=True):
+                score = added[begin * self.rows : end * self.rows]
                 first, last = self.start[long + begin], self.start[long + end]
-                runs = [slice(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                places = _ranges(self.start[short + begin], self.start[short + end])
-                n = len(places) + int((last - first).sum())
-                if n > len(self.docs):
-                    self.docs, self.weights = np.zeros(2 * n, np.int64), np.zeros(2 * n)
-                docs = np.concatenate([*(self.doc[r] for r in runs), self.doc[places]], out=self.docs[:n])
-                weights = np.concatenate([*(self.weight[r] for r in runs), self.weight[places]], out=self.weights[:n])
-                docs -= begin * self.rows
-                scores[begin * self.rows : end * self.rows] = np.bincount(docs, weights, min((end - begin) * self.rows, len(self.ids) - begin * self.rows))
-            good = np.flatnonzero((scores > 0) & (scores >= threshold * (1 - 1e-9)))
-            if len(good) > k:
-                good = good[scores[good] >= np.partition(scores[good], -k)[-k] * (1 - 1e-9)]
-            found, best = np.concatenate([found, self.ids[good]]), np.concatenate([best, np.round(scores[good], 9)])
+                if last.sum() > first.sum():
+                    docs, weights = self._laid(first, last)
+                    docs -= begin * self.rows
+                    score = score + np.bincount(docs, weights, len(score))
+                good = np.flatnonzero((score > 0) & (score >= threshold * (1 - 1e-9)))
+                if len(good) > k:
+                    good = good[score[good] >= np.partition(score[good], -k)[-k] * (1 - 1e-9)]
+                goods.append(self.ids[good + begin * self.rows])
+                scores.append(np.round(score[good], 9))
+            found, best = np.concatenate(goods), np.concatenate(scores)
             kept = np.lexsort((found, -best))[:k]
             found, best = found[kept], best[kept]
             threshold = best[-1] if len(best) == k else 0.0
@@ -261,11 +343,22 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, mean_length: float) -> It
     shard, index = None, None
     ids, copies, held, last = [], [], ([], []), None
     for batch in batches:
-        queries, docs, scores = [], [], []
+        queries, docs, scores, asked = [], [], [], []
+
+        def answer() -> None:
+            for (key, *_), found in zip(asked, index.tops([q[1:] for q in asked], k) if asked else (), strict=True):
+                for score, doc in found:
+                    for _ in range(min(k, copies[doc])):
+                        queries.append(key)
+                        docs.append(ids[doc])
+                        scores.append(score)
+            asked.clear()
+
         lists = [batch.column(i) for i in (4, 5)]
         new = term_counts(unzip.decompress(z.as_py()).decode() for z in batch.column(3).drop_null())
         for i, (s, is_query, key, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
             if s != shard:
+                answer()
                 shard, index = s, None
                 ids, copies, held, last = [], [], ([], []), None
             if not is_query:
@@ -282,11 +375,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, mean_length: float) -> It
             if index is None:
                 index = Index(*held, mean_length)
             t, idf = (c[i].values.to_numpy(zero_copy_only=False) for c in lists)
-            for score, doc in index.top(t.view(np.uint64), idf, k):
-                for _ in range(min(k, copies[doc])):
-                    queries.append(key)
-                    docs.append(ids[doc])
-                    scores.append(score)
+            asked.append((key, t.view(np.uint64), idf))
+        answer()
         kind = batch.column(2).type
         yield pa.record_batch({"query_id": pa.array(queries, kind), "doc_id": pa.array(docs, kind), "score": pa.array(scores, pa.float64())})
 

@@ -86,6 +86,31 @@ def test_blocks_are_skipped():
     assert not any(math.isnan(s) for s, _ in best)
 
 
+@pytest.mark.parametrize("together,long,by_slice", [(1, 4, 2), (7, 50, 64), (64, 10_000, 8)])
+def test_long_lists_are_kept_whole_and_added_for_many_queries_at_once(monkeypatch, together, long, by_slice):
+    monkeypatch.setattr(op, "TOGETHER", together)
+    monkeypatch.setattr(op, "LONG", long)
+    monkeypatch.setattr(op, "SLICE", by_slice)
+    r = np.random.default_rng(5)
+    terms = [np.unique(np.minimum(r.zipf(1.3, 60), 3000)).astype(np.uint64) for _ in range(900)] + [np.zeros(0, np.uint64)]
+    counts = [r.integers(1, 4, len(t)).astype(np.int32) for t in terms]
+    index = op.Index(list(terms), list(counts), 40.0)
+    n = sum(len(t) for t in terms)
+    whole = sum(int((m > 0).sum()) for m in index.whole)
+    assert whole + len(index.doc) == n and n / 4 < whole and sum(m.size for m in index.whole) <= whole * op.FULL * 2
+    df = Counter(t for ts in terms for t in ts.tolist())
+    idf = lambda ts: np.array([math.log(1 + (901 - df[t] + 0.5) / (df[t] + 0.5)) for t in ts.tolist()])
+    asked = [(t, idf(t)) for t in [*terms[:40], np.array([2**40], np.uint64), np.zeros(0, np.uint64)]]
+    found = list(index.tops(asked, 5))
+    assert len(found) == len(asked) and found == [index.top(t, w, 5) for t, w in asked]
+    norm = [op.K1 * (1 - op.B + op.B * int(c.sum()) / 40.0) for c in counts]
+    weight = [{t: w * (op.K1 + 1) / (w + norm[d]) for t, w in zip(ts.tolist(), cs.tolist(), strict=True)} for d, (ts, cs) in enumerate(zip(terms, counts, strict=True))]
+    for (t, w), got in zip(asked, found, strict=True):
+        scores = [(round(sum(x * mine.get(a, 0.0) for a, x in zip(t.tolist(), w.tolist(), strict=True)), 9), d) for d, mine in enumerate(weight)]
+        want = sorted(((-s, d) for s, d in scores if s > 0))[:5]
+        assert [d for _, d in got] == [d for _, d in want] and np.allclose([s for s, _ in got], [-s for s, _ in want])
+
+
 def test_groups_of_equal_rows_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(op, "SHARD_ROWS", 500)
     rows = [(7, "the same words")] * 1500 + [(i, "the same words again") for i in range(100, 600)] + [(600, "same " * 300_000 + "end"), (700, "end words")]
