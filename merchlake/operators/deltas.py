@@ -8,7 +8,7 @@ without their texts or terms.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlake.functions import words
@@ -34,10 +34,10 @@ def apply(tables: Tables, source: str, number: int, docs: DataFrame, removed: Da
     new = kept(retrieval.taken_apart(docs, key))
     gone = new.select(key) if removed is None else kept(new.select(key).unionByName(removed.select(key)).distinct())
     known = tables.read("documents")
-    tokens = lambda rows, d: rows.select(F.explode("terms.token").alias("token"), F.lit(d).alias("d"))
+    tokens = lambda rows, d: rows.where("tokens != ''").select(F.explode(F.split("tokens", " ")).alias("token"), F.lit(d).alias("d"))
     counted, n = tokens(new, 1), new.select(F.lit(1).alias("d"))
     if known is not None:
-        counted = counted.unionByName(tokens(_among(known.select(key, "terms"), gone, key, "left_semi"), -1))
+        counted = counted.unionByName(tokens(_among(known.select(key, "tokens"), gone, key, "left_semi"), -1))
         n = n.unionByName(_among(known.select(key), gone, key, "left_semi").select(F.lit(-1).alias("d")))
     counts = counted.groupBy("token").agg(F.sum("d").alias("df")).where("df != 0")
     total = n.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("n"))
@@ -73,24 +73,20 @@ def refresh(tables: Tables, index: dict[str, DataFrame] | None = None, key: str
     else:
         before = retrieval.means_of(index["buckets"])
         moved = [b for b, idf in means.items() if before.get(b) != idf]
-        touched = _has_any(c("buckets.bucket"), moved)
+        touched = words.has_any(c("buckets"), moved)
         old = index["prints"].select(c(key).alias("_k"), c("print").alias("_p"))
         changed = kept(prints.join(old, c(key).eqNullSafe(c("_k")) & (c("print") == c("_p")), "left_anti").select(key))
         if len(moved) == len(means):
             made = vector(docs)
-            n = docs.where(F.size("buckets") > 0).count() + _among(docs.where(F.size("buckets") == 0).select(key), changed, key, "left_semi").count()
+            n = docs.where(F.length("buckets") > 0).count() + _among(docs.where(F.length("buckets") == 0).select(key), changed, key, "left_semi").count()
         else:
             stale = kept(docs.where(touched).select(key).unionByName(changed).distinct())
             n = stale.count()
             same = _among(_among(index["vectors"], stale, key, "left_anti"), prints, key, "left_semi")
             made = vector(_among(docs, stale, key, "left_semi")).unionByName(same)
     vectors, root = kept(made), fresh_root(docs.sparkSession, "postings")
-    found = {"terms": docs.select(key, F.inline("terms")), "vocabulary": vocab, "buckets": buckets, "vectors": vectors, "prints": prints}
+    found = {"terms": retrieval.terms_of(docs, key), "vocabulary": vocab, "buckets": buckets, "vectors": vectors, "prints": prints}
     if not searched:
         return found, n
     postings.write(vectors, root, key)
     return found | {"postings": postings.load(docs.sparkSession, root, dict(vectors.dtypes)[key])}, n
-
-
-def _has_any(buckets: Column, some: list[int]) -> Column:
-    return F.arrays_overlap(buckets, F.array(*map(F.lit, some)).cast("array<bigint>"))

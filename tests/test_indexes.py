@@ -253,7 +253,7 @@ def test_documents_are_rows_of_an_index_by_deltas(spark):
     t = Tables(spark, fresh_root(spark, "deltas"), buckets=3)
     docs = spark.createDataFrame([(i, f"word{i % 40} word{i % 7} other{i % 90}") for i in range(60)] + [(60, "- !"), (61, None), (None, "no key at all")], "doc_id long, text string")
     deltas.apply(t, "s", 0, docs)
-    assert t.read("documents").count() == 63 and set(t.read("documents").columns) == {"doc_id", "terms", "buckets", "print"}
+    assert t.read("documents").count() == 63 and set(t.read("documents").columns) == {"doc_id", "tokens", "tf", "buckets", "print"}
     first, n = deltas.refresh(t, searched=False)
     assert n == 63 and "postings" not in first
     again = docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" and more")))
